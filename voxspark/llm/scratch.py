@@ -1,0 +1,61 @@
+"""Intermediate tables in the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_FALLBACK: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; a temporary folder only where it is unset (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not _FALLBACK:
+        _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="voxspark-"))
+    return _FALLBACK[0]
+
+
+class Scratch:
+    """A folder of written tables: each cuts the lineage and outlives any executor.
+
+    The tables must stay until the operator's lazy result has been read; call
+    :meth:`clear` after that.
+    """
+
+    def __init__(self, spark: SparkSession, name: str = "op"):
+        self.spark = spark
+        self.root = f"{shared_folder(spark)}/voxspark-{name}-{uuid.uuid4().hex[:12]}"
+        self._tables: list[str] = []
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+
+    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+        """Write df and read it back."""
+        where = self.path(name)
+        df.write.parquet(where)
+        return self.spark.read.schema(df.schema).parquet(where)
+
+    def keep_bucketed(self, df: DataFrame, key: str, buckets: int, name: str = "b") -> DataFrame:
+        """Write df bucketed by key, so that joins on key leave this side where it is."""
+        table = f"voxspark_{name}_{uuid.uuid4().hex}"
+        df.write.format("parquet").bucketBy(buckets, key).option("path", self.path(name)).saveAsTable(table)
+        self._tables.append(table)
+        return self.spark.table(table)
+
+    def clear(self) -> None:
+        for table in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self._tables.clear()
+        jvm = self.spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(self.root)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
