@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import suffix_tree
+from . import suffix_dedup, suffix_tree
 from .scratch import read_table
 
 
@@ -19,6 +19,11 @@ def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", F.coalesce(remainder("doc_id", 7) == 2, F.lit(False)))
 
 
-QUERIES = {"op1_suffix_tree": op1_suffix_tree}
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(docs))
+
+
+QUERIES = {"op1_suffix_tree": op1_suffix_tree, "op7_suffix_dedup": op7_suffix_dedup}
 
 ORACLES: dict[str, str] = {}
