@@ -41,14 +41,15 @@ def powers(n: int, name: str) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept by the worker."""
     have = _POWERS.get(name)
     if have is None or len(have) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
+        size = -(-n // (1 << 16)) << 16
         have = np.empty(size, dtype=U)
         have[0], filled = 1, 1
         base = BASE if name == "up" else BASE_INV
         while filled < size:
             step = U(pow(int(base), filled, 1 << 64))
-            have[filled : 2 * filled] = have[:filled] * step
-            filled *= 2
+            more = min(filled, size - filled)
+            have[filled : filled + more] = have[:more] * step
+            filled += more
         _POWERS[name] = have
     return have[:n]
 

@@ -11,6 +11,7 @@ is hot in the corpus reaches its bucket at most once from each chunk.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,20 +35,14 @@ def n_chunks(total_bytes: int, chunk_bytes: int) -> int:
 
 
 def gather(batches: Iterator[pd.DataFrame], chunk_bytes: int, column: str = "text"):
-    """(chunk id, documents) with texts as bytes, until each is chunk_bytes long or a row more."""
+    """(chunk id, documents) with texts as bytes, until each is chunk_bytes long or some rows more."""
     base, seq, size, held = TaskContext.get().partitionId() << 32, 0, 0, []
     for pdf in batches:
-        texts = [as_bytes(t) for t in pdf[column]]
-        lens = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        pdf = pdf.assign(**{column: texts})
-        start = 0
-        ends = np.cumsum(lens)
-        while start < len(pdf):
-            before = ends[start - 1] if start else 0
-            stop = min(len(pdf), int(np.searchsorted(ends, before + max(1, chunk_bytes - size), "left")) + 1)
-            held.append(pdf.iloc[start:stop])
-            size += int(ends[stop - 1] - before)
-            start = stop
+        for start in range(0, len(pdf), 128):
+            part = pdf.iloc[start : start + 128]
+            texts = [as_bytes(t) for t in part[column]]
+            held.append(part.assign(**{column: texts}))
+            size += sum(map(len, texts))
             if size >= chunk_bytes:
                 yield base + seq, pd.concat(held, ignore_index=True)
                 held, size, seq = [], 0, seq + 1
@@ -55,12 +50,17 @@ def gather(batches: Iterator[pd.DataFrame], chunk_bytes: int, column: str = "tex
         yield base + seq, pd.concat(held, ignore_index=True)
 
 
-def pack_sent(kind: str, chunk: int, keys: np.ndarray, values: np.ndarray | None, buckets: int) -> pd.DataFrame:
+def squeeze(values: np.ndarray) -> bytes:
+    """Counts and flags are mostly alike: packed they take a fraction."""
+    return zlib.compress(values.tobytes(), 1)
+
+
+def pack_sent(kind: str, chunk: int, keys: np.ndarray, values: np.ndarray, buckets: int) -> pd.DataFrame:
     """Rows for the buckets; keys must be sorted and distinct.  A bucket is a range of keys."""
     cut = np.searchsorted(keys, range_starts(buckets))
     cut = np.append(cut, len(keys))
     rows = [
-        (kind, chunk, b, keys[i:j].tobytes(), b"" if values is None else values[i:j].tobytes())
+        (kind, chunk, b, keys[i:j].tobytes(), squeeze(values[i:j]))
         for b, (i, j) in enumerate(zip(cut[:-1], cut[1:]))
         if j > i
     ]
@@ -85,7 +85,7 @@ def reduce_keys(sent: DataFrame, answers: dict[str, Callable[[np.ndarray, np.nda
         kind = pdf["kind"].iloc[0]
         cut = np.cumsum([0, *(len(k) // 8 for k in pdf["keys"])])
         keys = np.frombuffer(b"".join(pdf["keys"]), dtype=U)
-        values = np.frombuffer(b"".join(pdf["values"]), dtype=types[kind])
+        values = np.frombuffer(b"".join(map(zlib.decompress, pdf["values"])), dtype=types[kind])
         order = np.argsort(keys, kind="stable")
         ranked = keys[order]
         new = np.ones(len(keys), dtype=bool)
@@ -95,7 +95,7 @@ def reduce_keys(sent: DataFrame, answers: dict[str, Callable[[np.ndarray, np.nda
         replies, stat = answers[kind](inverse, values, int(new.sum()), keys)
         stats = np.zeros(len(pdf), dtype=np.int64)
         stats[0] = stat
-        return pd.DataFrame({"kind": kind, "chunk": pdf["chunk"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "reply": [replies[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], "stat": stats})
+        return pd.DataFrame({"kind": kind, "chunk": pdf["chunk"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "reply": [squeeze(replies[i:j]) for i, j in zip(cut[:-1], cut[1:])], "stat": stats})
 
     return sent.groupBy("kind", "bucket").applyInPandas(merge, REPLY)
 
@@ -121,4 +121,4 @@ def with_replies(store: DataFrame, **replies: DataFrame) -> DataFrame:
 
 
 def unpack_reply(parts, dtype: str) -> np.ndarray:
-    return np.frombuffer(b"".join(parts if parts is not None else ()), dtype=dtype)
+    return np.frombuffer(b"".join(map(zlib.decompress, parts if parts is not None else ())), dtype=dtype)

@@ -38,13 +38,13 @@ class Scratch:
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write df and read it back."""
         where = self.path(name)
-        df.write.parquet(where)
+        df.write.option("compression", "zstd").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def keep_bucketed(self, df: DataFrame, key: str, buckets: int, name: str = "b") -> DataFrame:
         """Write df bucketed by key, so that joins on key leave this side where it is."""
         table = f"voxspark_{name}_{uuid.uuid4().hex}"
-        df.write.format("parquet").bucketBy(buckets, key).option("path", self.path(name)).saveAsTable(table)
+        df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).option("path", self.path(name)).saveAsTable(table)
         self._tables.append(table)
         return self.spark.table(table)
 
