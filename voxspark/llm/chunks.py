@@ -55,12 +55,24 @@ def squeeze(values: np.ndarray) -> bytes:
     return zlib.compress(values.tobytes(), 1)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences: the low bytes as they are, the high ones, mostly zero, packed."""
+    planes = np.diff(keys, prepend=U(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return len(keys).to_bytes(4, "little") + planes[:5].tobytes() + zlib.compress(planes[5:].tobytes(), 1)
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(data[4 : 4 + 5 * n] + zlib.decompress(data[4 + 5 * n :]), dtype=np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=U)
+
+
 def pack_sent(kind: str, chunk: int, keys: np.ndarray, values: np.ndarray, buckets: int) -> pd.DataFrame:
     """Rows for the buckets; keys must be sorted and distinct.  A bucket is a range of keys."""
     cut = np.searchsorted(keys, range_starts(buckets))
     cut = np.append(cut, len(keys))
     rows = [
-        (kind, chunk, b, keys[i:j].tobytes(), squeeze(values[i:j]))
+        (kind, chunk, b, pack_keys(keys[i:j]), squeeze(values[i:j]))
         for b, (i, j) in enumerate(zip(cut[:-1], cut[1:]))
         if j > i
     ]
@@ -83,8 +95,9 @@ def reduce_keys(sent: DataFrame, answers: dict[str, Callable[[np.ndarray, np.nda
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk", kind="stable")
         kind = pdf["kind"].iloc[0]
-        cut = np.cumsum([0, *(len(k) // 8 for k in pdf["keys"])])
-        keys = np.frombuffer(b"".join(pdf["keys"]), dtype=U)
+        parts = [unpack_keys(k) for k in pdf["keys"]]
+        cut = np.cumsum([0, *map(len, parts)])
+        keys = np.concatenate(parts)
         values = np.frombuffer(b"".join(map(zlib.decompress, pdf["values"])), dtype=types[kind])
         order = np.argsort(keys, kind="stable")
         ranked = keys[order]
@@ -109,13 +122,13 @@ def first_of_key(inverse: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def with_replies(store: DataFrame, **replies: DataFrame) -> DataFrame:
+def with_replies(store: DataFrame, buckets: int, **replies: DataFrame) -> DataFrame:
     """The chunk rows with each kind of replies as an array column, in bucket order.
 
-    The store is bucketed by chunk and stays in place; only the replies move.
+    The store is in `buckets` buckets by chunk and stays in place; only the replies move, once.
     """
     for name, df in replies.items():
-        got = df.where(F.col("kind") == name).groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "reply"))), lambda x: x["reply"]).alias(name))
+        got = df.where(F.col("kind") == name).repartition(buckets, "chunk").groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "reply"))), lambda x: x["reply"]).alias(name))
         store = store.join(got, "chunk", "left")
     return store
 

@@ -215,7 +215,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", params: RepeatParams = R
         of, keys, inverse = c.stem_classes()
         return c.id, keys, (np.bincount(inverse, c.rims()[of], len(keys)) > 0).astype(np.uint8)
 
-    rims = exchange(with_replies(store, parts=parts), send_rims, "rims", _any)
+    rims = exchange(with_replies(store, buckets, parts=parts), send_rims, "rims", _any)
 
     def opened(row) -> tuple[_Parse, np.ndarray]:
         c = parsed(row)
@@ -229,7 +229,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", params: RepeatParams = R
         keys, _, counts = c.window_keys(at)
         return c.id, keys, _few(counts)
 
-    windows = exchange(with_replies(store, parts=parts, rims=rims), send_windows, "windows", _again)
+    windows = exchange(with_replies(store, buckets, parts=parts, rims=rims), send_windows, "windows", _again)
 
     def finish(it):
         for row in rows(it):
@@ -240,7 +240,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", params: RepeatParams = R
             spans, kept = zip(*c.results(gone))
             yield pdf.assign(n_bytes=np.diff(c.bounds), spans=list(spans), kept=list(kept))[out.names]
 
-    return with_replies(store, parts=parts, rims=rims, windows=windows).mapInPandas(finish, out)
+    return with_replies(store, buckets, parts=parts, rims=rims, windows=windows).mapInPandas(finish, out)
 
 
 def digest(result: DataFrame) -> DataFrame:
