@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import pstable, simhash, suffix_dedup, suffix_tree, topk
+from . import packing, pstable, simhash, suffix_dedup, suffix_tree, topk, warc
 from .scratch import read_table
 
 
@@ -23,6 +23,11 @@ def op2_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pstable.near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(read_table(spark, sf_dir, "pages"))
+    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -37,12 +42,18 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(docs))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("ids")
+
+
 QUERIES = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_pstable": op2_pstable,
+    "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,
     "op6_topk": op6_topk,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_packing": op8_packing,
 }
 
 USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
@@ -62,6 +73,13 @@ WITH RECURSIVE v AS (
 many AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
 FROM embeddings e JOIN low ON low.a = e.vec_id LEFT JOIN many ON many.a = e.vec_id""",
+    "op4_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p WHERE strlen(h) >= 100 GROUP BY h)
+SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha256(p.h) AS payload_digest,
+  CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON f.h = p.h""",
     "op6_topk": f"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE {USABLE}
