@@ -117,3 +117,19 @@ def batches(texts: list[bytes], limit: int):
         size += len(t) + 1
     if start < len(texts):
         yield start, len(texts)
+
+
+def pieces(texts: list[bytes], limit: int) -> tuple[list[bytes], np.ndarray]:
+    """Texts cut into pieces of at most `limit` bytes, at a space where there is one; the text of each piece."""
+    out, of = [], []
+    for k, t in enumerate(texts):
+        start = 0
+        while len(t) - start > limit:
+            stop = max(t.rfind(b" ", start, start + limit), t.rfind(b"\n", start, start + limit)) + 1
+            stop = stop if stop > start else start + limit
+            out.append(t[start:stop])
+            of.append(k)
+            start = stop
+        out.append(t[start:])
+        of.append(k)
+    return out, np.array(of, dtype=np.int64)
