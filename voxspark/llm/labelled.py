@@ -16,15 +16,15 @@ def binary_labels(labels: DataFrame, column: str, learn: Column) -> DataFrame:
     return usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).cast("int").alias("y"))
 
 
-def sample_texts(docs: DataFrame, labelled: DataFrame, per_class: int, max_bytes: int) -> tuple[list[bytes], list[int], list[int]]:
-    """Texts and classes of at most per_class documents of each class, and the numbers of labelled rows of both.
+def sample_texts(docs: DataFrame, labelled: DataFrame, per_class: tuple[int, int], max_bytes: int) -> tuple[list[bytes], list[int], list[int]]:
+    """Texts and classes of at most per_class[y] documents of class y, and the numbers of labelled rows of both.
 
     Chosen by a hash of the id, so alike at every size.  Documents of more than
     max_bytes bytes are not learnt from, so that the sample's size is bounded.
     """
     counts = {r["y"]: r["count"] for r in labelled.groupBy("y").count().collect()}
-    parts = [labelled.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(per_class) for y in (0, 1)]
-    chosen = parts[0].unionByName(parts[1])  # 2 * per_class rows at most
+    parts = [labelled.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(per_class[y]) for y in (0, 1)]
+    chosen = parts[0].unionByName(parts[1])  # sum(per_class) rows at most
     fit = docs.where(F.octet_length("text") <= max_bytes).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = fit.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y")).orderBy("doc_id").collect()
     texts = [as_bytes(r["text"]) for r in rows]

@@ -4,7 +4,7 @@ A document is the average of learnt vectors of its features: words, pairs of
 neighbouring words, and byte n-grams inside words with their rims, each hashed to one of
 ``buckets`` vectors.  A word said twice in a row is one pair, whatever the word.  A
 softmax over the average gives the classes; both are fitted by stochastic gradient
-descent with steps scaled per vector, the classes taking turns.
+descent, the classes taking turns.
 
 The fit takes at most ``per_class`` labelled documents of each class; scoring reads
 every text whole.  For a linear output the average of vectors is an average of one
@@ -79,7 +79,6 @@ def train(texts: list[bytes], classes: list[int], counts: list[int], p: SubwordP
         return np.zeros(p.buckets, dtype=np.float32), prior
     rng = np.random.default_rng(p.seed)
     vectors = rng.uniform(-1, 1, (p.buckets, p.dims)) / p.dims
-    speed = np.zeros(p.buckets)
     out, bias = rng.uniform(-1, 1, (p.dims, 2)), np.zeros(2)
     rows, y = list(_rows(texts, p)), np.array(classes)
     steps = max(p.least_steps, p.epochs * len(rows))
@@ -97,8 +96,7 @@ def train(texts: list[bytes], classes: list[int], counts: list[int], p: SubwordP
         back = out @ g
         out -= rate * np.outer(hidden, g)
         bias -= rate * g
-        speed[at] += share * share * (back @ back)
-        vectors[at] -= (rate * share / (np.sqrt(speed[at]) + 1e-9))[:, None] * back
+        vectors[at] -= np.outer(share * (rate / (share @ share)), back)  # moves the average by rate * back
     table = (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32)
     return table, float(bias[1] - bias[0])
 
@@ -117,7 +115,7 @@ def log_odds(texts: list[bytes], table: np.ndarray, bias: float, prior: float, p
 
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, column: str = "quality", params: SubwordParams = SubwordParams()) -> DataFrame:
     """docs with score (of class 1) and predicted; labels(doc_id, column) are learnt from where `learn` holds."""
-    texts, classes, counts = sample_texts(docs, binary_labels(labels, column, learn), params.per_class, params.max_bytes)
+    texts, classes, counts = sample_texts(docs, binary_labels(labels, column, learn), (params.per_class, params.per_class), params.max_bytes)
     table, bias = train(texts, classes, counts, params)
     prior = float(np.log((counts[1] + 1) / (counts[0] + 1)))
     model = docs.sparkSession.sparkContext.broadcast(table)  # 4 * buckets bytes

@@ -8,8 +8,8 @@ correlate share their weight.  It is fitted by expectation maximisation on the n
 all vote patterns in the training rows, where labelled texts keep their labels.  A linear
 classifier on hashed words and word beginnings then learns from the posterior labels.
 
-Bounds: mining takes at most ``per_class`` labelled texts of each class, the classifier
-as many of each posterior class; votes are counted over all training rows (at most
+Bounds: mining takes at most ``toxic`` and ``clean`` labelled texts, the classifier as many
+by their posterior labels; votes are counted over all training rows (at most
 2**voters patterns); scoring reads every text whole.
 
 Results for odd inputs: null and empty texts get the classifier's bias; without labelled
@@ -39,10 +39,10 @@ WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    per_class: int = 1500
+    toxic: int = 1500  # texts to learn from
+    clean: int = 4500
     max_bytes: int = 1 << 16
     least_docs: int = 3
-    least_share: float = 0.005
     least_odds: float = 3.0
     word_voters: int = 4
     buckets: int = 1 << 18
@@ -50,7 +50,6 @@ class ToxicityParams:
     rate: float = 0.5
     decay: float = 2e-3
     least_weight: float = 0.1
-    least_excess: float = 3.0
     threshold: float = 0.5
     rounds: int = 40
 
@@ -96,6 +95,19 @@ def _in(keys: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
     return lexicon[at] == keys
 
 
+def beyond_chance(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    """Which of many features go with toxic texts: in a toxic and b clean ones, at an overall share of toxic ones.
+
+    The bound on the chance of such a split must stay small even for the most
+    striking of all features that were looked at (Chernoff's bound, with a union bound).
+    """
+    n = np.maximum(a + b, 1e-9)
+    q = np.clip(a / n, 1e-12, 1 - 1e-12)
+    share = min(max(share, 1e-9), 1 - 1e-9)
+    bound = n * (q * np.log(q / share) + (1 - q) * np.log((1 - q) / (1 - share)))
+    return (q > share) & (bound >= np.log(max(1, int((n >= 2).sum()))) + 2)
+
+
 def _telling(keys_by_text: list[np.ndarray], y: np.ndarray, p: ToxicityParams) -> np.ndarray:
     """Keys that stand in several toxic texts and hardly in clean ones."""
     toxic, clean = int(y.sum()), int((y == 0).sum())
@@ -106,7 +118,7 @@ def _telling(keys_by_text: list[np.ndarray], y: np.ndarray, p: ToxicityParams) -
     label = np.repeat(y, sizes)
     a, b = np.bincount(at, label, len(keys)), np.bincount(at, 1 - label, len(keys))
     odds = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1))
-    return keys[(a >= max(p.least_docs, p.least_share * toxic)) & (odds >= p.least_odds)]
+    return keys[(a >= p.least_docs) & (odds >= p.least_odds) & beyond_chance(a, b, toxic / (toxic + clean))]
 
 
 def make_voters(texts: list[bytes], classes: list[int], p: ToxicityParams) -> Voters:
@@ -206,8 +218,8 @@ def fit_linear(texts: list[bytes], target: np.ndarray, p: ToxicityParams) -> tup
     of, at = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
     seen = np.bincount(at, minlength=p.buckets)
     mean = target.mean()
-    excess = (np.bincount(at, target[of], p.buckets) - seen * mean) / np.sqrt(np.maximum(seen, 1) * mean * (1 - mean) + 1e-9)
-    use = (seen >= p.least_docs) & (excess >= p.least_excess)  # features that go with toxic labels more than by chance
+    toxic = np.bincount(at, target[of], p.buckets)
+    use = (seen >= p.least_docs) & beyond_chance(toxic, seen - toxic, mean)
     ok = use[at]
     of, at = of[ok], at[ok]
     share = (target / max(mean, 1e-9) + (1 - target) / max(1 - mean, 1e-9)) / (2 * len(rows))  # both classes count alike
@@ -246,7 +258,7 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, column: str = "t
     """docs with score and predicted; learns only from rows where `learn` holds."""
     spark, p = docs.sparkSession, params
     scratch = scratch or Scratch(spark, "toxicity")
-    texts, classes, _ = sample_texts(docs, binary_labels(labels, column, learn), p.per_class, p.max_bytes)
+    texts, classes, _ = sample_texts(docs, binary_labels(labels, column, learn), (p.clean, p.toxic), p.max_bytes)
     voters = make_voters(texts, classes, p)
     number = len(voters.lexicons) + len(PREFIXES) + 3
 
@@ -258,7 +270,7 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, column: str = "t
 
     toxic = [int(x) for x in patterns[posterior(patterns) > 0]]
     guessed = votes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("votes").alias("votes")).select("doc_id", F.col("votes").isin(toxic).cast("int").alias("y"))
-    taught, _, sizes = sample_texts(docs, guessed, p.per_class, p.max_bytes)
+    taught, _, sizes = sample_texts(docs, guessed, (p.clean, p.toxic), p.max_bytes)
     target = 1 / (1 + np.exp(-np.clip(posterior(vote(taught, voters)), -50, 50))) if taught else np.empty(0)
     weights, bias = fit_linear(taught, target, p)
     model = spark.sparkContext.broadcast(weights)  # 4 * buckets bytes
