@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import packing, pstable, simhash, suffix_dedup, suffix_tree, topk, warc
+from . import packing, pstable, simhash, subword, suffix_dedup, suffix_tree, topk, toxicity, viterbi, warc
 from .scratch import read_table
 
 
@@ -23,6 +23,15 @@ def op2_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pstable.near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def with_held_out(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op3_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_held_out(subword.classify(docs, read_table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(read_table(spark, sf_dir, "pages"))
     return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -46,14 +55,37 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("ids")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_held_out(toxicity.classify(docs, read_table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0))
+
+
+def default_pieces() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = viterbi.decode(viterbi.encode(docs, default_pieces()), default_pieces())
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"), F.col("id_score").alias("score"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
+
+
 QUERIES = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_pstable": op2_pstable,
+    "op3_subword": op3_subword,
     "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,
     "op6_topk": op6_topk,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
