@@ -51,8 +51,14 @@ def gather(batches: Iterator[pd.DataFrame], chunk_bytes: int, column: str = "tex
 
 
 def squeeze(values: np.ndarray) -> bytes:
-    """Counts and flags are mostly alike: packed they take a fraction."""
-    return zlib.compress(values.tobytes(), 1)
+    """Counts and flags are mostly small and alike: packed byte by byte of their width they take a fraction."""
+    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
+
+
+def expand(data: bytes, dtype) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -98,7 +104,7 @@ def reduce_keys(sent: DataFrame, answers: dict[str, Callable[[np.ndarray, np.nda
         parts = [unpack_keys(k) for k in pdf["keys"]]
         cut = np.cumsum([0, *map(len, parts)])
         keys = np.concatenate(parts)
-        values = np.frombuffer(b"".join(map(zlib.decompress, pdf["values"])), dtype=types[kind])
+        values = np.concatenate([expand(v, types[kind]) for v in pdf["values"]])
         order = np.argsort(keys, kind="stable")
         ranked = keys[order]
         new = np.ones(len(keys), dtype=bool)
@@ -134,4 +140,4 @@ def with_replies(store: DataFrame, buckets: int, **replies: DataFrame) -> DataFr
 
 
 def unpack_reply(parts, dtype: str) -> np.ndarray:
-    return np.frombuffer(b"".join(map(zlib.decompress, parts if parts is not None else ())), dtype=dtype)
+    return np.concatenate([np.empty(0, dtype=dtype), *(expand(p, dtype) for p in (parts if parts is not None else ()))])
