@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from voxspark.llm.components import connected, local_roots
-from voxspark.llm.scratch import Scratch
+from voxspark.operators.components import connected, local_roots
+from voxspark.scratch import Scratch
 from voxspark.llm.simhash import SimhashParams, fingerprint, near_duplicates, near_links, trie_pairs
 
 U = np.uint64

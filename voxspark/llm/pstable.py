@@ -27,8 +27,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .components import connected, local_roots
-from .scratch import Scratch
+from ..operators.components import connected, local_roots
+from ..scratch import Scratch
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import packing, pstable, simhash, subword, suffix_dedup, suffix_tree, topk, toxicity, viterbi, warc
-from .scratch import read_table
+from ..scratch import read_table
 
 
 def remainder(column: str, n: int) -> Column:

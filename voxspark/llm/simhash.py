@@ -30,8 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .bytehash import as_bytes
-from .components import connected, local_roots
-from .scratch import Scratch
+from ..operators.components import connected, local_roots
+from ..scratch import Scratch
 
 U = np.uint64
 PREFIX = (22, 21, 21)  # bits of each third
