@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,11 +36,19 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
 
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write df and read it back."""
-        where = self.path(name)
+    def keep(self, df: DataFrame, name: str = "t", release: bool = False) -> DataFrame:
+        """Write df and read it back.
+
+        release: let Spark drop shuffle files that no plan needs any more at once,
+        not when the driver happens to collect its garbage.
+        """
+        where, schema = self.path(name), df.schema
         df.write.option("compression", "zstd").parquet(where)
-        return self.spark.read.schema(df.schema).parquet(where)
+        del df
+        if release:
+            gc.collect()
+            self.spark._jvm.System.gc()
+        return self.spark.read.schema(schema).parquet(where)
 
     def keep_bucketed(self, df: DataFrame, key: str, buckets: int, name: str = "b") -> DataFrame:
         """Write df bucketed by key, so that joins on key leave this side where it is."""
