@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .bytehash import U, Rolling, as_bytes, join_texts, mix, word_spans
+from .bytehash import U, Rolling, as_bytes, combine, join_texts, mix, word_spans
 
 
 def binary_labels(labels: DataFrame, column: str, learn: Column) -> DataFrame:
@@ -33,11 +33,13 @@ def sample_texts(docs: DataFrame, labelled: DataFrame, per_class: tuple[int, int
 
 
 def different(texts: list[bytes], draws: int = 6) -> list[int]:
-    """Which texts of a sample to learn from: copies of one before, by minimal hashes of their words, teach nothing new."""
+    """Which texts of a sample to learn from: copies of one before, by minimal hashes of their triples of words, teach nothing new."""
     seen, out = set(), []
     for k, t in enumerate(texts):
         data, _ = join_texts([t], 1)
         words = Rolling(data).slices(*word_spans(data))
+        if len(words) > 2:
+            words = combine(words[:-2], words[1:-1], words[2:])
         low = [int(mix(words ^ U(d)).min()) if len(words) else 0 for d in range(1, draws + 1)]
         marks = [(d, *low[d : d + 2]) for d in range(0, draws, 2)]
         if not seen.intersection(marks):

@@ -46,7 +46,7 @@ class ToxicityParams:
     least_odds: float = 3.0
     word_voters: int = 4
     buckets: int = 1 << 18
-    epochs: int = 60
+    epochs: int = 200
     rate: float = 0.5
     decay: float = 2e-3
     least_weight: float = 0.1
