@@ -50,27 +50,38 @@ def gather(batches: Iterator[pd.DataFrame], chunk_bytes: int, column: str = "tex
         yield base + seq, pd.concat(held, ignore_index=True)
 
 
+def _shrink(plane: np.ndarray) -> bytes:
+    """The shorter of a plain and an entropy-only packing: runs suit one, small numbers in no order the other."""
+    data, z = plane.tobytes(), zlib.compressobj(1, zlib.DEFLATED, 15, 9, zlib.Z_HUFFMAN_ONLY)
+    return min(zlib.compress(data, 1), z.compress(data) + z.flush(), key=len)
+
+
 def squeeze(values: np.ndarray) -> bytes:
     """Counts and flags are mostly small and alike: packed byte by byte of their width they take a fraction."""
-    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    parts = [_shrink(p) for p in planes]
+    return b"".join([*(len(p).to_bytes(4, "little") for p in parts), *parts])
 
 
 def expand(data: bytes, dtype) -> np.ndarray:
     width = np.dtype(dtype).itemsize
-    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+    ends = 4 * width + np.cumsum([0, *(int.from_bytes(data[4 * k : 4 * k + 4], "little") for k in range(width))])
+    planes = [np.frombuffer(zlib.decompress(data[i:j]), dtype=np.uint8) for i, j in zip(ends[:-1], ends[1:])]
+    return np.ascontiguousarray(np.stack(planes, axis=1)).reshape(-1).view(dtype)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
     """Sorted keys as differences: the low bytes as they are, the high ones, mostly zero, packed."""
     planes = np.diff(keys, prepend=U(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-    return len(keys).to_bytes(4, "little") + planes[:5].tobytes() + zlib.compress(planes[5:].tobytes(), 1)
+    return len(keys).to_bytes(4, "little") + planes[:5].tobytes() + squeeze(np.ascontiguousarray(planes[5:].T))
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:4], "little")
-    planes = np.frombuffer(data[4 : 4 + 5 * n] + zlib.decompress(data[4 + 5 * n :]), dtype=np.uint8).reshape(8, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=U)
+    planes = np.empty((n, 8), dtype=np.uint8)
+    planes[:, :5] = np.frombuffer(data, dtype=np.uint8, count=5 * n, offset=4).reshape(5, n).T
+    planes[:, 5:] = expand(data[4 + 5 * n :], np.dtype("V3")).view(np.uint8).reshape(n, 3)
+    return np.cumsum(planes.view("<u8").ravel(), dtype=U)
 
 
 def pack_sent(kind: str, chunk: int, keys: np.ndarray, values: np.ndarray, buckets: int) -> pd.DataFrame:

@@ -195,7 +195,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", params: RepeatParams = R
                 chunk, keys, values = emit(row)
                 yield pack_sent(kind, chunk, keys, values, buckets)
 
-        return scratch.keep(reduce_keys(df.mapInPandas(send, SENT), {kind: answer}, {kind: "u1"}), kind)
+        return scratch.keep(reduce_keys(df.mapInPandas(send, SENT), {kind: answer}, {kind: "u1"}), kind, release=True)
 
     def send_parts(row):
         c = _Parse(row, p)
