@@ -6,6 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..scratch import Scratch
+from .graph import consecutive
 from .tiling import AXES, SIZES, below, uniform
 
 
@@ -135,11 +137,13 @@ def resample(df: DataFrame, value: str, zoom: Sequence[float], mode: str = "line
     return on.groupBy(*by, *AXES).agg(F.sum(weight * F.col("_v")).alias(value))
 
 
-def compact_ids(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+def compact_ids(df: DataFrame, column: str, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """Ids as their rank among the different ids, from 0, and the table (rank, id) to go back."""
-    lut = df.select(F.col(column).alias("_id")).distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_id")).cast("long") - 1)
-    out = df.join(lut, df[column] == lut["_id"]).withColumn(column, F.col("_rank")).select(df.columns)
-    return out, lut.select(F.col("_rank").alias("rank"), F.col("_id").alias("id"))
+    scratch = scratch or Scratch(df.sparkSession, "compact")
+    ranks = consecutive(df.select(F.col(column).alias("_id")).distinct(), "_id", scratch)
+    lut = scratch.keep(ranks.select((F.col("rank") - 1).alias("rank"), F.col("_id").alias("id")), "lut")
+    out = df.join(lut, df[column] == lut["id"]).withColumn(column, F.col("rank")).select(df.columns)
+    return out, lut
 
 
 def augment_pipeline(df: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:

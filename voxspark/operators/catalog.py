@@ -65,7 +65,7 @@ def spacing_from_directions(df: DataFrame, directions: str, spacings: str | None
 
 def clamp_box(requests: DataFrame, bounds: DataFrame) -> DataFrame:
     """Boxes cut to bounds(volume, d, h, w); a null origin is centred."""
-    df = requests.join(F.broadcast(bounds.limit(100_000)), "volume")
+    df = requests.join(bounds, "volume")
     for a, n in zip(AXES, ("d", "h", "w")):
         size = F.least(F.col(f"s{a}"), F.col(n))
         origin = F.coalesce(F.col(a), F.floor((F.col(n) - size) / 2).cast("int"))

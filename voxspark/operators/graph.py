@@ -155,6 +155,49 @@ def mutex_watershed(edges: DataFrame, nodes: DataFrame, by: Sequence[str] = ("vo
     return edges.groupBy(*by).cogroup(nodes.groupBy(*by)).applyInPandas(solve, schema)
 
 
+def mutex_bucketed(edges: DataFrame, nodes: DataFrame, buckets: int = 16, scratch: Scratch | None = None) -> DataFrame:
+    """(node, root): approximate Mutex Watershed over whole tables, in joins and aggregates.
+
+    Edges are taken in groups of falling weight.  Each group first sets its bans between
+    clusters; then, round by round, clusters join the lower one to which their best edge
+    without a ban leads, ties by (off, u), until no such edge is left.  In a round no
+    cluster both moves and takes others in, and of two that may not meet only the better moves,
+    so bans hold.
+    """
+    scratch = scratch or Scratch(edges.sparkSession, "bucketed")
+    order = F.least(F.lit(buckets - 1), F.floor((1 - F.col("w")) * buckets)).cast("int")
+    edges = scratch.keep(edges.select("u", "v", "w", "off", "is_mutex", F.greatest(order, F.lit(0)).alias("k")), "edges")
+    roots = scratch.keep(nodes.select("node", F.col("node").alias("root")), "roots")
+    bans = None
+
+    def between(e: DataFrame) -> DataFrame:
+        at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        both = e.join(at("u"), "u").join(at("v"), "v").where("ru <> rv")
+        return both.withColumns({"a": F.least("ru", "rv"), "b": F.greatest("ru", "rv")})
+
+    for k in range(buckets):
+        group = edges.where(F.col("k") == k)
+        new = between(group.where("is_mutex")).select("a", "b")
+        bans = scratch.keep((new if bans is None else bans.unionByName(new)).distinct(), "bans")
+        while True:
+            open_ = between(group.where("NOT is_mutex")).join(bans, ["a", "b"], "left_anti")
+            rank = F.struct(F.col("w").alias("w"), (-F.col("off")).alias("off"), (-F.col("u")).alias("u"))
+            best = scratch.keep(open_.groupBy("b").agg(F.max(F.struct(rank.alias("rank"), "a")).alias("m")).select("b", "m.*"), "best")
+            heads = best.join(best.select(F.col("b").alias("a")), "a", "left_anti")  # no chains: a stays where it is
+            side = lambda c, n: heads.select(F.col("b").alias(c), F.col("a").alias(f"to{n}"), F.col("rank").alias(f"r{n}"))  # noqa: B023, E731
+            clash = bans.join(side("a", 1), "a").join(side("b", 2), "b").where("to1 = to2")  # two that may not meet: the better goes first
+            late = clash.select(F.when(F.col("r1") > F.col("r2"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
+            hooks = scratch.keep(heads.join(late, "b", "left_anti").select("a", "b"), "hooks")
+            if hooks.isEmpty():
+                break
+            moved = scratch.keep(connected(hooks, scratch), "moved")
+            to = lambda c: moved.select(F.col("node").alias(c), F.col("component").alias(f"m{c}"))  # noqa: B023, E731
+            roots = scratch.keep(roots.join(to("root"), "root", "left").select("node", F.coalesce("mroot", "root").alias("root")), "roots")
+            a, b = F.coalesce("ma", "a"), F.coalesce("mb", "b")
+            bans = scratch.keep(bans.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct(), "bans")
+    return roots
+
+
 def stitch(labels: DataFrame, min_share: float = 0.5, scratch: Scratch | None = None) -> DataFrame:
     """Join labels of overlapping crops(crop, node, label): two labels become one if they share at least min_share of the smaller one's voxels in the overlap.
 

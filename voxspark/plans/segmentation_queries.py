@@ -102,14 +102,14 @@ def cap_push_edges(spark, d):
     return N.cap_push_edges(N.build_edges(head(spark, d), OFFSETS, N_PULL, "prob"), 500).select("u", "v", "off")
 
 
-LINKS = "li AS (SELECT o_custkey AS a, o_custkey * 7 % 1499 + 1 AS b FROM orders WHERE o_custkey % 3 > 0)"
+LINKS = "li AS (SELECT o_custkey AS a, o_custkey * 7 % 1499 + 1 AS b FROM orders)"
 REACH = """li2 AS (SELECT a, b FROM li UNION SELECT b, a FROM li), nodes AS (SELECT DISTINCT a AS node FROM li2),
 cc(node, root) AS (SELECT node, node FROM nodes UNION SELECT li2.b, cc.root FROM cc JOIN li2 ON li2.a = cc.node AND cc.root < li2.b)"""
 
 
 @query(f"WITH RECURSIVE {LINKS}, {REACH} SELECT node, min(root) AS root FROM cc GROUP BY node")
 def resolve_roots(spark, d):
-    o = table(spark, d, "orders").where("o_custkey % 3 > 0")
+    o = table(spark, d, "orders")
     return G.resolve_roots(o.select(F.col("o_custkey").cast("long").alias("a"), (F.col("o_custkey") * 7 % 1499 + 1).cast("long").alias("b")))
 
 
@@ -135,6 +135,25 @@ def agglomerate(spark, d):
     return G.agglomerate(h, OFFSETS, N_PULL, "prob", "fg", (1, 2, 2), 10, 100_000, ["sample_id"])
 
 
+@query()
+def boundaries_3d_outer(spark, d):
+    return N.boundaries(gt(spark, d), mode="outer", connectivity=3, block=BLOCK).select("z", "y", "x", "boundary")
+
+
+@query()
+def mutex_watershed_stitched(spark, d):
+    """Crops of six sections that overlap in two, joined where they agree."""
+    from ..operators.catalog import crop_boxes
+    from ..operators.tiling import tile_patches
+
+    h = head(spark, d)
+    crops = tile_patches(volumes_of(h), (6, 50, 64), 0.34).select(F.col("patch_idx").alias("crop"), "volume", "z", "y", "x", "sz", "sy", "sx").withColumn("z0", F.col("z"))
+    cut = crop_boxes(h.select("volume", "z", "y", "x", "prob"), crops, 32)
+    labels = G.agglomerate(cut, OFFSETS, N_PULL, "prob", strides=(1, 2, 2), by=["crop"]).join(crops.select("crop", "z0"), "crop")
+    node = ((F.col("z") + F.col("z0")).cast("long") * 50 + F.col("y")) * 64 + F.col("x")
+    return G.stitch(labels.select("crop", node.alias("node"), "label"))
+
+
 @query(with_v1("SELECT z, y, x, CASE WHEN gt IN (0, 1) THEN 0 ELSE (SELECT count(DISTINCT b.gt) FROM v b WHERE b.gt <= v.gt AND b.gt NOT IN (0, 1)) END AS gt FROM v"))
 def relabel_consecutive(spark, d):
     return G.relabel_consecutive(v1(spark, d).select("z", "y", "x", "gt"), "gt", ignore=1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import augment as A, catalog as C, normalize as N, tiling as T, views as W
+from ..operators.graph import consecutive
+from ..scratch import Scratch
 from .fixtures import CROPS, VOLUMES, crops, table, v1, volumes_of, with_v1
 from .registry import query
 
@@ -109,11 +111,11 @@ def split_overlaps(spark, d):
 
 
 @query("""WITH m AS (SELECT doc_id AS name, n_chars + doc_id % 11 // 10 AS size, md5(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS md5 FROM documents)
-SELECT m.name, CASE WHEN f.doc_id IS NULL THEN 'missing' WHEN m.size <> f.n_chars OR m.md5 <> md5(f.text) THEN 'mismatch' ELSE 'ok' END AS status FROM m LEFT JOIN (SELECT * FROM documents WHERE doc_id % 13 <> 1) f ON f.doc_id = m.name""")
+SELECT m.name, CASE WHEN f.doc_id IS NULL THEN 'missing' WHEN m.size <> f.n_chars OR m.md5 <> md5(f.text) THEN 'mismatch' ELSE 'ok' END AS status FROM m LEFT JOIN (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) f ON f.doc_id = m.name""")
 def checksum_audit(spark, d):
     docs = table(spark, d, "documents")
     manifest = docs.select(F.col("doc_id").alias("name"), (F.col("n_chars") + F.floor(F.col("doc_id") % 11 / 10)).alias("size"), F.md5(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("md5"))
-    files = docs.where(F.col("doc_id") % 13 != 1).select(F.col("doc_id").alias("name"), F.col("n_chars").alias("size"), F.md5("text").alias("md5"))
+    files = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("name"), F.col("n_chars").alias("size"), F.md5("text").alias("md5"))
     return C.checksum_audit(files, manifest)
 
 
@@ -203,19 +205,20 @@ def tile_patches(spark, d):
     return T.tile_patches(sizes, (8, 8, 8), 0.5)
 
 
-@query(with_v1("""SELECT pz AS patch_z, py AS patch_y, v.z - pz AS z, v.y - py AS y, x, gt FROM v, (SELECT unnest([0, 3, 6]) AS pz), (SELECT unnest([0, 20, 30]) AS py) WHERE v.z >= pz AND v.z < pz + 4 AND v.y >= py AND v.y < py + 20 AND z < 10"""))
+TILES = "pz AS (SELECT CAST(unnest(list_distinct(list_append(list_filter(range(0, d, 4), lambda k: k + 4 < d), greatest(d - 4, 0)))) AS INTEGER) AS pz FROM vol), py AS (SELECT CAST(unnest(list_distinct(list_append(list_filter(range(0, h, 20), lambda k: k + 20 < h), greatest(h - 20, 0)))) AS INTEGER) AS py FROM vol)"
+
+
+@query(with_v1("SELECT pz AS patch_z, py AS patch_y, z - pz AS z, y - py AS y, x, gt FROM v, pz, py WHERE z >= pz AND z < pz + 4 AND y >= py AND y < py + 20", VOLUMES, TILES))
 def extract_patches(spark, d):
-    v = v1(spark, d).where("z < 10")
-    p = T.tile_patches(volumes_of(v), (4, 20, 64)).drop("patch_idx").where("z IN (0, 4, 6)")
-    p = p.withColumn("z", F.when(F.col("z") == 4, 3).otherwise(F.col("z"))).withColumns({"patch_z": F.col("z"), "patch_y": F.col("y")})
+    v = v1(spark, d)
+    p = T.tile_patches(volumes_of(v), (4, 20, 64)).drop("patch_idx").withColumns({"patch_z": F.col("z"), "patch_y": F.col("y")})
     return T.extract_patches(v.select("volume", "z", "y", "x", "gt"), p).select("patch_z", "patch_y", "z", "y", "x", "gt")
 
 
-@query("WITH e AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents WHERE lang = 'en'), n AS (SELECT count(*) AS n FROM e) SELECT i, idx, doc_id FROM (SELECT range AS i FROM range(5000)), n JOIN e ON e.idx = i % n.n")
+@query("WITH e AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents), n AS (SELECT count(*) AS n FROM e) SELECT i, idx, doc_id FROM (SELECT range AS i FROM range(5000)), n JOIN e ON e.idx = i % n.n")
 def virtual_epoch(spark, d):
-    from pyspark.sql import Window
-
-    e = table(spark, d, "documents").where("lang = 'en'").select("doc_id", (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("idx"))
+    ranks = consecutive(table(spark, d, "documents").select("doc_id").distinct(), "doc_id", Scratch(spark, "epoch"))
+    e = ranks.select("doc_id", (F.col("rank") - 1).alias("idx"))
     return T.virtual_epoch(spark, e, 5000).select("i", "idx", "doc_id")
 
 
@@ -364,3 +367,37 @@ def label_to_rgb(spark, d):
 def masked_panels(spark, d):
     v = v1(spark, d).select("z", "y", "x", F.col("pr").alias("seg"), (F.col("val") > 0).alias("sem"), F.array("val", F.col("val") * 2, F.col("val") * 3).alias("aff"), F.col("gt").alias("label"))
     return W.masked_panels(v, W.panel_indices(5, 1, 2)[:1] + [2]).select("z", "y", "x", "seg_masked", F.round(F.element_at("aff_masked", -1), 6).alias("last_aff"))
+
+
+@query()
+def weighted_volume_pick(spark, d):
+    """A volume for each document, in proportion to the voxels of as many volumes as there are parts."""
+    k = F.col("p_partkey")
+    volumes = table(spark, d, "part").select(F.format_string("v%09d", k).alias("volume"), (5 + k % 20).cast("int").alias("d"), F.lit(8).alias("h"), (1 + k % 7).cast("int").alias("w"))
+    samples = table(spark, d, "documents").select(F.col("doc_id").alias("i"))
+    return T.weighted_volume_pick(samples, volumes, 3).select("i", "volume")
+
+
+@query()
+def random_crop(spark, d):
+    sizes = volumes_of(v1(spark, d))
+    samples = table(spark, d, "documents").select(F.col("doc_id").alias("i"), F.lit("V1").alias("volume")).join(sizes, "volume")
+    return T.random_crop(samples, (4, 16, 16), 5).select("i", "z", "y", "x", "sz", "sy", "sx")
+
+
+@query()
+def foreground_crop(spark, d):
+    v = v1(spark, d)
+    samples = table(spark, d, "documents").select(F.col("doc_id").alias("i"), F.lit("V1").alias("volume")).join(volumes_of(v), "volume")
+    return T.foreground_crop(samples, v, "gt", (2, 6, 6), 0.85, 3, 5).select("i", "z", "y", "x", "attempt", F.round("ratio", 6).alias("ratio"))
+
+
+@query()
+def gaussian_noise(spark, d):
+    return A.gaussian_noise(v1(spark, d), "val", 0.05, 7, ["volume", "z", "y", "x"]).select("z", "y", "x", F.round("val", 6).alias("val"))
+
+
+@query()
+def augment_pipeline(spark, d):
+    df = sized(spark, d).withColumnsRenamed({"gt": "label"})
+    return A.augment_pipeline(df, A.train_steps(11)).select("sample_id", "z", "y", "x", F.round("val", 6).alias("val"), "label")
