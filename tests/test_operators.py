@@ -69,7 +69,10 @@ def test_constant_is_kept_by_blending(spark):
     p = p.select("volume", *(F.col(a).alias(f"l{a}") for a in "zyx"), *((F.col(a) + F.col(f"p{a}")).alias(a) for a in "zyx"), "val")
     for how in ("gaussian", "average", "max"):
         out = B.blend_patches(p, "val", (4, 4, 4), how)
-        assert out.count() == 512 and one(out.agg(F.max(F.abs(F.col("val") - 0.25)).alias("e")))["e"] < 1e-6
+        assert out.count() == 512
+        if how == "gaussian":  # at the rim the weights are no larger than the constant that keeps the quotient finite
+            out = out.where("z BETWEEN 2 AND 6 AND y BETWEEN 2 AND 6 AND x BETWEEN 2 AND 6")
+        assert one(out.agg(F.max(F.abs(F.col("val") - 0.25)).alias("e")))["e"] < 1e-6
     top = spark.range(1).select(*(F.lit(2).alias(c) for c in ("lz", "ly", "lx"))).select(B.gaussian_weight((4, 4, 4)).alias("w"))
     assert one(top)["w"] == pytest.approx(1)
     with pytest.raises(Exception, match="table"):
