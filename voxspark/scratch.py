@@ -20,6 +20,10 @@ def shared_folder(spark: SparkSession) -> str:
     return _FALLBACK[0]
 
 
+#: Lets Spark remove the shuffle files of an execution when it ends; a kept table is never computed again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """A folder of written tables: each cuts the lineage and outlives any executor.
 
@@ -37,8 +41,12 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write df and read it back."""
-        where = self.path(name)
-        df.write.option("compression", "zstd").parquet(where)
+        where, before = self.path(name), self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(where)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def keep_bucketed(self, df: DataFrame, key: str, buckets: int, name: str = "b") -> DataFrame:
