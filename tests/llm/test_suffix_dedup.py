@@ -6,7 +6,7 @@ import pytest
 
 from voxspark.llm.suffix_dedup import RepeatParams, digest, remove_repeats
 
-SCHEMA = "doc_id long, text string, lang string"
+SCHEMA = "doc_id long, text string, spans string"
 
 
 def brute(texts: list[bytes], window: int):

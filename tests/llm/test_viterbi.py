@@ -79,6 +79,6 @@ def test_same_as_library():
 
 def test_tables(spark):
     rows = [(1, "Hello  wörld\n\nx", "en"), (2, None, None), (3, "", "de"), (None, "a" * 5000, "x"), (1, "Hello  wörld\n\nx", "en"), (4, "\U0001f600" * 3, "")]
-    out = decode(encode(spark.createDataFrame(rows, "doc_id long, text string, score string"), MODEL), MODEL).collect()
+    out = decode(encode(spark.createDataFrame(rows, "doc_id long, text string, ids string"), MODEL), MODEL).collect()
     assert sorted((str(r.doc_id), r.decoded, len(r.ids)) for r in out) == sorted((str(i), t or "", len(whole(t or "")[0])) for i, t, _ in rows)
     assert encode(spark.createDataFrame([], "doc_id long, text string"), MODEL).collect() == []

@@ -22,7 +22,7 @@ each chunk.
 
 Results for odd inputs: a null text is empty; texts under ``window`` bytes lose
 nothing; equal rows repeat each other; all other
-columns pass through unchanged, null ids too.
+columns pass through unchanged, null ids too, but columns named like the results give way.
 """
 
 from __future__ import annotations
@@ -170,7 +170,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", params: RepeatParams = R
     spark, p = docs.sparkSession, params
     scratch = scratch or Scratch(spark, "repeats")
     buckets = n_chunks(corpus_bytes(docs, text), 4 * p.chunk_bytes)
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, "n_bytes", "spans", "kept")]
     out = T.StructType([docs.schema[c] for c in rest] + [T.StructField("n_bytes", T.LongType()), T.StructField("spans", SPANS), T.StructField("kept", T.BinaryType())])
 
     def encode(it):

@@ -15,7 +15,8 @@ Ties go to the longer last piece.  A character without a piece of its own costs
 score less 10 and is given as its bytes (or as the unknown id, without byte pieces).
 
 Results for odd inputs: null and empty texts have no ids; a text that contains U+2581
-decodes to a space there; other columns pass through unchanged.
+decodes to a space there; other columns pass through unchanged, but ones named like the
+results give way.
 """
 
 from __future__ import annotations
@@ -257,7 +258,8 @@ class Encoder:
 
 def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """docs with ids and the score of the segmentation (ids, id_score)."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("id_score", T.DoubleType())])
+    kept = [f for f in docs.schema.fields if f.name not in ("ids", "id_score")]
+    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("id_score", T.DoubleType())])
 
     def run(frames):
         encoder = Encoder(load(model))
@@ -265,7 +267,7 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
             for k in range(0, len(pdf), 256):
                 part = pdf.iloc[k : k + 256]
                 ids, scores = zip(*encoder.encode([t if isinstance(t, str) else "" for t in part[text]]))
-                yield part.assign(ids=list(ids), id_score=list(scores))
+                yield part.assign(ids=list(ids), id_score=list(scores))[schema.names]
 
     return docs.mapInPandas(run, schema)
 
