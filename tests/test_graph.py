@@ -99,6 +99,32 @@ def test_mutex_watershed(spark):
         G.mutex_watershed(edges, nodes, ["sample_id"], max_edges=10).collect()
 
 
+def test_agglomerate_caps_each_crop(spark):
+    offsets, n_pull, k = [(-1, 0, 0), (0, -1, 0), (0, 0, -1), (0, -2, 0), (0, 0, -2)], 3, 6
+    shape, rng = (2, 5, 6), np.random.default_rng(8)
+    crops = {s: rng.random((*shape, len(offsets))).round(2) for s in range(4)}
+    crops[0][..., n_pull:] *= 0.1  # its push edges outweigh those of all other crops
+    rows = [(s, *map(int, i), a[i].tolist()) for s, a in crops.items() for i in np.ndindex(shape)]
+    df = spark.createDataFrame(rows, "sample_id int, z int, y int, x int, aff array<double>")
+    got = G.agglomerate(df, offsets, n_pull, strides=(1, 1, 1), max_push_edges=k, by=["sample_id"]).collect()
+    flat = lambda i: (int(i[0]) * shape[1] + int(i[1])) * shape[2] + int(i[2])
+    for s, a in crops.items():
+        edges = []
+        for i in np.ndindex(shape):
+            for o, d in enumerate(offsets):
+                j = tuple(p + q for p, q in zip(i, d))
+                if all(0 <= p < n for p, n in zip(j, shape)):
+                    w = float(np.float32(1) - np.float32(a[i][o])) if o >= n_pull else float(np.float32(a[i][o]))
+                    edges.append((-w, o, flat(i), flat(j)))
+        edges.sort()
+        push = [e for e in edges if e[1] >= n_pull]
+        assert len(push) > k  # the cap binds
+        kept = [e for e in edges if e[1] < n_pull or e in push[:k]]
+        want = watershed(int(np.prod(shape)), [(u, v, o >= n_pull) for _, o, u, v in kept])
+        have = [r.label for r in sorted((r for r in got if r.sample_id == s), key=lambda r: (r.z, r.y, r.x))]
+        assert same(have, want)
+
+
 def test_bucketed_respects_strong_bans(spark):
     edges = spark.createDataFrame([(0, 1, 0.9, 0, False), (1, 2, 0.8, 0, False), (0, 2, 0.95, 1, True), (3, 4, 0.2, 0, False)], "u long, v long, w double, off int, is_mutex boolean")
     nodes = spark.range(6).withColumnRenamed("id", "node")

@@ -220,10 +220,10 @@ def stitch(labels: DataFrame, min_share: float = 0.5, scratch: Scratch | None =
 
 
 def agglomerate(df: DataFrame, offsets, n_pull: int, aff: str = "aff", mask: str | None = None, strides=(1, 4, 4), min_size: int = 0, max_push_edges: int | None = None, by: Sequence[str] = ("volume",)) -> DataFrame:
-    """(by, z, y, x, label) from affinities per voxel: edges, cap, Mutex Watershed, size filter; outside the mask 0."""
+    """(by, z, y, x, label) from affinities per voxel: edges, cap within each group, Mutex Watershed, size filter; outside the mask 0."""
     edges = build_edges(df, offsets, n_pull, aff, strides, mask, by)
     if max_push_edges is not None:
-        edges = cap_push_edges(edges, max_push_edges)
+        edges = cap_push_edges(edges, max_push_edges, by)
     dims = df.groupBy(*by).agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
     at = df.join(dims, list(by)).withColumn("node", (F.col("z").cast("long") * F.col("_h") + F.col("y")) * F.col("_w") + F.col("x"))
     nodes = (at.where(F.col(mask)) if mask else at).select(*by, "node")

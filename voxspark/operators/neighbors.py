@@ -7,7 +7,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .blocks import Region, halo_apply, voxel_schema
 
@@ -131,7 +131,12 @@ def build_edges(df: DataFrame, offsets: Sequence[Sequence[int]], n_pull: int, af
     return e
 
 
-def cap_push_edges(edges: DataFrame, k: int) -> DataFrame:
-    """All pull edges and the k push edges of largest weight, ties by (off, u)."""
-    push = edges.where("is_mutex").orderBy(F.desc("w"), "off", "u").limit(k)
+def cap_push_edges(edges: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
+    """All pull edges and the k push edges of largest weight, ties by (off, u); with `by`, k of each group (crop)."""
+    push = edges.where("is_mutex")
+    order = [F.desc("w"), "off", "u"]
+    if by:  # a crop fits a task
+        push = push.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
+    else:
+        push = push.orderBy(*order).limit(k)
     return edges.where("NOT is_mutex").unionByName(push)
