@@ -85,6 +85,23 @@ def test_near_links_and_components(spark, hot):
     scratch.clear()
 
 
+def test_whole_node_after_hot_node_in_one_partition(spark):
+    rng = random.Random(6)
+    n, low = 5, lambda k: rng.getrandbits(k)
+    hot = [((n - 1) << 42) | (63 << 36) | low(36) for _ in range(100)]  # reaches the last pair of sub-nodes
+    one = [(n << 42) | low(42) for _ in range(30)]
+    other = [v ^ (1 << rng.randrange(36, 42)) ^ (1 << rng.randrange(21)) for v in one]  # only the first trie meets them
+    v = np.array(sorted({*hot, *one, *other}), dtype=U)
+    df = spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fp long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        links = {tuple(sorted((r.a, r.b))) for r in near_links(df, SimhashParams(hot_node=80)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {tuple(sorted(p)) for p in zip(one, other)} <= links
+
+
 def test_long_chain(spark):
     rng = random.Random(5)
     ids = rng.sample(range(10_000), 500)

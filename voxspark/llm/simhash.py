@@ -138,7 +138,7 @@ def _join_whole(pdf: pd.DataFrame, depths) -> pd.DataFrame:
     stars = []
     for trie, part in pdf.groupby("trie", sort=False):
         depth = depths[trie]
-        group = part["node"].to_numpy() * len(NEAR) + part["pair"].to_numpy()  # pair: -1 for a node dealt out whole
+        group = part["node"].to_numpy() * (len(NEAR) + 1) + part["pair"].to_numpy() + 1  # pair: -1 for a node dealt out whole
         values, fp = part["rotated"].to_numpy().view(U), part["fp"].to_numpy()
         start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         end = np.append(start[1:], len(group))
