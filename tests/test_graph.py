@@ -1,6 +1,8 @@
 """Graph operators against plain sequential programs."""
 
+import math
 import random
+import tracemalloc
 from collections import Counter
 from itertools import product
 
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from voxspark.operators import graph as G
 from voxspark.operators.neighbors import boundaries, neighbours
-from voxspark.operators.region import edt
+from voxspark.operators.region import _nearest_1d, edt
 
 
 def volume(spark, a, name="V", column="label"):
@@ -156,6 +158,20 @@ def test_edt(spark):
     assert np.allclose([g[3] for g in got], want)
 
 
+def test_edt_long_lines(spark):
+    """Lines of 20,000 voxels: a matrix of a line with itself would need 3 GB."""
+    n, rng = 20_000, np.random.default_rng(5)
+    zeros = {y: np.sort(rng.choice(n, 20 * y, replace=False)) for y in range(3)}  # none in the first line
+    rows = spark.range(3 * n).select(F.lit("V").alias("volume"), (F.col("id") % n).cast("int").alias("z"), F.floor(F.col("id") / n).cast("int").alias("y"), F.lit(0).alias("x"))
+    at = spark.createDataFrame([(int(z), y) for y, s in zeros.items() for z in s], "z int, y int").withColumn("zero", F.lit(True))
+    df = rows.join(at, ["z", "y"], "left").select("volume", "z", "y", "x", F.col("zero").isNull().alias("m"))
+    got = edt(df, "m", (2.0, 1000.0, 1.0)).toPandas().sort_values(["y", "z"])["distance"].to_numpy().reshape(3, n)
+    far = {y: np.abs(np.arange(n)[:, None] - s[None, :]).min(1, initial=n) * 2.0 for y, s in zeros.items()}
+    for y in range(3):
+        want = np.min([np.sqrt(far[k] ** 2 + (1000.0 * (y - k)) ** 2) for k in (1, 2)], axis=0)
+        assert np.allclose(got[y], want)
+
+
 @pytest.mark.parametrize("mode", ["inner", "outer", "thick"])
 def test_boundaries_any_block(spark, mode):
     a = np.random.default_rng(4).integers(0, 3, (4, 5, 6))
@@ -174,3 +190,14 @@ def test_errors(spark):
     with pytest.raises(ValueError):
         boundaries(df, mode="no")
     assert list(product([0], neighbours(1, True)))[0][1][0] == 0
+
+
+def test_nearest_1d_memory():
+    rng, n = np.random.default_rng(6), 3000
+    q = np.where(rng.random(n) < 0.02, rng.integers(0, 50, n) ** 2.0, math.inf)
+    tracemalloc.start()
+    got = _nearest_1d(np.arange(n, dtype=float), q, 1.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    i = np.arange(n)
+    assert np.allclose(got, (q[None, :] + (1.5 * (i[:, None] - i[None, :])) ** 2).min(1)) and peak < 2000 * n
