@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from voxspark.llm.queries import remainder
+from voxspark.llm.queries import QUERIES, remainder
 from voxspark.llm.suffix_tree import TreeParams, score
 
 END, START = "<end>", "<start>"
@@ -108,3 +108,62 @@ def test_odd_tables(spark):
     assert score(spark.createDataFrame([], schema), F.lit(True)).collect() == []
     out = score(spark.createDataFrame([(None, "a b", 1, ""), (None, None, 2, None)], schema), remainder("doc_id", 7) != 2).collect()
     assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in out} == {(None, 3, 0, 0), (None, 1, 0, 0)}
+
+
+def brute_deep(rows, train, low, depth):
+    """A tree of any depth in dictionaries: score of each text, and positions scored from two words or more."""
+    count, docs = Counter(), 0
+    for (_, text), t in zip(rows, train):
+        if t:
+            w = [START, *tokens(text)]
+            docs += 1
+            count.update(tuple(w[i - k : i + 1]) for i in range(1, len(w)) for k in range(min(i, depth) + 1))
+    n, v = sum(c for g, c in count.items() if len(g) == 1), sum(len(g) == 1 for g in count)
+    size = lambda ctx: docs if ctx == (START,) else count[ctx]
+    after = {}
+    for g, c in count.items():
+        if len(g) > 1:
+            after.setdefault(g[:-1], {})[g[-1]] = c
+    types = {}
+
+    def prob(ctx, t):
+        if not ctx:
+            return (count[t,] + 1) / (n + v + 1)
+        k = types.get(ctx, 0) if len(ctx) == 1 or count[(*ctx[1:], t)] else 0
+        return (count[(*ctx, t)] + k * prob(ctx[1:], t)) / (size(ctx) + k) if k else prob(ctx[1:], t)
+
+    for ctx in sorted(after, key=len):
+        x, total = after[ctx], sum(after[ctx].values())
+        if size(ctx) >= low:
+            many = {t: c for t, c in x.items() if c >= 2}
+            singles = len(x) - len(many)
+            loo = sum(c * math.log((c - 1) / (size(ctx) * prob(ctx[1:], t))) for t, c in many.items())
+            loo += (total - singles) * math.log(total / (total + len(x))) + singles * math.log(len(x) / (total + len(x)))
+            types[ctx] = len(x) if loo > 0 else 0
+    for i, text in rows:
+        w = [START, *tokens(text)]
+        logs = [math.log10(prob(tuple(w[max(0, k - depth) : k]), w[k])) for k in range(1, len(w))]
+        yield i, sum(logs)
+
+
+@pytest.mark.parametrize("chunk", [2000, 6 << 20])
+def test_deep_tree_matches_dictionaries(spark, chunk):
+    rows = docs(4)
+    train = [zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
+    params = TreeParams(min_context=2, depth=4, chunk_bytes=chunk)
+    got = sorted((r.doc_id, r.score) for r in score(spark.createDataFrame(rows, "doc_id long, text string"), remainder("doc_id", 7) != 2, params).collect())
+    want = sorted(brute_deep(rows, train, 2, 4))
+    assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-6)
+
+
+def test_query_learns_passages_that_few_documents_share(spark, tmp_path):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdef", k=3)) for _ in range(40)]
+    plain = lambda n: " ".join(rng.choices(words, k=n))
+    passages = [plain(30) for _ in range(6)]
+    rows = [(i, f"{plain(30)} {passages[i % 6] if i < 36 else plain(30)} {plain(30)}") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    total = lambda df: {r.doc_id: r.score for r in df.collect() if r.doc_id < 36 and zlib.crc32(str(r.doc_id).encode()) % 7 == 2}
+    deep = total(QUERIES["op1_suffix_tree"](spark, str(tmp_path)))
+    shallow = total(score(spark.read.parquet(f"{tmp_path}/documents.parquet"), remainder("doc_id", 7) != 2, TreeParams()))
+    assert len(deep) > 2 and all(deep[i] > shallow[i] + 10 for i in deep)

@@ -15,7 +15,8 @@ def remainder(column: str, n: int) -> Column:
 
 def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    out = suffix_tree.score(docs, remainder("doc_id", 7) != 2)
+    params = suffix_tree.TreeParams(depth=4, min_context=2)  # a context seen once cannot be kept
+    out = suffix_tree.score(docs, remainder("doc_id", 7) != 2, params)
     return out.withColumn("held_out", F.coalesce(remainder("doc_id", 7) == 2, F.lit(False)))
 
 

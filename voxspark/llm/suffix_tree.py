@@ -1,7 +1,8 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-The tree's nodes are contexts of up to two preceding words (the start of a text
-counts as a word).  A context is kept when the training text supports it: its
+The tree's nodes are contexts of up to ``depth`` preceding words (the start of a text
+counts as a word), found level by level: only a context seen ``min_context`` times is
+extended.  A context is kept when the training text supports it: its
 leave-one-out log-likelihood must exceed that of its suffix by ``min_gain`` nats a
 symbol.  Next-word distributions are smoothed by giving each node its number of
 different successors as mass for its suffix (Witten-Bell), down to the add-one
@@ -9,7 +10,9 @@ distribution of single words.  A text is scored from the longest kept context at
 each position.
 
 All counts are taken over the whole training part.  The only thresholds are those of
-the model: a context seen fewer than ``min_context`` times is not tested.
+the model: a context seen fewer than ``min_context`` times is not tested.  At
+``min_context=2`` this loses nothing, as a context seen once never passes the
+leave-one-out test; each level more costs one more exchange of keys.
 
 Results for odd inputs: a null text is empty and consists of the end token; rows
 with a null id are scored and not learnt from; equal rows are scored each.
@@ -37,6 +40,7 @@ CONTEXT = [("gain", "<f4"), ("n", "<i4"), ("singles", "<i4"), ("types", "<i4")]
 class TreeParams:
     min_context: int = 16
     min_gain: float = 0.0
+    depth: int = 2
     chunk_bytes: int = 6 << 20
 
 
@@ -66,8 +70,19 @@ def _encode(chunk: int, pdf: pd.DataFrame) -> dict:
     }
 
 
+class _Level:
+    """The grams of one length that a chunk holds: a context and the word after it.
+
+    ctx and suffix are their context and their suffix as indices into the level below (of pairs:
+    into the contexts of one word and the words), of is the gram at each position or -1.
+    """
+
+    def __init__(self, of, ctx, suffix, after, key, n):
+        self.of, self.ctx, self.suffix, self.after, self.key, self.n = of, ctx, suffix, after, key, n
+
+
 class _Chunk:
-    """Words, pairs of words and, once counts are known, triples of a stored chunk."""
+    """Words, pairs of words and, level by level once counts are known, longer grams of a stored chunk."""
 
     def __init__(self, row):
         self.id = int(row["chunk"])
@@ -81,76 +96,89 @@ class _Chunk:
         prev = np.empty_like(self.cur)
         prev[1:] = self.cur[:-1] + 1
         prev[self.doc_start] = 0
-        codes, self.pair = np.unique(prev * size + self.cur, return_inverse=True)
-        self.before, self.after = codes // size, codes % size  # before: 0 is the start, else word + 1
+        codes, pair = np.unique(prev * size + self.cur, return_inverse=True)
+        before, after = codes // size, codes % size  # before: 0 is the start, else word + 1
         self.contexts = np.concatenate([[START], self.vocab])
         self.word_key = combine(np.full(size, U(11)), self.vocab) | U(1)
-        self.pair_key = combine(self.contexts[self.before], self.vocab[self.after]) & ~U(1)
-        both = np.concatenate([self.word_key, self.pair_key])
+        pair_key = combine(self.contexts[before], self.vocab[after]) & ~U(1)
+        both = np.concatenate([self.word_key, pair_key])
         self.order = np.argsort(both)
         self.keys = both[self.order]
-        self.n_pair = np.bincount(self.pair[self.train], minlength=len(codes))
+        self.levels = [_Level(pair, before, after, after, pair_key, np.bincount(pair[self.train], minlength=len(codes)))]
 
     def counts_of(self, reply: np.ndarray, totals: dict):
         """Counts from the exchange: of words, of contexts, of pairs; which pairs this chunk answers for, and
         which words and pairs no other chunk has: all about them and what contains them is known here."""
         got = np.empty(len(self.order), dtype=np.int64)
         got[self.order] = reply.astype(np.int64)
-        size = len(self.vocab)
-        self.c1, self.c2, self.own2 = got[:size] >> 2, got[size:] >> 2, (got[size:] & 1).astype(bool)
+        size, pairs = len(self.vocab), self.levels[0]
+        self.c1, pairs.c, pairs.own = got[:size] >> 2, got[size:] >> 2, (got[size:] & 1).astype(bool)
         alone = (got & 2).astype(bool)
-        self.alone1, self.alone2 = np.concatenate([[False], alone[:size]]), alone[size:]  # of contexts, of pairs
-        self.c_before = np.concatenate([[totals["docs"]], self.c1])
+        self.alone, pairs.alone = np.concatenate([[False], alone[:size]]), alone[size:]
+        pairs.c_ctx = np.concatenate([[totals["docs"]], self.c1])
         self.p0 = (self.c1 + 1) / (totals["tokens"] + totals["words"] + 1)
         return self
 
-    def triples(self, min_context: int):
-        """Triples whose first two words are frequent enough and whose last two are known."""
+    def extend(self, min_context: int):
+        """One level more: grams whose context is frequent enough and whose suffix is known."""
+        last = self.levels[-1]
         at = np.ones(len(self.cur), dtype=bool)
         at[self.doc_start] = False
         at = np.flatnonzero(at)
-        ctx, pair = self.pair[at - 1], self.pair[at]
-        use = (self.c2[ctx] >= min_context) & (self.c2[pair] > 0)
-        self.at, ctx, pair = at[use], ctx[use], pair[use]
-        codes, self.triple = np.unique(ctx * len(self.c2) + pair, return_inverse=True)
-        self.t_ctx, self.t_pair = codes // len(self.c2), codes % len(self.c2)
-        self.n_triple = np.bincount(self.triple[self.train[self.at]], minlength=len(codes))
-        sent = np.flatnonzero(~(self.alone2[self.t_ctx] | self.alone2[self.t_pair]))
-        keys = combine(self.pair_key[self.t_ctx[sent]], self.vocab[self.after[self.t_pair[sent]]])
-        order = np.argsort(keys)
-        self.t_sent, self.t_keys = sent[order], keys[order]
-        return self
-
-    def triple_counts(self, reply: np.ndarray):
-        self.c3, self.own3 = self.n_triple.copy(), np.ones(len(self.n_triple), dtype=bool)
-        self.c3[self.t_sent], self.own3[self.t_sent] = (reply >> U(2)).astype(np.int64), (reply & U(1)).astype(bool)
-        return self
-
-    def word_contexts(self, min_context: int):
-        """Contexts of one word that are tested, as indices: those to send with their keys, in order of key, and those known here."""
-        used = np.flatnonzero((self.c_before >= min_context) & (np.bincount(self.before, minlength=len(self.contexts)) > 0))
-        return self._sent(used, self.alone1, U(12), self.contexts)
-
-    def pair_contexts(self):
-        return self._sent(np.unique(self.t_ctx), self.alone2, U(13), self.pair_key)
-
-    def _sent(self, used, alone, kind, keys):
+        ctx, suffix = last.of[at - 1], last.of[at]
+        use = (ctx >= 0) & (suffix >= 0)
+        use[use] = (last.c[ctx[use]] >= min_context) & (last.c[suffix[use]] > 0)
+        at, ctx, suffix = at[use], ctx[use], suffix[use]
+        size = len(last.c)
+        codes, gram = np.unique(ctx * size + suffix, return_inverse=True)
+        of = np.full(len(self.cur), -1, dtype=np.int64)
+        of[at] = gram
+        ctx, suffix = (codes // size, codes % size) if size else (codes, codes)
+        after = last.after[suffix]
+        new = _Level(of, ctx, suffix, after, combine(last.key[ctx], self.vocab[after]), np.bincount(gram[self.train[at]], minlength=len(codes)))
+        new.alone = last.alone[ctx] | last.alone[suffix]
+        new.c_ctx = last.c
+        sent = np.flatnonzero(~new.alone)
+        new.sent = sent[np.argsort(new.key[sent])]
+        self.levels.append(new)
+        return new
+
+    def count(self, reply: np.ndarray):
+        """Counts of the last level's grams: as answered, or known here for those of this chunk alone."""
+        new = self.levels[-1]
+        new.c, new.own = new.n.copy(), np.ones(len(new.n), dtype=bool)
+        new.c[new.sent], new.own[new.sent] = (reply >> U(2)).astype(np.int64), (reply & U(1)).astype(bool)
+        new.alone[new.sent] = (reply & U(2)).astype(bool)
+
+    def tested(self, k: int, min_context: int):
+        """Contexts of k words that are tested, as indices: those to send with their keys, in order of key, and those known here."""
+        level = self.levels[k - 1]
+        used = np.unique(level.ctx)
+        used = used[level.c_ctx[used] >= min_context]
+        alone, keys = (self.alone, self.contexts) if k == 1 else (self.levels[k - 2].alone, self.levels[k - 2].key)
         far, here = used[~alone[used]], used[alone[used]]
-        key = combine(np.full(len(far), kind), keys[far])
+        key = combine(np.full(len(far), U(11 + k)), keys[far])
         order = np.argsort(key)
         return far[order], key[order], here
 
-    def word_sums(self) -> np.ndarray:
-        return _sums(self.before, len(self.contexts), self.n_pair, self.c2, self.c_before[self.before], self.p0[self.after], self.own2)
+    def sums(self, k: int) -> np.ndarray:
+        level = self.levels[k - 1]
+        return _sums(level.ctx, len(level.c_ctx), level.n, level.c, level.c_ctx[level.ctx], self.suffix_p(k), level.own)
 
-    def pair_sums(self) -> np.ndarray:
-        return _sums(self.t_ctx, len(self.c2), self.n_triple, self.c3, self.c2[self.t_ctx], self.p1[self.t_pair], self.own3)
+    def suffix_p(self, k: int) -> np.ndarray:
+        return (self.p0 if k == 1 else self.levels[k - 2].p)[self.levels[k - 1].suffix]
 
-    def probabilities(self, types1: np.ndarray):
-        """Next-word probabilities of the pairs; types1: of each kept context, else 0."""
-        t = types1[self.before]
-        self.p1 = np.where(t > 0, (self.c2 + t * self.p0[self.after]) / np.maximum(self.c_before[self.before] + t, 1), self.p0[self.after])
-        return self
+    def decide(self, k: int, min_context: int, reply: np.ndarray, min_gain: float):
+        """Next-word probabilities after contexts of k words: of kept ones, as answered or decided here, else of their suffix."""
+        level = self.levels[k - 1]
+        far, _, here = self.tested(k, min_context)
+        types = np.zeros(len(level.c_ctx), dtype=np.int64)
+        types[far] = reply
+        sums = self.sums(k)
+        types[here] = _kept(*(sums[f][here].astype(np.float64) for f, _ in CONTEXT), min_gain)
+        t, p = types[level.ctx], self.suffix_p(k)
+        level.kept = t > 0
+        level.p = np.where(level.kept, (level.c + t * p) / np.maximum(level.c_ctx[level.ctx] + t, 1), p)
 
 
 def _sums(ctx, size, n, c, c_ctx, p_suffix, own) -> np.ndarray:
@@ -191,7 +219,7 @@ def score(docs: DataFrame, train: Column, params: TreeParams = TreeParams(), scr
     """log10 probability of each text of docs(doc_id, text) under a tree learnt where `train` holds.
 
     Also the number of tokens, of tokens seen in training, the base score of single
-    words and the number of positions scored from a context of two words.
+    words and the number of positions scored from a context of two or more words.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "suffix-tree")
@@ -213,61 +241,61 @@ def score(docs: DataFrame, train: Column, params: TreeParams = TreeParams(), scr
     def send_words(it):
         for row in rows(it):
             c = _Chunk(row)
-            n = np.concatenate([np.bincount(c.cur[c.train], minlength=len(c.vocab)), c.n_pair])
+            n = np.concatenate([np.bincount(c.cur[c.train], minlength=len(c.vocab)), c.levels[0].n])
             yield pack_sent("words", c.id, c.keys, n[c.order].astype(np.uint32), buckets)
 
     words = scratch.keep(reduce_keys(store.mapInPandas(send_words, SENT), {"words": _answer_counts}, {"words": "<u4"}), "words")
     t = store.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("train_docs"), F.lit(0))).first()
     totals = {"tokens": t[0], "docs": t[1], "words": words.agg(F.coalesce(F.sum("stat"), F.lit(0))).first()[0]}
 
-    def send_contexts(it):
-        for row in rows(it):
-            c = _Chunk(row).counts_of(unpack_reply(row["words"], "<u8"), totals).triples(low)
-            used, keys, _ = c.word_contexts(low)
-            yield pack_sent("context1", c.id, keys, c.word_sums()[used], buckets)
-            yield pack_sent("triples", c.id, c.t_keys, c.n_triple[c.t_sent].astype(np.uint32), buckets)
-
-    answers = {"triples": _answer_counts, "context1": _answer_contexts(params.min_gain), "context2": _answer_contexts(params.min_gain)}
-    types = {"triples": "<u4", "context1": CONTEXT, "context2": CONTEXT}
-    second = scratch.keep(reduce_keys(with_replies(store, buckets, words=words).mapInPandas(send_contexts, SENT), answers, types), "contexts")
-
-    def known(row) -> _Chunk:
-        c = _Chunk(row).counts_of(unpack_reply(row["words"], "<u8"), totals).triples(low)
-        c.triple_counts(unpack_reply(row["triples"], "<u8"))
-        return c.probabilities(types_of(c.word_contexts(low), c.word_sums(), unpack_reply(row["context1"], "<i4")))
-
-    def types_of(contexts, sums: np.ndarray, reply: np.ndarray) -> np.ndarray:
-        """Successors of kept contexts: as answered, or decided here for those of this chunk alone."""
-        far, _, here = contexts
-        out = np.zeros(len(sums), dtype=np.int64)
-        out[far] = reply
-        out[here] = _kept(*(sums[f][here].astype(np.float64) for f, _ in CONTEXT), params.min_gain)
-        return out
-
-    def send_pair_contexts(it):
-        for row in rows(it):
-            c = known(row)
-            used, keys, _ = c.pair_contexts()
-            yield pack_sent("context2", c.id, keys, c.pair_sums()[used], buckets)
-
-    both = with_replies(store, buckets, words=words, context1=second, triples=second)
-    third = scratch.keep(reduce_keys(both.mapInPandas(send_pair_contexts, SENT), answers, types), "pair-contexts")
+    levels = range(1, params.depth + 1)
+    answers = {f"grams{k}": _answer_counts for k in levels} | {f"context{k}": _answer_contexts(params.min_gain) for k in levels}
+    types = {f"grams{k}": "<u4" for k in levels} | {f"context{k}": CONTEXT for k in levels}
+    replies = {"words": words}  # and, of each level, whether its contexts are kept and the counts of the next one
+
+    def known(row, depth: int) -> _Chunk:
+        """A chunk whose contexts of fewer than `depth` words are decided and whose grams after `depth` words are counted."""
+        c = _Chunk(row).counts_of(unpack_reply(row["words"], "<u8"), totals)
+        for k in range(1, depth):
+            c.decide(k, low, unpack_reply(row[f"context{k}"], "<i4"), params.min_gain)
+            if k < params.depth:
+                c.extend(low)
+                c.count(unpack_reply(row[f"grams{k + 1}"], "<u8"))
+        return c
+
+    def send_level(k: int):
+        def send(it):
+            for row in rows(it):
+                c = known(row, k)
+                used, keys, _ = c.tested(k, low)
+                yield pack_sent(f"context{k}", c.id, keys, c.sums(k)[used], buckets)
+                if k < params.depth:
+                    new = c.extend(low)
+                    yield pack_sent(f"grams{k + 1}", c.id, new.key[new.sent], new.n[new.sent].astype(np.uint32), buckets)
+
+        return send
+
+    for k in levels:
+        sent = with_replies(store, buckets, **replies).mapInPandas(send_level(k), SENT)
+        found = scratch.keep(reduce_keys(sent, answers, types), f"level{k}")
+        replies |= {f"context{k}": found} | ({f"grams{k + 1}": found} if k < params.depth else {})
 
     def finish(it):
         for row in rows(it):
-            c = known(row)
-            t = types_of(c.pair_contexts(), c.pair_sums(), unpack_reply(row["context2"], "<i4"))[c.t_ctx]
-            p2 = np.where(t > 0, (c.c3 + t * c.p1[c.t_pair]) / np.maximum(c.c2[c.t_ctx] + t, 1), c.p1[c.t_pair])
-            logs = np.log10(c.p1)[c.pair]
-            logs[c.at] = np.log10(p2)[c.triple]
-            deep = np.zeros(len(c.cur), dtype=np.int64)
-            deep[c.at] = (t > 0)[c.triple]
+            c = known(row, params.depth + 1)
+            logs, deep = np.log10(c.p0)[c.cur], np.zeros(len(c.cur), dtype=bool)
+            base = logs.copy()
+            for k in levels:
+                level = c.levels[k - 1]
+                at = np.flatnonzero(level.of >= 0)
+                logs[at] = np.log10(level.p)[level.of[at]]
+                deep[at] |= level.kept[level.of[at]] & (k > 1)
             by_doc = lambda x: np.add.reduceat(x, c.doc_start)
             ids = pd.array(np.frombuffer(row["ids"], dtype=np.int64), dtype="Int64")
             ids[~np.frombuffer(row["known"], dtype=bool)] = pd.NA
             yield pd.DataFrame({
                 "doc_id": ids, "n_tokens": c.n_tokens.astype(np.int64), "n_known": by_doc((c.c1[c.cur] > 0).astype(np.int64)), "train_tokens": totals["tokens"],
-                "base_score": by_doc(np.log10(c.p0)[c.cur]), "score": by_doc(logs), "n_deep": by_doc(deep),
+                "base_score": by_doc(base), "score": by_doc(logs), "n_deep": by_doc(deep.astype(np.int64)),
             })
 
-    return with_replies(store, buckets, words=words, context1=second, triples=second, context2=third).mapInPandas(finish, SCORES)
+    return with_replies(store, buckets, **replies).mapInPandas(finish, SCORES)
