@@ -11,11 +11,11 @@ is hot in the corpus reaches its bucket at most once from each chunk.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -23,7 +23,7 @@ from .bytehash import U, as_bytes
 from ..scratch import Scratch
 
 SENT = "kind string, chunk long, bucket int, keys binary, values binary"
-REPLY = "kind string, chunk long, bucket int, reply binary, stat long"
+REPLY = "kind string, chunk long, bucket int, reply binary, note binary"
 
 
 def corpus_bytes(docs: DataFrame, column: str = "text") -> int:
@@ -35,39 +35,32 @@ def n_chunks(total_bytes: int, chunk_bytes: int) -> int:
 
 
 def gather(batches: Iterator[pd.DataFrame], chunk_bytes: int, column: str = "text"):
-    """(chunk id, documents) with texts as bytes, until each is chunk_bytes long or some rows more."""
+    """(chunk id, documents) with texts as bytes.  A chunk is full with the row that brings it to chunk_bytes."""
     base, seq, size, held = TaskContext.get().partitionId() << 32, 0, 0, []
     for pdf in batches:
-        for start in range(0, len(pdf), 128):
-            part = pdf.iloc[start : start + 128]
-            texts = [as_bytes(t) for t in part[column]]
-            held.append(part.assign(**{column: texts}))
-            size += sum(map(len, texts))
+        texts = [as_bytes(t) for t in pdf[column]]
+        start = 0
+        for k, text in enumerate(texts):
+            size += len(text)
             if size >= chunk_bytes:
+                held.append(pdf.iloc[start : k + 1].assign(**{column: texts[start : k + 1]}))
                 yield base + seq, pd.concat(held, ignore_index=True)
-                held, size, seq = [], 0, seq + 1
+                held, size, seq, start = [], 0, seq + 1, k + 1
+        if start < len(texts):
+            held.append(pdf.iloc[start:].assign(**{column: texts[start:]}))
     if held:
         yield base + seq, pd.concat(held, ignore_index=True)
 
 
-def _shrink(plane: np.ndarray) -> bytes:
-    """The shorter of a plain and an entropy-only packing: runs suit one, small numbers in no order the other."""
-    data, z = plane.tobytes(), zlib.compressobj(1, zlib.DEFLATED, 15, 9, zlib.Z_HUFFMAN_ONLY)
-    return min(zlib.compress(data, 1), z.compress(data) + z.flush(), key=len)
-
-
 def squeeze(values: np.ndarray) -> bytes:
-    """Counts and flags are mostly small and alike: packed byte by byte of their width they take a fraction."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
-    parts = [_shrink(p) for p in planes]
-    return b"".join([*(len(p).to_bytes(4, "little") for p in parts), *parts])
+    """Counts, flags and ids are mostly small and alike: packed byte by byte of their width they take a fraction."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize * values[:1].size if len(values) else 1).T
+    return zstandard.compress(planes.tobytes(), 1)
 
 
 def expand(data: bytes, dtype) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    ends = 4 * width + np.cumsum([0, *(int.from_bytes(data[4 * k : 4 * k + 4], "little") for k in range(width))])
-    planes = [np.frombuffer(zlib.decompress(data[i:j]), dtype=np.uint8) for i, j in zip(ends[:-1], ends[1:])]
-    return np.ascontiguousarray(np.stack(planes, axis=1)).reshape(-1).view(dtype)
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -100,13 +93,13 @@ def range_starts(buckets: int) -> np.ndarray:
     return np.array([(b << 64) // buckets for b in range(buckets)], dtype=U)
 
 
-def reduce_keys(sent: DataFrame, answers: dict[str, Callable[[np.ndarray, np.ndarray, int, np.ndarray], tuple[np.ndarray, int]]], types: dict[str, list | str]) -> DataFrame:
+def reduce_keys(sent: DataFrame, answers: dict[str, Callable[[np.ndarray, np.ndarray, int, np.ndarray], tuple[np.ndarray, bytes | None]]], types: dict[str, list | str]) -> DataFrame:
     """Merge each bucket of each kind of keys.
 
     answers[kind](inverse, values, n, keys) gets, for all entries of a bucket, the index
     of their key among its n distinct keys, and their values and keys; entries stand in
-    the order of their chunks.  It returns one reply per entry and one number, which
-    is kept in the column `stat` of one row of the bucket.
+    the order of their chunks.  It returns one reply per entry and a note on the bucket, which
+    is kept in the column `note` of one of its rows.
     """
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -122,10 +115,9 @@ def reduce_keys(sent: DataFrame, answers: dict[str, Callable[[np.ndarray, np.nda
         new[1:] = ranked[1:] != ranked[:-1]
         inverse = np.empty(len(keys), dtype=np.int64)
         inverse[order] = np.cumsum(new) - 1
-        replies, stat = answers[kind](inverse, values, int(new.sum()), keys)
-        stats = np.zeros(len(pdf), dtype=np.int64)
-        stats[0] = stat
-        return pd.DataFrame({"kind": kind, "chunk": pdf["chunk"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "reply": [squeeze(replies[i:j]) for i, j in zip(cut[:-1], cut[1:])], "stat": stats})
+        replies, note = answers[kind](inverse, values, int(new.sum()), keys)
+        notes = [note] + [None] * (len(pdf) - 1)
+        return pd.DataFrame({"kind": kind, "chunk": pdf["chunk"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "reply": [squeeze(replies[i:j]) for i, j in zip(cut[:-1], cut[1:])], "note": notes})
 
     return sent.groupBy("kind", "bucket").applyInPandas(merge, REPLY)
 

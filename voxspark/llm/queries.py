@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import packing, pstable, simhash, subword, suffix_dedup, suffix_tree, topk, toxicity, viterbi, warc
-from ..scratch import read_table
+from ..scratch import Scratch, read_table
 
 
 def remainder(column: str, n: int) -> Column:
@@ -15,8 +15,7 @@ def remainder(column: str, n: int) -> Column:
 
 def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    params = suffix_tree.TreeParams(depth=4, min_context=2)  # a context seen once cannot be kept
-    out = suffix_tree.score(docs, remainder("doc_id", 7) != 2, params)
+    out = suffix_tree.score(docs, remainder("doc_id", 7) != 2)
     return out.withColumn("held_out", F.coalesce(remainder("doc_id", 7) == 2, F.lit(False)))
 
 
@@ -49,7 +48,8 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup.digest(suffix_dedup.remove_repeats(docs))
+    scratch = Scratch(spark, "op7")
+    return scratch.finish(suffix_dedup.digest(suffix_dedup.remove_repeats(docs, scratch=scratch)))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

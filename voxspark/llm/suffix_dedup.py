@@ -154,11 +154,11 @@ class _Parse:
 
 def _again(inverse, values, n, keys):
     total = np.bincount(inverse, values, n)
-    return (total[inverse] >= 2).astype(np.uint8), 0
+    return (total[inverse] >= 2).astype(np.uint8), None
 
 
 def _any(inverse, values, n, keys):
-    return (np.bincount(inverse, values, n) > 0)[inverse].astype(np.uint8), 0
+    return (np.bincount(inverse, values, n) > 0)[inverse].astype(np.uint8), None
 
 
 def _few(counts: np.ndarray) -> np.ndarray:
