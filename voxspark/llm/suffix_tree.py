@@ -319,22 +319,23 @@ def _numbered(docs: DataFrame, params: TreeParams, buckets: int, scratch: Scratc
     found = sizes.groupBy("count").agg(F.sum("many").alias("many")).collect()  # at most the root of twice the number of tokens
     words = _Words(np.array([r["count"] for r in found], dtype=np.int64), np.array([r["many"] for r in found], dtype=np.int64))
     earlier = F.coalesce(F.sum("many").over(Window.partitionBy("count").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    places = sizes.withColumn("skip", earlier).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("count", "skip"))).alias("places"))
+    places = sizes.withColumn("skip", earlier).select("bucket", "count", "skip")
 
-    def number(it):
-        for row in _rows(it):
-            count, place = expand(row["reply"], np.dtype("V16")).view(U).reshape(-1, 2).astype(np.int64).T
-            own = np.array([[x["count"], x["skip"]] for x in row["places"]], dtype=np.int64).reshape(-1, 2)
-            skip = own[np.searchsorted(own[:, 0], count), 1]
-            first = words.first[np.searchsorted(-words.counts, -count)]
-            yield pd.DataFrame([{"kind": "words", "chunk": int(row["chunk"]), "bucket": int(row["bucket"]), "reply": squeeze((first + skip + place + FIRST_WORD).astype(np.uint32))}])
+    def number(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        """The numbers of the words that each chunk asked a bucket about."""
+        own, out = own.sort_values("count"), []
+        for reply in asked["reply"]:
+            count, place = expand(reply, np.dtype("V16")).view(U).reshape(-1, 2).astype(np.int64).T
+            skip = own["skip"].to_numpy()[np.searchsorted(own["count"].to_numpy(), count)]
+            out.append(squeeze((words.first[np.searchsorted(-words.counts, -count)] + skip + place + FIRST_WORD).astype(np.uint32)))
+        return asked[["chunk", "bucket"]].assign(kind="words", reply=out)
 
     def write(it):
         for row in _rows(it):
             ids = unpack_reply(row["words"], "<u4")
             yield pd.DataFrame([{**{c: row[c] for c in ("chunk", "ids", "known", "train", "n_tokens")}, "stream": squeeze(ids[expand(row["stream"], np.uint32)])}])
 
-    numbers = asked.join(places, "bucket").select("chunk", "bucket", "reply", "places").mapInPandas(number, "kind string, chunk long, bucket int, reply binary")
+    numbers = asked.select("chunk", "bucket", "reply").groupBy("bucket").cogroup(places.groupBy("bucket")).applyInPandas(number, "chunk long, bucket int, kind string, reply binary")
     store = scratch.keep_bucketed(with_replies(texts, buckets, words=numbers).mapInPandas(write, DOCS), "chunk", buckets, "tokens")
     scratch.drop(texts, asked)
     return store, words
