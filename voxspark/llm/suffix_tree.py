@@ -123,8 +123,8 @@ class _Words:
     def count(self, word: np.ndarray) -> np.ndarray:
         return self.counts[np.searchsorted(self.first, word.astype(np.int64) - FIRST_WORD, "right") - 1] if self.size else np.zeros(len(word), dtype=np.int64)
 
-    def p0(self, word: np.ndarray) -> np.ndarray:
-        return (self.count(word) + 1) / (self.tokens + self.types + 1)
+    def p0(self, count: np.ndarray) -> np.ndarray:
+        return (count + 1) / (self.tokens + self.types + 1)
 
 
 class _Hot:
@@ -155,7 +155,9 @@ class _Chunk:
         self.train = np.repeat(np.frombuffer(row["train"], dtype=bool), self.n_tokens)
         self.doc_start = np.cumsum(self.n_tokens) - self.n_tokens
         self.at = np.arange(len(self.word)) - np.repeat(self.doc_start, self.n_tokens)
-        self.prob = words.p0(self.word)
+        self.count = words.count(self.word)
+        self.base = words.p0(self.count)
+        self.prob = self.base.copy()
         self.deep = np.zeros(len(self.word), dtype=bool)
         self.level = np.zeros(len(self.word), dtype=np.int8)  # words of the deepest hot context
         self.of = np.zeros(len(self.word), dtype=np.int64)  # its index, -1 once a context was not hot
@@ -206,30 +208,28 @@ class _Chunk:
         """The positions whose deeper contexts a bucket decides, as distinct rows, in order of bucket; where each position's row stands."""
         d = self.p.depth
         columns = [self.before(k) for k in range(1, d + 1)]
-        known = self.words.count(np.maximum(columns[0], FIRST_WORD)) if d else np.zeros(len(self.word))
-        open_ = ((columns[0] == START) | (known >= self.p.min_context)) if d else np.zeros(len(self.word), dtype=bool)
-        key = np.zeros(len(self.word), dtype=U)
+        known = np.concatenate([[0], self.count[:-1]])
+        open_ = (self.at == 0) | (known >= self.p.min_context)  # a rarer word is no context that is tested
+        open_ &= self.level < d
+        key, same = np.zeros(len(self.word), dtype=U), mix(self.word.astype(U))
         for k, column in enumerate(columns):
             key = np.where(self.level >= k, mix(key * U(3) + column.astype(U)), key)
+            same = mix(same * U(5) + column.astype(U))
             open_ &= (self.level != k) | (column != NONE)
-        open_ &= self.level < d
         at = np.flatnonzero(open_)
         columns = [c[at] for c in columns] + [self.word[at]]
-        packed = [a << 32 | b for a, b in zip(columns[::2], [*columns[1::2], np.zeros(len(at), dtype=np.int64)])]
-        order = np.lexsort(packed[::-1])
-        new = np.zeros(len(at), dtype=bool)
-        for part in packed:
-            ranked = part[order]
-            new[1:] |= ranked[1:] != ranked[:-1]
-        new[:1] = True
-        rows = order[new]
+        _, of = np.unique(same[at], return_inverse=True)  # equal rows; should unlike ones share a key, they are told apart
+        rows = np.empty(int(of.max(initial=-1)) + 1, dtype=np.int64)
+        rows[of] = np.arange(len(at))
+        if any((c[rows][of] != c).any() for c in columns):
+            _, of = np.unique(np.stack(columns), axis=1, return_inverse=True)
+            rows = np.empty(int(of.max()) + 1, dtype=np.int64)
+            rows[of] = np.arange(len(at))
         bucket = ((key[at[rows]] >> U(32)).astype(np.int64) * buckets) >> 32
-        by = np.argsort(bucket, kind="stable")
+        by = np.argsort(bucket << 32 | columns[0][rows], kind="stable")
         place = np.empty(len(rows), dtype=np.int64)
         place[by] = np.arange(len(rows))
-        of = np.empty(len(at), dtype=np.int64)
-        of[order] = place[np.cumsum(new) - 1]
-        rows = rows[by]
+        of, rows = place[of], rows[by]
         n = np.bincount(of, self.train[at], len(rows)).astype(np.uint32)
         return at, of, bucket[by], [c[rows].astype(np.uint32) for c in columns], n, self.level[at[rows]], self.prob[at[rows]]
 
@@ -259,7 +259,7 @@ def _grow(pdf: pd.DataFrame, p: TreeParams, words: _Words) -> pd.DataFrame:
     columns = np.concatenate([x[0] for x in parts], axis=1)
     level = np.concatenate([x[1] for x in parts])
     before, word, n = columns[: p.depth], columns[-2].astype(np.int64), columns[-1].astype(np.int64)
-    prob = words.p0(word)
+    prob = words.p0(words.count(word))
     prob[level > 0] = np.concatenate([x[2] for x in parts])
     deep = np.zeros(len(word), dtype=bool)
     del parts
@@ -413,7 +413,7 @@ def score(docs: DataFrame, train: Column, params: TreeParams = TreeParams(), scr
         for row in _rows(it):
             c = known(row)
             at, of, *_ = c.asked(buckets)
-            logs, base = np.log10(c.prob), np.log10(words.p0(c.word))
+            logs, base = np.log10(c.prob), np.log10(c.base)
             reply = unpack_reply(row["rows"], "<f4").astype(np.float64)
             logs[at] = -np.abs(reply)[of]
             c.deep[at] |= (reply > 0)[of]
@@ -421,7 +421,7 @@ def score(docs: DataFrame, train: Column, params: TreeParams = TreeParams(), scr
             ids = pd.array(np.frombuffer(row["ids"], dtype=np.int64), dtype="Int64")
             ids[~np.frombuffer(row["known"], dtype=bool)] = pd.NA
             yield pd.DataFrame({
-                "doc_id": ids, "n_tokens": c.n_tokens.astype(np.int64), "n_known": by_doc((words.count(c.word) > 0).astype(np.int64)), "train_tokens": words.tokens,
+                "doc_id": ids, "n_tokens": c.n_tokens.astype(np.int64), "n_known": by_doc((c.count > 0).astype(np.int64)), "train_tokens": words.tokens,
                 "base_score": by_doc(base), "score": by_doc(logs), "n_deep": by_doc(c.deep.astype(np.int64)),
             })
 
