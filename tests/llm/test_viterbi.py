@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from voxspark.llm.viterbi import SPACE_MARK, Encoder, Pieces, decode, decode_ids, encode, load, search_many, stream
+from voxspark.llm.viterbi import SPACE_MARK, Encoder, Pieces, decode, decode_ids, encode, load, round_trip, stream, stream_many
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -43,6 +43,29 @@ def test_stream_commits_early():
     text = "internationalization" * 400
     parts = list(stream(iter(text), p))
     assert len(parts) > 100 and [i for part, _ in parts for i in part] == brute(text, p)[0]
+    read = 0
+
+    def counted():
+        nonlocal read
+        for c in text:
+            read += 1
+            yield c
+
+    behind = 0
+    given = 0
+    for ids, _ in stream(counted(), p):
+        given += sum(len(p.shown[i].decode()) for i in ids)
+        behind = max(behind, read - given)
+    assert behind <= 3 * p.longest  # what is held back is bounded by the longest piece, not by the text
+
+
+def test_every_word_goes_through_the_stream(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(150).collect()]
+    encoder = Encoder(load(MODEL))
+    got = encoder.encode(texts)
+    assert encoder.streamed == len(encoder.known) > 1000 and encoder.early > 0
+    for text, (ids, score) in list(zip(texts, got))[:12]:
+        assert (ids.tolist(), score) == whole(text)
 
 
 def test_small_vocabulary_with_ties():
@@ -50,10 +73,12 @@ def test_small_vocabulary_with_ties():
     words = {"".join(rng.choices("ab", k=rng.randint(1, 4))) for _ in range(14)} | {"a"}
     p = Pieces({w: (k, float(-rng.randint(1, 3) * len(w))) for k, w in enumerate(sorted(words))}, [w.encode() for w in sorted(words)], [], 99, -50.0, 4)
     texts = ["".join(rng.choices("abc", k=rng.randint(1, 30))) for _ in range(200)]
-    got, scores = search_many(texts, p)
-    for t, ids, s in zip(texts, got, scores):
-        assert (ids.tolist(), s) == brute(t, p)
-        assert [i for part, _ in stream(iter(t), p) for i in part] == ids.tolist()
+    ids, sizes, scores, early = stream_many(texts, p)
+    assert early > 300  # pieces that were final before their stream's end
+    ends = sizes.cumsum()
+    for t, end, n, s in zip(texts, ends, sizes, scores):
+        assert (ids[end - n : end].tolist(), s) == brute(t, p)
+        assert [i for part, _ in stream(iter(t), p) for i in part] == ids[end - n : end].tolist()
 
 
 def test_same_as_library():
@@ -81,4 +106,6 @@ def test_tables(spark):
     rows = [(1, "Hello  wörld\n\nx", "en"), (2, None, None), (3, "", "de"), (None, "a" * 5000, "x"), (1, "Hello  wörld\n\nx", "en"), (4, "\U0001f600" * 3, "")]
     out = decode(encode(spark.createDataFrame(rows, "doc_id long, text string, ids string"), MODEL), MODEL).collect()
     assert sorted((str(r.doc_id), r.decoded, len(r.ids)) for r in out) == sorted((str(i), t or "", len(whole(t or "")[0])) for i, t, _ in rows)
+    both = round_trip(spark.createDataFrame(rows, "doc_id long, text string, ids string"), MODEL)
+    assert both.columns.count("ids") == 1 and sorted((str(r.doc_id), r.decoded, len(r.ids)) for r in both.collect()) == sorted((str(r.doc_id), r.decoded, len(r.ids)) for r in out)
     assert encode(spark.createDataFrame([], "doc_id long, text string"), MODEL).collect() == []

@@ -69,7 +69,7 @@ def default_pieces() -> str:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = viterbi.decode(viterbi.encode(docs, default_pieces()), default_pieces())
+    out = viterbi.round_trip(docs, default_pieces())
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"), F.col("id_score").alias("score"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),

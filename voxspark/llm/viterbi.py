@@ -1,22 +1,24 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
 Encoding finds the segmentation of a text into pieces with the largest sum of scores.
-The search goes over the text once and keeps the scores of the last boundaries
-only, as many as the longest piece has characters.  Whenever the paths of all boundaries
-in that window lead back to one common boundary, what lies before it is final and
-its ids are given out.
+The search goes over the text once and keeps the scores of the last boundaries only, as
+many as the longest piece has characters.  A boundary that leaves this window without
+a path that goes on from it is dropped, with what led to it alone; as soon as all paths
+that are left take the same next boundary, the piece up to it is final and its ids are
+given out.
 
-Many such points are known beforehand: no piece goes over the beginning of a word, nor
-over a character that stands in no longer piece.  Words between them are therefore
-searched on their own, short ones many at a time as the same recurrence over arrays, and
-each different word once.  Longer stretches go through the stream.
+No piece goes over the beginning of a word, nor over a character that stands in no longer
+piece, so that all paths converge there.  The stretches between such places are streams of
+their own.  Streams of up to ``ABREAST`` characters go abreast, the same steps over arrays,
+longer ones one after another; the ids of frequent words are remembered.
 
 Ties go to the longer last piece.  A character without a piece of its own costs the lowest
 score less 10 and is given as its bytes (or as the unknown id, without byte pieces).
 
 Results for odd inputs: null and empty texts have no ids; a text that contains U+2581
-decodes to a space there; other columns pass through unchanged, but ones named like the
-results give way.
+decodes to a space there; a text of any length is encoded whole; equal rows give equal
+ids; an empty table gives no rows; other columns pass through unchanged, but ones named
+like the results give way.
 """
 
 from __future__ import annotations
@@ -30,10 +32,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .bytehash import U, mix, powers
+from .bytehash import BASE, U, mix, powers
 
 SPACE_MARK = "▁"
-SHORT = 40  # characters of words that are searched many at a time
+ABREAST = 40  # characters of the longest streams that go abreast
 KEPT_WORDS = 400_000
 
 
@@ -117,159 +119,220 @@ def load(path: str) -> Pieces:
 
 
 def stream(chars: Iterator[str], pieces: Pieces) -> Iterator[tuple[list[int], float]]:
-    """Ids, and their score, of each stretch of the text as soon as it is final."""
-    m, window, start = pieces.longest, "", 0  # window: the characters since the last final boundary but the oldest unused ones
-    best, back = {0: 0.0}, {}
-    end, base = 0, 0
-
-    def path(boundary: int, stop: int) -> list[int]:
-        out = []
-        while boundary > stop:
-            out.append(boundary)
-            boundary = back[boundary][0]
-        return out
-
-    def give(to: int) -> tuple[list[int], float]:
-        ids: list[int] = []
-        for b in reversed(path(to, base)):
-            ids += back[b][1]
-        return ids, best[to] - best[base]
+    """Ids, and their score, of each piece of the text as soon as it is final."""
+    m, window = pieces.longest, ""  # the last characters, as many as the longest piece has
+    best, back, ids = {0: 0.0}, {}, {}  # of the boundaries that are left
+    kids, kid = {0: 0}, {0: 0}  # how many boundaries go back to each, and the sum of these
+    end = base = 0  # base: the last final boundary
+
+    def leave(b: int) -> None:
+        """Drop a boundary that no path goes on from, and what led to it alone."""
+        while b > base and b < end - m + 1 and not kids[b]:
+            del kids[b], kid[b], ids[b]
+            b, gone = back.pop(b), b
+            kids[b] -= 1
+            kid[b] -= gone
 
     for c in chars:
-        window += c
+        window = (window + c)[-m:]
         end += 1
-        if end - start > m:
-            window, start = window[-m:], end - m
         top = None
-        for s in range(start, end):  # from the longest piece to the shortest
-            known = pieces.by_text.get(window[s - start :])
+        for s in range(max(0, end - m), end):  # from the longest piece to the shortest
+            known = pieces.by_text.get(window[s - end :])
             if known is None and s == end - 1:
                 known = (pieces.unknown(c), pieces.unknown_score)
-            if known is not None and s in best and (top is None or best[s] + known[1] > top[0]):
-                ids = known[0] if isinstance(known[0], list) else [known[0]]
-                top = (best[s] + known[1], s, ids)
-        best[end], back[end] = top[0], (top[1], top[2])
-        if end % m == 0:
-            alive = [b for b in range(max(base, end - m + 1), end + 1)]
-            common = set(path(alive[0], base))
-            for b in alive[1:]:
-                common &= set(path(b, base))
-            if common:
-                to = max(common)
-                yield give(to)
-                for b in [b for b in back if b <= to]:
-                    del back[b]
-                base = to
-            for b in [b for b in best if b < min(base, end - m) or (b < end - m and b != base and b not in back)]:
+            if known is not None and (top is None or best[s] + known[1] > top[0]):
+                top = (best[s] + known[1], s, known[0])
+        best[end], s, found = top
+        back[end], ids[end] = s, found if isinstance(found, list) else [found]
+        kids[end] = kid[end] = 0
+        kids[s] += 1
+        kid[s] += end
+        if end >= m:
+            leave(end - m)
+        while base < end - m + 1 and kids[base] == 1:
+            after = kid[base]
+            yield ids.pop(after), best[after] - best.pop(base)
+            del back[after], kids[base], kid[base]
+            base = after
+            for b in [b for b in best if b < min(base, end - m + 1)]:
                 del best[b]
-    if end > base:
-        yield give(end)
-
-
-def search_many(words: list[str], pieces: Pieces) -> tuple[list[np.ndarray], np.ndarray]:
-    """Ids and score of each short word: the same recurrence, all words abreast."""
-    n, size = len(words), np.array([len(w) for w in words])
+    rest = []
+    at = end
+    while at > base:
+        rest.append(at)
+        at = back[at]
+    for b in reversed(rest):
+        yield ids[b], best[b] - best[at]
+        at = b
+
+
+def stream_many(words: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Ids of short streams, one after another, how many each has, its score, and how many pieces were final before their stream's end.
+
+    The same search as :func:`stream`, all streams abreast.
+    """
+    n, m, size = len(words), pieces.longest, np.array([len(w) for w in words])
     order = np.argsort(-size, kind="stable")
-    width = int(size.max())
+    lens, width = size[order], int(size.max())
     codes = np.zeros((width, n), dtype=np.uint32)  # a row for each position
     flat = np.frombuffer("".join(words[k] for k in order).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    lens = size[order]
     codes[np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens), np.repeat(np.arange(n), lens)] = flat
-    up, down = powers(width + 1, "up"), powers(width + 1, "down")
-    sums = np.zeros((width + 1, n), dtype=U)
-    np.cumsum(_char_keys(codes) * up[:width, None], axis=0, out=sums[1:])
-    best = np.full((width + 1, n), -np.inf)
+    ring = m + 1  # boundaries that a piece can still begin at, and the one that is being found
+    char = np.zeros((m, n), dtype=U)
+    best = np.full((ring, n), -np.inf)
     best[0] = 0
     back, piece = np.zeros((width + 1, n), dtype=np.int16), np.full((width + 1, n), -1, dtype=np.int32)
+    kids, kid = np.zeros((width + 1, n), dtype=np.int16), np.zeros((width + 1, n), dtype=np.int32)
+    base, early = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    out_piece, out_at = np.zeros((width, n), dtype=np.int32), np.zeros((width, n), dtype=np.int16)
     for end in range(1, width + 1):
-        live = int(np.searchsorted(-lens, -end, "right"))  # words of this length or more
-        for s in range(max(0, end - pieces.longest), end):
-            keys = mix((sums[end, :live] - sums[s, :live]) * down[s] + U(end - s))
-            at = pieces.find(keys)
-            score = np.where(at >= 0, pieces.scores[at], pieces.unknown_score if s == end - 1 else -np.inf) + best[s, :live]
-            better = score > best[end, :live]
-            best[end, :live][better] = score[better]
-            back[end, :live][better] = s
-            piece[end, :live][better] = at[better]
-    out: list = [None] * n
-    back_rows, piece_rows = back.T.tolist(), piece.T.tolist()
-    for k, w in enumerate(order.tolist()):
-        ids, at, b, p, text = [], int(lens[k]), back_rows[k], piece_rows[k], words[w]
-        while at:
-            i = p[at]
-            ids.append([int(pieces.ids[i])] if i >= 0 else pieces.unknown(text[at - 1]))
-            at = b[at]
-        out[w] = np.array([i for part in reversed(ids) for i in part], dtype=np.int32)
+        live = int(np.searchsorted(-lens, -end, "right"))  # streams of this length or more
+        char[(end - 1) % m, :live] = _char_keys(codes[end - 1, :live])
+        score, from_, by = np.full(live, -np.inf), np.zeros(live, dtype=np.int16), np.full(live, -1, dtype=np.int32)
+        start = max(0, end - m)
+        tails = []  # hashes of the last 1, 2, ... characters
+        total = np.zeros(live, dtype=U)
+        for length in range(1, end - start + 1):
+            total = total * BASE + char[(end - length) % m, :live]
+            tails.append(total)
+        for s in range(start, end):  # from the longest piece to the shortest
+            at = pieces.find(mix(tails[end - s - 1] + U(end - s)))
+            new = np.where(at >= 0, pieces.scores[at], pieces.unknown_score if s == end - 1 else -np.inf) + best[s % ring, :live]
+            better = new > score
+            score[better], from_[better], by[better] = new[better], s, at[better]
+        best[end % ring, :live] = score
+        back[end, :live], piece[end, :live] = from_, by
+        column = np.arange(live)
+        kids[from_, column] += 1
+        kid[from_, column] += end
+        if end < m:
+            continue
+        gone, b = column, np.full(live, end - m)  # what leaves the window without a path that goes on
+        while len(gone):
+            dead = (b > base[gone]) & (b < end - m + 1) & (kids[b, gone] == 0)
+            gone, b = gone[dead], b[dead]
+            to = back[b, gone].astype(np.int64)
+            kids[to, gone] -= 1
+            kid[to, gone] -= b.astype(np.int32)
+            b = to
+        sure = column
+        while len(sure):  # all paths go on to the same boundary
+            sure = sure[(base[sure] < end - m + 1) & (kids[base[sure], sure] == 1)]
+            to = kid[base[sure], sure].astype(np.int64)
+            out_piece[early[sure], sure], out_at[early[sure], sure] = piece[to, sure], to
+            early[sure] += 1
+            base[sure] = to
+    # at a stream's end its last boundary is the only one left
+    many, at, column = early.copy(), lens.copy(), np.arange(n)
+    rest_piece, rest_at = [], []
+    while len(column):
+        column = column[at[column] > base[column]]
+        rest_piece.append((column, piece[at[column], column], at[column]))
+        many[column] += 1
+        at[column] = back[at[column], column]
     total = np.empty(n)
-    total[order] = best[lens, np.arange(n)]
-    return out, total
+    score_at = best[lens % ring, np.arange(n)]
+    total[order] = score_at
+    filled = early.copy()
+    for column, p, where in reversed(rest_piece):
+        out_piece[filled[column], column], out_at[filled[column], column] = p, where
+        filled[column] += 1
+    # in the order of the words
+    use = np.empty(n, dtype=np.int64)
+    use[order] = np.arange(n)
+    many, out_piece, out_at = many[use], out_piece[:, use].T, out_at[:, use].T
+    inside = np.arange(width)[None, :] < many[:, None]
+    found, where, of = out_piece[inside], out_at[inside], np.repeat(np.arange(n), many)
+    ids, counts = np.where(found >= 0, pieces.ids[found], 0).astype(np.int32), many.astype(np.int64)
+    unknown = np.flatnonzero(found < 0)
+    if len(unknown):
+        parts = [pieces.unknown(words[of[u]][where[u] - 1]) for u in unknown]
+        extra = np.array([len(p) for p in parts])
+        width_of = np.ones(len(ids), dtype=np.int64)
+        width_of[unknown] = extra
+        begin = np.cumsum(width_of) - width_of
+        ids = np.repeat(ids, width_of)
+        ids[np.repeat(begin[unknown], extra) + np.arange(extra.sum()) - np.repeat(np.cumsum(extra) - extra, extra)] = [i for p in parts for i in p]
+        counts = np.bincount(of, width_of, n).astype(np.int64)
+    return ids, counts, total, int(early.sum())
 
 
 class Encoder:
     """Ids of texts, with what is known of the words so far."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.known = pieces, {}
+        self.pieces = pieces
+        self.streamed = self.early = 0  # streams searched, pieces that were final before their stream's end
         self.clear()
 
     def clear(self) -> None:
-        self.known.clear()
-        self.flat, self.start, self.size, self.score = [np.empty(0, np.int32)], [], [], []
-        self.used = 0
+        self.known: dict[str, int] = {}
+        self.flat, self.start, self.size, self.score = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
 
     def learn(self, words: list[str]) -> None:
-        short = [w for w in words if len(w) <= SHORT]
-        for k in range(0, len(short), 20_000):
-            ids, scores = search_many(short[k : k + 20_000], self.pieces)
-            for w, i, s in zip(short[k : k + 20_000], ids, scores.tolist()):
-                self._add(w, i, s)
-        for w in words:
-            if len(w) > SHORT:
-                parts = list(stream(iter(w), self.pieces))
-                self._add(w, np.array([i for p, _ in parts for i in p], dtype=np.int32), sum(s for _, s in parts))
-
-    def _add(self, word: str, ids: np.ndarray, score: float) -> None:
-        self.known[word] = len(self.start)
-        self.start.append(self.used)
-        self.size.append(len(ids))
-        self.score.append(score)
-        self.flat.append(ids)
-        self.used += len(ids)
+        """Search words that are not known yet."""
+        short, long_ = [w for w in words if len(w) <= ABREAST], [w for w in words if len(w) > ABREAST]
+        ids, sizes, scores = [self.flat], [self.size], [self.score]
+        for k in range(0, len(short), 8192):
+            i, n, s, early = stream_many(short[k : k + 8192], self.pieces)
+            ids.append(i)
+            sizes.append(n)
+            scores.append(s)
+            self.early += early
+        for w in long_:
+            parts = list(stream(iter(w), self.pieces))
+            ids.append(np.array([i for p, _ in parts for i in p], dtype=np.int32))
+            sizes.append(np.array([len(ids[-1])]))
+            scores.append(np.array([sum(s for _, s in parts)]))
+        self.streamed += len(words)
+        self.known.update(zip([*short, *long_], range(len(self.known), len(self.known) + len(words))))
+        self.flat, self.size, self.score = np.concatenate(ids), np.concatenate(sizes), np.concatenate(scores)
+        self.start = np.cumsum(self.size) - self.size
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, float]]:
         if len(self.known) > KEPT_WORDS:
             self.clear()
         split = self.pieces.words.findall if self.pieces.free else lambda t: [t]
         cut = [split(SPACE_MARK + t.replace(" ", SPACE_MARK)) if t else [] for t in texts]
-        new = {w for ws in cut for w in ws if w not in self.known}
-        self.learn(sorted(new))
-        flat = np.concatenate(self.flat)
-        self.flat = [flat]
-        start, size, score = np.array(self.start, dtype=np.int64), np.array(self.size, dtype=np.int64), np.array(self.score, dtype=np.float64)
+        new = set().union(*cut).difference(self.known)
+        if new:
+            self.learn(sorted(new))
         out = []
         for ws in cut:
             at = np.fromiter(map(self.known.__getitem__, ws), dtype=np.int64, count=len(ws))
-            n = size[at]
-            total = int(n.sum())
-            where = np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(total)
-            out.append((flat[where], float(score[at].sum())))
+            n = self.size[at]
+            where = np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            out.append((self.flat[where], float(self.score[at].sum())))
         return out
 
 
-def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """docs with ids and the score of the segmentation (ids, id_score)."""
-    kept = [f for f in docs.schema.fields if f.name not in ("ids", "id_score")]
-    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("id_score", T.DoubleType())])
+def _schema(docs: DataFrame, *more: T.StructField) -> T.StructType:
+    return T.StructType([*(f for f in docs.schema.fields if f.name not in {m.name for m in more}), *more])
+
+
+IDS = (T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("id_score", T.DoubleType()))
+
+
+def _encoded(frames, model: str, text: str):
+    encoder = Encoder(load(model))
+    for pdf in frames:
+        for k in range(0, len(pdf), 256):
+            part = pdf.iloc[k : k + 256]
+            ids, scores = zip(*encoder.encode([t if isinstance(t, str) else "" for t in part[text]]))
+            yield part.assign(ids=list(ids), id_score=list(scores))
 
-    def run(frames):
-        encoder = Encoder(load(model))
-        for pdf in frames:
-            for k in range(0, len(pdf), 256):
-                part = pdf.iloc[k : k + 256]
-                ids, scores = zip(*encoder.encode([t if isinstance(t, str) else "" for t in part[text]]))
-                yield part.assign(ids=list(ids), id_score=list(scores))[schema.names]
 
-    return docs.mapInPandas(run, schema)
+def _decoded(frames, model: str, ids: str, column: str):
+    pieces = load(model)
+    for pdf in frames:
+        yield pdf.assign(**{column: pd.Series([None if i is None else decode_ids(i.tolist(), pieces) for i in pdf[ids]], dtype=object, index=pdf.index)})
+
+
+def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """docs with ids and the score of the segmentation (ids, id_score)."""
+    schema = _schema(docs, *IDS)
+    return docs.mapInPandas(lambda frames: (f[schema.names] for f in _encoded(frames, model, text)), schema)
 
 
 def decode_ids(ids, pieces: Pieces) -> str:
@@ -279,10 +342,11 @@ def decode_ids(ids, pieces: Pieces) -> str:
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids", column: str = "decoded") -> DataFrame:
     """encoded with the texts that its ids stand for; null ids give null."""
+    schema = _schema(encoded, T.StructField(column, T.StringType()))
+    return encoded.mapInPandas(lambda frames: (f[schema.names] for f in _decoded(frames, model, ids, column)), schema)
 
-    @F.pandas_udf(T.StringType())
-    def run(column: pd.Series) -> pd.Series:
-        pieces = load(model)
-        return pd.Series([None if i is None else decode_ids(i.tolist(), pieces) for i in column], dtype=object)
 
-    return encoded.withColumn(column, run(ids))
+def round_trip(docs: DataFrame, model: str, text: str = "text", column: str = "decoded") -> DataFrame:
+    """docs encoded and decoded again in one pass: ids, id_score and the decoded text."""
+    schema = _schema(docs, *IDS, T.StructField(column, T.StringType()))
+    return docs.mapInPandas(lambda frames: (f[schema.names] for f in _decoded(_encoded(frames, model, text), model, "ids", column)), schema)
