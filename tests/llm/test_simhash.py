@@ -62,6 +62,17 @@ def test_trie_pairs():
     assert len(set(zip(i.tolist(), j.tolist()))) == int(((d <= 2).sum() - len(v)) // 2)
 
 
+def test_descent_from_the_root(spark):
+    """The walk from the root, with no budget in the first third, finds every pair that agrees there."""
+    rng = random.Random(8)
+    v = near_values(rng, 300)
+    visits = {}
+    i, j = trie_pairs(v, [0], [len(v)], [0], [len(v)], 0, [0], 22, visits)
+    want = {(a, b) for a in range(len(v)) for b in range(a + 1, len(v)) if int(v[a] ^ v[b]).bit_count() <= 2 and int(v[a] ^ v[b]) < 1 << 42}
+    assert set(zip(i.tolist(), j.tolist())) == want
+    assert visits["inner"] > len(v) and visits["leaves"] < 20 * len(v)  # pruned: not all pairs of leaves
+
+
 def test_local_roots():
     rng = random.Random(3)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)]
@@ -70,13 +81,13 @@ def test_local_roots():
     assert [got.get(i, i) for i in range(200)] == components(200, links)
 
 
-@pytest.mark.parametrize("hot", [50_000, 3])
-def test_near_links_and_components(spark, hot):
+@pytest.mark.parametrize("hot,subtree", [(50_000, 20_000), (3, 20_000), (50_000, 30), (20, 5)])
+def test_near_links_and_components(spark, hot, subtree):
     v = near_values(random.Random(4), 60)
     v = np.unique(np.concatenate([v, np.arange(300, dtype=U)]))
     df = spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fp long")
     scratch = Scratch(spark, "test")
-    got = {r.node: r.component for r in connected(near_links(df, SimhashParams(hot_node=hot)), scratch).collect()}
+    got = {r.node: r.component for r in connected(near_links(df, SimhashParams(hot_node=hot, subtree=subtree)), scratch).collect()}
     d = np.bitwise_count(v[:, None] ^ v[None, :])
     label = components(len(v), [(a, b) for a, b in zip(*np.nonzero(d <= 2)) if a < b])
     classes = lambda keys: {frozenset(i for i, k in enumerate(keys) if k == x) for x in set(keys)}
