@@ -42,6 +42,40 @@ def test_no_pages(spark):
     assert warc.read_archives(warc.write_archives(spark.createDataFrame([], PAGES))).collect() == []
 
 
+def archive(spark, n=30):
+    rows = [(i, "u", f"page {i} " * 40, 1) for i in range(n)]
+    manifest = warc.write_archives(spark.createDataFrame(rows, PAGES).coalesce(1))
+    row = manifest.first()
+    return manifest, row.path.removeprefix("file://").removeprefix("file:")
+
+
+def test_damaged_archives_are_reported(spark):
+    manifest, path = archive(spark)
+    with open(path, "rb") as f:
+        data = f.read()
+    whole = warc.read_archives(manifest).count()
+    assert whole == 30
+    second = data.index(warc.MAGIC, 10)
+    for bad in (data[: second - 8] + bytes([data[second - 8] ^ 1]) + data[second - 7 :], data[:-5]):  # a wrong checksum; a cut-off end
+        with open(path, "wb") as f:
+            f.write(bad)
+        with pytest.raises(Exception, match="damaged or cut off"):
+            warc.read_archives(manifest.withColumn("size", manifest["size"] * 0 + len(bad))).collect()
+
+
+def test_splits_are_read_by_as_many_tasks(spark):
+    manifest, _ = archive(spark, 200)
+    df = warc.read_archives(manifest, warc.WarcParams(split_bytes=1 << 10))
+    n = -(-manifest.first()["size"] // (1 << 10))
+    assert n > 8 and df.rdd.getNumPartitions() >= n // 2 and df.count() == 200
+
+
+def test_pages_with_clashing_names(spark):
+    rows = [(1, "u", "x" * 120, 1, "a", 2), (2, "u", "x" * 120, 1, "b", 3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest int, refers_to string, first int")
+    assert {(r.page_id, r.refers_to) for r in warc.read_archives(warc.write_archives(df)).collect()} == {(1, None), (2, 1)}
+
+
 class _Bytes:
     def __init__(self, data):
         self.data = data

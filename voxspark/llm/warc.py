@@ -12,7 +12,11 @@ page id carries the payload and the others refer to it.
 Results for odd inputs: a null html is an empty payload; a row with a null page id is
 never referred to, and refers to an equal payload's record if another row has an id;
 rows that repeat the smallest id all carry the payload; a null url leaves the target
-out; line ends and other control characters in urls are percent-encoded.
+out; line ends and other control characters in urls are percent-encoded; a payload of any
+length is one record; an empty table makes no archive and no records; other columns are
+dropped, whatever their names.  A member that begins like a record and does not inflate to
+its end, or whose payload does not match its digest, raises an error that names archive
+and position.
 """
 
 from __future__ import annotations
@@ -41,6 +45,7 @@ class WarcParams:
     split_bytes: int = 8 << 20
     block_bytes: int = 1 << 20
     level: int = 6
+    most_tasks: int = 50_000
     date: str = "2000-01-01T00:00:00Z"
 
 
@@ -134,10 +139,12 @@ def scan(file, size: int, start: int, end: int, block: int):
         if w.base >= end:
             return
         first = _inflate(w, 64)
-        member = _inflate(w) if first and first[0].startswith(b"WARC/1.") else None
-        if member is None:
+        if not first or not first[0].startswith(b"WARC/1."):
             w.drop(1)
             continue
+        member = _inflate(w)
+        if member is None:
+            raise ValueError(f"the record at {w.base} is damaged or cut off")
         yield w.base, member[0]
         w.drop(member[1])
 
@@ -174,7 +181,10 @@ def read_archives(manifest: DataFrame, params: WarcParams = WarcParams()) -> Dat
     """The records of archives(path, size), read by byte ranges."""
     step = F.lit(params.split_bytes)
     splits = manifest.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, step.cast("long"))).alias("start"))
-    splits = splits.withColumn("end", F.least(F.col("start") + step, "size")).repartition("path", "start")
+    n = splits.count()
+    splits = splits.withColumn("end", F.least(F.col("start") + step, "size"))
+    # a fixed number, so that the few bytes that name the splits don't make Spark read them all in one task
+    splits = splits.repartitionByRange(max(1, min(n, params.most_tasks)), "path", "start") if n > 1 else splits
 
     def read(frames):
         for pdf in frames:
@@ -182,12 +192,15 @@ def read_archives(manifest: DataFrame, params: WarcParams = WarcParams()) -> Dat
                 where, path = pafs.FileSystem.from_uri(split.path)
                 found, held = [], 0
                 with where.open_input_file(path) as file:
-                    for position, data in scan(file, split.size, split.start, split.end, params.block_bytes):
-                        found.append(parse(data) | {"path": split.path, "position": position})
-                        held += len(data)
-                        if held >= 8 << 20:
-                            yield pd.DataFrame(found)
-                            found, held = [], 0
+                    try:
+                        for position, data in scan(file, split.size, split.start, split.end, params.block_bytes):
+                            found.append(parse(data) | {"path": split.path, "position": position})
+                            held += len(data)
+                            if held >= 8 << 20:
+                                yield pd.DataFrame(found)
+                                found, held = [], 0
+                    except ValueError as error:
+                        raise ValueError(f"{split.path}, bytes {split.start} to {split.end}: {error}") from error
                 if found:
                     yield pd.DataFrame(found)
 
