@@ -90,3 +90,24 @@ def test_large_components(spark):
     rows = [(i, [float((i * 37 + d) % 11) * 1e5 + 0.25 for d in range(4)], 0) for i in range(40)]
     got = top_products(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 5 == 0).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_top(rows, lambda i: i % 5 == 0, 10)
+
+
+def test_components_whose_products_overflow(spark):
+    rng = random.Random(6)
+    for top in (1e7, 1e10, 1e14, 1e300):
+        rows = [(i, [rng.uniform(-top, top) for _ in range(6)], 0) for i in range(60)] + [(100 + i, [rng.uniform(-1, 1) for _ in range(6)], 0) for i in range(20)]
+        got = top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 5 == 0, params=TopKParams(candidate_block=20, dims=2)).collect()
+        clip = lambda x: max(-(2**63), min(2**63 - 1, x))
+        whole = [[int(float(clip(math.floor(1024 * x)))) for x in r[1]] for r in rows]
+        want = []
+        for q, r in enumerate(rows):
+            if r[0] % 5 == 0:
+                found = [(-clip(sum(a * b for a, b in zip(whole[q], w))), rows[i][0]) for i, w in enumerate(whole) if i != q]
+                want += [(r[0], rank, v, -s) for rank, (s, v) in enumerate(sorted(found)[:10], 1)]
+        assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_other_columns_with_clashing_names(spark):
+    rows = [(i, [float(i), 1.0], 1, 2, "x", 3) for i in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int, component_id int, key string, v int")
+    assert top_products(df, F.col("vec_id") % 5 == 0).columns == ["query_id", "rank", "vec_id", "score"] and near_vectors(df).count() == 12

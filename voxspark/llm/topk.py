@@ -11,7 +11,11 @@ block's k best of each query are merged in the end.
 Results for odd inputs: vectors that are null, empty, or hold null or non-finite
 components take no part, zero vectors do; a query's own row is no candidate, other
 rows with its id are; vectors of different lengths are not compared; rows with a null
-id are candidates and no queries, and lose ties.
+id are candidates and no queries, and lose ties; equal rows are candidates each; an
+empty table gives no rows; other columns are dropped, whatever their names.  Products
+that double precision can't tell apart are computed as whole numbers for the candidates
+that the bounds leave; a score beyond 64 bits is given as the largest or smallest long,
+and components beyond 2**63 / scale as the nearest whole number that a long holds.
 """
 
 from __future__ import annotations
@@ -27,6 +31,10 @@ from ..scratch import Scratch
 FOUND = "query_row long, query_id long, row long, vec_id long, score long"
 
 
+LONG = np.iinfo(np.int64)
+EDGE = 2.0**63 * (1 - 1e-6)
+
+
 @dataclass(frozen=True)
 class TopKParams:
     k: int = 10
@@ -36,25 +44,31 @@ class TopKParams:
     query_block: int = 2048
 
 
-def best(query: np.ndarray, columns: np.ndarray, squares: np.ndarray, k: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
+def best(query: np.ndarray, columns: np.ndarray, squares: np.ndarray, k: int, dims: int, rounding: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Candidates that can be among the k best of one query, and their scores.
 
     columns[d, i]: dimension d of candidate i, whole numbers in double precision;
-    squares[i]: squared length of candidate i.
+    squares[i]: squared length of candidate i; rounding: the share of the product of both
+    lengths by which a score or a bound can be off.
     """
     order = np.argsort(-np.abs(query), kind="stable")
     rest = np.sqrt(np.maximum(0, np.cumsum((query[order] ** 2)[::-1])[::-1]))
     alive, score, left = np.arange(columns.shape[1]), np.zeros(columns.shape[1]), squares.astype(np.float64)
+    error = rounding * rest[0] * np.sqrt(squares) + 1e-6
     for start in range(0, len(query), dims):
         at = order[start : start + dims]
         block = columns[at] if len(alive) == columns.shape[1] else columns[np.ix_(at, alive)]
         score = score + query[at] @ block
         stop = start + dims
-        if stop >= len(query) or len(alive) <= k:
+        if (stop >= len(query) and not rounding) or len(alive) <= k:
             continue
         left = left - (block * block).sum(axis=0)
-        slack = rest[stop] * np.sqrt(np.maximum(left, 0)) * (1 + 1e-9) + 1e-6
+        slack = error[alive]
+        if stop < len(query):
+            slack = slack + rest[stop] * np.sqrt(np.maximum(left, 0)) * (1 + 1e-9)
         floor = np.partition(score - slack, len(alive) - k)[len(alive) - k]
+        if rounding and abs(floor) >= EDGE:  # scores that no long holds are equal
+            floor = EDGE if floor > 0 else -np.inf
         keep = score + slack >= floor
         if not keep.all():
             alive, score, left = alive[keep], score[keep], left[keep]
@@ -67,19 +81,22 @@ def _search(params: TopKParams):
         if len(queries) and len(rows):
             whole = np.array(rows["v"].tolist(), dtype=np.float64)
             asked = np.array(queries["v"].tolist(), dtype=np.float64)
-            exact = float(np.abs(whole).max(initial=0)) * float(np.abs(asked).max(initial=0)) * whole.shape[1] < 2**52
             columns, squares = np.ascontiguousarray(whole.T), (whole * whole).sum(axis=1)
-            row, vec = rows["row"].to_numpy(), rows["vec_id"].fillna(np.iinfo(np.int64).max).to_numpy(dtype=np.int64)
+            exact = float(squares.max(initial=0)) < 2**52 and float((asked * asked).sum(axis=1).max(initial=0)) < 2**52  # so are all sums of products
+            row, vec = rows["row"].to_numpy(), rows["vec_id"].fillna(LONG.max).to_numpy(dtype=np.int64)
             for q, query_row, query_id in zip(asked, queries["row"], queries["vec_id"]):
-                if exact:
-                    alive, score = best(q, columns, squares, params.k + 1, params.dims)  # one more: its own row
-                else:  # sums beyond double precision: whole numbers of any size
-                    alive = np.arange(len(whole))
-                    score = np.array([sum(int(a) * int(b) for a, b in zip(q, x)) for x in whole], dtype=object)
+                alive, score = best(q, columns, squares, params.k + 1, params.dims, 0.0 if exact else 1e-7)  # one more: its own row
                 other = row[alive] != query_row
                 alive, score = alive[other], score[other]
-                top = np.lexsort((vec[alive], -score))[: params.k]
-                out.append(pd.DataFrame({"query_row": query_row, "query_id": query_id, "row": row[alive[top]], "vec_id": rows["vec_id"].to_numpy()[alive[top]], "score": score[top].astype(np.int64)}))
+                if exact:
+                    top = np.lexsort((vec[alive], -score))[: params.k]
+                    score = score[top].astype(np.int64)
+                else:
+                    number = [max(LONG.min, min(LONG.max, sum(int(a) * int(b) for a, b in zip(q, whole[i])))) for i in alive]
+                    top = np.array(sorted(range(len(alive)), key=lambda i: (-number[i], vec[alive[i]]))[: params.k], dtype=np.int64)  # noqa: B023
+                    score = np.array([number[i] for i in top], dtype=np.int64)
+                found = {"query_row": query_row, "query_id": query_id, "row": row[alive[top]], "vec_id": rows["vec_id"].to_numpy()[alive[top]], "score": score}
+                out.append(pd.DataFrame(found))
         return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_row", "query_id", "row", "vec_id", "score")})
 
     return search
