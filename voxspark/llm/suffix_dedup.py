@@ -21,8 +21,9 @@ holds a fixed share of the corpus, and a string that is hot reaches its range on
 each chunk.
 
 Results for odd inputs: a null text is empty; texts under ``window`` bytes lose
-nothing; equal rows repeat each other; all other
-columns pass through unchanged, null ids too, but columns named like the results give way.
+nothing; a text of any length is looked at whole, in a chunk that ends with it; equal rows
+repeat each other; an empty table gives no rows; all other columns pass through unchanged,
+null ids too, but columns named like the results give way.
 """
 
 from __future__ import annotations
@@ -165,13 +166,16 @@ def _few(counts: np.ndarray) -> np.ndarray:
     return np.minimum(counts, 2).astype(np.uint8)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", params: RepeatParams = RepeatParams(), scratch: Scratch | None = None) -> DataFrame:
-    """docs with n_bytes, spans (removed, in bytes of the text) and kept (the other bytes) in place of the text."""
+def remove_repeats(docs: DataFrame, text: str = "text", params: RepeatParams = RepeatParams(), scratch: Scratch | None = None, readable: bool = False) -> DataFrame:
+    """docs with n_bytes, spans (removed, in bytes of the text) and kept (the other bytes) in place of the text.
+
+    readable: kept is a text, in which a character that lost some of its bytes is left out.
+    """
     spark, p = docs.sparkSession, params
     scratch = scratch or Scratch(spark, "repeats")
     buckets = n_chunks(corpus_bytes(docs, text), 4 * p.chunk_bytes)
     rest = [c for c in docs.columns if c not in (text, "n_bytes", "spans", "kept")]
-    out = T.StructType([docs.schema[c] for c in rest] + [T.StructField("n_bytes", T.LongType()), T.StructField("spans", SPANS), T.StructField("kept", T.BinaryType())])
+    out = T.StructType([docs.schema[c] for c in rest] + [T.StructField("n_bytes", T.LongType()), T.StructField("spans", SPANS), T.StructField("kept", T.StringType() if readable else T.BinaryType())])
 
     def encode(it):
         for chunk, pdf in gather(it, p.chunk_bytes, text):
@@ -238,7 +242,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", params: RepeatParams = R
             gone = c.removed(at[unpack_reply(row["windows"], "u1").astype(bool)[inverse]])
             pdf = pa.ipc.open_stream(row["extra"]).read_pandas()
             spans, kept = zip(*c.results(gone))
-            yield pdf.assign(n_bytes=np.diff(c.bounds), spans=list(spans), kept=list(kept))[out.names]
+            kept = [k.decode("utf-8", "ignore") for k in kept] if readable else list(kept)
+            yield pdf.assign(n_bytes=np.diff(c.bounds), spans=list(spans), kept=kept)[out.names]
 
     return with_replies(store, buckets, parts=parts, rims=rims, windows=windows).mapInPandas(finish, out)
 
