@@ -52,8 +52,8 @@ class TreeParams:
     depth: int = 4
     min_context: int = 2
     min_gain: float = 0.0
-    chunk_bytes: int = 6 << 20
-    hot: int = 1 << 20  # positions of one context in one task
+    chunk_bytes: int = 4 << 20
+    hot: int = 1 << 19  # positions of one context in one task
 
 
 def _encode(chunk: int, pdf: pd.DataFrame) -> dict:
