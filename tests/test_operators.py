@@ -163,3 +163,28 @@ def test_scratch_clears(spark):
     assert df.count() == 10 and s.keep(spark.range(3)).count() == 3
     s.clear()
     assert pd.Series([t.name for t in spark.catalog.listTables() if "voxspark" in t.name]).empty
+
+
+def test_training_order(spark):
+    """Sizes, labels and values of the whole order, however the rows are dealt out."""
+    df = grid(spark, (4, 6, 8)).withColumns({"sample_id": F.lit(1), "d": F.lit(4), "h": F.lit(6), "w": F.lit(8), "label": (F.when(F.col("x") < 2, 1).when(F.col("x") > 5, 1).otherwise(0)).cast("long"), "val": F.col("val").cast("double")})
+    df = df.select("sample_id", "z", "y", "x", "d", "h", "w", "val", "label")
+    steps = A.train_steps(5, size=(3, 6, 6), boundary_target="both", factors=(1.0, 1.5, 1.0), most_missing=1)
+    scratch = Scratch(spark, "augment")
+    out = sorted(map(tuple, A.augment_pipeline(df, steps, scratch).select("sample_id", "z", "y", "x", "val", "label").collect()))
+    scratch.clear()
+    assert len(out) == 3 * 6 * 6
+    zs = {z: [v for _, k, _, _, v, _ in out if k == z] for z in range(3)}
+    assert sum(all(v == 0 for v in vs) for vs in zs.values()) == 1  # the missing section
+    both = A.relabel_parts(df).groupBy("label").count().collect()
+    assert {r["label"] for r in both} == {0, 1, 2}  # two parts of one label
+    sem = A.with_boundaries(df, "semantic")
+    assert sem.where("sem_label <> label").count() == sem.where("label = 1 AND (x = 1 OR x = 6)").count() > 0
+    centre = A.augment_pipeline(df, A.valid_steps((2, 4, 4), "semantic"))
+    assert centre.count() == 32 and {tuple(r) for r in centre.select("d", "h", "w").distinct().collect()} == {(2, 4, 4)}
+
+
+def test_checksums_with_nulls(spark):
+    files = spark.createDataFrame([("a", 1, "x"), ("b", 1, None), ("c", None, None)], "name string, size int, md5 string")
+    manifest = spark.createDataFrame([("a", 1, None), ("b", 1, None), ("c", 2, None), ("d", None, None)], "name string, size int, md5 string")
+    assert {tuple(r) for r in C.checksum_audit(files, manifest).collect()} == {("a", "mismatch"), ("b", "ok"), ("c", "mismatch"), ("d", "missing")}

@@ -7,8 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..scratch import Scratch
-from .graph import consecutive
-from .tiling import AXES, SIZES, below, uniform
+from .graph import consecutive, label_components
+from .neighbors import boundaries
+from .tiling import AXES, SIZES, below, pad_center_crop, uniform
 
 
 def flip(df: DataFrame, axes: Sequence[str], when: Column | None = None) -> DataFrame:
@@ -146,21 +147,77 @@ def compact_ids(df: DataFrame, column: str, scratch: Scratch | None = None) -> t
     return out, lut
 
 
-def augment_pipeline(df: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+def augment_pipeline(df: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]], scratch: Scratch | None = None) -> DataFrame:
+    """The steps one after another; with scratch each result is written, as steps that join read their input several times."""
     for step in steps:
-        df = df.transform(step)
+        df = df.transform(step) if scratch is None else scratch.keep(df.transform(step), "step")
     return df
 
 
-def train_steps(seed: int, value: str = "val", label: str = "label") -> list[Callable[[DataFrame], DataFrame]]:
-    """Flips, turns and transpositions shared by image and label, then contrast and noise on the image."""
-    return [
-        lambda df: rand_flip(df, seed),
-        lambda df: rand_rot90(df, seed),
-        lambda df: rand_transpose_xy(df, seed),
+def with_boundaries(df: DataFrame, target: str, label: str = "label", seed: int = 0, prob: float = 1.0) -> DataFrame:
+    """Boundaries within sections taken out of the label, or of a copy of it (see sem_label_copy), in a share of the samples."""
+    found = boundaries(df.select("sample_id", *AXES, F.col(label).alias("label")), mode="inner", xy_only=True, by=["sample_id"])
+    on = F.col("boundary") & (uniform(F.lit(seed), F.lit("boundary"), "sample_id") < prob)
+    out = df.join(found.select("sample_id", *AXES, "boundary"), ["sample_id", *AXES])
+    return sem_label_copy(out.withColumn("boundary", on), target, label).drop("boundary")
+
+
+def center_crop(df: DataFrame, size: Sequence[int]) -> DataFrame:
+    """Each sample zero-padded to the size and cut to its centre; d, h and w follow."""
+    values = [c for c in df.columns if c not in ("sample_id", *AXES, *SIZES)]
+    named = df.withColumnRenamed("sample_id", "volume")
+    out = pad_center_crop(named, named.select("volume", *SIZES).distinct(), size, values).withColumnRenamed("volume", "sample_id")
+    return out.withColumns({n: F.lit(k) for n, k in zip(SIZES, size)})
+
+
+def relabel_parts(df: DataFrame, label: str = "label") -> DataFrame:
+    """Connected parts of a sample's labels become labels of their own."""
+    parts = label_components(df.select("sample_id", *AXES, label), label, by=["sample_id"])
+    return df.drop(label).join(parts.withColumnRenamed("component", label), ["sample_id", *AXES])
+
+
+def zoom(df: DataFrame, factors: Sequence[float], labels: Sequence[str] = ("label",)) -> DataFrame:
+    """Samples on a finer or coarser grid: values are interpolated, labels taken from the nearest voxel; d, h and w follow."""
+    out = None
+    for c in (c for c in df.columns if c not in ("sample_id", *AXES, *SIZES)):
+        one = resample(df.select("sample_id", *AXES, c), c, factors, "nearest" if c in labels else "linear", by=["sample_id"])
+        out = one if out is None else out.join(one, ["sample_id", *AXES])
+    sizes = out.groupBy("sample_id").agg(*((F.max(a) + 1).alias(n) for a, n in zip(AXES, SIZES)))
+    return out.join(sizes, "sample_id")
+
+
+def drop_sections(df: DataFrame, seed: int, most: int, value: str = "val", prob: float = 1.0) -> DataFrame:
+    return missing_section(df, random_drops(df.select("sample_id", "d").distinct(), seed, most, prob), value)
+
+
+def train_steps(
+    seed: int, value: str = "val", label: str = "label", size: Sequence[int] | None = None, boundary_target: str | None = None,
+    boundary_prob: float = 1.0, factors: Sequence[float] | None = None, parts: bool = False, most_missing: int = 0,
+) -> list[Callable[[DataFrame], DataFrame]]:
+    """The order for training, of samples (sample_id, z, y, x, d, h, w, value, label).
+
+    Boundaries out of the label ("both"); pad and crop to the size; parts relabelled, zoom and
+    crop again; flips, turns and transpositions shared by image and label; parts relabelled;
+    contrast and noise on the image; missing sections; boundaries out of a copy ("semantic").
+    """
+    crop = [lambda df: center_crop(df, size)] if size else []
+    again = [lambda df: relabel_parts(df, label)] if parts else []
+    steps = [lambda df: with_boundaries(df, "both", label, seed, boundary_prob)] if boundary_target == "both" else []
+    steps += crop
+    steps += [*again, lambda df: zoom(df, factors, (label,)), *crop] if factors else []
+    steps += [lambda df: rand_flip(df, seed), lambda df: rand_rot90(df, seed), lambda df: rand_transpose_xy(df, seed), *again]
+    steps += [
         lambda df: gamma_contrast(df, value, 0.7 + 0.6 * uniform(F.lit(seed), F.lit("gamma"), "sample_id")),
         lambda df: gaussian_noise(df, value, 0.05, seed, ["sample_id", *AXES]),
     ]
+    steps += [lambda df: drop_sections(df, seed, most_missing, value)] if most_missing else []
+    steps += [lambda df: with_boundaries(df, "semantic", label, seed, boundary_prob)] if boundary_target == "semantic" else []
+    return steps
+
+
+def valid_steps(size: Sequence[int], boundary_target: str | None = None, label: str = "label") -> list[Callable[[DataFrame], DataFrame]]:
+    """The order for validation: the centre, and boundaries in every sample."""
+    return [lambda df: center_crop(df, size)] + ([lambda df: with_boundaries(df, boundary_target, label)] if boundary_target else [])
 
 
 def sem_label_copy(df: DataFrame, boundary_target: str, label: str = "label", boundary: str = "boundary") -> DataFrame:

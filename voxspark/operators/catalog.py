@@ -143,7 +143,8 @@ def split_overlaps(boxes: DataFrame, cell: int = 64) -> DataFrame:
 
 
 def checksum_audit(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """files(name, size, md5) against manifest(name, size, md5): ok, mismatch or missing."""
-    got = files.select("name", F.col("size").alias("got_size"), F.col("md5").alias("got_md5"))
-    status = F.when(F.col("got_size").isNull(), "missing").when((F.col("size") != F.col("got_size")) | (F.col("md5") != F.col("got_md5")), "mismatch").otherwise("ok")
+    """files(name, size, md5) against manifest(name, size, md5): ok, mismatch or missing; a null on one side only is a mismatch."""
+    got = files.select("name", F.col("size").alias("got_size"), F.col("md5").alias("got_md5"), F.lit(True).alias("there"))
+    same = F.col("size").eqNullSafe(F.col("got_size")) & F.col("md5").eqNullSafe(F.col("got_md5"))
+    status = F.when(F.col("there").isNull(), "missing").when(~same, "mismatch").otherwise("ok")
     return manifest.join(got, "name", "left").select("name", status.alias("status"))

@@ -77,7 +77,9 @@ def label_components(df: DataFrame, label: str = "label", connectivity: int = 1,
     ranks = consecutive(sizes.select("final").distinct(), "final", scratch)
     total = sizes.groupBy("final").agg(F.sum("n").alias("total")).join(ranks, "final")
     lut = sizes.join(total, "final").select("root", F.when(F.col("total") >= min_voxels, F.col("rank")).otherwise(0).alias("component"))
-    return voxels.join(lut, "root", "left").select(*by, "z", "y", "x", F.coalesce("component", F.lit(0).cast("long")).alias("component"))
+    # background, which may be most of a volume, keeps out of the join on roots
+    inside = voxels.where("root >= 0").join(lut, "root").select(*by, "z", "y", "x", "component")
+    return inside.unionByName(voxels.where("root < 0").select(*by, "z", "y", "x", F.lit(0).cast("long").alias("component")))
 
 
 def label_binary(df: DataFrame, mask: str, structure: Sequence[Sequence[int]] | None = None, by: Sequence[str] = ("volume",)) -> DataFrame:
@@ -90,16 +92,24 @@ def relabel_consecutive(df: DataFrame, label: str = "label", ignore: int = -1, s
     scratch = scratch or Scratch(df.sparkSession, "relabel")
     ids = df.where((F.col(label) != ignore) & (F.col(label) != 0)).select(F.col(label).alias("_old")).distinct()
     lut = consecutive(ids, "_old", scratch)
-    return df.join(lut, df[label] == lut["_old"], "left").withColumn(label, F.coalesce("rank", F.lit(0)).cast("long")).select(df.columns)
+    kept = F.coalesce((F.col(label) != ignore) & (F.col(label) != 0), F.lit(False))
+    named = df.where(kept).join(lut, F.col(label) == F.col("_old")).withColumn(label, F.col("rank").cast("long")).select(df.columns)
+    return named.unionByName(df.where(~kept).withColumn(label, F.lit(0).cast("long")).select(df.columns))
 
 
 def size_filter(df: DataFrame, min_size: int, label: str = "label", by: Sequence[str] = ("volume",)) -> DataFrame:
     """Components of fewer voxels become 0; then ids are made consecutive, if any went."""
     n = df.where(F.col(label) > 0).groupBy(*by, label).agg(F.count("*").alias("_n"))
-    rank = n.where(F.col("_n") >= min_size).withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(label)).cast("long"))
+    scratch = Scratch(df.sparkSession, "size-filter")
+    kept = n.where(F.col("_n") >= min_size).select(F.struct(*by, label).alias("_key"))
+    ranks = scratch.keep(consecutive(kept, "_key", scratch).select("_key.*", "rank"), "ranks")
+    first = ranks.groupBy(*by).agg((F.min("rank") - 1).alias("_before"))
+    rank = ranks.join(first, list(by)).select(*by, label, (F.col("rank") - F.col("_before")).alias("_r"))
     gone = n.where(F.col("_n") < min_size).select(*by).distinct().withColumn("_gone", F.lit(True))
-    out = df.join(rank.drop("_n"), [*by, label], "left").join(gone, list(by), "left")
-    return out.withColumn(label, F.when(F.col("_gone"), F.coalesce("_r", F.lit(0))).otherwise(F.col(label)).cast("long")).select(df.columns)
+    inside = F.coalesce(F.col(label) > 0, F.lit(False))
+    out = df.where(inside).join(rank, [*by, label], "left").join(gone, list(by), "left")
+    out = out.withColumn(label, F.when(F.col("_gone"), F.coalesce("_r", F.lit(0))).otherwise(F.col(label)).cast("long")).select(df.columns)
+    return out.unionByName(df.where(~inside).withColumn(label, F.col(label).cast("long")).select(df.columns))
 
 
 def mutex_core(u: np.ndarray, v: np.ndarray, is_mutex: np.ndarray, n: int) -> np.ndarray:

@@ -6,6 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..scratch import Scratch
+from .graph import consecutive
+
 
 def _range(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     return df.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
@@ -100,7 +103,8 @@ def slice_geometry(volumes: DataFrame) -> DataFrame:
     return df.select("volume", "axis", pick(y / x, z / x, z / y).alias("aspect"), pick(h, d, d).alias("height"), pick(w, w, h).alias("width"))
 
 
-def section_entries(voxels: DataFrame) -> DataFrame:
+def section_entries(voxels: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """One entry for each section, with a running index over volumes."""
     z = voxels.groupBy("volume", F.col("z").alias("slice_idx")).agg(F.count("*").alias("voxels"))
-    return z.withColumn("idx", F.row_number().over(Window.orderBy("volume", "slice_idx")).cast("long") - 1)
+    ranks = consecutive(z.select(F.struct("volume", "slice_idx").alias("_key")), "_key", scratch or Scratch(voxels.sparkSession, "sections"))
+    return z.join(ranks.select("_key.*", (F.col("rank") - 1).alias("idx")), ["volume", "slice_idx"])

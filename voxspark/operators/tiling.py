@@ -82,7 +82,7 @@ def virtual_epoch(spark: SparkSession, entries: DataFrame, n: int) -> DataFrame:
     return ids.join(entries, "idx")
 
 
-def pad_center_crop(voxels: DataFrame, volumes: DataFrame, size: Sequence[int], value: str) -> DataFrame:
+def pad_center_crop(voxels: DataFrame, volumes: DataFrame, size: Sequence[int], value: str | Sequence[str]) -> DataFrame:
     """Zero-pad to the size and cut its centre: a target grid with the shifted voxels joined to it."""
     df = volumes
     for a, n, s in zip(AXES, SIZES, size):
@@ -90,8 +90,10 @@ def pad_center_crop(voxels: DataFrame, volumes: DataFrame, size: Sequence[int],
         pad = F.greatest(F.lit(s) - F.col(n), F.lit(0))
         cut = F.floor((F.col(n) + pad) / 2).cast("int") - s // 2
         df = df.withColumn(f"_{a}", F.col(a) + cut - F.floor(pad / 2).cast("int"))
-    src = voxels.select("volume", *(F.col(a).alias(f"_{a}") for a in AXES), value)
-    return df.join(src, ["volume", "_z", "_y", "_x"], "left").select("volume", *AXES, F.coalesce(value, F.lit(0).cast(voxels.schema[value].dataType)).alias(value))
+    values = [value] if isinstance(value, str) else list(value)
+    src = voxels.select("volume", *(F.col(a).alias(f"_{a}") for a in AXES), *values)
+    filled = (F.coalesce(v, F.lit(0).cast(voxels.schema[v].dataType)).alias(v) for v in values)
+    return df.join(src, ["volume", "_z", "_y", "_x"], "left").select("volume", *AXES, *filled)
 
 
 def safe_patch_size(resolutions: DataFrame, patch: Sequence[int], target: Sequence[float], mode: str = "ratio", skip_isotropic: bool = True) -> DataFrame:

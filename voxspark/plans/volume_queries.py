@@ -103,11 +103,11 @@ def split_assign(spark, d):
     return C.split_assign(vols, splits).select("volume", "split")
 
 
-@query(f"""WITH {CROPS}, b AS (SELECT name, z + (CAST(substr(name, 2) AS INTEGER) * 37 % 400) AS z, y + (CAST(substr(name, 2) AS INTEGER) * 91 % 300) AS y, x, sz * 3 AS sz, sy, sx FROM crop)
+@query(f"""WITH {CROPS}, b AS (SELECT name, z + (CAST(substr(name, 2) AS INTEGER) * 37 % 100) AS z, y + (CAST(substr(name, 2) AS INTEGER) * 91 % 100) AS y, x, sz * 3 AS sz, sy * 2 AS sy, sx * 2 AS sx FROM crop)
 SELECT a.name AS "left", b.name AS "right" FROM b a JOIN b ON a.name < b.name AND a.z < b.z + b.sz AND b.z < a.z + a.sz AND a.y < b.y + b.sy AND b.y < a.y + a.sy AND a.x < b.x + b.sx AND b.x < a.x + a.sx""")
 def split_overlaps(spark, d):
     k = F.substring("name", 2, 9).cast("int")
-    return C.split_overlaps(crops(spark, d).withColumns({"z": F.col("z") + k * 37 % 400, "y": F.col("y") + k * 91 % 300, "sz": F.col("sz") * 3}))
+    return C.split_overlaps(crops(spark, d).withColumns({"z": F.col("z") + k * 37 % 100, "y": F.col("y") + k * 91 % 100, "sz": F.col("sz") * 3, "sy": F.col("sy") * 2, "sx": F.col("sx") * 2}))
 
 
 @query("""WITH m AS (SELECT doc_id AS name, n_chars + doc_id % 11 // 10 AS size, md5(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS md5 FROM documents)
@@ -215,11 +215,11 @@ def extract_patches(spark, d):
     return T.extract_patches(v.select("volume", "z", "y", "x", "gt"), p).select("patch_z", "patch_y", "z", "y", "x", "gt")
 
 
-@query("WITH e AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents), n AS (SELECT count(*) AS n FROM e) SELECT i, idx, doc_id FROM (SELECT range AS i FROM range(5000)), n JOIN e ON e.idx = i % n.n")
+@query("WITH e AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents), n AS (SELECT count(*) AS n FROM e) SELECT i, idx, doc_id FROM (SELECT unnest(range(3 * (SELECT count(*) FROM documents) - 1)) AS i), n JOIN e ON e.idx = i % n.n")
 def virtual_epoch(spark, d):
     ranks = consecutive(table(spark, d, "documents").select("doc_id").distinct(), "doc_id", Scratch(spark, "epoch"))
     e = ranks.select("doc_id", (F.col("rank") - 1).alias("idx"))
-    return T.virtual_epoch(spark, e, 5000).select("i", "idx", "doc_id")
+    return T.virtual_epoch(spark, e, 3 * e.count() - 1).select("i", "idx", "doc_id")
 
 
 @query(with_v1("""SELECT CAST(tz AS INTEGER) AS z, CAST(ty AS INTEGER) AS y, CAST(tx AS INTEGER) AS x, coalesce(gt, 0) AS gt FROM vol, range(0, 12) a(tz), range(0, 60) b(ty), range(0, 40) c(tx)
@@ -397,7 +397,23 @@ def gaussian_noise(spark, d):
     return A.gaussian_noise(v1(spark, d), "val", 0.05, 7, ["volume", "z", "y", "x"]).select("z", "y", "x", F.round("val", 6).alias("val"))
 
 
+def samples_of_sections(spark, d, depth=5):
+    """V1 cut into samples of whole sections, each with its own size."""
+    df = v1(spark, d).select(F.floor(F.col("z") / depth).alias("sample_id"), (F.col("z") % depth).alias("z"), "y", "x", "val", F.col("gt").alias("label"))
+    sizes = df.groupBy("sample_id").agg(*((F.max(a) + 1).alias(n) for a, n in (("z", "d"), ("y", "h"), ("x", "w"))))
+    return df.join(sizes, "sample_id")
+
+
 @query()
 def augment_pipeline(spark, d):
-    df = sized(spark, d).withColumnsRenamed({"gt": "label"})
-    return A.augment_pipeline(df, A.train_steps(11)).select("sample_id", "z", "y", "x", F.round("val", 6).alias("val"), "label")
+    """The order for training: crop, turns, contrast and noise, missing sections."""
+    steps = A.train_steps(11, size=(4, 40, 40), most_missing=2)
+    return A.augment_pipeline(samples_of_sections(spark, d), steps).select("sample_id", "z", "y", "x", F.round("val", 6).alias("val"), "label")
+
+
+@query(with_v1("""SELECT z // 5 AS sample_id, CAST(z % 5 - 1 AS INTEGER) AS z, CAST(y - 5 AS INTEGER) AS y, CAST(x - 12 AS INTEGER) AS x, round(val, 6) AS val, gt AS label FROM v
+WHERE z % 5 BETWEEN 1 AND 3 AND y BETWEEN 5 AND 44 AND x BETWEEN 12 AND 51"""))
+def augment_validation(spark, d):
+    """The order for validation: the centre of each sample."""
+    df = samples_of_sections(spark, d)
+    return A.augment_pipeline(df, A.valid_steps((3, 40, 40))).select("sample_id", "z", "y", "x", F.round("val", 6).alias("val"), "label")
