@@ -67,7 +67,8 @@ class Scratch:
         with _shuffles_cleaned(self.spark):
             df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).option("path", where).saveAsTable(table)
         out = self.spark.table(table)
-        self._kept.append((out, where, table))
+        self.spark.sql(f"DROP TABLE {table}")  # the name alone: the frame keeps folder and buckets
+        self._kept.append((out, where, None))
         return out
 
     def finish(self, result: DataFrame, name: str = "result") -> DataFrame:
