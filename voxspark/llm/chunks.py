@@ -34,14 +34,15 @@ def n_chunks(total_bytes: int, chunk_bytes: int) -> int:
     return max(16, min(50_000, math.ceil(total_bytes / chunk_bytes)))
 
 
-def gather(batches: Iterator[pd.DataFrame], chunk_bytes: int, column: str = "text"):
-    """(chunk id, documents) with texts as bytes.  A chunk is full with the row that brings it to chunk_bytes."""
+def gather(batches: Iterator[pd.DataFrame], chunk_bytes: int, column: str = "text", row_bytes: int = 0):
+    """(chunk id, documents) with texts as bytes.  A chunk is full with the row that brings it to chunk_bytes;
+    row_bytes, added for each row, bounds the rows of a chunk of empty texts."""
     base, seq, size, held = TaskContext.get().partitionId() << 32, 0, 0, []
     for pdf in batches:
         texts = [as_bytes(t) for t in pdf[column]]
         start = 0
         for k, text in enumerate(texts):
-            size += len(text)
+            size += len(text) + row_bytes
             if size >= chunk_bytes:
                 held.append(pdf.iloc[start : k + 1].assign(**{column: texts[start : k + 1]}))
                 yield base + seq, pd.concat(held, ignore_index=True)
