@@ -215,8 +215,8 @@ class Shard:
         self.keys, self.chunk, self.n, self.first = self.keys[stay], self.chunk[stay], self.n[stay], self.first[stay]
         self.filter.delete(np.setdiff1d(before, self.keys))
 
-    def split(self, into: int, shards: int):
-        """The same entries in `into` shards out of `shards`."""
+    def split(self, shards: int):
+        """The same entries dealt to more shards."""
         shard = shard_of(self.keys, shards)
         for s in np.unique(shard):
             part, mine = Shard(), shard == s
@@ -293,7 +293,7 @@ class LineIndex:
 
         def split(frames):
             for row in _rows(frames):
-                for shard, part in Shard(row).split(n_shards // self.n_shards, n_shards):
+                for shard, part in Shard(row).split(n_shards):
                     yield part.frame(shard)
 
         return replace(self, n_shards=n_shards, shards=self.scratch.keep_bucketed(self.shards.mapInPandas(split, SHARD), "shard", n_shards, "shards"))
