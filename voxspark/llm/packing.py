@@ -10,10 +10,11 @@ to one sequence a group.
 
 Tokens are those of a byte-level BPE vocabulary in the form of the library
 `tokenizers`; where its merges are in the order of its ids, the same ids are made by the
-faster library tiktoken.
+faster library tiktoken, but for texts that it can't cut (a million spaces in a row).
 
-Results for odd inputs: a null or empty text is its end token alone; rows with null or
-repeated ids are packed like others.
+Results for odd inputs: a null or empty text is its end token alone; a text of any length is
+encoded whole and cut where sequences end; rows with null or repeated ids are packed like
+others; an empty table gives no rows; other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -69,7 +70,20 @@ def encoder(path: str):
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(code[c] for c in piece): i for piece, i in vocab.items() if piece not in special}
         encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        return lambda text: encoding.encode_to_numpy(text, allowed_special="all")
+
+        def encode(text: str) -> np.ndarray:
+            try:
+                return encoding.encode_to_numpy(text, allowed_special="all")
+            except ValueError:  # its regular expressions give up on very long runs of white space
+                return plain_encoder(path)(text)
+
+        return encode
+    return plain_encoder(path)
+
+
+@lru_cache(maxsize=2)
+def plain_encoder(path: str):
+    """text -> array of ids by the library tokenizers itself."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
