@@ -49,18 +49,64 @@ def archive(spark, n=30):
     return manifest, row.path.removeprefix("file://").removeprefix("file:")
 
 
-def test_damaged_archives_are_reported(spark):
+def members(data: bytes) -> list[int]:
+    """Where the records of a sound archive begin."""
+    out, at = [], 0
+    while at < len(data):
+        out.append(at)
+        z = zlib.decompressobj(31)
+        z.decompress(data[at:])
+        at = len(data) - len(z.unused_data)
+    return out
+
+
+@pytest.mark.parametrize("split", [333, 8 << 20])
+def test_damaged_archives_are_reported(spark, split):
     manifest, path = archive(spark)
+    p = warc.WarcParams(split_bytes=split, block_bytes=512)
     with open(path, "rb") as f:
         data = f.read()
-    whole = warc.read_archives(manifest).count()
-    assert whole == 30
-    second = data.index(warc.MAGIC, 10)
-    for bad in (data[: second - 8] + bytes([data[second - 8] ^ 1]) + data[second - 7 :], data[:-5]):  # a wrong checksum; a cut-off end
+    assert warc.read_archives(manifest, p).count() == 30
+    begin = members(data)
+    flip = lambda at: data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :]
+    bad = {
+        "a wrong checksum": flip(begin[1] - 8), "a cut-off end": data[:-5], "a cut in the last header": data[: begin[-1] + 6], "a cut in the last magic": data[: begin[-1] + 2],
+        "the first magic": flip(0), "a magic": flip(begin[7]), "the last magic": flip(begin[-1] + 1), "a header's first block": flip(begin[9] + 12), "bytes after the end": data + b"x", "bytes between": data[: begin[4]] + b"\x1f\x8b" + data[begin[4] :],
+    }
+    for name, content in bad.items():
         with open(path, "wb") as f:
-            f.write(bad)
-        with pytest.raises(Exception, match="damaged or cut off"):
-            warc.read_archives(manifest.withColumn("size", manifest["size"] * 0 + len(bad))).collect()
+            f.write(content)
+        with pytest.raises(Exception, match="damaged or cut off|doesn't match"):
+            warc.read_archives(manifest.withColumn("size", manifest["size"] * 0 + len(content)), p).collect()
+            pytest.fail(name)
+    for short in (len(data) - 5, begin[-1], 0):  # shorter than the manifest says
+        with open(path, "wb") as f:
+            f.write(data[:short])
+        with pytest.raises(Exception, match="before the .* bytes of its manifest"):
+            warc.read_archives(manifest, p).collect()
+
+
+def test_missing_records_are_counted(spark):
+    manifest, path = archive(spark)
+    records = warc.read_archives(manifest).select("path").cache()
+    warc.check_counts(records, manifest)
+    with pytest.raises(ValueError, match="has 29 records, its manifest says 30"):
+        warc.check_counts(records.limit(29), manifest)
+    with pytest.raises(ValueError, match="has 0 records"):
+        warc.check_counts(records.limit(0), manifest)
+
+
+def test_very_many_copies(spark):
+    rows = [(i, "u", "x" * 200 if i % 3 else f"page {i % 50} " * 30, 1) for i in range(2000)]
+    for share in (2, 1000):
+        df = warc.read_archives(warc.write_archives(spark.createDataFrame(rows, PAGES).repartition(4), warc.WarcParams(hot_share=share)))
+        assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in df.drop("payload").collect()), key=str) == sorted(expected(rows), key=str)
+
+
+def test_a_large_member_is_read_in_blocks():
+    text = bytes(random.Random(1).choices(range(256), k=3 << 20))
+    data = warc.gzip_member(warc.record(1, "u", text, hashlib.sha256(text).hexdigest(), None, warc.WarcParams()), 0)
+    assert [warc.parse(r)["payload"] for _, r in warc.scan(_Bytes(data), len(data), 0, len(data), 1 << 10)] == [text]
 
 
 def test_splits_are_read_by_as_many_tasks(spark):
@@ -106,6 +152,34 @@ def test_same_ids_as_tokenizers(reference, text):
     assert encoder(default_tokenizer())(text).tolist() == reference.encode(text, add_special_tokens=False).ids
 
 
+LONG = {
+    "spaces": " " * 1_100_000,
+    "newlines between words": "a" + "\n" * 1_000_001 + "b",
+    "irregular": "".join(random.Random(5).choices(" \t\n\u00a0\r", k=1_200_000)) + "x",
+    "one word": "ab" * 300_000,
+    "other signs": "!?" * 300_000,
+    "text around": "The word. " * 1000 + " \n" * 700_000 + " and more <|endoftext|> words" * 1000,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_same_ids_for_very_long_runs(reference, name):
+    assert encoder(default_tokenizer())(LONG[name]).tolist() == reference.encode(LONG[name], add_special_tokens=False).ids
+
+
+def test_packing_of_very_long_texts(spark, reference):
+    rows = [(i, t, "x") for i, t in enumerate(LONG.values())] + [(100, "a b", "y")]
+    out, _ = packed(spark, rows)
+    tokens = {r.doc_id: r.doc_tokens for r in out}
+    assert tokens == {i: len(reference.encode(t, add_special_tokens=False).ids) + 1 for i, t, _ in rows}
+    assert sum(r.length for r in out) == sum(tokens.values())
+
+
+def test_packing_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", 1, 2, "s"), (2, "c", 1, 2, "s")], "doc_id long, text string, task int, sequence_id int, group string")
+    assert sorted((r.doc_id, r.doc_tokens) for r in pack(df).collect()) == [(1, 3), (2, 2)]
+
+
 def packed(spark, rows, **params):
     out = pack(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), PackParams(**params)).collect()
     size = params.get("size", 1024)

@@ -33,8 +33,11 @@ def op3_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = warc.write_archives(read_table(spark, sf_dir, "pages"))
-    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    scratch = Scratch(spark, "warc")
+    manifest = warc.write_archives(read_table(spark, sf_dir, "pages"), scratch=scratch)
+    records = scratch.keep(warc.read_archives(manifest).drop("payload", "uri", "position"), "records")
+    warc.check_counts(records, manifest)
+    return scratch.finish(records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

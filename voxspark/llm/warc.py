@@ -14,9 +14,14 @@ never referred to, and refers to an equal payload's record if another row has an
 rows that repeat the smallest id all carry the payload; a null url leaves the target
 out; line ends and other control characters in urls are percent-encoded; a payload of any
 length is one record; an empty table makes no archive and no records; other columns are
-dropped, whatever their names.  A member that begins like a record and does not inflate to
-its end, or whose payload does not match its digest, raises an error that names archive
-and position.
+dropped, whatever their names.
+
+Damage raises an error that names archive and position: a member that does not inflate to
+its end, a payload that does not match its digest, a file that ends before the size in its manifest, and,
+since members follow each other without a gap, an archive that does not begin with a record and a
+record that is followed by anything but a record or the archive's end (the task that owns a record
+looks at what follows it, also beyond its range).  What a whole number of records less
+leaves is found by :func:`check_counts`.
 """
 
 from __future__ import annotations
@@ -46,6 +51,7 @@ class WarcParams:
     block_bytes: int = 1 << 20
     level: int = 6
     most_tasks: int = 50_000
+    hot_share: int = 1000  # a payload that over 1 / hot_share of the repeated pages have is hot
     date: str = "2000-01-01T00:00:00Z"
 
 
@@ -95,58 +101,91 @@ class _Window:
     """A file read on in blocks from some position, with what has been used dropped."""
 
     def __init__(self, file, size: int, start: int, block: int):
-        self.file, self.size, self.base, self.block, self.data = file, size, start, block, b""
+        self.file, self.size, self.base, self.block, self.data = file, size, start, block, bytearray()
 
     def more(self) -> bool:
         at = self.base + len(self.data)
         if at >= self.size:
             return False
-        self.data += self.file.read_at(min(self.block, self.size - at), at)
+        got = self.file.read_at(min(self.block, self.size - at), at)
+        if not got:
+            raise ValueError(f"the archive ends at {at}, before the {self.size} bytes of its manifest")
+        self.data += got
         return True
 
     def drop(self, n: int) -> None:
-        self.data, self.base = self.data[n:], self.base + n
+        del self.data[:n]
+        self.base += n
 
 
 def _inflate(w: _Window, limit: int | None = None) -> tuple[bytes, int] | None:
     """The member at the window's start and its length; with a limit, only so many first bytes; None if it is none."""
-    z, out, used = zlib.decompressobj(31), [], 0
+    z, out, used, size = zlib.decompressobj(31), [], 0, 0
     try:
         while not z.eof:
             if used >= len(w.data) and not w.more():
                 return None
-            part = w.data[used:]
+            part = bytes(memoryview(w.data)[used : used + w.block])
             out.append(z.decompress(part, limit) if limit else z.decompress(part))
-            used = len(w.data)
-            if limit and sum(map(len, out)) >= min(limit, 7):
+            used, size = used + len(part), size + len(out[-1])
+            if limit and size >= min(limit, 7):
                 return b"".join(out), 0
     except zlib.error:
         return None
     return b"".join(out), used - len(z.unused_data)
 
 
+def _begins_record(w: _Window) -> bool:
+    while len(w.data) < len(MAGIC) and w.more():
+        pass
+    first = _inflate(w, 64) if w.data.startswith(MAGIC) else None
+    return first is not None and first[0].startswith(b"WARC/1.")
+
+
 def scan(file, size: int, start: int, end: int, block: int):
     """(position, inflated record) of the records that begin in [start, end)."""
     w = _Window(file, size, start, block)
-    while w.base < end:
-        k = w.data.find(MAGIC)
-        if k < 0:
-            w.drop(max(0, len(w.data) - 2))  # the magic may go on in the next block
-            if not w.more():
+    known = start == 0  # a record must begin here
+    while known or w.base < end:
+        if known:
+            if w.base >= size:
+                return
+            if not _begins_record(w):
+                raise ValueError(f"no record begins at {w.base}: it is damaged or cut off")
+            if w.base >= end:
                 return
-            continue
-        w.drop(k)
-        if w.base >= end:
-            return
-        first = _inflate(w, 64)
-        if not first or not first[0].startswith(b"WARC/1."):
-            w.drop(1)
-            continue
+        else:
+            k = w.data.find(MAGIC)
+            if k < 0:
+                w.drop(max(0, len(w.data) - 2))  # the magic may go on in the next block
+                if not w.more():
+                    return
+                continue
+            w.drop(k)
+            if w.base >= end:
+                return
+            if not _begins_record(w):
+                w.drop(1)
+                continue
         member = _inflate(w)
         if member is None:
             raise ValueError(f"the record at {w.base} is damaged or cut off")
         yield w.base, member[0]
         w.drop(member[1])
+        known = True
+
+
+def _with_first(pages: DataFrame, params: WarcParams, scratch: Scratch) -> DataFrame:
+    """pages with refers_to.  Payloads of very many copies (there are fewer than `hot_share`) go to their rows
+    by broadcast, the others, each with a small share of the rows, by an exchange."""
+    large = pages.where(F.octet_length("html") >= params.revisit_bytes)
+    first = scratch.keep(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    total = first.agg(F.sum("n")).first()[0] or 0
+    hot = first.where(F.col("n") * params.hot_share > total).select("digest", F.col("first").alias("hot_first"), F.lit(True).alias("hot"))
+    marked = pages.join(F.broadcast(hot), "digest", "left")
+    rest = marked.where("hot IS NULL").join(first.where(F.col("n") * params.hot_share <= total).drop("n"), "digest", "left")
+    rows = marked.where("hot").withColumn("first", F.col("hot_first")).unionByName(rest)
+    return rows.withColumn("refers_to", F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")))
 
 
 def write_archives(pages: DataFrame, params: WarcParams = WarcParams(), scratch: Scratch | None = None) -> DataFrame:
@@ -154,9 +193,7 @@ def write_archives(pages: DataFrame, params: WarcParams = WarcParams(), scratch:
     scratch = scratch or Scratch(pages.sparkSession, "warc")
     folder = scratch.path("archives")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("digest", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
-    large = pages.where(F.octet_length("html") >= params.revisit_bytes)
-    first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = pages.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")))
+    rows = _with_first(pages, params, scratch)
 
     def write(frames):
         where, path = pafs.FileSystem.from_uri(folder)
@@ -205,3 +242,11 @@ def read_archives(manifest: DataFrame, params: WarcParams = WarcParams()) -> Dat
                     yield pd.DataFrame(found)
 
     return splits.mapInPandas(lambda it: (df.astype({"page_id": "Int64", "refers_to": "Int64"}) for df in read(it)), RECORDS)
+
+
+def check_counts(records: DataFrame, manifest: DataFrame) -> None:
+    """Raise if some archive of the manifest gave more or fewer records(path) than were written."""
+    read = records.groupBy("path").agg(F.count("*").alias("read"))
+    wrong = manifest.join(read, "path", "left").where(F.coalesce("read", F.lit(0)) != F.col("records")).select("path", "records", "read").first()
+    if wrong:
+        raise ValueError(f"{wrong.path} has {wrong.read or 0} records, its manifest says {wrong.records}")
