@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from voxspark.operators import graph as G
 from voxspark.operators.neighbors import boundaries, neighbours
-from voxspark.operators.region import _nearest_1d, edt
+from voxspark.operators.lines import _edge, envelope, nearest_labels
+from voxspark.operators.region import edt
 
 
 def volume(spark, a, name="V", column="label"):
@@ -165,7 +166,7 @@ def test_edt_long_lines(spark):
     rows = spark.range(3 * n).select(F.lit("V").alias("volume"), (F.col("id") % n).cast("int").alias("z"), F.floor(F.col("id") / n).cast("int").alias("y"), F.lit(0).alias("x"))
     at = spark.createDataFrame([(int(z), y) for y, s in zeros.items() for z in s], "z int, y int").withColumn("zero", F.lit(True))
     df = rows.join(at, ["z", "y"], "left").select("volume", "z", "y", "x", F.col("zero").isNull().alias("m"))
-    got = edt(df, "m", (2.0, 1000.0, 1.0)).toPandas().sort_values(["y", "z"])["distance"].to_numpy().reshape(3, n)
+    got = edt(df, "m", (2.0, 1000.0, 1.0), block=(2048, 4, 4)).toPandas().sort_values(["y", "z"])["distance"].to_numpy().reshape(3, n)
     far = {y: np.abs(np.arange(n)[:, None] - s[None, :]).min(1, initial=n) * 2.0 for y, s in zeros.items()}
     for y in range(3):
         want = np.min([np.sqrt(far[k] ** 2 + (1000.0 * (y - k)) ** 2) for k in (1, 2)], axis=0)
@@ -192,12 +193,87 @@ def test_errors(spark):
     assert list(product([0], neighbours(1, True)))[0][1][0] == 0
 
 
-def test_nearest_1d_memory():
+@pytest.mark.parametrize("step", [1.0, 1.5, 3.0])
+def test_envelope(step):
+    """Lowest costs, and of equal ones the first place, for many lines at once."""
+    rng, n = np.random.default_rng(6), 120
+    cost = np.where(rng.random((300, n)) < rng.random((300, 1)) ** 3, rng.integers(0, 12, (300, n)) ** 2.0, math.inf)
+    cost[:3] = math.inf
+    cost[3] = 0
+    best, source = envelope(cost, step)
+    i = np.arange(n)
+    every = cost[:, None, :] + (step * (i[:, None] - i[None, :])) ** 2
+    assert np.array_equal(best, every.min(axis=2))
+    assert np.array_equal(source, np.where(np.isfinite(best), every.argmin(axis=2), -1))
+
+
+def test_envelope_memory():
     rng, n = np.random.default_rng(6), 3000
-    q = np.where(rng.random(n) < 0.02, rng.integers(0, 50, n) ** 2.0, math.inf)
+    cost = np.where(rng.random((1, n)) < 0.02, rng.integers(0, 50, (1, n)) ** 2.0, math.inf)
     tracemalloc.start()
-    got = _nearest_1d(np.arange(n, dtype=float), q, 1.5)
+    envelope(cost, 1.5)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    i = np.arange(n)
-    assert np.allclose(got, (q[None, :] + (1.5 * (i[:, None] - i[None, :])) ** 2).min(1)) and peak < 2000 * n
+    assert peak < 2000 * n and _edge(10**9) == 1
+
+
+def grown(a, sampling, limit=math.inf):
+    """Each place's label by looking at all labelled places; ties to the first."""
+    at = np.argwhere(a)
+    out = a.copy()
+    for i in np.argwhere(a == 0):
+        if len(at):
+            far = (((at - i) * sampling) ** 2).sum(axis=1)
+            k = far.argmin()
+            out[tuple(i)] = a[tuple(at[k])] if far[k] <= limit**2 else 0
+    return out
+
+
+@pytest.mark.parametrize("share,sampling", [(0.02, (1.0, 1.0, 1.0)), (0.2, (2.0, 1.0, 1.0)), (0.005, (3.0, 2.0, 1.0)), (0, (1.0, 1.0, 1.0))])
+def test_growth(spark, share, sampling):
+    rng = np.random.default_rng(12)
+    a = np.where(rng.random((7, 11, 13)) < share, rng.integers(1, 9, (7, 11, 13)), 0)
+    b = np.where(rng.random((3, 5, 4)) < 0.1, rng.integers(1, 9, (3, 5, 4)), 0)
+    both = volume(spark, a).unionByName(volume(spark, b, "W"))
+    for limit in (0, -1, 2.5, 4):
+        got = G.grow_labels(both, max_distance=limit, sampling=sampling, block=(3, 4, 5))
+        for name, v in (("V", a), ("W", b)):
+            assert np.array_equal(back(got.where(F.col("volume") == name), v.shape, "label"), grown(v, sampling, limit if limit > 0 else math.inf))
+    assert np.array_equal(np.where(a == 0, nearest_labels(a, sampling)[1], a), grown(a, sampling))
+
+
+def test_stored_blocks_stay(spark, tmp_path):
+    """Operators on a stored volume exchange rims of blocks, and no voxel rows."""
+    from voxspark.operators.neighbors import affinities, shift
+    from voxspark.sources.arrays import read_volume, write_volume
+
+    a = np.random.default_rng(13).integers(0, 3, (5, 9, 8))
+    df, block = volume(spark, a), (2, 4, 4)
+    write_volume(df, ["label"], f"file://{tmp_path}/v", block)
+    stored = read_volume(spark, f"file://{tmp_path}/v", {"label": "bigint"}, block)
+    for fn in (lambda d: boundaries(d, block=block), lambda d: shift(d, (1, -2, 1), "label", block=block), lambda d: affinities(d, [(-1, 0, 0), (0, 2, -3)], block=block),
+               lambda d: G.grow_labels(d, block=block), lambda d: G.grow_labels(d, max_distance=0, block=block)):
+        plan = fn(stored)._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange" in line]
+        assert moved and all("bz" in line or "ca" in line for line in moved), plan
+        assert sorted(map(str, fn(stored).collect())) == sorted(map(str, fn(df).collect()))
+    got = G.label_components(stored, block=block)
+    assert np.array_equal(back(got, a.shape, "component"), bfs(a, neighbours(1)))
+    with pytest.raises(ValueError, match="blocks are"):
+        boundaries(stored)
+
+
+def test_blocks_of_many_volumes(spark):
+    """Components are numbered over all volumes; null volumes are volumes."""
+    rng = np.random.default_rng(14)
+    parts = {name: rng.integers(0, 2, (2, 3, 3)) for name in ("a", "b", None)}
+    df = None
+    for name, a in parts.items():
+        one = volume(spark, a, name or "").withColumn("volume", F.lit(name).cast("string"))
+        df = one if df is None else df.unionByName(one)
+    got = G.label_components(df, block=(1, 2, 2)).collect()
+    for name, a in parts.items():
+        mine = {(r.z, r.y, r.x): r.component for r in got if r.volume == name}
+        assert same([mine[i] for i in np.ndindex(a.shape)], bfs(a, neighbours(1)).ravel().tolist())
+    ids = {r.component for r in got if r.component}
+    assert ids == set(range(1, len(ids) + 1)) and len(ids) == sum(bfs(a, neighbours(1)).max() for a in parts.values())

@@ -169,7 +169,8 @@ def test_training_order(spark):
     """Sizes, labels and values of the whole order, however the rows are dealt out."""
     df = grid(spark, (4, 6, 8)).withColumns({"sample_id": F.lit(1), "d": F.lit(4), "h": F.lit(6), "w": F.lit(8), "label": (F.when(F.col("x") < 2, 1).when(F.col("x") > 5, 1).otherwise(0)).cast("long"), "val": F.col("val").cast("double")})
     df = df.select("sample_id", "z", "y", "x", "d", "h", "w", "val", "label")
-    steps = A.train_steps(5, size=(3, 6, 6), boundary_target="both", factors=(1.0, 1.5, 1.0), most_missing=1)
+    df = df.withColumns({"rz": F.lit(30), "ry": F.lit(6), "rx": F.lit(6)})
+    steps = A.train_steps(5, size=(3, 6, 6), safe_size=(4, 8, 8), boundary_target="both", target=((30, 30), (4, 5), (4, 5)), parts=True, most_missing=1)
     scratch = Scratch(spark, "augment")
     out = sorted(map(tuple, A.augment_pipeline(df, steps, scratch).select("sample_id", "z", "y", "x", "val", "label").collect()))
     scratch.clear()
@@ -188,3 +189,144 @@ def test_checksums_with_nulls(spark):
     files = spark.createDataFrame([("a", 1, "x"), ("b", 1, None), ("c", None, None)], "name string, size int, md5 string")
     manifest = spark.createDataFrame([("a", 1, None), ("b", 1, None), ("c", 2, None), ("d", None, None)], "name string, size int, md5 string")
     assert {tuple(r) for r in C.checksum_audit(files, manifest).collect()} == {("a", "mismatch"), ("b", "ok"), ("c", "mismatch"), ("d", "missing")}
+
+
+def test_crops_pad_and_keep(spark):
+    """Every place of a random patch, padded samples too, against slices of a padded array."""
+    df = grid(spark, (4, 6, 8), "1 + z * 100 + y * 10 + x").withColumns({"d": F.lit(4), "h": F.lit(6), "w": F.lit(8), "label": (F.col("x") > 5).cast("long")}).drop("volume")
+    df = df.crossJoin(spark.range(12).withColumnRenamed("id", "sample_id"))
+    a = np.array([[[1 + z * 100 + y * 10 + x for x in range(8)] for y in range(6)] for z in range(4)])
+    for size in ((2, 3, 3), (6, 4, 9), (4, 6, 8)):
+        pad = [(max(0, s - n) // 2, max(0, s - n) - max(0, s - n) // 2) for s, n in zip(size, a.shape)]
+        padded = np.pad(a, pad)
+        places = {tuple(padded[z : z + size[0], y : y + size[1], x : x + size[2]].ravel()) for z, y, x in np.ndindex(*(n - s + 1 for n, s in zip(padded.shape, size)))}
+        found = set()
+        for cut in (A.random_patch(df, size, 3), A.foreground_patch(df, size, 3, 0.3, 20)):
+            rows = cut.toPandas().sort_values(["sample_id", "z", "y", "x"])
+            assert len(rows) == 12 * np.prod(size) and set(zip(rows["d"], rows["h"], rows["w"])) == {size}
+            got = {tuple(v) for v in rows["val"].to_numpy().reshape(12, -1).astype(int)}
+            assert got <= places
+            found |= got
+        assert len(found) > 1 or len(places) == 1
+    enough = A.foreground_patch(df, (2, 3, 3), 3, 0.3, 50).groupBy("sample_id").agg(F.avg("label").alias("share")).collect()
+    assert all(r.share >= 0.3 for r in enough)
+
+
+def test_box_counts(spark):
+    from voxspark.operators.boxes import box_counts
+
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 2, (6, 9, 11))
+    v = spark.createDataFrame([("v", *map(int, i), int(k)) for i, k in np.ndenumerate(a)], "volume string, z int, y int, x int, m long")
+    boxes = [(int(k), "v", *map(int, rng.integers(-2, 9, 3)), *map(int, rng.integers(1, 8, 3))) for k in range(60)]
+    df = spark.createDataFrame(boxes, "box long, volume string, z int, y int, x int, sz int, sy int, sx int")
+    want = {b[0]: int(a[tuple(slice(max(0, i), max(0, i + n)) for i, n in zip(b[2:5], b[5:]))].sum()) for b in boxes}
+    for per_task in (3, 100_000):
+        got = {r.box: r.n for r in box_counts(v, "m", df, block=(2, 4, 5), per_task=per_task).collect()}
+        assert got == {k: n for k, n in want.items() if n}
+
+
+def zoomed(a, factors, linear):
+    """Each voxel of the cut or padded new grid by itself."""
+    new = [max(1, round(n * f)) for n, f in zip(a.shape, factors)]
+    out = np.zeros(a.shape)
+    for i in np.ndindex(a.shape):
+        j = [k + ((m - n) // 2 if m >= n else -((n - m) // 2)) for k, n, m in zip(i, a.shape, new)]
+        if not all(0 <= k < m for k, m in zip(j, new)):
+            continue
+        if not linear:
+            out[i] = a[tuple(k * n // m for k, n, m in zip(j, a.shape, new))]
+            continue
+        at = [max((k + 0.5) * n / m - 0.5, 0) for k, n, m in zip(j, a.shape, new)]
+        for c in np.ndindex(2, 2, 2):
+            w = np.prod([(p - int(p)) if b else 1 - (p - int(p)) for p, b in zip(at, c)])
+            out[i] += w * a[tuple(min(int(p) + b, n - 1) for p, b, n in zip(at, c, a.shape))]
+    return out
+
+
+def test_zoom_of_each_sample(spark):
+    from voxspark.operators.zoom import zoom_samples
+
+    rng = np.random.default_rng(3)
+    shapes = {1: (4, 7, 9), 2: (3, 5, 5), 3: (5, 4, 6), 4: (2, 2, 2), None: (3, 3, 3)}
+    factors = {1: (0.5, 1.7, 0.8), 2: (2.0, 0.3, 1.0), 3: (1.0, 1.0, 1.0), None: (1.0, 2.0, 0.5)}  # none for 4
+    data = {s: (rng.random(n), rng.integers(0, 5, n)) for s, n in shapes.items()}
+    rows = [(s, *map(int, i), float(v[i]), int(k[i])) for s, (v, k) in data.items() for i in np.ndindex(v.shape)]
+    df = spark.createDataFrame(rows, "sample_id int, z int, y int, x int, val double, label long")
+    of = spark.createDataFrame([(s, *f) for s, f in factors.items()], "sample_id int, zoom_z double, zoom_y double, zoom_x double")
+    for block in ((2, 3, 4), (32, 32, 32)):
+        got = zoom_samples(df, of, block=block).collect()
+        for s, (v, k) in data.items():
+            mine = {(r.z, r.y, r.x): r for r in got if r.sample_id == s}
+            f = factors.get(s, (1, 1, 1))
+            assert len(mine) == v.size
+            assert np.allclose([mine[i].val for i in np.ndindex(v.shape)], zoomed(v, f, True).ravel())
+            assert [mine[i].label for i in np.ndindex(v.shape)] == zoomed(k, f, False).astype(int).ravel().tolist()
+
+
+def test_resolutions_draw_their_own_zoom(spark):
+    df = grid(spark, (2, 4, 4)).crossJoin(spark.range(6).withColumnRenamed("id", "sample_id")).drop("volume").withColumns({"label": F.lit(1).cast("long"), "d": F.lit(2), "h": F.lit(4), "w": F.lit(4)})
+    df = df.withColumns({"rz": F.lit(40), "ry": F.when(F.col("sample_id") % 2 == 0, 4).otherwise(8), "rx": F.when(F.col("sample_id") % 2 == 0, 4).otherwise(8)})
+    out = A.rand_zoom(df, ((30, 40), (8, 8), (8, 8)), 1)
+    # to 8 nm: samples of 4 nm shrink to half and are padded by zeros, those of 8 nm stay
+    share = {r.sample_id: r.share for r in out.groupBy("sample_id").agg(F.avg("label").alias("share")).collect()}
+    assert {k: v for k, v in share.items()} == {k: 0.25 if k % 2 == 0 else 1.0 for k in range(6)}
+    assert A.rand_zoom(df, ((30, 40), (8, 8), (8, 8)), 1, prob=0.0).where("label = 1 AND val = 0.25").count() == 6 * 32
+    union = A.zoom_factors(df.select("sample_id", "rz", "ry", "rx").distinct(), ((20, 20), (4, 4), (4, 4)), "union").collect()
+    assert all((r.zoom_z, r.zoom_y) == pytest.approx((2.0, r.ry / 4)) for r in union)
+
+
+def test_reflection_keeps_ramps_and_constants(spark):
+    """Volumes shorter than the window and last strides beyond the face, blended right at all faces."""
+    sizes = [("a", 3, 9, 8), ("b", 1, 4, 5), ("c", 12, 4, 4)]
+    volumes = spark.createDataFrame(sizes, "volume string, d int, h int, w int")
+    v = volumes.selectExpr("volume", "explode(sequence(0, d - 1)) AS z", "h", "w").selectExpr("volume", "z", "explode(sequence(0, h - 1)) AS y", "w").selectExpr("volume", "z", "y", "explode(sequence(0, w - 1)) AS x")
+    for value, how in (("0.25D", "average"), ("0.25D", "max"), ("CAST(z + 10 * y + 100 * x AS DOUBLE)", "average")):
+        df = v.withColumn("val", F.expr(value))
+        out = B.slide(df, volumes, "val", lambda pdf: pdf, (4, 4, 4), (3, 3, 3), how)
+        both = out.withColumnRenamed("val", "got").join(df, ["volume", "z", "y", "x"])
+        assert both.count() == v.count() == out.count()
+        assert one(both.agg(F.max(F.abs(F.col("got") - F.col("val"))).alias("e")))["e"] < 1e-4
+    padded = B.reflect_pad(v.withColumn("val", F.expr("z + 10 * y + 100 * x")), volumes, (4, 4, 4), (3, 3, 3)).where("volume = 'a'").collect()
+    want = np.pad(np.add.outer(np.add.outer(np.arange(3), 10 * np.arange(9)), 100 * np.arange(8)), ((0, 1), (0, 1), (0, 2)), mode="reflect")
+    assert {(r.z, r.y, r.x): r.val for r in padded} == {i: k for i, k in np.ndenumerate(want)}
+
+
+def test_running_totals(spark):
+    from voxspark.operators.prefix import consecutive, running_total
+
+    rng = np.random.default_rng(4)
+    rows = [(int(k), int(w) if w else None) for k, w in zip(rng.permutation(500), rng.integers(0, 9, 500))]
+    df = spark.createDataFrame(rows, "k long, w long").repartition(6)
+    got = {r.k: r.before for r in running_total(df, ["k"], "w", Scratch(spark, "t")).collect()}
+    total, want = 0, {}
+    for k, w in sorted(rows):
+        want[k] = total
+        total += w or 0
+    assert got == want
+    assert {r.k: r["rank"] for r in consecutive(df, "k", Scratch(spark, "t")).collect()} == {k: k + 1 for k in range(500)}
+    assert running_total(df.limit(0), ["k"], "w", Scratch(spark, "t")).collect() == []
+
+
+def test_expected_information_of_large_clusters(spark):
+    """A few clusters of many voxels: all terms of the sum against those within the bound."""
+    from voxspark.operators import metrics as M
+
+    cells = {(1, 1): 90_000, (1, 2): 30_000, (2, 1): 20_000, (2, 2): 60_000, (3, 3): 40}
+    df = None
+    for (t, p), n in cells.items():
+        part = spark.range(n).select(F.lit(t).cast("long").alias("true"), F.lit(p).cast("long").alias("pred"))
+        df = part if df is None else df.unionByName(part)
+    n = sum(cells.values())
+    a = [sum(v for (t, _), v in cells.items() if t == k) for k in (1, 2, 3)]
+    b = [sum(v for (_, p), v in cells.items() if p == k) for k in (1, 2, 3)]
+    lg = math.lgamma
+    emi = 0.0
+    for x in a:
+        for y in b:
+            for k in range(max(1, x + y - n), min(x, y) + 1):
+                log_p = lg(x + 1) + lg(y + 1) + lg(n - x + 1) + lg(n - y + 1) - lg(n + 1) - lg(k + 1) - lg(x - k + 1) - lg(y - k + 1) - lg(n - x - y + k + 1)
+                emi += k / n * math.log(n * k / (x * y)) * math.exp(log_p)
+    entropy = lambda c: -sum(v / n * math.log(v / n) for v in c)
+    mi = sum(v / n * math.log(n * v / (a[t - 1] * b[p - 1])) for (t, p), v in cells.items())
+    assert one(M.ami(df))["ami"] == pytest.approx((mi - emi) / ((entropy(a) + entropy(b)) / 2 - emi), abs=1e-7)

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from voxspark.plans import registry, segmentation_queries, volume_queries  # noqa: F401
+from voxspark.plans import graph_queries, registry, segmentation_queries, volume_queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -7,9 +7,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..scratch import Scratch
-from .graph import consecutive, label_components
+from .graph import label_components
 from .neighbors import boundaries
-from .tiling import AXES, SIZES, below, pad_center_crop, uniform
+from .prefix import consecutive
+from .tiling import AXES, SIZES, below, foreground_crop, random_start, uniform
+from .zoom import zoom_samples
 
 
 def flip(df: DataFrame, axes: Sequence[str], when: Column | None = None) -> DataFrame:
@@ -37,8 +39,10 @@ def transpose_xy(df: DataFrame, when: Column | None = None) -> DataFrame:
     return df.withColumns({a: F.when(on, F.col(b)).otherwise(F.col(a)) for a, b in (("y", "x"), ("x", "y"), ("h", "w"), ("w", "h"))})
 
 
-def rand_rot90(df: DataFrame, seed: int, by: str = "sample_id") -> DataFrame:
-    return rot90(df, below(F.lit(4), F.lit(seed), F.lit("rot"), by))
+def rand_rot90(df: DataFrame, seed: int, prob: float = 0.5, by: str = "sample_id") -> DataFrame:
+    """One to three quarter turns in a share of the samples."""
+    turns = 1 + below(F.lit(3), F.lit(seed), F.lit("turns"), by)
+    return rot90(df, F.when(uniform(F.lit(seed), F.lit("rot"), by) < prob, turns).otherwise(0))
 
 
 def rand_transpose_xy(df: DataFrame, seed: int, prob: float = 0.5, by: str = "sample_id") -> DataFrame:
@@ -53,7 +57,7 @@ def random_drops(samples: DataFrame, seed: int, most: int, prob: float = 1.0, co
         start = below(F.col("d") - F.col("k") + 1, F.lit(seed), F.lit("start"), "sample_id")
         return df.select("sample_id", F.explode(F.sequence(start, start + F.col("k") - 1)).alias("z"))
     z = df.withColumn("z", F.explode(F.sequence(F.lit(0), F.col("d") - 1)))
-    rank = F.row_number().over(Window.partitionBy("sample_id").orderBy(F.xxhash64(F.lit(seed), "sample_id", "z"), "z"))
+    rank = F.row_number().over(Window.partitionBy("sample_id").orderBy(uniform(F.lit(seed), F.lit("drop"), "sample_id", "z"), "z"))
     return z.withColumn("_r", rank).where("_r <= k").select("sample_id", "z")
 
 
@@ -84,27 +88,44 @@ def gamma_contrast(df: DataFrame, value: str, gamma: float | Column, by: Sequenc
     return df.join(r, list(by)).withColumn(value, v).drop("_lo", "_r")
 
 
-def gaussian_noise(df: DataFrame, value: str, std: float, seed: int, keys: Sequence[str]) -> DataFrame:
+def gaussian_noise(df: DataFrame, value: str, std: float | Column, seed: int, keys: Sequence[str], when: Column | None = None) -> DataFrame:
     """Noise by Box-Muller from hashed keys: the same however the rows are dealt out."""
     u, v = uniform(F.lit(seed), F.lit(1), *keys), uniform(F.lit(seed), F.lit(2), *keys)
-    return df.withColumn(value, F.col(value) + std * F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * 3.141592653589793 * v))
+    noisy = F.col(value) + std * F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * 3.141592653589793 * v)
+    return df.withColumn(value, noisy if when is None else F.when(when, noisy).otherwise(F.col(value)))
 
 
-def zoom_factors(samples: DataFrame, target: Sequence[float], mode: str = "ratio", u: Sequence[Column] | None = None, seed: int = 0, skip_isotropic: bool = True) -> DataFrame:
+def rand_contrast(df: DataFrame, value: str, seed: int, gamma: Sequence[float] = (0.7, 1.3), prob: float = 0.5, by: str = "sample_id") -> DataFrame:
+    """Contrast by a random gamma in a share of the samples."""
+    g = gamma[0] + (gamma[1] - gamma[0]) * uniform(F.lit(seed), F.lit("gamma"), by)
+    out = gamma_contrast(df.withColumn("_as_it_was", F.col(value)), value, g, [by])
+    on = uniform(F.lit(seed), F.lit("contrast"), by) < prob
+    return out.withColumn(value, F.when(on, F.col(value)).otherwise(F.col("_as_it_was"))).drop("_as_it_was")
+
+
+def rand_noise(df: DataFrame, value: str, seed: int, most: float = 0.05, prob: float = 0.5, by: str = "sample_id") -> DataFrame:
+    """Noise in a share of the samples, of a standard deviation drawn up to `most` for each."""
+    std = most * uniform(F.lit(seed), F.lit("std"), by)
+    return gaussian_noise(df, value, std, seed, [by, *AXES], uniform(F.lit(seed), F.lit("noise"), by) < prob)
+
+
+def zoom_factors(samples: DataFrame, target: Sequence[float] | Sequence[Sequence[float]], mode: str = "ratio", u: Sequence[Column] | None = None, seed: int = 0, skip_isotropic: bool = True) -> DataFrame:
     """zoom = native / target resolution, from native rz, ry, rx and uniform draws.
 
+    target: the range of resolutions, one for all axes or one each for z, y and x;
     ratio: one target for y, the others by their native ratio, clipped to the range;
     union: log-uniform targets for z and for (y, x); isotropic volumes stay.
     """
-    lo, hi = map(float, target)
+    ranges = [tuple(map(float, t)) for t in target] if isinstance(target[0], Sequence) else [tuple(map(float, target))] * 3
+    lo, hi = ranges[1]
     u = u or [uniform(F.lit(seed), F.lit(k), "sample_id") for k in range(2)]
     z, y, x = F.col("rz"), F.col("ry"), F.col("rx")
     if mode == "ratio":
         ty = lo + (hi - lo) * u[0]
-        clip = lambda t: F.least(F.greatest(t, F.lit(lo)), F.lit(hi))
-        targets = {"z": clip(ty * z / y), "y": ty, "x": clip(ty * x / y)}
+        clip = lambda t, k: F.least(F.greatest(t, F.lit(ranges[k][0])), F.lit(ranges[k][1]))
+        targets = {"z": clip(ty * z / y, 0), "y": ty, "x": clip(ty * x / y, 2)}
         return samples.withColumns({f"zoom_{a}": F.col(f"r{a}") / t for a, t in targets.items()})
-    log = lambda k: F.exp(F.log(F.lit(lo)) + (F.log(F.lit(hi)) - F.log(F.lit(lo))) * u[k])
+    log = lambda k: F.exp(F.log(F.lit(ranges[k][0])) + (F.log(F.lit(ranges[k][1])) - F.log(F.lit(ranges[k][0]))) * u[k])
     same = (z == y) & (y == x) if skip_isotropic else F.lit(False)
     targets = {"z": log(0), "y": log(1), "x": log(1)}
     return samples.withColumns({f"zoom_{a}": F.when(same, 1.0).otherwise(F.col(f"r{a}") / t) for a, t in targets.items()})
@@ -164,10 +185,8 @@ def with_boundaries(df: DataFrame, target: str, label: str = "label", seed: int
 
 def center_crop(df: DataFrame, size: Sequence[int]) -> DataFrame:
     """Each sample zero-padded to the size and cut to its centre; d, h and w follow."""
-    values = [c for c in df.columns if c not in ("sample_id", *AXES, *SIZES)]
-    named = df.withColumnRenamed("sample_id", "volume")
-    out = pad_center_crop(named, named.select("volume", *SIZES).distinct(), size, values).withColumnRenamed("volume", "sample_id")
-    return out.withColumns({n: F.lit(k) for n, k in zip(SIZES, size)})
+    starts = [(F.floor(F.greatest(F.col(n), F.lit(p)) / 2) - p // 2).cast("int") - pad for n, p, pad in zip(SIZES, size, _padding(size))]
+    return crop(df, starts, size)
 
 
 def relabel_parts(df: DataFrame, label: str = "label") -> DataFrame:
@@ -176,14 +195,67 @@ def relabel_parts(df: DataFrame, label: str = "label") -> DataFrame:
     return df.drop(label).join(parts.withColumnRenamed("component", label), ["sample_id", *AXES])
 
 
-def zoom(df: DataFrame, factors: Sequence[float], labels: Sequence[str] = ("label",)) -> DataFrame:
-    """Samples on a finer or coarser grid: values are interpolated, labels taken from the nearest voxel; d, h and w follow."""
-    out = None
-    for c in (c for c in df.columns if c not in ("sample_id", *AXES, *SIZES)):
-        one = resample(df.select("sample_id", *AXES, c), c, factors, "nearest" if c in labels else "linear", by=["sample_id"])
-        out = one if out is None else out.join(one, ["sample_id", *AXES])
-    sizes = out.groupBy("sample_id").agg(*((F.max(a) + 1).alias(n) for a, n in zip(AXES, SIZES)))
-    return out.join(sizes, "sample_id")
+#: Columns of a sample that all its voxels share.
+RESOLUTION = ("rz", "ry", "rx")
+
+
+def crop(df: DataFrame, starts: Sequence[Column], size: Sequence[int]) -> DataFrame:
+    """The box of this size that begins at `starts` (columns of the sample) in each sample, zero where it leaves the sample; d, h and w follow.
+
+    No voxel moves: those of the box are kept, and what is missing is made from the sample's sizes.
+    """
+    own = [c for c in RESOLUTION if c in df.columns]
+    values = [c for c in df.columns if c not in ("sample_id", *AXES, *SIZES, *own)]
+    places = [f"_s{a}" for a in AXES]
+    at = df.withColumns(dict(zip(places, starts)))
+    inside = at.withColumns({a: (F.col(a) - F.col(s)).cast("int") for a, s in zip(AXES, places)})
+    for a, p in zip(AXES, size):
+        inside = inside.where((F.col(a) >= 0) & (F.col(a) < p))
+    kept = inside.select("sample_id", *AXES, *own, *values)
+    short = at.select("sample_id", *SIZES, *own, *places).distinct()
+    beyond = F.lit(False)
+    for n, s, p in zip(SIZES, places, size):
+        beyond = beyond | (F.col(s) < 0) | (F.col(s) + p > F.col(n))
+    short = short.where(beyond)
+    for a, p in zip(AXES, size):
+        short = short.withColumn(a, F.explode(F.sequence(F.lit(0), F.lit(p - 1))))
+    out_of = F.lit(False)
+    for a, n, s in zip(AXES, SIZES, places):
+        out_of = out_of | (F.col(a) + F.col(s) < 0) | (F.col(a) + F.col(s) >= F.col(n))
+    empty = short.where(out_of).select("sample_id", *AXES, *own, *(F.lit(0).cast(df.schema[c].dataType).alias(c) for c in values))
+    return kept.unionByName(empty).withColumns({n: F.lit(p) for n, p in zip(SIZES, size)})
+
+
+def _padding(size: Sequence[int]) -> list[Column]:
+    """How far before each sample's first voxel its padded form begins."""
+    return [F.floor(F.greatest(F.lit(p) - F.col(n), F.lit(0)) / 2).cast("int") for n, p in zip(SIZES, size)]
+
+
+def random_patch(df: DataFrame, size: Sequence[int], seed: int) -> DataFrame:
+    """Each sample zero-padded to the size and cut to a random box of it."""
+    starts = [random_start(F.greatest(F.col(n), F.lit(p)), p, seed, k, "sample_id") - pad for k, (n, p, pad) in enumerate(zip(SIZES, size, _padding(size)))]
+    return crop(df, starts, size)
+
+
+def foreground_patch(df: DataFrame, size: Sequence[int], seed: int, min_foreground: float, attempts: int = 50, label: str = "label", scratch: Scratch | None = None) -> DataFrame:
+    """Each sample zero-padded to the size and cut to the first of several random boxes with enough foreground, else to the one with most."""
+    sizes = df.select("sample_id", *SIZES).distinct()
+    pads = [F.greatest(F.col(n), F.lit(p)).alias(n) for n, p in zip(SIZES, size)]
+    samples = sizes.select(F.col("sample_id").alias("i"), F.col("sample_id").alias("volume"), *pads)
+    moved = df.withColumns({a: F.col(a) + pad for a, pad in zip(AXES, _padding(size))})
+    boxes = foreground_crop(samples, moved.select(F.col("sample_id").alias("volume"), *AXES, label), label, size, min_foreground, attempts, seed, scratch=scratch)
+    found = boxes.select(F.col("i").alias("sample_id"), *(F.col(a).alias(f"_b{a}") for a in AXES))
+    at = df.join(found, "sample_id")
+    starts = [F.col(f"_b{a}") - pad for a, pad in zip(AXES, _padding(size))]
+    return crop(at, starts, size).drop(*(f"_b{a}" for a in AXES))
+
+
+def rand_zoom(df: DataFrame, target: Sequence[float] | Sequence[Sequence[float]], seed: int, mode: str = "ratio", prob: float = 1.0, values: Sequence[str] = ("val",), labels: Sequence[str] = ("label",)) -> DataFrame:
+    """Samples on the grid of a random resolution within the target, from their own (columns rz, ry, rx); sizes stay."""
+    samples = df.select("sample_id", *SIZES, "rz", "ry", "rx").distinct()
+    factors = zoom_factors(samples, target, mode, seed=seed).where(uniform(F.lit(seed), F.lit("zoom"), "sample_id") < prob)
+    out = zoom_samples(df.select("sample_id", *AXES, *values, *labels), factors.select("sample_id", *(f"zoom_{a}" for a in AXES)), values, labels)
+    return out.join(samples, "sample_id")
 
 
 def drop_sections(df: DataFrame, seed: int, most: int, value: str = "val", prob: float = 1.0) -> DataFrame:
@@ -191,25 +263,28 @@ def drop_sections(df: DataFrame, seed: int, most: int, value: str = "val", prob:
 
 
 def train_steps(
-    seed: int, value: str = "val", label: str = "label", size: Sequence[int] | None = None, boundary_target: str | None = None,
-    boundary_prob: float = 1.0, factors: Sequence[float] | None = None, parts: bool = False, most_missing: int = 0,
+    seed: int, value: str = "val", label: str = "label", size: Sequence[int] | None = None, safe_size: Sequence[int] | None = None, min_foreground: float = 0.0, attempts: int = 50,
+    target: Sequence[float] | Sequence[Sequence[float]] | None = None, mode: str = "ratio", zoom_prob: float = 1.0, boundary_target: str | None = None, boundary_prob: float = 1.0,
+    parts: bool = False, most_missing: int = 0,
 ) -> list[Callable[[DataFrame], DataFrame]]:
-    """The order for training, of samples (sample_id, z, y, x, d, h, w, value, label).
+    """The order for training, of samples (sample_id, z, y, x, d, h, w, value, label; with a target also rz, ry, rx).
 
-    Boundaries out of the label ("both"); pad and crop to the size; parts relabelled, zoom and
-    crop again; flips, turns and transpositions shared by image and label; parts relabelled;
-    contrast and noise on the image; missing sections; boundaries out of a copy ("semantic").
+    Boundaries out of the label ("both"); pad, and crop at a random place (with min_foreground: the
+    first of several with enough) to the size, or to safe_size if there is one; parts relabelled
+    and each sample zoomed by its own resolution, then cut to the size; flips, turns and transpositions
+    in half of the samples each, shared by image and label; parts relabelled; contrast and noise on
+    half of the images each; missing sections; boundaries out of a copy ("semantic").
     """
-    crop = [lambda df: center_crop(df, size)] if size else []
+    first = safe_size or size
+    cut = (lambda df: foreground_patch(df, first, seed, min_foreground, attempts, label)) if min_foreground > 0 else (lambda df: random_patch(df, first, seed))
     again = [lambda df: relabel_parts(df, label)] if parts else []
     steps = [lambda df: with_boundaries(df, "both", label, seed, boundary_prob)] if boundary_target == "both" else []
-    steps += crop
-    steps += [*again, lambda df: zoom(df, factors, (label,)), *crop] if factors else []
+    steps += [cut] if first else []
+    if target:
+        steps += [*again, lambda df: rand_zoom(df, target, seed, mode, zoom_prob, (value,), (label,))]
+        steps += [lambda df: center_crop(df, size)] if safe_size else []
     steps += [lambda df: rand_flip(df, seed), lambda df: rand_rot90(df, seed), lambda df: rand_transpose_xy(df, seed), *again]
-    steps += [
-        lambda df: gamma_contrast(df, value, 0.7 + 0.6 * uniform(F.lit(seed), F.lit("gamma"), "sample_id")),
-        lambda df: gaussian_noise(df, value, 0.05, seed, ["sample_id", *AXES]),
-    ]
+    steps += [lambda df: rand_contrast(df, value, seed), lambda df: rand_noise(df, value, seed)]
     steps += [lambda df: drop_sections(df, seed, most_missing, value)] if most_missing else []
     steps += [lambda df: with_boundaries(df, "semantic", label, seed, boundary_prob)] if boundary_target == "semantic" else []
     return steps

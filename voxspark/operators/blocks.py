@@ -1,12 +1,15 @@
 """Dense blocks of voxels, and functions of a block with a rim of its neighbours.
 
-A block row holds an array for each value of the voxels in one cell of a grid.
-``halo_apply`` sends each block to itself and, of it, only the overlapping slab to each
-neighbour: one shuffle of slabs serves all offsets, whatever their number.
+A block row holds an array for each value of the voxels in one cell of a grid.  Voxel
+rows are packed where they are read, and only packed parts of blocks move; blocks that are
+stored (see ``sources.arrays``) don't move at all.  ``halo_apply`` sends each block to
+itself and, of it, only the overlapping slab to each neighbour: one shuffle of slabs
+serves all offsets, whatever their number.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import product
@@ -15,8 +18,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..scratch import Scratch
+from .prefix import running_total
+
 AXES = ("z", "y", "x")
 DTYPES = {"double": "f8", "float": "f4", "bigint": "i8", "int": "i4", "smallint": "i2", "tinyint": "i1", "boolean": "?"}
+NAMES = {"f8": T.DoubleType(), "f4": T.FloatType(), "i8": T.LongType(), "i4": T.IntegerType(), "i2": T.ShortType(), "i1": T.ByteType(), "?": T.BooleanType()}
 
 
 @dataclass
@@ -55,44 +62,111 @@ class Region:
         return pd.DataFrame(out)
 
 
+@dataclass(frozen=True)
+class Blocks:
+    """Block rows as a table, to be given in place of voxel rows.
+
+    df holds, for each block, its volume's columns `by`, bz, by, bx, present and the values as
+    arrays in C order, and the volume's sizes d, h, w; kinds are the values' types in the arrays.
+    """
+
+    df: DataFrame
+    kinds: dict[str, str]
+    by: tuple[str, ...] = ("volume",)
+    block: tuple[int, ...] = (32, 128, 128)
+
+    @property
+    def schema(self) -> T.StructType:
+        return self.df.schema
+
+    @property
+    def sparkSession(self):
+        return self.df.sparkSession
+
+
 def volume_shapes(voxels: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, d, h, w, base): sizes, and the id of the first voxel of each volume."""
-    from pyspark.sql import Window
+    """(by, d, h, w): sizes of the volumes."""
+    return voxels.groupBy(*by).agg(*((F.max(a) + 1).cast("long").alias(n) for a, n in zip(AXES, ("d", "h", "w"))))
 
-    dims = voxels.groupBy(*by).agg(*((F.max(a) + 1).alias(n) for a, n in zip(AXES, ("d", "h", "w"))))
-    n = F.col("d").cast("long") * F.col("h") * F.col("w")
-    before = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)  # one row a volume
-    return dims.withColumn("base", F.coalesce(F.sum(n).over(before), F.lit(0)))
 
+def to_blocks(voxels: DataFrame, values: Sequence[str], by: Sequence[str] = ("volume",), block: Sequence[int] = (32, 128, 128), rows: int = 1 << 19) -> DataFrame:
+    """Block rows: by, bz, by_, bx, the values' arrays in C order, present, and the volume's sizes.
 
-def to_blocks(voxels: DataFrame, values: Sequence[str], by: Sequence[str] = ("volume",), block: Sequence[int] = (32, 128, 128)) -> DataFrame:
-    """Block rows: by, bz, by_, bx, the values' arrays in C order, present, and the volume's sizes."""
+    Each task packs its voxels, up to `rows` at a time, into parts of blocks; the parts are merged by block.
+    """
     kinds = {v: DTYPES[dict(voxels.dtypes)[v]] for v in values}
     cells = [f"b{a}" for a in AXES]
-    df = voxels.select(*by, *AXES, *values).withColumns({c: F.floor(F.col(a) / b).cast("int") for c, a, b in zip(cells, AXES, block)})
-    schema = T.StructType([voxels.schema[c] for c in by] + [T.StructField(c, T.IntegerType()) for c in cells] + [T.StructField(c, T.BinaryType()) for c in ("present", *values)])
-
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        cell = np.array(key[-3:])
-        at = tuple(pdf[a].to_numpy() - cell[k] * block[k] for k, a in enumerate(AXES))
+    keys = [voxels.schema[c] for c in by] + [T.StructField(c, T.IntegerType()) for c in cells]
+    binary = lambda *names: [T.StructField(c, T.BinaryType()) for c in names]
+    part = T.StructType([*keys, *binary("at", *values)])
+
+    def pack(held: list[pd.DataFrame]) -> pd.DataFrame:
+        pdf = pd.concat(held, ignore_index=True)
+        place = [pdf[a].to_numpy(dtype=np.int64) for a in AXES]
+        flat = np.zeros(len(pdf), dtype=np.int64)
+        for k, b in enumerate(block):
+            pdf[cells[k]] = (place[k] // b).astype(np.int32)
+            flat = flat * b + place[k] % b
+        out = []
+        for key, index in pdf.groupby([*by, *cells], sort=False, dropna=False).indices.items():
+            row = {c: None if pd.isna(v) else v for c, v in zip([*by, *cells], key)}
+            out.append(row | {"at": flat[index].astype(np.int32).tobytes()} | {v: pdf[v].to_numpy()[index].astype(k).tobytes() for v, k in kinds.items()})
+        return pd.DataFrame(out)[part.names]
+
+    def pack_all(frames):
+        held, n = [], 0
+        for pdf in frames:
+            held.append(pdf)
+            n += len(pdf)
+            if n >= rows:
+                yield pack(held)
+                held, n = [], 0
+        if n:
+            yield pack(held)
+
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         row = dict(zip([*by, *cells], key))
-        present = np.zeros(block, dtype=bool)
-        present[at] = True
-        row["present"] = present.tobytes()
-        for v in values:
-            a = np.zeros(block, dtype=kinds[v])
-            a[at] = pdf[v].to_numpy()
-            row[v] = a.tobytes()
-        return pd.DataFrame([row])
-
-    packed = df.groupBy(*by, *cells).applyInPandas(pack, schema)
-    return packed.join(volume_shapes(voxels, by), list(by))
-
-
-def halo_apply(voxels: DataFrame, values: Sequence[str], halo: Sequence[int], fn: Callable[[Region], pd.DataFrame], schema: str | T.StructType, by: Sequence[str] = ("volume",), block: Sequence[int] = (32, 128, 128)) -> DataFrame:
-    """fn of each block with a rim of `halo` voxels on both sides of each axis."""
-    kinds = {"present": "?", **{v: DTYPES[dict(voxels.dtypes)[v]] for v in values}}
-    blocks = to_blocks(voxels, values, by, block)
+        arrays = {"present": np.zeros(math.prod(block), dtype=bool)} | {v: np.zeros(math.prod(block), dtype=k) for v, k in kinds.items()}
+        for r in pdf.to_dict("records"):
+            at = np.frombuffer(r["at"], dtype=np.int32)
+            arrays["present"][at] = True
+            for v, k in kinds.items():
+                arrays[v][at] = np.frombuffer(r[v], dtype=k)
+        return pd.DataFrame([row | {c: a.tobytes() for c, a in arrays.items()}])
+
+    packed = voxels.select(*by, *AXES, *values).mapInPandas(pack_all, part).groupBy(*by, *cells).applyInPandas(merge, T.StructType([*keys, *binary("present", *values)]))
+    shapes = volume_shapes(voxels, by).select(*(F.col(c).alias(f"_{c}") for c in by), "d", "h", "w")
+    same = [packed[c].eqNullSafe(shapes[f"_{c}"]) for c in by]
+    return packed.join(shapes, same).drop(*(f"_{c}" for c in by)) if by else packed.crossJoin(F.broadcast(shapes))  # one row
+
+
+def block_rows(voxels: DataFrame | Blocks, values: Sequence[str], by: Sequence[str], block: Sequence[int]) -> tuple[DataFrame, dict[str, str]]:
+    """Block rows of voxels, or the blocks themselves if they are cut alike; and the values' types."""
+    if isinstance(voxels, Blocks):
+        if tuple(voxels.block) != tuple(block) or tuple(voxels.by) != tuple(by):
+            raise ValueError(f"the blocks are {voxels.block} by {voxels.by}")
+        return voxels.df.select(*by, *(f"b{a}" for a in AXES), "present", *values, "d", "h", "w"), {v: voxels.kinds[v] for v in values}
+    return to_blocks(voxels, values, by, block), {v: DTYPES[dict(voxels.dtypes)[v]] for v in values}
+
+
+def with_bases(blocks: DataFrame, shapes: DataFrame, by: Sequence[str], scratch: Scratch) -> DataFrame:
+    """blocks with base, the id of their volume's first voxel, when all volumes' voxels are numbered in a row."""
+    n = shapes.select(*by, (F.col("d").cast("long") * F.col("h") * F.col("w")).alias("_n")) if by else shapes.limit(0)
+    if not by:
+        return blocks.withColumn("base", F.lit(0).cast("long"))
+    base = running_total(n, list(by), "_n", scratch, "base").select(*(F.col(c).alias(f"_{c}") for c in by), "base")
+    return blocks.join(base, [blocks[c].eqNullSafe(base[f"_{c}"]) for c in by]).drop(*(f"_{c}" for c in by))
+
+
+def halo_apply(voxels: DataFrame | Blocks, values: Sequence[str], halo: Sequence[int], fn: Callable[[Region], pd.DataFrame], schema: str | T.StructType, by: Sequence[str] = ("volume",), block: Sequence[int] = (32, 128, 128), numbered: Scratch | None = None) -> DataFrame:
+    """fn of each block with a rim of `halo` voxels on both sides of each axis; with `numbered`, voxel ids differ between volumes too."""
+    blocks, kinds = block_rows(voxels, values, by, block)
+    kinds = {"present": "?", **kinds}
+    if numbered is None:
+        blocks = blocks.withColumn("base", F.lit(0).cast("long"))
+    else:
+        shapes = voxels.df.select(*by, "d", "h", "w").distinct() if isinstance(voxels, Blocks) else volume_shapes(voxels, by)
+        blocks = with_bases(blocks, shapes, by, numbered)
     cells = [f"b{a}" for a in AXES]
     reach = [-(-h // b) for h, b in zip(halo, block)]
     slab = T.StructType([voxels.schema[c] for c in by] + [T.StructField(c, T.IntegerType()) for c in cells] + [T.StructField(c, T.LongType()) for c in ("d", "h", "w", "base")] + [T.StructField("part", T.ArrayType(T.IntegerType()))] + [T.StructField(c, T.BinaryType()) for c in kinds])
@@ -131,5 +205,5 @@ def halo_apply(voxels: DataFrame, values: Sequence[str], halo: Sequence[int], fn
     return blocks.mapInPandas(send, slab).groupBy(*by, *cells).applyInPandas(meet, schema)
 
 
-def voxel_schema(voxels: DataFrame, by: Sequence[str], **columns: T.DataType) -> T.StructType:
+def voxel_schema(voxels: DataFrame | Blocks, by: Sequence[str], **columns: T.DataType) -> T.StructType:
     return T.StructType([voxels.schema[c] for c in by] + [T.StructField(a, T.IntegerType()) for a in AXES] + [T.StructField(c, k) for c, k in columns.items()])

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..scratch import Scratch
+from .prefix import running_total
 
 AXES = ("z", "y", "x")
 EXTENSIONS = (".h5", ".hdf5", ".tif", ".tiff")
 
 
-def volume_catalog(specs: DataFrame, files: DataFrame, extensions: Sequence[str] = EXTENSIONS) -> DataFrame:
+def volume_catalog(specs: DataFrame, files: DataFrame, extensions: Sequence[str] = EXTENSIONS, scratch: Scratch | None = None) -> DataFrame:
     """Resolve specs(vol, seg) against files(base, ext, voxels): the first extension in order wins.
 
     A spec without an image is skipped, one without a segmentation is image only.
@@ -21,7 +24,8 @@ def volume_catalog(specs: DataFrame, files: DataFrame, extensions: Sequence[str]
     image = known.select(F.col("base").alias("vol"), F.col("f.ext").alias("image_ext"), F.col("f.voxels").alias("voxels"))
     seg = known.select(F.col("base").alias("seg"), F.col("f.ext").alias("seg_ext"))
     found = specs.join(image, "vol").join(seg, "seg", "left")
-    return found.withColumn("upto", F.sum("voxels").over(Window.orderBy("vol").rowsBetween(Window.unboundedPreceding, 0)))
+    before = running_total(found, ["vol"], "voxels", scratch or Scratch(specs.sparkSession, "catalog"), "_before")
+    return before.withColumn("upto", F.col("_before") + F.coalesce("voxels", F.lit(0))).drop("_before")
 
 
 def in_box(origin: Sequence[int], size: Sequence[int]) -> Column:

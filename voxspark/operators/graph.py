@@ -6,12 +6,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..scratch import Scratch
-from .blocks import Region, halo_apply, voxel_schema
+from .blocks import Blocks, Region, halo_apply, voxel_schema
 from .components import connected, local_roots
+from .lines import nearest, nearest_labels
 from .neighbors import build_edges, cap_push_edges, neighbours
+from .prefix import consecutive
 
 
 def resolve_roots(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -22,15 +24,7 @@ def resolve_roots(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
 
 
-def consecutive(ids: DataFrame, column: str, scratch: Scratch) -> DataFrame:
-    """(column, rank) of distinct ids, from 1 in order, without a single-task sort: ranks within ranges plus the ranges' offsets."""
-    parts = scratch.keep(ids.repartitionByRange(F.col(column)).withColumn("_p", F.spark_partition_id()), "ids")
-    offsets = parts.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(column))
-    return parts.withColumn("_r", rank).join(F.broadcast(offsets), "_p").select(column, (F.col("_r") + F.col("_before")).cast("long").alias("rank"))
-
-
-def label_components(df: DataFrame, label: str = "label", connectivity: int = 1, min_voxels: int = 0, by: Sequence[str] = ("volume",), block: Sequence[int] = (32, 128, 128), steps: Sequence[Sequence[int]] | None = None, scratch: Scratch | None = None) -> DataFrame:
+def label_components(df: DataFrame | Blocks, label: str = "label", connectivity: int = 1, min_voxels: int = 0, by: Sequence[str] = ("volume",), block: Sequence[int] = (32, 128, 128), steps: Sequence[Sequence[int]] | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(by, z, y, x, component): connected voxels of one label; background 0.
 
     Ids go from 1 by each component's first voxel; components under min_voxels
@@ -67,7 +61,7 @@ def label_components(df: DataFrame, label: str = "label", connectivity: int = 1,
         return pd.concat([out.assign(link=False), links.assign(link=True, z=0, y=0, x=0)])[schema.names]
 
     schema = voxel_schema(df, by, node=T.LongType(), root=T.LongType(), link=T.BooleanType())
-    parts = scratch.keep(halo_apply(df, [label], (1, 1, 1), local, schema, by, block), "local")
+    parts = scratch.keep(halo_apply(df, [label], (1, 1, 1), local, schema, by, block, numbered=scratch), "local")
     voxels = parts.where("NOT link")
     cross = parts.where("link").select("node", F.col("root").alias("other"))
     at = voxels.where("root >= 0").select("node", "root")
@@ -242,25 +236,18 @@ def agglomerate(df: DataFrame, offsets, n_pull: int, aff: str = "aff", mask: str
     return size_filter(out, min_size, by=by) if min_size else out
 
 
-def grow_labels(df: DataFrame, label: str = "label", max_distance: int = 3, sampling: Sequence[float] = (1.0, 1.0, 1.0), by: Sequence[str] = ("volume",), block: Sequence[int] = (32, 128, 128)) -> DataFrame:
-    """Background voxels within max_distance take the nearest label; ties go to the first (z, y, x)."""
-    reach = [int(max_distance // s) for s in sampling]
-    steps = [(dz, dy, dx) for dz in range(-reach[0], reach[0] + 1) for dy in range(-reach[1], reach[1] + 1) for dx in range(-reach[2], reach[2] + 1)]
-    far = lambda s: sum((d * k) ** 2 for d, k in zip(s, sampling))
-    steps = sorted((s for s in steps if 0 < far(s) <= max_distance**2), key=lambda s: (far(s), s))
+def grow_labels(df: DataFrame | Blocks, label: str = "label", max_distance: float = 3, sampling: Sequence[float] = (1.0, 1.0, 1.0), by: Sequence[str] = ("volume",), block: Sequence[int] = (32, 128, 128)) -> DataFrame:
+    """Background voxels within max_distance take the nearest label; ties go to the first (z, y, x).
+
+    With max_distance of 0 or less all background is filled (a volume without labels stays as it is).
+    A limit needs blocks with a rim of that width only; without one, lines cross the whole volume.
+    """
+    if max_distance <= 0:
+        return nearest(df, label, sampling, carry=True, by=by, block=block).select(*by, "z", "y", "x", F.col("carried").alias(label))
 
     def grow(r: Region) -> pd.DataFrame:
-        own = r.arrays[label][r.core].copy()
-        open_ = own == 0
-        z, y, x = (np.arange(c.start, c.stop) + o for c, o in zip(r.core, r.origin))
-        for s in steps:
-            if not open_.any():
-                break
-            a, b, c = (((i + d >= 0) & (i + d < n)) for i, d, n in zip((z, y, x), s, r.shape))
-            other = np.where(a[:, None, None] & b[None, :, None] & c[None, None, :], r.shifted(r.arrays[label], s), 0)
-            take = open_ & (other != 0)
-            own[take] = other[take]
-            open_ &= ~take
-        return r.rows(by, **{label: own})
+        squared, found = nearest_labels(np.where(r.present, r.arrays[label], 0), sampling)
+        return r.rows(by, **{label: np.where(squared <= max_distance**2, found, 0)[r.core].astype(np.int64)})
 
+    reach = [int(max_distance // s) for s in sampling]
     return halo_apply(df, [label], reach, grow, voxel_schema(df, by, **{label: T.LongType()}), by, block)

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .blocks import Region, halo_apply, voxel_schema
+from .blocks import NAMES, Blocks, Region, halo_apply, voxel_schema
 
 BLOCK = (32, 128, 128)
 
@@ -20,7 +20,7 @@ def neighbours(connectivity: int, xy_only: bool = False) -> list[tuple[int, int,
     return [s for s in steps if s[0] == 0] if xy_only else steps
 
 
-def boundaries(df: DataFrame, label: str = "label", mode: str = "inner", connectivity: int = 1, xy_only: bool = False, by: Sequence[str] = ("volume",), block: Sequence[int] = BLOCK) -> DataFrame:
+def boundaries(df: DataFrame | Blocks, label: str = "label", mode: str = "inner", connectivity: int = 1, xy_only: bool = False, by: Sequence[str] = ("volume",), block: Sequence[int] = BLOCK) -> DataFrame:
     """(by, z, y, x, label, boundary): voxels with a neighbour of another label; neighbours beyond the volume are equal.
 
     inner: on foreground; outer: on background, and in 3-D also where two objects touch;
@@ -46,7 +46,7 @@ def boundaries(df: DataFrame, label: str = "label", mode: str = "inner", connect
     return halo_apply(df, [label], (0 if xy_only else 1, 1, 1), find, voxel_schema(df, by, **{label: T.LongType(), "boundary": T.BooleanType()}), by, block)
 
 
-def erode_boundaries(df: DataFrame, label: str = "label", mode: str = "inner", connectivity: int = 1, pixel_size: Sequence[float] | None = None, by: Sequence[str] = ("volume",)) -> DataFrame:
+def erode_boundaries(df: DataFrame | Blocks, label: str = "label", mode: str = "inner", connectivity: int = 1, pixel_size: Sequence[float] | None = None, by: Sequence[str] = ("volume",)) -> DataFrame:
     """Boundary voxels become background; within sections only, where z is over twice as coarse."""
     flat = pixel_size is not None and pixel_size[0] / min(pixel_size[1:]) > 2
     edge = boundaries(df, label, mode, connectivity, flat, by)
@@ -57,7 +57,7 @@ def _reach(offsets: Sequence[Sequence[int]]) -> list[int]:
     return [max(abs(o[k]) for o in offsets) for k in range(3)]
 
 
-def shift(df: DataFrame, offset: Sequence[int], column: str, by: Sequence[str] = ("volume",), block: Sequence[int] = BLOCK) -> DataFrame:
+def shift(df: DataFrame | Blocks, offset: Sequence[int], column: str, by: Sequence[str] = ("volume",), block: Sequence[int] = BLOCK) -> DataFrame:
     """(by, z, y, x, column): the value at each voxel moved by the offset, clamped to the volume."""
 
     def move(r: Region) -> pd.DataFrame:
@@ -65,10 +65,11 @@ def shift(df: DataFrame, offset: Sequence[int], column: str, by: Sequence[str] =
             raise ValueError("the offset is not smaller than the volume")
         return r.rows(by, **{column: r.shifted(r.arrays[column], offset)})
 
-    return halo_apply(df, [column], _reach([offset]), move, voxel_schema(df, by, **{column: df.schema[column].dataType}), by, block)
+    kind = NAMES[df.kinds[column]] if isinstance(df, Blocks) else df.schema[column].dataType
+    return halo_apply(df, [column], _reach([offset]), move, voxel_schema(df, by, **{column: kind}), by, block)
 
 
-def affinities(df: DataFrame, offsets: Sequence[Sequence[int]], label: str = "label", background: int | None = None, by: Sequence[str] = ("volume",), block: Sequence[int] = BLOCK) -> DataFrame:
+def affinities(df: DataFrame | Blocks, offsets: Sequence[Sequence[int]], label: str = "label", background: int | None = None, by: Sequence[str] = ("volume",), block: Sequence[int] = BLOCK) -> DataFrame:
     """(by, z, y, x, label, aff, valid): for each offset, whether the moved voxel has the same label, and whether both are foreground.
 
     All offsets in one pass.  Voxels with the label `background` have no affinity.
@@ -89,15 +90,15 @@ def affinities(df: DataFrame, offsets: Sequence[Sequence[int]], label: str = "la
     return halo_apply(df, [label], _reach(offsets), compare, voxel_schema(df, by, **{label: T.LongType(), "aff": bits, "valid": bits}), by, block)
 
 
-def affinity_targets(df: DataFrame, offsets, label: str = "label", background: int | None = None, by: Sequence[str] = ("volume",)) -> DataFrame:
+def affinity_targets(df: DataFrame | Blocks, offsets, label: str = "label", background: int | None = None, by: Sequence[str] = ("volume",)) -> DataFrame:
     return affinities(df, offsets, label, background, by).drop("valid")
 
 
-def affinity_validity(df: DataFrame, offsets, label: str = "label", by: Sequence[str] = ("volume",)) -> DataFrame:
+def affinity_validity(df: DataFrame | Blocks, offsets, label: str = "label", by: Sequence[str] = ("volume",)) -> DataFrame:
     return affinities(df, offsets, label, None, by).drop("aff")
 
 
-def channel_targets(df: DataFrame, offsets, label: str = "label", background: int | None = None, by: Sequence[str] = ("volume",)) -> DataFrame:
+def channel_targets(df: DataFrame | Blocks, offsets, label: str = "label", background: int | None = None, by: Sequence[str] = ("volume",)) -> DataFrame:
     """Affinities and masks in one table, to be kept for all later uses."""
     return affinities(df, offsets, label, background, by)
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..scratch import Scratch
-from .graph import consecutive
+from .prefix import consecutive
 
 
 def _range(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,72 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .blocks import Region, halo_apply, voxel_schema
+from .lines import edt  # noqa: F401
 
 AXES = ("z", "y", "x")
 
 
-def _nearest_1d(at: np.ndarray, squares: np.ndarray, step: float) -> np.ndarray:
-    """min over j of squares[j] + (step * (at[i] - at[j]))**2 for a line with rising positions `at`.
-
-    By the lower envelope of the parabolas: time and memory grow with the line's length.
-    """
-    finite = np.flatnonzero(np.isfinite(squares))
-    if not len(finite):
-        return np.full(len(squares), math.inf)
-    low, since = [], []  # parabolas of the envelope, and from which position each is the lowest
-    top: list[tuple[float, float]] = []
-    for j, p, f in zip(finite.tolist(), at[finite].tolist(), (squares[finite] / step**2).tolist()):
-        cross = -math.inf
-        while top:
-            q, g = top[-1]
-            cross = (f - g) / (2 * (p - q)) + (p + q) / 2
-            if cross > since[-1]:
-                break
-            top.pop(), low.pop(), since.pop()
-            cross = -math.inf
-        top.append((p, f)), low.append(j), since.append(cross)
-    k = np.searchsorted(since, at, side="right") - 1
-    cost = [squares[j] + (step * (at - at[j])) ** 2 for j in (np.array(low)[np.clip(k + d, 0, len(low) - 1)] for d in (-1, 0, 1))]  # neighbours: for rounding at a crossing
-    return np.minimum.reduce(cost)
-
-
-def edt(df: DataFrame, mask: str, sampling: Sequence[float] = (1.0, 1.0, 1.0), by: Sequence[str] = ("volume",)) -> DataFrame:
-    """(by, z, y, x, distance) to the nearest zero of the mask: exact, in one pass of lines along each axis.
-
-    Each pass streams rows sorted by line, so a task holds a batch of rows and one line, in
-    memory that grows with the line's length; without any zero the distance is infinite.
-    """
-    cur = df.select(*by, *AXES, F.when(F.col(mask), math.inf).otherwise(0.0).alias("_q"))
-    for axis, step in reversed(list(zip(AXES, sampling))):
-        line = [*by, *(a for a in AXES if a != axis)]
-
-        def run(frames, axis=axis, step=step, line=line):
-            held = []
-            for pdf in frames:
-                key, before = pdf[line], pdf[line].shift()
-                new = ~((key == before) | (key.isna() & before.isna())).all(axis=1).to_numpy()
-                new[:1] = bool(held) and any(not (u == v or (pd.isna(u) and pd.isna(v))) for u, v in zip(held[-1][line].iloc[-1], key.iloc[0])) if len(pdf) else False
-                cuts = np.flatnonzero(new)
-                if not len(cuts):
-                    held += [pdf] if len(pdf) else []
-                    continue
-                whole = pd.concat([*held, pdf.iloc[: cuts[-1]]], ignore_index=True)
-                starts = np.concatenate([[0], cuts + len(whole) - cuts[-1]]).astype(int)
-                yield nearest(whole, starts, axis, step)
-                held = [pdf.iloc[cuts[-1] :]]
-            if held:
-                whole = pd.concat(held, ignore_index=True)
-                yield nearest(whole, np.array([0, len(whole)]), axis, step)
-
-        def nearest(pdf, bounds, axis, step):
-            at, q = pdf[axis].to_numpy(dtype=np.float64), pdf["_q"].to_numpy()
-            out = [_nearest_1d(at[i:j], q[i:j], step) for i, j in zip(bounds, bounds[1:])]
-            return pdf.assign(_q=np.concatenate(out) if out else q)
-
-        cur = cur.repartition(*line).sortWithinPartitions(*line, axis).mapInPandas(run, cur.schema)
-    return cur.select(*by, *AXES, F.sqrt("_q").alias("distance"))
-
-
 def gaussian_kernel(sigma: float, truncate: float = 4.0) -> np.ndarray:
     r = int(truncate * sigma + 0.5)
     k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2) if sigma > 0 else np.ones(1)

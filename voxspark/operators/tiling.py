@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..scratch import Scratch
+from .blocks import Blocks
+from .boxes import box_counts
 from .catalog import crop_boxes
+from .prefix import running_total
 
 AXES, SIZES = ("z", "y", "x"), ("d", "h", "w")
 
@@ -35,44 +39,64 @@ def extract_patches(voxels: DataFrame, patches: DataFrame, cell: int = 16) -> Da
 
 
 def uniform(*parts: Column | str) -> Column:
-    """A number in [0, 1) from a hash of its arguments: the same however rows are dealt out."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11) / float(1 << 53)
+    """A number in [0, 1) from the MD5 of its arguments, joined by "|": the same however rows are dealt out, and in any engine."""
+    text = F.concat_ws("|", *((F.col(p) if isinstance(p, str) else p).cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / float(1 << 52)
 
 
 def below(n: Column, *parts: Column | str) -> Column:
     return F.floor(uniform(*parts) * n).cast("int")
 
 
-def weighted_volume_pick(samples: DataFrame, volumes: DataFrame, seed: int, cells: int = 4096) -> DataFrame:
-    """A volume for each sample(i), in proportion to its voxels: an equi-join on cells of the running total, tested exactly."""
-    w = Window.orderBy("volume").rowsBetween(Window.unboundedPreceding, 0)  # one row a volume
+def weighted_volume_pick(samples: DataFrame, volumes: DataFrame, seed: int, cells: int = 4096, u: Column | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """A volume for each sample(i), in proportion to its voxels: an equi-join on cells of the running total, tested exactly.
+
+    u: a number in [0, 1) for each sample, in place of one drawn from the seed.
+    """
     n = F.col("d").cast("long") * F.col("h") * F.col("w")
     total = F.broadcast(volumes.agg(F.sum(n).cast("double").alias("total")))  # one row
     cell = lambda v: F.floor(v / F.col("total") * cells)
-    ranges = volumes.withColumn("upto", F.sum(n).over(w)).withColumn("from", F.col("upto") - n).crossJoin(total)
+    ranges = running_total(volumes.withColumn("_n", n), ["volume"], "_n", scratch or Scratch(volumes.sparkSession, "pick"), "from")
+    ranges = ranges.withColumn("upto", F.col("from") + F.col("_n")).drop("_n").crossJoin(total)
     ranges = ranges.withColumn("cell", F.explode(F.sequence(cell(F.col("from")), cell(F.col("upto") - 1)))).drop("total")
-    drawn = samples.crossJoin(total).withColumn("r", F.floor(uniform(F.lit(seed), "i") * F.col("total"))).withColumn("cell", cell(F.col("r"))).drop("total")
+    drawn = samples.crossJoin(total).withColumn("r", F.floor((uniform(F.lit(seed), "i") if u is None else u) * F.col("total"))).withColumn("cell", cell(F.col("r"))).drop("total")
     return drawn.join(ranges, "cell").where((F.col("r") >= F.col("from")) & (F.col("r") < F.col("upto"))).drop("cell", "r", "from", "upto")
 
 
-def random_crop(samples: DataFrame, patch: Sequence[int], seed: int) -> DataFrame:
+def random_start(size: Column, patch: int, seed: int, axis: int, *keys: Column | str) -> Column:
+    """Where a patch begins along an axis of this size."""
+    return below(F.greatest(size - patch, F.lit(0)) + 1, F.lit(seed), F.lit(axis), *keys)
+
+
+def random_crop(samples: DataFrame, patch: Sequence[int], seed: int, keys: Sequence[str] = ("i",)) -> DataFrame:
     """A box of the patch's size at a random place of each sample(i, volume, d, h, w)."""
     out = samples
     for k, (a, n, p) in enumerate(zip(AXES, SIZES, patch)):
-        out = out.withColumns({a: below(F.greatest(F.col(n) - p, F.lit(0)) + 1, F.lit(seed), "i", F.lit(k)), f"s{a}": F.least(F.col(n), F.lit(p))})
+        out = out.withColumns({a: random_start(F.col(n), p, seed, k, *keys), f"s{a}": F.least(F.col(n), F.lit(p))})
     return out
 
 
-def foreground_crop(samples: DataFrame, voxels: DataFrame, label: str, patch: Sequence[int], min_foreground: float, attempts: int, seed: int) -> DataFrame:
-    """The first of several random boxes with enough foreground, else the one with most."""
-    tries = random_crop(samples.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))).withColumn("_i", F.struct("i", "attempt")).drop("i").withColumnRenamed("_i", "i"), patch, seed)
-    tries = tries.select(F.col("i.i").alias("i"), "attempt", "volume", *AXES, "sz", "sy", "sx")
-    boxes = tries.withColumn("name", F.format_string("%s/%s", F.col("i"), F.col("attempt")))
-    fg = crop_boxes(voxels.where(F.col(label) > 0).select("volume", *AXES), boxes.select("name", "volume", *AXES, "sz", "sy", "sx")).groupBy("name").agg(F.count("*").alias("fg"))
-    scored = boxes.join(fg, "name", "left").withColumn("ratio", F.coalesce("fg", F.lit(0)) / (F.col("sz") * F.col("sy") * F.col("sx")))
+def foreground_crop(samples: DataFrame, voxels: DataFrame | Blocks, label: str, patch: Sequence[int], min_foreground: float, attempts: int, seed: int, block: Sequence[int] = (32, 128, 128), scratch: Scratch | None = None) -> DataFrame:
+    """The first of several random boxes of each sample(i, volume, d, h, w) with enough foreground, else the first with most.
+
+    Further boxes are drawn only for samples whose first one has too little.
+    """
+    scratch = scratch or Scratch(samples.sparkSession, "crops")
+
+    def tried(some: DataFrame, first: int, last: int) -> DataFrame:
+        each = some.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("box", F.struct("i", "attempt"))
+        boxes = random_crop(each, patch, seed, ("i", "attempt"))
+        n = box_counts(voxels, label, boxes, block=block).withColumnRenamed("n", "_fg")
+        scored = boxes.join(n, "box", "left").withColumn("ratio", F.coalesce("_fg", F.lit(0)) / (F.col("sz") * F.col("sy") * F.col("sx")))
+        return scored.select("i", "volume", *AXES, "sz", "sy", "sx", "attempt", "ratio")
+
+    found = scratch.keep(tried(samples, 0, 0), "first")
+    if attempts > 1:
+        short = samples.join(found.where(F.col("ratio") < min_foreground).select("i"), "i", "left_semi")
+        found = found.unionByName(scratch.keep(tried(short, 1, attempts - 1), "more"))
     passed = F.col("ratio") >= min_foreground
     order = F.struct(passed, F.when(passed, -F.col("attempt")).otherwise(0), F.col("ratio"), -F.col("attempt"))
-    return scored.groupBy("i").agg(F.max_by(F.struct("volume", *AXES, "sz", "sy", "sx", "attempt", "ratio"), order).alias("b")).select("i", "b.*")
+    return found.groupBy("i").agg(F.max_by(F.struct("volume", *AXES, "sz", "sy", "sx", "attempt", "ratio"), order).alias("b")).select("i", "b.*")
 
 
 def virtual_epoch(spark: SparkSession, entries: DataFrame, n: int) -> DataFrame:

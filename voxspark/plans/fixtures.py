@@ -62,3 +62,13 @@ def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CROPS = """crop AS (SELECT 'c' || p_partkey AS name, 'V1' AS volume, CAST(p_partkey % 11 - 1 AS INTEGER) AS z, CAST(p_partkey % 53 - 2 AS INTEGER) AS y, CAST(p_partkey % 67 - 2 AS INTEGER) AS x,
 CAST(1 + p_partkey % 4 AS INTEGER) AS sz, CAST(1 + p_partkey % 9 AS INTEGER) AS sy, CAST(1 + p_partkey % 13 AS INTEGER) AS sx FROM part)"""
+
+
+def draw_sql(*parts) -> str:
+    """The number in [0, 1) that tiling.uniform draws from these parts."""
+    return f"(CAST('0x' || substr(md5(concat_ws('|', {', '.join(map(str, parts))})), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE))"
+
+
+def start_sql(size, patch, seed, axis, *keys) -> str:
+    """The place that tiling.random_start draws."""
+    return f"CAST(floor({draw_sql(seed, axis, *keys)} * (greatest({size} - {patch}, 0) + 1)) AS INTEGER)"

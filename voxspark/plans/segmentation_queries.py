@@ -226,13 +226,6 @@ def score_patches(spark, d):
     return r6(scored(spark, d), "val").select("z", "y", "x", "lz", "val")
 
 
-@query(with_v1("SELECT z, y, x, round(sum(val * wt) / (sum(wt) + 1e-8), 6) AS val FROM (SELECT *, exp(-((lz - 2) ** 2 + (y - 25) ** 2 + (x - 32) ** 2) / (2 * 40.0 ** 2)) AS wt FROM sc) GROUP BY z, y, x", VOLUMES, WIN))
-def blend_patches(spark, d):
-    s = scored(spark, d)
-    w = B.gaussian_weight((4, 50, 64), 10.0)
-    return s.groupBy("z", "y", "x").agg(F.round(F.sum(F.col("val") * w) / (F.sum(w) + 1e-8), 6).alias("val"))
-
-
 @query(with_v1("SELECT z, y, x, round(sum(val) / (count(*) + 1e-8), 6) AS val FROM sc GROUP BY z, y, x", VOLUMES, WIN))
 def blend_average(spark, d):
     return r6(B.blend_patches(scored(spark, d), "val", (4, 50, 64), "average"), "val").select("z", "y", "x", "val")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import augment as A, catalog as C, normalize as N, tiling as T, views as W
-from ..operators.graph import consecutive
+from ..operators.prefix import consecutive
 from ..scratch import Scratch
-from .fixtures import CROPS, VOLUMES, crops, table, v1, volumes_of, with_v1
+from .fixtures import CROPS, VOLUMES, crops, draw_sql, start_sql, table, v1, volumes_of, with_v1
 from .registry import query
 
 RESOLUTIONS = {"AC": (30, 6, 6), "neurons": (30, 6, 6), "minnie65": (40, 8, 8), "cremi3d": (40, 4, 4), "fib253d": (8, 8, 8), "fib253d_z32": (32, 8, 8)}
@@ -369,7 +369,9 @@ def masked_panels(spark, d):
     return W.masked_panels(v, W.panel_indices(5, 1, 2)[:1] + [2]).select("z", "y", "x", "seg_masked", F.round(F.element_at("aff_masked", -1), 6).alias("last_aff"))
 
 
-@query()
+@query(f"""WITH vo AS (SELECT printf('v%09d', p_partkey) AS volume, (5 + p_partkey % 20) * 8 * (1 + p_partkey % 7) AS n FROM part),
+u AS (SELECT volume, sum(n) OVER (ORDER BY volume) AS upto, sum(n) OVER (ORDER BY volume) - n AS since, sum(n) OVER () AS total FROM vo)
+SELECT i, volume FROM (SELECT doc_id AS i, {draw_sql(3, "doc_id")} AS r FROM documents) JOIN u ON floor(r * CAST(total AS DOUBLE)) >= since AND floor(r * CAST(total AS DOUBLE)) < upto""")
 def weighted_volume_pick(spark, d):
     """A volume for each document, in proportion to the voxels of as many volumes as there are parts."""
     k = F.col("p_partkey")
@@ -378,21 +380,30 @@ def weighted_volume_pick(spark, d):
     return T.weighted_volume_pick(samples, volumes, 3).select("i", "volume")
 
 
-@query()
+@query(with_v1(f"SELECT doc_id AS i, {start_sql('d', 4, 5, 0, 'doc_id')} AS z, {start_sql('h', 16, 5, 1, 'doc_id')} AS y, {start_sql('w', 16, 5, 2, 'doc_id')} AS x, least(d, 4) AS sz, least(h, 16) AS sy, least(w, 16) AS sx FROM documents, vol", VOLUMES))
 def random_crop(spark, d):
     sizes = volumes_of(v1(spark, d))
     samples = table(spark, d, "documents").select(F.col("doc_id").alias("i"), F.lit("V1").alias("volume")).join(sizes, "volume")
     return T.random_crop(samples, (4, 16, 16), 5).select("i", "z", "y", "x", "sz", "sy", "sx")
 
 
-@query()
+TRIES = f"""tr AS (SELECT doc_id AS i, a AS attempt, {start_sql('d', 2, 5, 0, 'doc_id', 'a')} AS z0, {start_sql('h', 6, 5, 1, 'doc_id', 'a')} AS y0, {start_sql('w', 6, 5, 2, 'doc_id', 'a')} AS x0 FROM documents, vol, range(0, 3) t(a)),
+fg AS (SELECT i, attempt, any_value(z0) AS z, any_value(y0) AS y, any_value(x0) AS x, avg(CASE WHEN gt > 0 THEN 1 ELSE 0 END) AS ratio FROM tr JOIN v ON v.z >= z0 AND v.z < z0 + 2 AND v.y >= y0 AND v.y < y0 + 6 AND v.x >= x0 AND v.x < x0 + 6 GROUP BY i, attempt),
+rk AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY CASE WHEN ratio >= 0.85 THEN attempt ELSE 99 END, ratio DESC, attempt) AS r FROM fg)"""
+
+
+@query(with_v1("SELECT i, z, y, x, CAST(attempt AS INTEGER) AS attempt, round(ratio, 6) AS ratio FROM rk WHERE r = 1", VOLUMES, TRIES))
 def foreground_crop(spark, d):
     v = v1(spark, d)
     samples = table(spark, d, "documents").select(F.col("doc_id").alias("i"), F.lit("V1").alias("volume")).join(volumes_of(v), "volume")
-    return T.foreground_crop(samples, v, "gt", (2, 6, 6), 0.85, 3, 5).select("i", "z", "y", "x", "attempt", F.round("ratio", 6).alias("ratio"))
+    return T.foreground_crop(samples, v, "gt", (2, 6, 6), 0.85, 3, 5, (4, 32, 32)).select("i", "z", "y", "x", "attempt", F.round("ratio", 6).alias("ratio"))
+
+
+def noise_sql(std: str, seed: int, *keys: str) -> str:
+    return f"{std} * sqrt(-2 * ln(1 - {draw_sql(seed, 1, *keys)})) * cos(2 * pi() * {draw_sql(seed, 2, *keys)})"
 
 
-@query()
+@query(with_v1(f"SELECT z, y, x, round(val + {noise_sql('0.05', 7, 'volume', 'z', 'y', 'x')}, 6) AS val FROM v"))
 def gaussian_noise(spark, d):
     return A.gaussian_noise(v1(spark, d), "val", 0.05, 7, ["volume", "z", "y", "x"]).select("z", "y", "x", F.round("val", 6).alias("val"))
 
@@ -404,11 +415,60 @@ def samples_of_sections(spark, d, depth=5):
     return df.join(sizes, "sample_id")
 
 
-@query()
+def resolved(spark, d):
+    """Samples of two resolutions."""
+    even = F.col("sample_id") % 2 == 0
+    return samples_of_sections(spark, d).withColumns({"rz": F.when(even, 30).otherwise(40), "ry": F.when(even, 6).otherwise(8), "rx": F.when(even, 6).otherwise(8)})
+
+
+TARGET = ((30, 40), (5, 7), (5, 7))
+ZOOMED = f"""sm AS (SELECT z // 5 AS s, CAST(max(z % 5) + 1 AS BIGINT) AS d, CAST(50 AS BIGINT) AS h, CAST(64 AS BIGINT) AS w, CASE WHEN z // 5 % 2 = 0 THEN 30.0::DOUBLE ELSE 40 END AS rz, CASE WHEN z // 5 % 2 = 0 THEN 6.0::DOUBLE ELSE 8 END AS ry FROM v GROUP BY z // 5),
+zf AS (SELECT *, rz / least(greatest(ty * rz / ry, 30), 40) AS fz, ry / ty AS fy FROM (SELECT *, 5 + 2 * {draw_sql(9, 0, 's')} AS ty FROM sm)),
+ax AS (SELECT s, 'z' AS a, d AS n, greatest(1, CAST(round_even(d * fz, 0) AS BIGINT)) AS m FROM zf UNION ALL SELECT s, 'y', h, greatest(1, CAST(round_even(h * fy, 0) AS BIGINT)) FROM zf UNION ALL SELECT s, 'x', w, greatest(1, CAST(round_even(w * fy, 0) AS BIGINT)) FROM zf),
+pl AS (SELECT s, a, n, m, i, i + CASE WHEN m >= n THEN (m - n) // 2 ELSE -((n - m) // 2) END AS j FROM ax, range(0, 64) r(i) WHERE i < n),
+tp AS (SELECT s, a, i, n, j, m, j >= 0 AND j < m AS inside, least(greatest(j * n // m, 0), n - 1) AS near, greatest((j + 0.5) * (CAST(n AS DOUBLE) / m) - 0.5, 0) AS p FROM pl),
+tw AS (SELECT s, a, i, near, inside, least(CAST(floor(p) AS BIGINT), n - 1) + k AS src, CASE WHEN k = 0 THEN 1 - (p - least(floor(p), n - 1)) ELSE p - least(floor(p), n - 1) END AS wt, n FROM tp, range(0, 2) r(k)),
+tt AS (SELECT s, a, i, near, inside, least(src, n - 1) AS src, sum(wt) AS wt FROM tw GROUP BY ALL),
+sv AS (SELECT z // 5 AS s, z % 5 AS z, y, x, val, gt FROM v),
+li AS (SELECT tz.s, tz.i AS z, ty.i AS y, tx.i AS x, sum(CASE WHEN tz.inside AND ty.inside AND tx.inside THEN val * tz.wt * ty.wt * tx.wt ELSE 0 END) AS val, bool_and(tz.inside AND ty.inside AND tx.inside) AS inside, any_value(tz.near) AS nz, any_value(ty.near) AS ny, any_value(tx.near) AS nx
+FROM sv JOIN tt tz ON tz.a = 'z' AND tz.s = sv.s AND tz.src = sv.z JOIN tt ty ON ty.a = 'y' AND ty.s = sv.s AND ty.src = sv.y JOIN tt tx ON tx.a = 'x' AND tx.s = sv.s AND tx.src = sv.x GROUP BY tz.s, tz.i, ty.i, tx.i)"""
+
+
+@query(with_v1("SELECT li.s AS sample_id, CAST(li.z AS INTEGER) AS z, CAST(li.y AS INTEGER) AS y, CAST(li.x AS INTEGER) AS x, round(li.val, 6) AS val, CASE WHEN inside THEN gt ELSE 0 END AS label FROM li JOIN sv ON sv.s = li.s AND sv.z = nz AND sv.y = ny AND sv.x = nx", ZOOMED))
+def zoom_samples(spark, d):
+    """Samples of two resolutions in one table, each drawn to a resolution within the target."""
+    return A.rand_zoom(resolved(spark, d), TARGET, 9).select("sample_id", "z", "y", "x", F.round("val", 6).alias("val"), "label")
+
+
+def _train_sql(seed: int, size: int, most: int) -> str:
+    """Samples of five sections cut to (4, size, size), in the order of augment.train_steps."""
+    on = lambda *parts: f"{draw_sql(seed, *parts)} < 0.5"
+    last = size - 1
+    return with_v1(
+        "SELECT s AS sample_id, CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(CASE WHEN gone THEN 0 ELSE val END, 6) AS val, gt AS label FROM md",
+        VOLUMES,
+        f"sm AS (SELECT DISTINCT z // 5 AS s FROM v), st AS (SELECT s, {start_sql(5, 4, seed, 0, 's')} AS z0, {start_sql(50, size, seed, 1, 's')} AS y0, {start_sql(64, size, seed, 2, 's')} AS x0, {on(0, 's')} AS f0, {on(1, 's')} AS f1, {on(2, 's')} AS f2, "
+        f"CASE WHEN {on(chr(39) + 'rot' + chr(39), 's')} THEN 1 + CAST(floor({draw_sql(seed, chr(39) + 'turns' + chr(39), 's')} * 3) AS INTEGER) ELSE 0 END AS k, {on(chr(39) + 'transpose' + chr(39), 's')} AS t, "
+        f"{on(chr(39) + 'contrast' + chr(39), 's')} AS c, 0.7 + (1.3 - 0.7) * {draw_sql(seed, chr(39) + 'gamma' + chr(39), 's')} AS g, {on(chr(39) + 'noise' + chr(39), 's')} AS n, 0.05 * {draw_sql(seed, chr(39) + 'std' + chr(39), 's')} AS std, "
+        f"least(CAST(floor({draw_sql(seed, chr(39) + 'k' + chr(39), 's')} * {most}) AS INTEGER) + 1, 3) AS drops FROM sm)",
+        f"cr AS (SELECT st.*, v.z % 5 - z0 AS z, v.y - y0 AS y, v.x - x0 AS x, val, gt FROM v JOIN st ON st.s = v.z // 5 WHERE v.z % 5 BETWEEN z0 AND z0 + 3 AND v.y BETWEEN y0 AND y0 + {last} AND v.x BETWEEN x0 AND x0 + {last})",
+        f"fl AS (SELECT * REPLACE (CASE WHEN f0 THEN 3 - z ELSE z END AS z, CASE WHEN f1 THEN {last} - y ELSE y END AS y, CASE WHEN f2 THEN {last} - x ELSE x END AS x) FROM cr)",
+        f"ro AS (SELECT * REPLACE (CASE k WHEN 0 THEN y WHEN 1 THEN {last} - x WHEN 2 THEN {last} - y ELSE x END AS y, CASE k WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN {last} - x ELSE {last} - y END AS x) FROM fl)",
+        "tr AS (SELECT * REPLACE (CASE WHEN t THEN x ELSE y END AS y, CASE WHEN t THEN y ELSE x END AS x) FROM ro)",
+        "co AS (SELECT * REPLACE (CASE WHEN c THEN pow((val - lo) / (hi - lo + 1e-7), g) * (hi - lo) + lo ELSE val END AS val) FROM (SELECT *, min(val) OVER (PARTITION BY s) AS lo, max(val) OVER (PARTITION BY s) AS hi FROM tr))",
+        f"no AS (SELECT * REPLACE (CASE WHEN n THEN val + {noise_sql('std', seed, 's', 'z', 'y', 'x')} ELSE val END AS val) FROM co)",
+        f"dr AS (SELECT s, z, row_number() OVER (PARTITION BY s ORDER BY {draw_sql(seed, chr(39) + 'drop' + chr(39), 's', 'z')}, z) AS r FROM (SELECT DISTINCT s, z FROM no))",
+        "md AS (SELECT no.*, r <= drops AS gone FROM no JOIN dr USING (s, z))",
+    )
+
+
+@query(_train_sql(11, 40, 2))
 def augment_pipeline(spark, d):
-    """The order for training: crop, turns, contrast and noise, missing sections."""
+    """The order for training: random crop, turns, contrast and noise, missing sections."""
     steps = A.train_steps(11, size=(4, 40, 40), most_missing=2)
-    return A.augment_pipeline(samples_of_sections(spark, d), steps).select("sample_id", "z", "y", "x", F.round("val", 6).alias("val"), "label")
+    scratch = Scratch(spark, "augment")
+    out = A.augment_pipeline(samples_of_sections(spark, d), steps, scratch)
+    return scratch.finish(out.select("sample_id", "z", "y", "x", F.round("val", 6).alias("val"), "label"))
 
 
 @query(with_v1("""SELECT z // 5 AS sample_id, CAST(z % 5 - 1 AS INTEGER) AS z, CAST(y - 5 AS INTEGER) AS y, CAST(x - 12 AS INTEGER) AS x, round(val, 6) AS val, gt AS label FROM v

@@ -12,7 +12,7 @@ import pandas as pd
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..operators.blocks import AXES, DTYPES, to_blocks
+from ..operators.blocks import AXES, DTYPES, Blocks, to_blocks
 from ..scratch import Scratch
 
 VOXELS = "path string, z int, y int, x int, value double"
@@ -24,6 +24,11 @@ def write_volume(voxels: DataFrame, values: Sequence[str], path: str, block: Seq
     blocks.repartition("volume", "bz").sortWithinPartitions("volume", "bz", "by", "bx").write.mode(mode).partitionBy("volume").parquet(path)
 
 
+def read_volume(spark: SparkSession, path: str, values: dict[str, str], block: Sequence[int] = (32, 128, 128)) -> Blocks:
+    """The blocks written by write_volume, for the operators that work on blocks; values: the types of the arrays, as in a schema."""
+    return Blocks(spark.read.parquet(path), {v: DTYPES[k] for v, k in values.items()}, ("volume",), tuple(block))
+
+
 def explode_blocks(blocks: DataFrame, values: dict[str, str], block: Sequence[int]) -> DataFrame:
     """The voxel view of block rows: no shuffle."""
     kinds = {"double": T.DoubleType(), "bigint": T.LongType(), "float": T.FloatType(), "int": T.IntegerType()}
@@ -59,7 +64,7 @@ def read_header(file) -> tuple[np.dtype, bool, tuple[int, ...], int]:
     return np.dtype(spec["descr"]), spec["fortran_order"], spec["shape"], start + size
 
 
-def ingest_volume(spark: SparkSession, paths: DataFrame, slab_bytes: int = 32 << 20) -> DataFrame:
+def ingest_volume(spark: SparkSession, paths: DataFrame, slab_bytes: int = 32 << 20, most_tasks: int = 50_000, scratch: Scratch | None = None) -> DataFrame:
     """Voxels (path, z, y, x, value) of 3-D arrays in C order from paths(path): a task reads the byte range of a slab of sections.
 
     A leading or trailing axis of length one is dropped.
@@ -79,7 +84,10 @@ def ingest_volume(spark: SparkSession, paths: DataFrame, slab_bytes: int = 32 <<
                 step = max(1, slab_bytes // max(1, math.prod(shape[1:]) * dtype.itemsize))
                 yield pd.DataFrame([{"path": path, "dtype": dtype.str, "start": start, "z": z, "n": min(step, shape[0] - z), "h": shape[1], "w": shape[2]} for z in range(0, shape[0], step)])
 
-    slabs = paths.mapInPandas(plan, "path string, dtype string, start long, z int, n int, h int, w int").repartition("path", "z")
+    slabs = (scratch or Scratch(spark, "ingest")).keep(paths.mapInPandas(plan, "path string, dtype string, start long, z int, n int, h int, w int"), "slabs")
+    n = slabs.count()
+    # a fixed number, so that the few bytes that name the slabs don't make Spark read all files in one task
+    slabs = slabs.repartitionByRange(min(n, most_tasks), "path", "z") if n > 1 else slabs
 
     def read(frames):
         for pdf in frames:
