@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +108,66 @@ def test_label_model_weights_repeating_voters():
 def test_copies_teach_once():
     texts = [b"one two three four five", b"six seven eight", b"one two three four five", b"", b""]
     assert different(texts) == [0, 1, 3]
+
+
+def by_hand(tables, k):
+    """Rows, and the texts and classes learnt from, as plain lists."""
+    docs, labels, _ = tables
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    taught = {}
+    for r in labels.collect():
+        if r[k + 1] in (0, 1) and r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            taught[r.doc_id] = max(taught.get(r.doc_id, 0), r[k + 1])
+    first = {i: t for i, t in sorted((i, t) for i, t in rows if i in taught)}
+    ids = sorted(first)
+    ids = [ids[n] for n in different([first[i] for i in ids])]
+    return rows, [first[i] for i in ids], [taught[i] for i in ids], [sum(c == y for c in taught.values()) for y in (0, 1)]
+
+
+def test_quality_by_hand(tables):
+    """The whole operator again without Spark."""
+    rows, texts, classes, counts = by_hand(tables, 0)
+    p, np = subword.SubwordParams(), subword.np
+    table, bias = subword.train(texts, classes, counts, p)
+    z = subword.log_odds([t for _, t in rows], table, bias, float(np.log((counts[1] + 1) / (counts[0] + 1))), p)
+    want = sorted((str(i), round(float(1 / (1 + np.exp(-x))), 9)) for (i, _), x in zip(rows, z))
+    got = subword.classify(tables[0], tables[1], learn()).collect()
+    assert sorted((str(r.doc_id), round(r.score, 9)) for r in got) == want
+
+
+def test_toxicity_by_hand(tables):
+    """Mining, votes, label model and classifier again without Spark."""
+    rows, texts, classes, _ = by_hand(tables, 1)
+    p, np = toxicity.ToxicityParams(), toxicity.np
+    voters = toxicity.make_voters(texts, classes, p)
+    number = len(voters.lexicons) + len(toxicity.PREFIXES) + toxicity.PATTERNS
+    learnt = [(i, t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 5]
+    votes = toxicity.vote([t for _, t in learnt], voters)
+    patterns, counts = np.unique(votes, return_counts=True)
+    posterior = toxicity.label_model(patterns, counts.astype(float), toxicity.vote(texts, voters), np.array(classes), number, p.rounds)
+    first = {}
+    for i, t in learnt:
+        first[i] = max(t, first.get(i, b""))
+    ids = sorted(i for i in first if i != 5000 and len(first[i]) <= p.max_bytes)  # null and very long texts are not learnt from
+    ids = [ids[n] for n in different([first[i] for i in ids])]
+    taught = [first[i] for i in ids]
+    cast = toxicity.vote(taught, voters)
+    weights, bias = toxicity.fit_linear(taught, cast, number, 1 / (1 + np.exp(-np.clip(posterior(cast), -50, 50))), p)
+    want = sorted((str(i), round(float(s), 6)) for (i, _), s in zip(rows, toxicity.linear_scores([t for _, t in rows], voters, weights, bias, p)))
+    got = toxicity.classify(tables[0], tables[1], learn()).collect()
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == want
+
+
+def test_share_of_suspect_words():
+    """Words that begin like a family of telling ones count by their share of the text."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 7)))
+    family = ["zorkan" + word() for _ in range(400)]  # hardly any of them seen before
+    text = lambda n, bad: " ".join(rng.sample([*(word() for _ in range(n)), *rng.sample(family, bad)], n + bad)).encode()
+    y = [int(k % 5 == 0) for k in range(400)]
+    texts = [text(200, 6 if c else int(rng.random() < 0.05)) for c in y]
+    p = toxicity.ToxicityParams()
+    voters = toxicity.make_voters(texts, y, p)
+    dense = 1 << len(voters.lexicons) + len(toxicity.PREFIXES) + 3
+    new = toxicity.vote([text(200, 6), text(5000, 5), text(200, 0), b"", text(200, 6).upper()], voters)
+    assert [bool(v & dense) for v in new] == [True, False, False, False, True]

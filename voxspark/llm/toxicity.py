@@ -2,11 +2,12 @@
 
 Many voters look at a text: fixed lexicons of insults, lexicons of words and of word
 beginnings mined from labelled texts, and patterns (an insult after a pronoun, several
-insults, none at all).  A generative label model estimates how often each voter fires
+insults, none at all, and what share of the words is suspect: an insult, or begins like words that
+stand in toxic texts more often than in clean ones).  A generative label model estimates how often each voter fires
 on toxic and on clean texts, and how much voters repeat each other; voters that
 correlate share their weight.  It is fitted by expectation maximisation on the numbers of
 all vote patterns in the training rows, where labelled texts keep their labels.  A linear
-classifier on hashed words and word beginnings then learns from the posterior labels.
+classifier on hashed words, word beginnings and votes then learns from the posterior labels.
 
 Bounds: mining takes at most ``toxic`` and ``clean`` labelled texts, the classifier as many
 by their posterior labels; votes are counted over all training rows (at most
@@ -14,7 +15,8 @@ by their posterior labels; votes are counted over all training rows (at most
 
 Results for odd inputs: null and empty texts get the classifier's bias; without labelled
 texts only the fixed lexicons and patterns vote; rows with null or repeated ids are
-scored each, and rows with null ids are not learnt from.
+scored each, and rows with null ids are not learnt from; texts of any length are read whole; an
+empty table gives no rows; other columns pass through, but columns named `score` and `predicted` give way.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .bytehash import U, Rolling, batches, combine, lower_ascii, pieces
+from .bytehash import U, Rolling, batches, combine, pieces
 from .labelled import binary_labels, sample_texts, scored
 from ..scratch import Scratch
 
@@ -33,6 +35,8 @@ ENGLISH = "idiot idiots moron morons stupid dumb imbecile loser losers scum tras
 OTHERS = "idiota imbécil estúpido estúpida basura asqueroso asquerosa inútil patético payaso idiote imbécile stupide débile ordure minable dégoûtant pathétique connard salaud bouffon trottel idioten dummkopf abschaum arschloch versager widerlich erbärmlich dreck blödmann nutzlos"
 PRONOUNS = "you your youre ur tu eres usted vous toi vos du dein deine sie ihr"
 PREFIXES = (4, 5, 6)
+SUSPECT_PREFIXES = (4, 5, 6, 7, 8)
+PATTERNS = 5  # voters beyond the lexicons and beginnings
 WORD = np.zeros(256, dtype=bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -44,6 +48,9 @@ class ToxicityParams:
     max_bytes: int = 1 << 16
     least_docs: int = 3
     least_odds: float = 3.0
+    suspect_odds: float = 1.5
+    dense: float = 0.01  # share of suspect words from which on a text is full of them
+    sparse: float = 0.0025  # and below which it has hardly any
     word_voters: int = 4
     buckets: int = 1 << 18
     epochs: int = 200
@@ -61,6 +68,9 @@ class Voters:
     lexicons: list[np.ndarray]
     beginnings: dict[int, np.ndarray]
     pronouns: np.ndarray
+    suspects: dict[int, np.ndarray] = field(default_factory=dict)
+    dense: float = 0.01
+    sparse: float = 0.0025
     names: list[str] = field(default_factory=list)
 
 
@@ -68,7 +78,8 @@ class Words:
     """Words of some texts, in lower case, by key."""
 
     def __init__(self, texts: list[bytes]):
-        data = lower_ascii(np.frombuffer(b"".join(t + b" " for t in texts), dtype=np.uint8))
+        texts = [t.decode("utf-8", "replace").lower().encode("utf-8", "replace") for t in texts]
+        data = np.frombuffer(b"".join(t + b" " for t in texts), dtype=np.uint8)
         starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
         flag = np.zeros(len(data) + 2, dtype=np.int8)
         flag[1:-1] = WORD[data]
@@ -108,7 +119,7 @@ def beyond_chance(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
     return (q > share) & (bound >= np.log(max(1, int((n >= 2).sum()))) + 2)
 
 
-def _telling(keys_by_text: list[np.ndarray], y: np.ndarray, p: ToxicityParams) -> np.ndarray:
+def _telling(keys_by_text: list[np.ndarray], y: np.ndarray, p: ToxicityParams, least_odds: float) -> np.ndarray:
     """Keys that stand in several toxic texts and hardly in clean ones."""
     toxic, clean = int(y.sum()), int((y == 0).sum())
     if not toxic or not clean:
@@ -118,26 +129,27 @@ def _telling(keys_by_text: list[np.ndarray], y: np.ndarray, p: ToxicityParams) -
     label = np.repeat(y, sizes)
     a, b = np.bincount(at, label, len(keys)), np.bincount(at, 1 - label, len(keys))
     odds = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1))
-    return keys[(a >= p.least_docs) & (odds >= p.least_odds) & beyond_chance(a, b, toxic / (toxic + clean))]
+    return keys[(a >= p.least_docs) & (odds >= least_odds) & beyond_chance(a, b, toxic / (toxic + clean))]
 
 
 def make_voters(texts: list[bytes], classes: list[int], p: ToxicityParams) -> Voters:
-    keys, starts = [], {n: [] for n in PREFIXES}
+    keys, starts = [], {n: [] for n in SUSPECT_PREFIXES}
     y = np.array(classes, dtype=np.int64)
     for t in texts:
         w = Words([t])
         keys.append(np.unique(w.key))
-        for n in PREFIXES:
+        for n in SUSPECT_PREFIXES:
             starts[n].append(np.unique(w.beginnings(n)[0]))
-    mined = _telling(keys, y, p) if texts else np.empty(0, dtype=U)
+    mined = _telling(keys, y, p, p.least_odds) if texts else np.empty(0, dtype=U)
     lexicons = [keys_of(ENGLISH), keys_of(OTHERS)] + [mined[mined % U(p.word_voters) == U(k)] for k in range(p.word_voters)]
-    return Voters(lexicons, {n: _telling(starts[n], y, p) if texts else np.empty(0, dtype=U) for n in PREFIXES}, keys_of(PRONOUNS))
+    begin = lambda lengths, odds: {n: _telling(starts[n], y, p, odds) if texts else np.empty(0, dtype=U) for n in lengths}
+    return Voters(lexicons, begin(PREFIXES, p.least_odds), keys_of(PRONOUNS), begin(SUSPECT_PREFIXES, p.suspect_odds), p.dense, p.sparse)
 
 
 def vote(texts: list[bytes], v: Voters) -> np.ndarray:
     """A bit for each voter that fires, for each text."""
     parts, of = pieces(texts, 1 << 20)
-    out, hits = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+    out, hits, doubts, words = (np.zeros(len(texts), dtype=np.int64) for _ in range(4))
     for i, j in batches(parts, 1 << 20):
         w = Words(parts[i:j])
         insult, bit = np.zeros(len(w.key), dtype=bool), 0
@@ -159,10 +171,17 @@ def vote(texts: list[bytes], v: Voters) -> np.ndarray:
             near[1:] = insult[1:] & after
             near[2:] |= insult[2:] & after[:-1] & (w.of[:-2] == w.of[2:])
         fire(near)
+        suspect = insult.copy()
+        for n, starts in v.suspects.items():
+            key, at = w.beginnings(n)
+            suspect[at[_in(key, starts)]] = True
         np.add.at(hits, of[i:j][w.of[insult]], 1)
+        np.add.at(doubts, of[i:j][w.of[suspect]], 1)
+        np.add.at(words, of[i:j][w.of], 1)
     bit = len(v.lexicons) + len(PREFIXES) + 1
-    out |= (hits >= 2).astype(np.int64) << bit
-    out |= (hits == 0).astype(np.int64) << (bit + 1)
+    dense = (doubts >= 2) & (doubts >= v.dense * words)
+    for k, fires in enumerate((hits >= 2, doubts < v.sparse * words, dense, (hits == 0) & ~dense)):
+        out |= fires.astype(np.int64) << (bit + k)
     return out
 
 
@@ -175,7 +194,7 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, gold: np.ndarray, gold
     """
     fires = lambda x: ((x[:, None] >> np.arange(voters)) & 1).astype(np.float64)
     f, known = fires(patterns), fires(gold)
-    guess = np.where(f[:, -1] > 0, 0.02, 0.9)  # at first: no insult at all, or some
+    guess = np.where((f[:, -2] > 0) | ((f[:, -1] == 0) & (f[:, -3] == 0)), 0.9, 0.02)  # at first: many suspect words, or an insult among few others
     weight = np.ones(voters)
     anchor = min(1.0, counts.sum() / max(1, 4 * len(gold))) if len(gold) else 0.0
     for _ in range(rounds):
@@ -210,20 +229,27 @@ def _buckets(w: Words, p: ToxicityParams):
         yield w.of[at], (combine(key, np.full(len(key), U(n))) % U(p.buckets)).astype(np.int64)
 
 
-def fit_linear(texts: list[bytes], target: np.ndarray, p: ToxicityParams) -> tuple[np.ndarray, float]:
-    """Weights of features, present or not, and a bias, for posterior labels in [0, 1]."""
+def _bits(votes: np.ndarray, voters: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, voter) of all votes."""
+    return np.nonzero((votes[:, None] >> np.arange(voters)) & 1)
+
+
+def fit_linear(texts: list[bytes], votes: np.ndarray, voters: int, target: np.ndarray, p: ToxicityParams) -> tuple[np.ndarray, float]:
+    """Weights of features, present or not, and a bias, for posterior labels in [0, 1]; votes are features beyond the buckets."""
+    size = p.buckets + voters
     if not len(texts):
-        return np.zeros(p.buckets, dtype=np.float32), 0.0
+        return np.zeros(size, dtype=np.float32), 0.0
     rows = [np.unique(np.concatenate([b for _, b in _buckets(Words([t]), p)])) for t in texts]
-    of, at = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
-    seen = np.bincount(at, minlength=p.buckets)
+    voted, by = _bits(votes, voters)
+    of, at = np.concatenate([np.repeat(np.arange(len(rows)), [len(r) for r in rows]), voted]), np.concatenate([*rows, p.buckets + by])
+    seen = np.bincount(at, minlength=size)
     mean = target.mean()
-    toxic = np.bincount(at, target[of], p.buckets)
+    toxic = np.bincount(at, target[of], size)
     use = (seen >= p.least_docs) & beyond_chance(toxic, seen - toxic, mean)
     ok = use[at]
     of, at = of[ok], at[ok]
     share = (target / max(mean, 1e-9) + (1 - target) / max(1 - mean, 1e-9)) / (2 * len(rows))  # both classes count alike
-    w, speed, bias, bias_speed = np.zeros(p.buckets), np.full(p.buckets, 1e-6), 0.0, 1e-6
+    w, speed, bias, bias_speed = np.zeros(size), np.full(size, 1e-6), 0.0, 1e-6
     for epoch in range(p.epochs):
         if epoch == p.epochs * 2 // 3:  # small weights go, the others are fitted on
             keep = np.abs(w) >= p.least_weight
@@ -232,7 +258,7 @@ def fit_linear(texts: list[bytes], target: np.ndarray, p: ToxicityParams) -> tup
             of, at = of[ok], at[ok]
         z = bias + np.bincount(of, w[at], len(rows))
         g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target) * share
-        grad = np.bincount(at, g[of], p.buckets) + p.decay * w / len(rows)
+        grad = np.bincount(at, g[of], size) + p.decay * w / len(rows)
         speed += grad * grad
         w -= p.rate * grad / np.sqrt(speed)
         bias_speed += g.sum() ** 2
@@ -241,7 +267,7 @@ def fit_linear(texts: list[bytes], target: np.ndarray, p: ToxicityParams) -> tup
     return w.astype(np.float32), float(bias)
 
 
-def linear_scores(texts: list[bytes], weights: np.ndarray, bias: float, p: ToxicityParams) -> np.ndarray:
+def linear_scores(texts: list[bytes], v: Voters, weights: np.ndarray, bias: float, p: ToxicityParams) -> np.ndarray:
     parts, of = pieces(texts, 1 << 20)
     texts_, buckets_ = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for i, j in batches(parts, 1 << 20):
@@ -251,6 +277,8 @@ def linear_scores(texts: list[bytes], weights: np.ndarray, bias: float, p: Toxic
             buckets_.append(bucket[told])
     code = np.unique(np.concatenate(texts_) * p.buckets + np.concatenate(buckets_))
     z = bias + np.bincount(code // p.buckets, weights[code % p.buckets], len(texts))
+    voted, by = _bits(vote(texts, v), len(weights) - p.buckets)
+    z += np.bincount(voted, weights[p.buckets + by], len(texts))
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
@@ -260,18 +288,20 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, column: str = "t
     scratch = scratch or Scratch(spark, "toxicity")
     texts, classes, _ = sample_texts(docs, binary_labels(labels, column, learn), (p.clean, p.toxic), p.max_bytes)
     voters = make_voters(texts, classes, p)
-    number = len(voters.lexicons) + len(PREFIXES) + 3
+    number = len(voters.lexicons) + len(PREFIXES) + PATTERNS
 
     rows = docs.where(F.coalesce(learn, F.lit(False))).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     votes = scratch.keep(scored(rows, lambda batch: vote(batch, voters), "votes").select("doc_id", F.col("votes").cast("long").alias("votes")), "votes")
-    seen = votes.groupBy("votes").count().collect()  # 2**number rows at most
+    seen = sorted(votes.groupBy("votes").count().collect())  # 2**number rows at most, in a fixed order
     patterns, counts = np.array([r["votes"] for r in seen], dtype=np.int64), np.array([r["count"] for r in seen], dtype=np.float64)
     posterior = label_model(patterns, counts, vote(texts, voters), np.array(classes, dtype=np.int64), number, p.rounds) if len(patterns) else (lambda x: np.zeros(len(x)))
 
     toxic = [int(x) for x in patterns[posterior(patterns) > 0]]
     guessed = votes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("votes").alias("votes")).select("doc_id", F.col("votes").isin(toxic).cast("int").alias("y"))
     taught, _, sizes = sample_texts(docs, guessed, (p.clean, p.toxic), p.max_bytes)
-    target = 1 / (1 + np.exp(-np.clip(posterior(vote(taught, voters)), -50, 50))) if taught else np.empty(0)
-    weights, bias = fit_linear(taught, target, p)
-    model = spark.sparkContext.broadcast(weights)  # 4 * buckets bytes
-    return scored(docs, lambda batch: linear_scores(batch, model.value, bias, p)).withColumn("predicted", (F.col("score") >= p.threshold).cast("int"))
+    cast = vote(taught, voters)
+    target = 1 / (1 + np.exp(-np.clip(posterior(cast), -50, 50))) if taught else np.empty(0)
+    weights, bias = fit_linear(taught, cast, number, target, p)
+    model = spark.sparkContext.broadcast(weights)  # 4 bytes a feature
+    scratch.drop(votes)
+    return scored(docs, lambda batch: linear_scores(batch, voters, model.value, bias, p)).withColumn("predicted", (F.col("score") >= p.threshold).cast("int"))
