@@ -53,6 +53,23 @@ def test_matches_brute_force(spark, seed):
     assert check(spark, make(seed)) > 1000
 
 
+@pytest.mark.parametrize("bits", [1, 5, 12])
+def test_keys_that_agree_by_chance_remove_nothing(spark, bits):
+    """With keys of a few bits nearly all strings' keys agree: the bytes decide."""
+    assert check(spark, make(4), key_bits=bits) > 1000
+    different = [(i, hashlib.sha512(str(i).encode()).hexdigest() * 2 + hashlib.sha512(str(-i).encode()).hexdigest() * 2, "") for i in range(40)]
+    texts = [(i, t[:128] + str(i) * 9 + t[256:384], "") for i, t, _ in different]
+    assert check(spark, texts, key_bits=bits) == 0
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    long = " ".join(word() for _ in range(60_000))
+    rows = [(1, long, "en"), (2, "x " + long[100_000:300_000] + " y", "en"), (3, "ab" * 150_000, "en")]
+    assert check(spark, rows, chunk_bytes=100_000) > 600_000
+
+
 def test_small_chunks_and_rare_triggers(spark):
     rows = make(9)
     assert check(spark, rows, chunk_bytes=2000) > 1000

@@ -16,7 +16,9 @@ are cut at equal places.  What is repeated is then found from the phrases' begin
 
 Removal needs to know only which suffixes agree in their first ``window`` bytes, so the
 orders are kept by 64-bit keys of the cut suffixes in place of lexicographic ranks;
-ranges of keys are sorted in as many tasks as there are chunks.  No task or group
+ranges of keys are sorted in as many tasks as there are chunks.  Keys that agree don't
+decide what is removed: with each block and window goes a BLAKE2b digest of its bytes, and only
+those that agree in the digest too (127 bits together) are taken as equal.  No task or group
 holds a fixed share of the corpus, and a string that is hot reaches its range once from
 each chunk.
 
@@ -29,6 +31,7 @@ null ids too, but columns named like the results give way.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -50,6 +53,7 @@ class RepeatParams:
     trigger_modulus: int = 32
     stem: int = 50
     chunk_bytes: int = 2 << 20
+    key_bits: int = 64  # fewer make keys agree by chance
 
 
 class _Parse:
@@ -77,13 +81,24 @@ class _Parse:
         inside = inside[self.at_end[to[inside]] == self.at_end[inside]]
         return inside, self.at[inside], self.at[to[inside]]
 
-    def first_order(self):
-        """Stems and blocks as sorted distinct keys, with the number of each and where each occurrence's key stands."""
+    def keys(self, tag: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = combine(np.full(len(start), U(tag)), self.hash.slices(start, end))
+        cut = U(64 - self.p.key_bits)
+        return out >> cut << cut
+
+    def marks(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Digests of the bytes themselves, with a last bit of 0."""
+        view = memoryview(self.data)
+        digests = b"".join(blake2b(view[i:j], digest_size=8).digest() for i, j in zip(start.tolist(), end.tolist()))
+        return np.frombuffer(digests, dtype="<u8").astype(U) & ~U(1)
+
+    def first_order(self, replied: int | None = None):
+        """Stems and blocks in the order of their keys and marks, see :func:`_ordered`."""
         self.stem_of = self.stems()
         self.block_of, self.block_from, self.block_to = self.blocks()
         at = self.at[self.stem_of]
-        keys = np.concatenate([combine(np.full(len(at), U(21)), self.hash.slices(at, at + self.p.stem)), combine(np.full(len(self.block_of), U(22)), self.hash.slices(self.block_from, self.block_to))])
-        return np.unique(keys, return_inverse=True, return_counts=True)
+        keys = np.concatenate([self.keys(21, at, at + self.p.stem), self.keys(22, self.block_from, self.block_to)])
+        return _ordered(keys, lambda: np.concatenate([np.zeros(len(at), dtype=U), self.marks(self.block_from, self.block_to)]), replied)
 
     def repeated_parts(self, reply: np.ndarray, inverse: np.ndarray) -> None:
         again = reply.astype(bool)[inverse]
@@ -102,7 +117,7 @@ class _Parse:
         """The repeated stems as sorted distinct keys, and where each repeated beginning's key stands."""
         of = np.flatnonzero(self.stem_again)
         at = self.at[of]
-        keys, inverse = np.unique(combine(np.full(len(at), U(23)), self.hash.slices(at, at + self.p.stem)), return_inverse=True)
+        keys, inverse = np.unique(self.keys(23, at, at + self.p.stem), return_inverse=True)
         return of, keys, inverse
 
     def open_windows(self, rim: np.ndarray) -> np.ndarray:
@@ -121,8 +136,8 @@ class _Parse:
         at = np.flatnonzero(open_)
         return at[at + p.window <= self.end[at]]
 
-    def window_keys(self, at: np.ndarray):
-        return np.unique(combine(np.full(len(at), U(24)), self.hash.slices(at, at + self.p.window)), return_inverse=True, return_counts=True)
+    def window_order(self, at: np.ndarray, replied: int | None = None):
+        return _ordered(self.keys(24, at, at + self.p.window), lambda: self.marks(at, at + self.p.window), replied)
 
     def removed(self, windows: np.ndarray) -> np.ndarray:
         change = np.zeros(len(self.data) + 1, dtype=np.int32)
@@ -153,19 +168,42 @@ class _Parse:
             yield [{"start": int(s - i), "end": int(e - i)} for s, e in zip(starts[a:b], ends[a:b])], self.data[i:j][stay[i:j]].tobytes()
 
 
+def _ordered(keys: np.ndarray, marks, replied: int | None = None):
+    """The different pairs of key and mark in order: keys, values (the mark, and 1 if it stands here twice), and where each occurrence's pair stands.
+
+    replied: how many pairs there are, as a later pass knows; if that is how many different keys
+    there are, marks need not be computed again.
+    """
+    if replied is not None:
+        distinct, inverse = np.unique(keys, return_inverse=True)
+        if replied == len(distinct):
+            return distinct, None, inverse
+    mark = marks()
+    order = np.lexsort((mark, keys))
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[order][1:] != keys[order][:-1]) | (mark[order][1:] != mark[order][:-1])
+    inverse = np.empty(len(keys), dtype=np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    first = order[new]
+    twice = np.bincount(inverse, minlength=len(first)) > 1
+    return keys[first], mark[first] | twice.astype(U), inverse
+
+
 def _again(inverse, values, n, keys):
-    total = np.bincount(inverse, values, n)
-    return (total[inverse] >= 2).astype(np.uint8), None
+    """Which pairs of key and mark stand at two places or more."""
+    mark, twice = values >> U(1), (values & U(1)).astype(np.int64)
+    order = np.lexsort((mark, inverse))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (inverse[order][1:] != inverse[order][:-1]) | (mark[order][1:] != mark[order][:-1])
+    pair = np.empty(len(order), dtype=np.int64)
+    pair[order] = np.cumsum(new) - 1
+    return (np.bincount(pair, 1 + twice)[pair] >= 2).astype(np.uint8), None
 
 
 def _any(inverse, values, n, keys):
     return (np.bincount(inverse, values, n) > 0)[inverse].astype(np.uint8), None
 
 
-def _few(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(counts, 2).astype(np.uint8)
-
-
 def remove_repeats(docs: DataFrame, text: str = "text", params: RepeatParams = RepeatParams(), scratch: Scratch | None = None, readable: bool = False) -> DataFrame:
     """docs with n_bytes, spans (removed, in bytes of the text) and kept (the other bytes) in place of the text.
 
@@ -193,25 +231,25 @@ def remove_repeats(docs: DataFrame, text: str = "text", params: RepeatParams = R
             for k in range(len(pdf)):
                 yield pdf.iloc[k]
 
-    def exchange(df: DataFrame, emit, kind: str, answer) -> DataFrame:
+    def exchange(df: DataFrame, emit, kind: str, answer, values: str) -> DataFrame:
         def send(it):
             for row in rows(it):
                 chunk, keys, values = emit(row)
                 yield pack_sent(kind, chunk, keys, values, buckets)
 
-        return scratch.keep(reduce_keys(df.mapInPandas(send, SENT), {kind: answer}, {kind: "u1"}), kind)
+        return scratch.keep(reduce_keys(df.mapInPandas(send, SENT), {kind: answer}, {kind: values}), kind)
 
     def send_parts(row):
         c = _Parse(row, p)
-        keys, _, counts = c.first_order()
-        return c.id, keys, _few(counts)
+        keys, values, _ = c.first_order()
+        return c.id, keys, values
 
-    parts = exchange(store, send_parts, "parts", _again)
+    parts = exchange(store, send_parts, "parts", _again, "<u8")
 
     def parsed(row) -> _Parse:
         c = _Parse(row, p)
-        _, inverse, _ = c.first_order()
-        c.repeated_parts(unpack_reply(row["parts"], "u1"), inverse)
+        reply = unpack_reply(row["parts"], "u1")
+        c.repeated_parts(reply, c.first_order(len(reply))[2])
         return c
 
     def send_rims(row):
@@ -219,7 +257,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", params: RepeatParams = R
         of, keys, inverse = c.stem_classes()
         return c.id, keys, (np.bincount(inverse, c.rims()[of], len(keys)) > 0).astype(np.uint8)
 
-    rims = exchange(with_replies(store, buckets, parts=parts), send_rims, "rims", _any)
+    rims = exchange(with_replies(store, buckets, parts=parts), send_rims, "rims", _any, "u1")
 
     def opened(row) -> tuple[_Parse, np.ndarray]:
         c = parsed(row)
@@ -230,16 +268,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", params: RepeatParams = R
 
     def send_windows(row):
         c, at = opened(row)
-        keys, _, counts = c.window_keys(at)
-        return c.id, keys, _few(counts)
+        keys, values, _ = c.window_order(at)
+        return c.id, keys, values
 
-    windows = exchange(with_replies(store, buckets, parts=parts, rims=rims), send_windows, "windows", _again)
+    windows = exchange(with_replies(store, buckets, parts=parts, rims=rims), send_windows, "windows", _again, "<u8")
 
     def finish(it):
         for row in rows(it):
             c, at = opened(row)
-            _, inverse, _ = c.window_keys(at)
-            gone = c.removed(at[unpack_reply(row["windows"], "u1").astype(bool)[inverse]])
+            reply = unpack_reply(row["windows"], "u1")
+            gone = c.removed(at[reply.astype(bool)[c.window_order(at, len(reply))[2]]])
             pdf = pa.ipc.open_stream(row["extra"]).read_pandas()
             spans, kept = zip(*c.results(gone))
             kept = [k.decode("utf-8", "ignore") for k in kept] if readable else list(kept)
