@@ -15,7 +15,8 @@ pairs of blocks.
 
 Results for odd inputs: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing and are their own component; vectors of different
-lengths don't link; each of several rows with one id counts as a vector.
+lengths don't link; each of several rows with one id counts as a vector; an empty table gives
+no rows; other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ class PStableParams:
     miss: float = 1e-4
     seed: int = 7
     hot_cell: int = 4096
+    hot_share: int = 1000  # a vector that over 1 / hot_share of the rows hold is hot
 
     @property
     def width(self) -> float:
@@ -127,17 +129,22 @@ def _link(frames, threshold: float):
         join = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int64)
         return pd.DataFrame({"key": join(keys), "other": join(others), "links": join(counts)})
 
-    held = None
+    held: list[pd.DataFrame] = []  # frames of which the last cell may go on; they are put together once
+    cols = ["size", "table", "cell", "pair"]
     for pdf in frames:
-        held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-        last = held.iloc[-1]
-        same = (held["size"] == last["size"]) & (held["table"] == last["table"]) & (held["cell"] == last["cell"]) & (held["pair"] == last["pair"])
+        if not len(pdf):
+            continue
+        same = (pdf[cols] == pdf[cols].iloc[-1]).all(axis=1).to_numpy()
         whole = int((~same).sum())
+        if held and not whole and (held[-1][cols].iloc[-1] != pdf[cols].iloc[-1]).any():
+            yield finish(pd.concat(held, ignore_index=True))
+            held = []
         if whole:
-            yield finish(held.iloc[:whole])
-            held = held.iloc[whole:].reset_index(drop=True)
-    if held is not None and len(held):
-        yield finish(held)
+            yield finish(pd.concat([*held, pdf.iloc[:whole]], ignore_index=True))
+            held, pdf = [], pdf.iloc[whole:]
+        held.append(pdf)
+    if held:
+        yield finish(pd.concat(held, ignore_index=True))
 
 
 def usable(vector: str):
@@ -184,7 +191,13 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     groups = distinct.join(of, "key", "left").withColumn("component", F.coalesce("component", "key"))
     smallest = groups.groupBy("component").agg(F.min("first").alias("component_id"))
     known = groups.join(smallest, "component").join(n_links, "key", "left")
-    known = known.select("v", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = good.join(known, "v").select("vec_id", "n_links", "component_id")
+    known = scratch.keep(known.select("v", "copies", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "known")
+    # vectors of very many copies (fewer than hot_share) go to their rows by broadcast, the others by an exchange
+    rows_in_all = known.agg(F.sum("copies")).first()[0] or 0
+    is_hot = F.col("copies") * params.hot_share > rows_in_all
+    hot = known.where(is_hot).select("v", "component_id", "n_links", F.lit(True).alias("hot"))
+    marked = good.join(F.broadcast(hot), "v", "left")
+    rest = marked.where("hot IS NULL").select("vec_id", "v").join(known.where(~is_hot), "v")
+    linked = marked.where("hot").select("vec_id", "n_links", "component_id").unionByName(rest.select("vec_id", "n_links", "component_id"))
     alone = rows.where(~usable("v")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return scratch.finish(linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))))
