@@ -48,9 +48,9 @@ def expected(rows):
 
 
 def test_near_vectors(spark):
-    for seed, hot in ((1, 4096), (2, 7)):
+    for seed, hot, share in ((1, 4096, 1000), (2, 7, 50), (3, 7, 1)):
         rows = table(seed)
-        out = near_vectors(spark.createDataFrame(rows, SCHEMA), params=PStableParams(hot_cell=hot)).collect()
+        out = near_vectors(spark.createDataFrame(rows, SCHEMA), params=PStableParams(hot_cell=hot, hot_share=share)).collect()
         assert sorted(((r.vec_id is None, r.vec_id or 0), r.n_links, r.component_id) for r in out) == expected(rows)
         assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in out)
 
@@ -80,7 +80,7 @@ def brute_top(rows, is_query, k):
 
 
 def test_top_products(spark):
-    for seed, params in ((3, TopKParams()), (4, TopKParams(candidate_block=20, query_block=3, dims=2)), (5, TopKParams(k=1000))):
+    for seed, params in ((3, TopKParams()), (4, TopKParams(block_bytes=400, dims=2)), (5, TopKParams(k=1000))):
         rows = table(seed)
         got = top_products(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 5 == 0, params=params).collect()
         assert sorted((tuple(r) for r in got), key=str) == brute_top(rows, lambda i: i % 5 == 0, params.k)
@@ -96,7 +96,7 @@ def test_components_whose_products_overflow(spark):
     rng = random.Random(6)
     for top in (1e7, 1e10, 1e14, 1e300):
         rows = [(i, [rng.uniform(-top, top) for _ in range(6)], 0) for i in range(60)] + [(100 + i, [rng.uniform(-1, 1) for _ in range(6)], 0) for i in range(20)]
-        got = top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 5 == 0, params=TopKParams(candidate_block=20, dims=2)).collect()
+        got = top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 5 == 0, params=TopKParams(block_bytes=400, dims=2)).collect()
         clip = lambda x: max(-(2**63), min(2**63 - 1, x))
         whole = [[int(float(clip(math.floor(1024 * x)))) for x in r[1]] for r in rows]
         want = []

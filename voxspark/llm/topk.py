@@ -5,8 +5,9 @@ vertical layout, one row a dimension.  For each query it takes the dimensions in
 order of the query's magnitude and a few at a time: it adds their products to the
 candidates' scores, bounds what the other dimensions can still add by the product of
 the remaining lengths (Cauchy-Schwarz), and keeps only candidates whose upper bound
-reaches the k-th best lower bound.  Queries and candidates meet block by block; each
-block's k best of each query are merged in the end.
+reaches the k-th best lower bound.  Queries and candidates meet block by block, of as many vectors as a task holds
+well; each block's k best of each query are merged in the end.  A candidate is sent once for each
+block of queries and a query once for each block of candidates, so large blocks are what keeps the exchange small.
 
 Results for odd inputs: vectors that are null, empty, or hold null or non-finite
 components take no part, zero vectors do; a query's own row is no candidate, other
@@ -40,8 +41,7 @@ class TopKParams:
     k: int = 10
     scale: int = 1024
     dims: int = 16
-    candidate_block: int = 16_384
-    query_block: int = 2048
+    block_bytes: int = 32 << 20  # of a block of candidates, and of one of queries, as double precision numbers
 
 
 def best(query: np.ndarray, columns: np.ndarray, squares: np.ndarray, k: int, dims: int, rounding: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
@@ -110,8 +110,8 @@ def top_products(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", v
     whole = whole.where(F.coalesce(F.size("v") > 0, F.lit(False)) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     whole = whole.withColumn("v", F.transform("v", lambda x: F.floor(x * params.scale).cast("double"))).withColumn("size", F.size("v"))
     whole = scratch.keep(whole.withColumn("row", F.monotonically_increasing_id()), "whole")
-    n, n_queries = whole.agg(F.count("*"), F.count_if("query")).first()
-    blocks, parts = max(8, -(-n // params.candidate_block)), max(1, -(-n_queries // params.query_block))
+    n_bytes, query_bytes = whole.agg(F.sum(8 * F.col("size").cast("long")), F.sum(F.when(F.col("query"), 8 * F.col("size").cast("long")))).first()
+    blocks, parts = max(8, -(-(n_bytes or 0) // params.block_bytes)), max(1, -(-(query_bytes or 0) // params.block_bytes))
     deal = lambda m: F.pmod(F.xxhash64("row"), F.lit(m)).cast("int")
     spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     rows = whole.select("size", deal(blocks).alias("block"), spread(parts).alias("part"), "row", "vec_id", "v")
@@ -119,4 +119,4 @@ def top_products(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", v
     by = ("size", "block", "part")
     found = asked.groupBy(*by).cogroup(rows.groupBy(*by)).applyInPandas(_search(params), FOUND)
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= params.k).select("query_id", "rank", "vec_id", "score")
+    return scratch.finish(found.withColumn("rank", rank).where(F.col("rank") <= params.k).select("query_id", "rank", "vec_id", "score"))
