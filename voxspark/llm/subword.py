@@ -12,7 +12,8 @@ number per bucket, so scoring needs only a table of ``buckets`` floats in each t
 
 Results for odd inputs: null and empty texts have no features and get the share of
 class 1; without labels of both classes every score is that share (one half without
-any); rows with null or repeated ids are scored each.
+any); rows with null or repeated ids are scored each; a text of any length is read whole; an empty
+table gives no rows; other columns pass through, but columns named `score` and `predicted` give way.
 """
 
 from __future__ import annotations
