@@ -277,3 +277,24 @@ def test_blocks_of_many_volumes(spark):
         assert same([mine[i] for i in np.ndindex(a.shape)], bfs(a, neighbours(1)).ravel().tolist())
     ids = {r.component for r in got if r.component}
     assert ids == set(range(1, len(ids) + 1)) and len(ids) == sum(bfs(a, neighbours(1)).max() for a in parts.values())
+
+
+@pytest.mark.parametrize("by", [(), ("crop",)])
+def test_push_edges_by_selection(spark, by):
+    from voxspark.operators.neighbors import cap_push_edges
+
+    rng = random.Random(3)
+    rows = {(c, u, off): (c, u, u + 1, rng.choice([0.0, 1.0, 1.0, 0.5, round(rng.random(), 3)]), off, off > 0) for c in (1, 2, None) for u in range(150) for off in range(4) if rng.random() < (0.9 if c == 1 else 0.3)}
+    rows = list(rows.values())
+    df = spark.createDataFrame(rows, "crop int, u long, v long, w double, off int, is_mutex boolean").repartition(4)
+    crops = {r[0] for r in rows} if by else {"all"}
+    for k in (0, 1, 30, 117, 10_000):
+        want = [r for r in rows if not r[5]]
+        for c in crops:
+            push = sorted((r for r in rows if r[5] and (not by or r[0] == c)), key=lambda r: (-r[3], r[4], r[1], str(r[0])))
+            want += push[:k]
+        got = [tuple(r) for r in cap_push_edges(df, k, by, bins=16).collect()]
+        if by:
+            assert sorted(map(str, got)) == sorted(map(str, want))
+        else:  # equal edges of several crops are ties
+            assert sorted((r[3], r[4], r[1]) for r in got) == sorted((r[3], r[4], r[1]) for r in want)

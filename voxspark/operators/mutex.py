@@ -227,6 +227,7 @@ def agglomerate_volume(df: DataFrame, offsets: Sequence[Sequence[int]], n_pull:
     shape = df.agg(*(F.max(a) + 1 for a in "zyx")).first()
     if shape[0] is None:
         return df.select("z", "y", "x", F.lit(0).cast("long").alias("label"))
+    df = df.select("z", "y", "x", aff, *([mask] if mask else []))
     edges = build_edges(df.withColumn("volume", F.lit("")), offsets, n_pull, aff, strides, mask)
     at = df.withColumn("node", (F.col("z").cast("long") * shape[1] + F.col("y")) * shape[2] + F.col("x"))
     labels = mutex_exact(edges, (at.where(F.col(mask)) if mask else at).select("node"), block_cells(shape, block), max_pairs, scratch=scratch)

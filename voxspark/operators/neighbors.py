@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from ..scratch import Scratch
 from .blocks import NAMES, Blocks, Region, halo_apply, voxel_schema
 
 BLOCK = (32, 128, 128)
@@ -132,12 +133,48 @@ def build_edges(df: DataFrame, offsets: Sequence[Sequence[int]], n_pull: int, af
     return e
 
 
-def cap_push_edges(edges: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
-    """All pull edges and the k push edges of largest weight, ties by (off, u); with `by`, k of each group (crop)."""
-    push = edges.where("is_mutex")
-    order = [F.desc("w"), "off", "u"]
-    if by:  # a crop fits a task
-        push = push.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
-    else:
-        push = push.orderBy(*order).limit(k)
-    return edges.where("NOT is_mutex").unionByName(push)
+def _cut(rows: DataFrame, group: Sequence[str], values: Sequence[str], wanted: DataFrame) -> DataFrame:
+    """For each group the values, in order, among whose rows the last wanted one is, and how many of these are wanted: wanted(group, want) -> (group, _b*, want).
+
+    Groups with no more rows than wanted are left out.
+    """
+    counts = rows.groupBy(*group, *values).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*group).orderBy(*values).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    at = _with(counts.withColumn("_upto", upto), wanted, group)
+    last = at.where((F.col("_upto") >= F.col("want")) & (F.col("_upto") - F.col("_n") < F.col("want")))
+    return last.select(*group, *(F.col(v).alias(f"_b{i}") for i, v in enumerate(values)), (F.col("want") - F.col("_upto") + F.col("_n")).alias("want"))
+
+
+def _with(rows: DataFrame, other: DataFrame, group: Sequence[str], how: str = "inner") -> DataFrame:
+    """rows joined to a table of one row a group; null groups are groups."""
+    named = other.withColumnsRenamed({g: f"_of_{g}" for g in group})
+    return rows.join(named, [rows[g].eqNullSafe(named[f"_of_{g}"]) for g in group], how).drop(*(f"_of_{g}" for g in group))
+
+
+def cap_push_edges(edges: DataFrame, k: int, by: Sequence[str] = (), bins: int = 4096, scratch: Scratch | None = None) -> DataFrame:
+    """All pull edges and the k push edges of largest weight, ties by (off, u); with `by`, k of each group (crop).
+
+    Nothing is sorted as a whole: a histogram of weights gives the bin with the last edge that
+    stays, counts of the different weights in that bin the last weight, a histogram of voxels the last voxels of that
+    weight; only edges of one weight and one range of voxels are ranked.
+    """
+    scratch = scratch or Scratch(edges.sparkSession, "cap")
+    group = list(by) or ["_all"]
+    push = edges.where("is_mutex") if by else edges.where("is_mutex").withColumn("_all", F.lit(0))
+    heavy = F.least(F.greatest(F.floor((1 - F.col("w")) * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
+    push = scratch.keep(push.withColumns({"_bin": heavy, "_light": -F.col("w")}), "push")
+    ends = push.groupBy(*group).agg(F.max("u").alias("_last"))
+    push = _with(push, ends, group).withColumn("_range", F.floor(F.col("u") / (F.col("_last") + 1) * bins).cast("int")).drop("_last")
+    wanted, rows, out = ends.select(*group, F.lit(k).cast("long").alias("want")), push, edges.where("NOT is_mutex")
+    if k <= 0:
+        return out
+    for values in (["_bin"], ["_light", "off"], ["_range"]):
+        cut = scratch.keep(_cut(rows, group, values, wanted), "cut")
+        marked = _with(rows, cut, group, "left")
+        here, border = F.struct(*values), F.struct(*(F.col(f"_b{i}") for i in range(len(values))))
+        out = out.unionByName(marked.where(F.col("want").isNull() | (here < border)).select(edges.columns))
+        rows = scratch.keep(marked.where(F.col("want").isNotNull() & (here == border)).select(push.columns), "border")
+        wanted = cut.select(*group, "want")
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("u"))
+    last = _with(rows.withColumn("_r", rank), wanted, group).where(F.col("_r") <= F.col("want"))
+    return out.unionByName(last.select(edges.columns))

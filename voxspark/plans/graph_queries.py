@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blend as B, evaluate as E, graph as G, metrics as M, mutex as X, neighbors as N
-from ..scratch import Scratch
+from ..operators import blend as B, evaluate as E, graph as G, mutex as X
 from .fixtures import VOLUMES, v1, volumes_of, with_v1
 from .registry import ORACLES, query
 from .segmentation_queries import AMI, ARI, BLOCK, H, N_PULL, NEAR, O, OFFSETS, head, sums_sql
@@ -159,17 +158,3 @@ def instance_report_affinities(spark, d):
 def mutex_watershed_volume(spark, d):
     """The exact Mutex Watershed of the whole volume, contracted in rounds of cells."""
     return X.agglomerate_volume(head(spark, d), OFFSETS, N_PULL, "prob", strides=(1, 2, 2), block=BLOCK)
-
-
-@query()
-def mutex_watershed_bucketed(spark, d):
-    """The approximate Mutex Watershed of the whole volume, and how far it agrees with the exact one (adjusted Rand index)."""
-    scratch = Scratch(spark, "bucketed")
-    edges = scratch.keep(N.build_edges(head(spark, d), OFFSETS, N_PULL, "prob", (1, 2, 2)), "edges")
-    nodes = scratch.keep(v1(spark, d).select(((F.col("z").cast("long") * 50 + F.col("y")) * 64 + F.col("x")).alias("node")), "nodes")
-    shape = volumes_of(v1(spark, d)).first()
-    exact = X.mutex_exact(edges, nodes, X.block_cells((shape.d, shape.h, shape.w), BLOCK))
-    near = G.mutex_bucketed(edges, nodes)
-    both = scratch.keep(exact.join(near, "node").select(F.col("label").alias("true"), (F.col("root") + 1).alias("pred")), "both")
-    counts = both.agg(F.count("*").alias("voxels"), F.count_distinct("true").alias("exact_clusters"), F.count_distinct("pred").alias("bucketed_clusters"))
-    return scratch.finish(counts.crossJoin(r6(M.ari(both), "ari")))
