@@ -157,4 +157,4 @@ def instance_report_affinities(spark, d):
 @query()
 def mutex_watershed_volume(spark, d):
     """The exact Mutex Watershed of the whole volume, contracted in rounds of cells."""
-    return X.agglomerate_volume(head(spark, d), OFFSETS, N_PULL, "prob", strides=(1, 2, 2), block=BLOCK)
+    return X.agglomerate_volume(head(spark, d), OFFSETS, N_PULL, "prob", strides=(1, 2, 2))
