@@ -128,6 +128,63 @@ def test_agglomerate_caps_each_crop(spark):
         assert same(have, want)
 
 
+def rounds(n, edges, buckets):
+    """The bucketed method edge by edge, with sets."""
+    group, bans = list(range(n)), set()
+    for k in range(buckets):
+        part = edges[len(edges) * k // buckets : len(edges) * (k + 1) // buckets]
+        while True:
+            pairs = [(min(group[u], group[v]), max(group[u], group[v]), m) for u, v, m in part]
+            bans |= {(a, b) for a, b, m in pairs if m and a != b}
+            to = {}
+            for a, b, m in pairs:
+                if a != b and not m and (a, b) not in bans:
+                    to.setdefault(b, a)
+            if not to:
+                break
+
+            def end(g, to=to):
+                return end(to[g]) if g in to else g
+
+            group = [end(g) for g in group]
+            bans = {(min(end(a), end(b)), max(end(a), end(b))) for a, b in bans if end(a) != end(b)}
+    return group
+
+
+def random_graph(seed, n, m):
+    rng = np.random.default_rng(seed)
+    u, v = rng.integers(0, n, m), rng.integers(0, n, m)
+    return u[u != v], v[u != v], rng.random(int((u != v).sum())) < 0.4
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_bucketed_rounds(seed):
+    n = 2 + seed
+    u, v, push = random_graph(seed, n, seed * 4)
+    for buckets in (1, 3, 16):
+        assert G.mutex_rounds(u, v, push, n, buckets).tolist() == rounds(n, list(zip(u.tolist(), v.tolist(), push.tolist())), buckets)
+    exact = G.mutex_core(u, v, push, n)
+    assert same(G.mutex_rounds(u, v, push, n, max(1, len(u))), exact)  # one edge a bucket
+    assert same(G.mutex_rounds(u, v, push, n, 10 * len(u) + 1), exact)
+
+
+def test_bucketed_crops(spark):
+    rng = np.random.default_rng(5)
+    a = rng.random((2, 3, 5, 6, 4))
+    offsets = [(-1, 0, 0), (0, -1, 0), (0, 0, -1), (0, -2, 0)]
+    rows = [(s, z, y, x, a[s, z, y, x].tolist(), "clash") for s, z, y, x in product(range(2), range(3), range(5), range(6))]
+    df = spark.createDataFrame(rows, "sample_id int, z int, y int, x int, aff array<double>, label string")
+    cut = lambda method, buckets: sorted(map(tuple, G.agglomerate(df, offsets, 3, strides=(1, 1, 1), by=["sample_id"], method=method, buckets=buckets).collect()))
+    exact = cut("exact", 16)
+    assert cut("bucketed", 10_000) == exact  # labels are numbered alike
+    assert cut("bucketed", 4) != exact
+    assert not G.agglomerate(df.limit(0), offsets, 3, by=["sample_id"], method="bucketed").collect()
+    with pytest.raises(ValueError):
+        cut("other", 16)
+    with pytest.raises(ValueError):
+        cut("bucketed", 0)
+
+
 def test_bucketed_respects_strong_bans(spark):
     edges = spark.createDataFrame([(0, 1, 0.9, 0, False), (1, 2, 0.8, 0, False), (0, 2, 0.95, 1, True), (3, 4, 0.2, 0, False)], "u long, v long, w double, off int, is_mutex boolean")
     nodes = spark.range(6).withColumnRenamed("id", "node")

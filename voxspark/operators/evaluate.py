@@ -10,13 +10,13 @@ from .graph import agglomerate
 from .metrics import instance_report
 
 
-def instance_report_of_head(head: DataFrame, offsets: Sequence[Sequence[int]], n_pull: int, aff: str = "aff", label: str = "label", strides: Sequence[int] = (1, 4, 4), min_size: int = 0, max_push_edges: int | None = None, by: Sequence[str] = ("sample_id",)) -> DataFrame:
+def instance_report_of_head(head: DataFrame, offsets: Sequence[Sequence[int]], n_pull: int, aff: str = "aff", label: str = "label", strides: Sequence[int] = (1, 4, 4), min_size: int = 0, max_push_edges: int | None = None, by: Sequence[str] = ("sample_id",), method: str = "exact", buckets: int = 16) -> DataFrame:
     """(by, metric, value) of ari, ami, voi, voi_split, voi_merge and ted of head(by, z, y, x, aff, label).
 
     Each sample's affinities (probabilities) are agglomerated inside its true foreground, which keeps
     errors of the foreground out of the figures; samples without any are left out.
     """
     inside = head.withColumn("_fg", F.col(label) > 0)
-    found = agglomerate(inside, offsets, n_pull, aff, "_fg", strides, min_size, max_push_edges, by)
+    found = agglomerate(inside, offsets, n_pull, aff, "_fg", strides, min_size, max_push_edges, by, method, buckets)
     pairs = head.select(*by, "z", "y", "x", F.col(label).alias("true")).join(found.withColumnRenamed("label", "pred"), [*by, "z", "y", "x"])
     return instance_report(pairs.select(*by, "true", "pred"), by)

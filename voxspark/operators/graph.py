@@ -135,20 +135,60 @@ def mutex_core(u: np.ndarray, v: np.ndarray, is_mutex: np.ndarray, n: int) -> np
     return np.array([root(i) for i in range(n)], dtype=np.int64)
 
 
-def mutex_watershed(edges: DataFrame, nodes: DataFrame, by: Sequence[str] = ("volume",), max_edges: int = 50_000_000) -> DataFrame:
-    """(by, node, label): exact Mutex Watershed of each group of edges(by, u, v, w, off, is_mutex) and nodes(by, node).
+def mutex_rounds(u: np.ndarray, v: np.ndarray, is_mutex: np.ndarray, n: int, buckets: int = 16) -> np.ndarray:
+    """Clusters of nodes 0..n-1 from edges in order of priority, approximately: whole arrays at a time, without a loop over edges.
+
+    The edges are cut into buckets of equal numbers.  A bucket first sets its bans between
+    clusters; then, round by round, each cluster joins the lower one to which its first edge
+    without a ban leads.  Clusters that join at once may break each other's bans, so more
+    buckets come closer to the sequential order; with one edge a bucket the result is exact.
+    """
+    root, bans = np.arange(n, dtype=np.int64), np.empty(0, dtype=np.int64)
+    for k in range(buckets):
+        part = slice(len(u) * k // buckets, len(u) * (k + 1) // buckets)
+        a, b, push = u[part], v[part], is_mutex[part]
+        while len(a):
+            a, b = root[a], root[b]
+            apart = a != b
+            a, b, push = np.minimum(a, b)[apart], np.maximum(a, b)[apart], push[apart]
+            pair = a * n + b
+            x, y = root[bans // n], root[bans % n]
+            moved = (np.minimum(x, y) * n + np.maximum(x, y))[x != y]
+            bans = np.unique(np.concatenate([moved, pair[push]]))
+            open_ = np.flatnonzero(~push & ~np.isin(pair, bans))
+            if not len(open_):
+                break
+            _, best = np.unique(b[open_], return_index=True)  # the first is the heaviest
+            best = open_[best]
+            to = np.arange(n, dtype=np.int64)
+            to[b[best]] = a[best]
+            while (further := to[to]).tobytes() != to.tobytes():  # joins lead to lower nodes, so that chains end
+                to = further
+            root = to[root]
+            a, b, push = a[~push], b[~push], push[~push]  # bans that are set follow their clusters
+    return root
+
+
+def mutex_watershed(edges: DataFrame, nodes: DataFrame, by: Sequence[str] = ("volume",), max_edges: int = 50_000_000, method: str = "exact", buckets: int = 16) -> DataFrame:
+    """(by, node, label): Mutex Watershed of each group of edges(by, u, v, w, off, is_mutex) and nodes(by, node).
 
     Groups (crops) run in parallel; within one the edges are taken by falling weight, ties by
-    (off, u).  A group must fit a task: more than max_edges raise.  Use stitched crops for whole
-    volumes.
+    (off, u), one by one (exact) or in a number of buckets (bucketed, see mutex_rounds).  A group
+    must fit a task: more than max_edges raise.  Use stitched crops or
+    mutex.agglomerate_volume for whole volumes.
     """
+    if method not in ("exact", "bucketed"):
+        raise ValueError(f"unknown method {method}")
+    if buckets < 1:
+        raise ValueError("at least one bucket")
 
     def solve(key: tuple, e: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
         if len(e) > max_edges:
             raise ValueError(f"a crop with {len(e)} edges; cut it into smaller ones")
         node = np.sort(n["node"].to_numpy())
         e = e.iloc[np.lexsort((e["u"], e["off"], -e["w"].to_numpy()))]
-        roots = mutex_core(np.searchsorted(node, e["u"]), np.searchsorted(node, e["v"]), e["is_mutex"].to_numpy(), len(node))
+        ends = np.searchsorted(node, e["u"]), np.searchsorted(node, e["v"]), e["is_mutex"].to_numpy(dtype=bool), len(node)
+        roots = mutex_rounds(*ends, buckets) if method == "bucketed" else mutex_core(*ends)
         first = np.full(len(node), len(node), dtype=np.int64)
         np.minimum.at(first, roots, np.arange(len(node)))
         _, label = np.unique(first[roots], return_inverse=True)
@@ -223,15 +263,15 @@ def stitch(labels: DataFrame, min_share: float = 0.5, scratch: Scratch | None =
     return named.join(lut, "_c").select("node", "label")
 
 
-def agglomerate(df: DataFrame, offsets, n_pull: int, aff: str = "aff", mask: str | None = None, strides=(1, 4, 4), min_size: int = 0, max_push_edges: int | None = None, by: Sequence[str] = ("volume",)) -> DataFrame:
-    """(by, z, y, x, label) from affinities per voxel: edges, cap within each group, Mutex Watershed, size filter; outside the mask 0."""
+def agglomerate(df: DataFrame, offsets, n_pull: int, aff: str = "aff", mask: str | None = None, strides=(1, 4, 4), min_size: int = 0, max_push_edges: int | None = None, by: Sequence[str] = ("volume",), method: str = "exact", buckets: int = 16) -> DataFrame:
+    """(by, z, y, x, label) from affinities per voxel: edges, cap within each group, Mutex Watershed (exact or bucketed), size filter; outside the mask 0."""
     edges = build_edges(df, offsets, n_pull, aff, strides, mask, by)
     if max_push_edges is not None:
         edges = cap_push_edges(edges, max_push_edges, by)
     dims = df.groupBy(*by).agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
     at = df.join(dims, list(by)).withColumn("node", (F.col("z").cast("long") * F.col("_h") + F.col("y")) * F.col("_w") + F.col("x"))
     nodes = (at.where(F.col(mask)) if mask else at).select(*by, "node")
-    out = at.select(*by, "z", "y", "x", "node").join(mutex_watershed(edges, nodes, by), [*by, "node"], "left")
+    out = at.select(*by, "z", "y", "x", "node").join(mutex_watershed(edges, nodes, by, method=method, buckets=buckets), [*by, "node"], "left")
     out = out.select(*by, "z", "y", "x", F.coalesce("label", F.lit(0).cast("long")).alias("label"))
     return size_filter(out, min_size, by=by) if min_size else out
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blend as B, evaluate as E, graph as G, mutex as X
+from ..operators import blend as B, evaluate as E, graph as G, metrics as M, mutex as X
 from .fixtures import VOLUMES, v1, volumes_of, with_v1
 from .registry import ORACLES, query
 from .segmentation_queries import AMI, ARI, BLOCK, H, N_PULL, NEAR, O, OFFSETS, head, sums_sql
@@ -93,16 +93,8 @@ hc AS (SELECT *, min(z) OVER (PARTITION BY s) AS z0, min(y) OVER (PARTITION BY s
 nd AS (SELECT DISTINCT s, z, y, x, gt, val, ((z - z0) * (y1 - y0 + 1) + y - y0) * (x1 - x0 + 1) + x - x0 + 1 AS node FROM hc)"""
 
 
-def watershed_sql(mask: str, most_push: int | None, min_size: int) -> str:
-    """Mutex Watershed of each crop, one edge a step: `lab` holds each voxel's smallest clustermate, `bans` the pairs that may not meet."""
-    cap = f"WHERE NOT push OR rp <= {most_push}" if most_push is not None else ""
-    return f"""{CROP},
-ee AS (SELECT h.s, a.node AS u, b.node AS v, h.off, h.off >= {N_PULL} AS push, CAST(CASE WHEN h.off < {N_PULL} THEN CAST(prob AS FLOAT) ELSE CAST(1 AS FLOAT) - CAST(prob AS FLOAT) END AS DOUBLE) AS w
-FROM hc h JOIN o USING (off) JOIN nd a ON a.s = h.s AND a.z = h.z AND a.y = h.y AND a.x = h.x JOIN nd b ON b.s = h.s AND b.z = h.z + dz AND b.y = h.y + dy AND b.x = h.x + dx
-WHERE ({mask.format("a")}) AND ({mask.format("b")}) AND (h.off < {N_PULL} OR ((h.y - y0 - greatest(0, -dy)) % 2 = 0 AND (h.x - x0 - greatest(0, -dx)) % 2 = 0))),
-ec AS (SELECT *, row_number() OVER (PARTITION BY s, push ORDER BY w DESC, off, u) AS rp FROM ee),
-ce AS (SELECT s, u, v, push, row_number() OVER (PARTITION BY s ORDER BY w DESC, off, u) AS i FROM ec {cap}),
-st(s, i, lab, bans) USING KEY (s) AS (
+# one edge a step: `lab` holds each voxel's smallest clustermate, `bans` the pairs that may not meet
+ONE_BY_ONE = """st(s, i, lab, bans) USING KEY (s) AS (
   SELECT s, CAST(0 AS BIGINT), range(1, max(node) + 1), CAST([] AS BIGINT[]) FROM nd GROUP BY s
   UNION
   SELECT s, i + 1,
@@ -110,7 +102,39 @@ st(s, i, lab, bans) USING KEY (s) AS (
     CASE WHEN a = b THEN bans WHEN push THEN list_append(bans, a * 1000 + b) WHEN list_contains(bans, a * 1000 + b) THEN bans
       ELSE list_transform(bans, lambda q: least(CASE WHEN q // 1000 = b THEN a ELSE q // 1000 END, CASE WHEN q % 1000 = b THEN a ELSE q % 1000 END) * 1000 + greatest(CASE WHEN q // 1000 = b THEN a ELSE q // 1000 END, CASE WHEN q % 1000 = b THEN a ELSE q % 1000 END)) END
   FROM (SELECT st.s, st.i, lab, bans, push, least(lab[u], lab[v]) AS a, greatest(lab[u], lab[v]) AS b FROM st JOIN ce ON ce.s = st.s AND ce.i = st.i + 1)
-),
+),"""
+
+
+def rounds_sql(buckets: int) -> str:
+    """A round of a bucket a step: `es` its edges between clusters, `cand` those that may join, `p0` where each cluster goes, `p9` where that leads."""
+    jumps = "(SELECT *, list_transform(range(1, len(lab) + 1), lambda q: coalesce(cand[list_position(higher, q)].a, q)) AS p0 FROM cd)"
+    for n in range(9):  # chains of up to 2 ** 9 joins
+        jumps = f"(SELECT * EXCLUDE (p{n}), list_transform(p{n}, lambda q: p{n}[q]) AS p{n + 1} FROM {jumps})"
+    return f"""eb AS (SELECT s, (i * {buckets} - 1) // count(*) OVER (PARTITION BY s) AS k, i, u, v, push FROM ce),
+el AS (SELECT s, k, list({{'u': u, 'v': v, 'push': push}} ORDER BY i) AS es FROM eb GROUP BY s, k),
+st(s, k, lab, bans) USING KEY (s) AS (
+  SELECT s, CAST(0 AS BIGINT), range(1, max(node) + 1), CAST([] AS BIGINT[]) FROM nd GROUP BY s
+  UNION
+  (WITH es AS (SELECT st.s, st.k, lab, bans, list_filter(list_transform(coalesce(es, []), lambda e: {{'a': least(lab[e.u], lab[e.v]), 'b': greatest(lab[e.u], lab[e.v]), 'push': e.push}}), lambda e: e.a <> e.b) AS es
+    FROM st LEFT JOIN el ON el.s = st.s AND el.k = st.k WHERE st.k < {buckets}),
+  bn AS (SELECT s, k, lab, es, list_distinct(list_concat(bans, list_transform(list_filter(es, lambda e: e.push), lambda e: e.a * 1000 + e.b))) AS bans FROM es),
+  ca AS (SELECT s, k, lab, bans, list_filter(es, lambda e: NOT e.push AND NOT list_contains(bans, e.a * 1000 + e.b)) AS cand FROM bn),
+  cd AS (SELECT *, list_transform(cand, lambda e: e.b) AS higher FROM ca)
+  SELECT s, CASE WHEN len(cand) = 0 THEN k + 1 ELSE k END, list_transform(lab, lambda q: p9[q]),
+    list_distinct(list_transform(bans, lambda q: least(p9[q // 1000], p9[q % 1000]) * 1000 + greatest(p9[q // 1000], p9[q % 1000]))) FROM {jumps})
+),"""
+
+
+def watershed_sql(mask: str, most_push: int | None, min_size: int, steps: str = ONE_BY_ONE) -> str:
+    """Mutex Watershed of each crop."""
+    cap = f"WHERE NOT push OR rp <= {most_push}" if most_push is not None else ""
+    return f"""{CROP},
+ee AS (SELECT h.s, a.node AS u, b.node AS v, h.off, h.off >= {N_PULL} AS push, CAST(CASE WHEN h.off < {N_PULL} THEN CAST(prob AS FLOAT) ELSE CAST(1 AS FLOAT) - CAST(prob AS FLOAT) END AS DOUBLE) AS w
+FROM hc h JOIN o USING (off) JOIN nd a ON a.s = h.s AND a.z = h.z AND a.y = h.y AND a.x = h.x JOIN nd b ON b.s = h.s AND b.z = h.z + dz AND b.y = h.y + dy AND b.x = h.x + dx
+WHERE ({mask.format("a")}) AND ({mask.format("b")}) AND (h.off < {N_PULL} OR ((h.y - y0 - greatest(0, -dy)) % 2 = 0 AND (h.x - x0 - greatest(0, -dx)) % 2 = 0))),
+ec AS (SELECT *, row_number() OVER (PARTITION BY s, push ORDER BY w DESC, off, u) AS rp FROM ee),
+ce AS (SELECT s, u, v, push, row_number() OVER (PARTITION BY s ORDER BY w DESC, off, u) AS i FROM ec {cap}),
+{steps}
 rt AS (SELECT nd.*, lab[node] AS root FROM nd JOIN st USING (s) WHERE {mask.format("nd")}),
 rs AS (SELECT s, root, count(*) AS n, count(*) >= {min_size} AS stays FROM rt GROUP BY s, root),
 rk AS (SELECT *, CASE WHEN stays THEN sum(CASE WHEN stays THEN 1 ELSE 0 END) OVER (PARTITION BY s ORDER BY root) ELSE 0 END AS label FROM rs),
@@ -132,6 +156,23 @@ def mutex_watershed_crops(spark, d):
     return _whole(G.agglomerate(h, OFFSETS, N_PULL, "prob", strides=(1, 2, 2), by=["sample_id"]).join(h.select("sample_id", "place").distinct(), "sample_id"))
 
 
+@query(recursive(with_v1(CROPPED, VOLUMES, O, NEAR, H, watershed_sql("true", None, 0, rounds_sql(16)))))
+def mutex_watershed_bucketed(spark, d):
+    """The Mutex Watershed of many small crops in sixteen buckets of edges."""
+    h = crops_of(head(spark, d))
+    return _whole(G.agglomerate(h, OFFSETS, N_PULL, "prob", strides=(1, 2, 2), by=["sample_id"], method="bucketed").join(h.select("sample_id", "place").distinct(), "sample_id"))
+
+
+@query(f"""WITH xa AS ({ORACLES["mutex_watershed_crops"]}), xb AS ({ORACLES["mutex_watershed_bucketed"]}),
+{sums_sql("SELECT sample_id, xa.label AS true_, xb.label AS pred FROM xa JOIN xb USING (sample_id, z, y, x)", "sample_id")}
+SELECT s AS sample_id, round(CASE WHEN sqa = sq AND sqb = sq THEN 1 ELSE {ARI} END, 6) AS ari FROM m""")
+def mutex_bucketed_ari(spark, d):
+    """How far the bucketed method agrees with the exact one, crop by crop."""
+    h = crops_of(head(spark, d))
+    exact, rounds = (G.agglomerate(h, OFFSETS, N_PULL, "prob", strides=(1, 2, 2), by=["sample_id"], method=m).withColumnRenamed("label", c) for m, c in (("exact", "true"), ("bucketed", "pred")))
+    return r6(M.ari(exact.join(rounds, ["sample_id", "z", "y", "x"]), ["sample_id"]), "ari")
+
+
 @query(recursive(with_v1(CROPPED, VOLUMES, O, NEAR, H, watershed_sql("{0}.val > 0", 12, 4))))
 def agglomerate_crops(spark, d):
     """Crops within a mask, with the 12 heaviest push edges each, without small objects."""
