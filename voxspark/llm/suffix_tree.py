@@ -218,20 +218,21 @@ class _Chunk:
             open_ &= (self.level != k) | (column != NONE)
         at = np.flatnonzero(open_)
         columns = [c[at] for c in columns] + [self.word[at]]
-        _, of = np.unique(same[at], return_inverse=True)  # equal rows; should unlike ones share a key, they are told apart
-        rows = np.empty(int(of.max(initial=-1)) + 1, dtype=np.int64)
-        rows[of] = np.arange(len(at))
-        if any((c[rows][of] != c).any() for c in columns):
-            _, of = np.unique(np.stack(columns), axis=1, return_inverse=True)
-            rows = np.empty(int(of.max()) + 1, dtype=np.int64)
-            rows[of] = np.arange(len(at))
-        bucket = ((key[at[rows]] >> U(32)).astype(np.int64) * buckets) >> 32
-        by = np.argsort(bucket << 32 | columns[0][rows], kind="stable")
-        place = np.empty(len(rows), dtype=np.int64)
-        place[by] = np.arange(len(rows))
-        of, rows = place[of], rows[by]
+        bucket = ((key[at] >> U(32)).astype(np.int64) * buckets) >> 32
+        # one sort by bucket, last word and the leading bits of the word before it; a hash brings equal rows together, but for chance
+        wide, most = int(max(c.max(initial=0) for c in columns[:2])).bit_length(), (buckets - 1).bit_length()
+        spare = 64 - wide - most
+        lead = min(wide, spare - 12)
+        code = (bucket << wide | columns[0]).astype(U) << U(spare) | (columns[1] >> (wide - lead)).astype(U) << U(spare - lead)
+        by = np.argsort(code | same[at] >> U(64 - spare + lead))
+        columns = [c[by].astype(np.uint32) for c in columns]
+        new = np.ones(len(by), dtype=bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        rows = by[new]
+        of = np.empty(len(at), dtype=np.int64)
+        of[by] = np.cumsum(new) - 1
         n = np.bincount(of, self.train[at], len(rows)).astype(np.uint32)
-        return at, of, bucket[by], [c[rows].astype(np.uint32) for c in columns], n, self.level[at[rows]], self.prob[at[rows]]
+        return at, of, bucket[rows], [c[new] for c in columns], n, self.level[at[rows]], self.prob[at[rows]]
 
     def messages(self, buckets: int) -> pd.DataFrame:
         _, _, bucket, columns, n, level, prob = self.asked(buckets)
