@@ -241,7 +241,7 @@ class _Chunk:
         for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
             if j > i:
                 part = [np.diff(columns[0][i:j], prepend=np.uint32(0)), *(c[i:j] for c in columns[1:]), n[i:j]]
-                data = [squeeze(np.concatenate(part)), squeeze(level[i:j]), squeeze(prob[i:j][level[i:j] > 0])]
+                data = [squeeze(np.concatenate(part)), squeeze(level[i:j]), squeeze(prob[i:j][level[i:j] > 0].astype(np.float32))]
                 rows.append((self.id, b, j - i, b"".join([*(len(x).to_bytes(4, "little") for x in data), *data])))
         return pd.DataFrame(rows, columns=["chunk", "bucket", "n", "rows"])
 
@@ -250,7 +250,7 @@ def _unpack(data: bytes, n: int, depth: int):
     ends = 12 + np.cumsum([0, *(int.from_bytes(data[4 * k : 4 * k + 4], "little") for k in range(3))])
     main, level, prob = (data[i:j] for i, j in zip(ends[:-1], ends[1:]))
     columns = expand(main, np.uint32).reshape(depth + 2, n)
-    return np.concatenate([np.cumsum(columns[:1], axis=1, dtype=np.uint32), columns[1:]]), expand(level, np.int8), expand(prob, np.float64)
+    return np.concatenate([np.cumsum(columns[:1], axis=1, dtype=np.uint32), columns[1:]]), expand(level, np.int8), expand(prob, np.float32)
 
 
 def _grow(pdf: pd.DataFrame, p: TreeParams, words: _Words) -> pd.DataFrame:
