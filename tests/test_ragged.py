@@ -47,3 +47,8 @@ def test_absent_neighbours_make_no_boundary(spark, ragged, name, n):
 @pytest.mark.parametrize("n", [256, 306])
 def test_shift_to_absent_voxels_gives_no_row(spark, ragged, n):
     check(spark, ragged, "shift_nd", n)
+
+
+@pytest.mark.parametrize("n", [256, 306])
+def test_smoothing_reaches_absent_voxels(spark, ragged, n):
+    check(spark, ragged, "gaussian_filter", n)

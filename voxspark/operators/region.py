@@ -21,21 +21,25 @@ def gaussian_kernel(sigma: float, truncate: float = 4.0) -> np.ndarray:
 
 
 def gaussian_filter(df: DataFrame, value: str, sigma: Sequence[float], truncate: float = 4.0, by: Sequence[str] = ("volume",), block: Sequence[int] = (32, 128, 128)) -> DataFrame:
-    """Separable smoothing; the volume is mirrored at its faces, face voxels included."""
+    """Separable smoothing; the volume is mirrored at its faces, face voxels included.
+
+    Absent voxels add nothing, and those that a present one reaches get a value too.
+    """
     kernels = [gaussian_kernel(s, truncate) for s in sigma]
 
     def smooth(r: Region) -> pd.DataFrame:
-        a = r.arrays[value].astype(np.float64)
+        a, there = np.where(r.present, r.arrays[value], 0).astype(np.float64), r.present
         for k, kernel in enumerate(kernels):
             half = len(kernel) // 2
             at = np.arange(r.core[k].start, r.core[k].stop) + r.origin[k]
-            total = 0.0
+            total, reached = 0.0, False
             for d, w in zip(range(-half, half + 1), kernel):
                 j = np.mod(at + d, 2 * r.shape[k])
                 j = np.where(j < r.shape[k], j, 2 * r.shape[k] - 1 - j) - r.origin[k]
                 total = total + w * np.take(a, j, axis=k)
-            a = total
-        return r.rows(by, **{value: a})
+                reached = reached | np.take(there, j, axis=k)
+            a, there = total, reached
+        return r.rows(by, there, **{value: a})
 
     halo = [len(k) // 2 for k in kernels]
     return halo_apply(df, [value], halo, smooth, voxel_schema(df, by, **{value: T.DoubleType()}), by, block)
