@@ -52,3 +52,8 @@ def test_shift_to_absent_voxels_gives_no_row(spark, ragged, n):
 @pytest.mark.parametrize("n", [256, 306])
 def test_smoothing_reaches_absent_voxels(spark, ragged, n):
     check(spark, ragged, "gaussian_filter", n)
+
+
+@pytest.mark.parametrize("n", [256, 306])
+def test_foreground_is_a_share_of_the_present_voxels(spark, ragged, n):
+    check(spark, ragged, "foreground_crop", n)
