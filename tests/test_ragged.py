@@ -57,3 +57,9 @@ def test_smoothing_reaches_absent_voxels(spark, ragged, n):
 @pytest.mark.parametrize("n", [256, 306])
 def test_foreground_is_a_share_of_the_present_voxels(spark, ragged, n):
     check(spark, ragged, "foreground_crop", n)
+
+
+@pytest.mark.parametrize("n", [256, 306])
+@pytest.mark.parametrize("name", ["zoom_samples", "augment_pipeline", "augment_validation"])
+def test_samples_that_lack_voxels(spark, ragged, name, n):
+    check(spark, ragged, name, n)
