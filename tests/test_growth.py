@@ -35,3 +35,19 @@ def test_resample_of_one_line(spark, mode):
             want = min(int(i * (n / m)), n - 1) ** 2 if mode == "nearest" else low**2 * (1 - part) + up**2 * part
             assert got[i] == pytest.approx(want), (n, m, i)
         assert len(got) == m
+
+
+def boxes(spark, n, seed):
+    r = random.Random(seed)
+    rows = [(f"b{i}", "V", *(r.randrange(-2, 12) for _ in range(3)), *(r.randrange(0, 6) for _ in range(3))) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "name string, volume string, z int, y int, x int, sz int, sy int, sx int")
+
+
+def test_crop_boxes_meet_lines(spark):
+    v = spark.range(1000).select(F.lit("V").alias("volume"), *((F.col("id") / k % 10).cast("int").alias(a) for a, k in (("z", 100), ("y", 10), ("x", 1))), F.col("id").alias("val"))
+    rows, df = boxes(spark, 60, 1)
+    out = C.crop_boxes(v, df, 4)
+    assert set(re.findall(r"cast\((\w+)#\d+ as double\) / 4\.0", plan(out))) == {"ox", "x"}  # cells along x alone
+    want = {(n, z - bz, y - by, x - bx, z * 100 + y * 10 + x) for n, _, bz, by, bx, sz, sy, sx in rows for z in range(bz, bz + sz) for y in range(by, by + sy) for x in range(bx, bx + sx) if all(0 <= k < 10 for k in (z, y, x))}
+    got = [(r.name, r.z, r.y, r.x, r.val) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
