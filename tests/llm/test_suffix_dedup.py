@@ -79,3 +79,14 @@ def test_small_chunks_and_rare_triggers(spark):
 
 def test_empty_table(spark):
     assert digest(remove_repeats(spark.createDataFrame([], SCHEMA))).collect() == []
+
+
+def test_texts_without_a_byte_need_no_powers(monkeypatch):
+    """A worker whose first chunk is empty."""
+    import numpy as np
+
+    from voxspark.llm import bytehash
+
+    monkeypatch.setattr(bytehash, "_POWERS", {})
+    r = bytehash.Rolling(np.empty(0, dtype=np.uint8))
+    assert r.sums.tolist() == [0] and len(r.windows(5)) == 0

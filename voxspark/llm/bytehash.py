@@ -41,7 +41,7 @@ def powers(n: int, name: str) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept by the worker."""
     have = _POWERS.get(name)
     if have is None or len(have) < n:
-        size = -(-n // (1 << 16)) << 16
+        size = max(1, -(-n // (1 << 16))) << 16
         have = np.empty(size, dtype=U)
         have[0], filled = 1, 1
         base = BASE if name == "up" else BASE_INV
