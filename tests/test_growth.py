@@ -51,3 +51,15 @@ def test_crop_boxes_meet_lines(spark):
     want = {(n, z - bz, y - by, x - bx, z * 100 + y * 10 + x) for n, _, bz, by, bx, sz, sy, sx in rows for z in range(bz, bz + sz) for y in range(by, by + sy) for x in range(bx, bx + sx) if all(0 <= k < 10 for k in (z, y, x))}
     got = [(r.name, r.z, r.y, r.x, r.val) for r in out.collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("per_task", [3, 2000])
+def test_overlaps_of_a_crowded_cell_are_dealt_out(spark, per_task):
+    rows, _ = boxes(spark, 80, 2)
+    rows = [(*r[:5], *(max(s, 1) for s in r[5:])) for r in rows] + [("huge", "V", -5, -5, -5, 500, 3, 40)]
+    df = spark.createDataFrame(rows, "name string, volume string, z int, y int, x int, sz int, sy int, sx int")
+    hit = lambda a, b: all(a[k] < b[k] + b[k + 3] and b[k] < a[k] + a[k + 3] for k in (2, 3, 4))
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and hit(a, b))
+    out = C.split_overlaps(df, per_task=per_task)
+    assert sorted(map(tuple, out.collect())) == want
+    assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
