@@ -1,12 +1,14 @@
 """Steps whose work must not grow faster than their input."""
 
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxspark.operators import augment as A, catalog as C
+from voxspark.operators import augment as A, catalog as C, metrics as M
 
 
 def plan(df) -> str:
@@ -63,3 +65,38 @@ def test_overlaps_of_a_crowded_cell_are_dealt_out(spark, per_task):
     out = C.split_overlaps(df, per_task=per_task)
     assert sorted(map(tuple, out.collect())) == want
     assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def clusterings(spark, n):
+    pair = [(F.xxhash64("id", F.lit(k)) % m + 1).alias(c) for k, c, m in ((1, "true", 5), (2, "pred", 7))]
+    return spark.range(n).select((F.col("id") % 3).alias("s"), *pair)
+
+
+def test_ami_deals_pairs_of_sizes_to_tasks(spark):
+    out = M.ami(clusterings(spark, 300), ["s"])
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_expected_information_in_parts():
+    r = random.Random(3)
+    rows = [(a, b, n) for n in (30, 200) for a, b in ((r.randrange(1, n), r.randrange(1, n)) for _ in range(20))]
+    a, b, n = (np.array(v) for v in zip(*rows))
+    first, last = np.maximum(1, a + b - n), np.minimum(a, b)
+    f = lambda k: math.lgamma(k + 1)
+    p = lambda a, b, n, k: math.exp(f(a) + f(b) + f(n - a) + f(n - b) - f(n) - f(k) - f(a - k) - f(b - k) - f(n - a - b + k))
+    want = [sum(k / n * math.log(n * k / (a * b)) * p(a, b, n, k) for k in range(i, j + 1)) for a, b, n, i, j in zip(a.tolist(), b.tolist(), n.tolist(), first.tolist(), last.tolist())]
+    for most in (1, 50, 1 << 18):
+        assert M.expected_information(a, b, n, first, last, most) == pytest.approx(want, abs=1e-9)
+
+
+def test_report_reads_its_labels_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    df = clusterings(spark, 300)
+
+    def look(frames):
+        for pdf in frames:
+            seen.add(len(pdf))
+            yield pdf
+
+    assert M.instance_report(df.mapInPandas(look, df.schema), ["s"]).count() == 18
+    assert seen.value == 300
