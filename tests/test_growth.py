@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxspark.operators import augment as A, catalog as C, metrics as M
+from voxspark.operators import augment as A, catalog as C, graph as G, metrics as M
 
 
 def plan(df) -> str:
@@ -100,3 +100,10 @@ def test_report_reads_its_labels_once(spark):
 
     assert M.instance_report(df.mapInPandas(look, df.schema), ["s"]).count() == 18
     assert seen.value == 300
+
+
+def test_roots_are_joined_without_a_broadcast(spark):
+    links = spark.range(50).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"))
+    out = G.resolve_roots(links)
+    assert {r.node: r.root for r in out.collect()} == {i: i % 7 for i in range(50)}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
