@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxspark.operators import augment as A, catalog as C, graph as G, metrics as M
+from voxspark.operators import augment as A, catalog as C, graph as G, metrics as M, neighbors as N
 
 
 def plan(df) -> str:
@@ -107,3 +107,15 @@ def test_roots_are_joined_without_a_broadcast(spark):
     out = G.resolve_roots(links)
     assert {r.node: r.root for r in out.collect()} == {i: i % 7 for i in range(50)}
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_do_not_meet_at_their_volume(spark):
+    v = spark.range(60).select(F.lit("V").alias("volume"), *((F.col("id") / k % n).cast("int").alias(a) for a, k, n in (("z", 20, 3), ("y", 5, 4), ("x", 1, 5))), F.array(F.lit(0.5)).alias("aff"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for shapes in (None, spark.createDataFrame([("V", 3, 4, 5)], "volume string, d int, h int, w int")):
+            out = N.build_edges(v, [(0, 0, -1)], 1, shapes=shapes)
+            assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+            assert out.count() == 48
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

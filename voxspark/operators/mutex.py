@@ -224,11 +224,12 @@ def mutex_exact(edges: DataFrame, nodes: DataFrame, cells: Cells, max_pairs: int
 def agglomerate_volume(df: DataFrame, offsets: Sequence[Sequence[int]], n_pull: int, aff: str = "aff", mask: str | None = None, strides: Sequence[int] = (1, 4, 4), block: Sequence[int] = (32, 128, 128), max_pairs: int = 4_000_000, scratch: Scratch | None = None) -> DataFrame:
     """(z, y, x, label) of one whole volume from affinities per voxel, as if by one sequential pass; outside the mask 0."""
     scratch = scratch or Scratch(df.sparkSession, "mutex")
+    df = Scratch(df.sparkSession, "voxels").keep(df.select("z", "y", "x", aff, *([mask] if mask else [])))  # what gives the affinities runs once; the result needs them still
     shape = df.agg(*(F.max(a) + 1 for a in "zyx")).first()
     if shape[0] is None:
         return df.select("z", "y", "x", F.lit(0).cast("long").alias("label"))
-    df = df.select("z", "y", "x", aff, *([mask] if mask else []))
-    edges = build_edges(df.withColumn("volume", F.lit("")), offsets, n_pull, aff, strides, mask)
+    sizes = F.broadcast(df.sparkSession.createDataFrame([("", *shape)], "volume string, d long, h long, w long"))
+    edges = build_edges(df.withColumn("volume", F.lit("")), offsets, n_pull, aff, strides, mask, shapes=sizes)
     at = df.withColumn("node", (F.col("z").cast("long") * shape[1] + F.col("y")) * shape[2] + F.col("x"))
     labels = mutex_exact(edges, (at.where(F.col(mask)) if mask else at).select("node"), block_cells(shape, block), max_pairs, scratch=scratch)
     return at.join(labels, "node", "left").select("z", "y", "x", F.coalesce("label", F.lit(0).cast("long")).alias("label"))

@@ -81,7 +81,7 @@ def channel_targets(spark, d):
 
 def head(spark, d):
     """Voxels with pseudo affinities: aff = clamp(0.5 +- 0.35 + val), their logits, a semantic logit and a raw value."""
-    t = N.affinities(gt(spark, d), OFFSETS, block=BLOCK).join(v1(spark, d).select("volume", "z", "y", "x", "val"), ["volume", "z", "y", "x"])
+    t = N.affinities(gt(spark, d), OFFSETS, block=BLOCK, carry=["val"])
     prob = F.transform("aff", lambda a: F.least(F.greatest(F.lit(0.5) + F.when(a == 1, 0.35).otherwise(-0.35) + F.col("val"), F.lit(0.0)), F.lit(1.0)))
     logit = F.transform("prob", lambda p: F.log(F.least(F.greatest(p, F.lit(1e-7)), F.lit(1 - 1e-7)) / (1 - F.least(F.greatest(p, F.lit(1e-7)), F.lit(1 - 1e-7)))))
     return t.withColumn("prob", prob).withColumns({"aff_logit": logit, "sem": F.col("val") * 10, "raw": F.col("val"), "image": F.col("val") * 0.5 + 0.1})
@@ -94,12 +94,12 @@ WHERE hd.z + dz BETWEEN 0 AND d - 1 AND hd.y + dy BETWEEN 0 AND h - 1 AND hd.x +
 
 @query(with_v1("SELECT CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v, round(w, 6) AS w, off, is_mutex FROM ed", VOLUMES, O, NEAR, H, EDGES))
 def build_edges(spark, d):
-    return r6(N.build_edges(head(spark, d), OFFSETS, N_PULL, "prob"), "w").select("u", "v", "w", "off", "is_mutex")
+    return r6(N.build_edges(head(spark, d), OFFSETS, N_PULL, "prob", shapes=volumes_of(v1(spark, d))), "w").select("u", "v", "w", "off", "is_mutex")
 
 
 @query(with_v1("SELECT CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v, off FROM ed WHERE NOT is_mutex UNION ALL SELECT u, v, off FROM (SELECT CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v, off FROM ed WHERE is_mutex ORDER BY w DESC, off, u LIMIT 500)", VOLUMES, O, NEAR, H, EDGES))
 def cap_push_edges(spark, d):
-    return N.cap_push_edges(N.build_edges(head(spark, d), OFFSETS, N_PULL, "prob"), 500).select("u", "v", "off")
+    return N.cap_push_edges(N.build_edges(head(spark, d), OFFSETS, N_PULL, "prob", shapes=volumes_of(v1(spark, d))), 500).select("u", "v", "off")
 
 
 LINKS = "li AS (SELECT o_custkey AS a, o_custkey * 7 % 1499 + 1 AS b FROM orders)"
