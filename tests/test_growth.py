@@ -119,3 +119,14 @@ def test_edges_do_not_meet_at_their_volume(spark):
             assert out.count() == 48
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_crops_move_once(spark):
+    """No joins and one shuffle; an edge to an absent voxel joins nothing."""
+    rows = [(s, 0, 0, x, [0.9, 0.8], s * 10 + x) for s in (1, 2) for x in (0, 2, 3)]
+    df = spark.createDataFrame(rows, "sample_id int, z int, y int, x int, aff array<double>, was int")
+    out = G.agglomerate(df, [(0, 0, 1), (0, 0, -2)], 1, strides=(1, 1, 1), by=["sample_id"], carry=["was"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    got = sorted((r.sample_id, r.x, r.was, r.label) for r in out.collect())
+    assert got == [(s, x, s * 10 + x, label) for s in (1, 2) for x, label in ((0, 1), (2, 2), (3, 2))]

@@ -16,7 +16,6 @@ def instance_report_of_head(head: DataFrame, offsets: Sequence[Sequence[int]], n
     Each sample's affinities (probabilities) are agglomerated inside its true foreground, which keeps
     errors of the foreground out of the figures; samples without any are left out.
     """
-    inside = head.withColumn("_fg", F.col(label) > 0)
-    found = agglomerate(inside, offsets, n_pull, aff, "_fg", strides, min_size, max_push_edges, by, method, buckets)
-    pairs = head.select(*by, "z", "y", "x", F.col(label).alias("true")).join(found.withColumnRenamed("label", "pred"), [*by, "z", "y", "x"])
-    return instance_report(pairs.select(*by, "true", "pred"), by)
+    inside = head.withColumns({"_fg": F.col(label) > 0, "_true": F.col(label)})
+    found = agglomerate(inside, offsets, n_pull, aff, "_fg", strides, min_size, max_push_edges, by, method, buckets, carry=["_true"])
+    return instance_report(found.select(*by, F.col("_true").alias("true"), F.col("label").alias("pred")), by)

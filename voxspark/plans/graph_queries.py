@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..operators import blend as B, evaluate as E, graph as G, metrics as M, mutex as X
 from .fixtures import VOLUMES, v1, volumes_of, with_v1
@@ -84,8 +84,12 @@ def blend_reflected(spark, d):
 def crops_of(df):
     """Crops of two sections of about ten by sixteen voxels, across the borders of the true objects."""
     out = df.withColumn("sample_id", (F.floor(F.col("z") / 2) * 100 + F.floor((F.col("y") + 5) / 10) * 10 + F.floor((F.col("x") + 8) / 16)).cast("long"))
-    first = out.groupBy("sample_id").agg(*(F.min(a).alias(f"_{a}") for a in "zyx"))
-    return out.join(first, "sample_id").withColumns({a: (F.col(a) - F.col(f"_{a}")).cast("int") for a in "zyx"}).withColumn("place", F.struct(*(F.col(f"_{a}").alias(a) for a in "zyx")))
+    out = out.withColumns({f"from_{a}": F.min(a).over(Window.partitionBy("sample_id")) for a in "zyx"})  # the crops' tasks need the same shuffle
+    return out.withColumns({a: (F.col(a) - F.col(f"from_{a}")).cast("int") for a in "zyx"})
+
+
+#: A crop's number and its place in the volume.
+PLACED = ["sample_id", "from_z", "from_y", "from_x"]
 
 
 CROP = """hs AS (SELECT *, CAST(z // 2 * 100 + (y + 5) // 10 * 10 + (x + 8) // 16 AS BIGINT) AS s FROM hd),
@@ -146,21 +150,21 @@ CROPPED = "SELECT s AS sample_id, z, y, x, label FROM sg"
 
 def _whole(out):
     """Voxels of crops at their places in the volume."""
-    return out.select("sample_id", *((F.col(a) + F.col(f"place.{a}")).alias(a) for a in "zyx"), "label")
+    return out.select("sample_id", *((F.col(a) + F.col(f"from_{a}")).alias(a) for a in "zyx"), "label")
 
 
 @query(recursive(with_v1(CROPPED, VOLUMES, O, NEAR, H, watershed_sql("true", None, 0))))
 def mutex_watershed_crops(spark, d):
     """The exact Mutex Watershed of many small crops."""
     h = crops_of(head(spark, d))
-    return _whole(G.agglomerate(h, OFFSETS, N_PULL, "prob", strides=(1, 2, 2), by=["sample_id"]).join(h.select("sample_id", "place").distinct(), "sample_id"))
+    return _whole(G.agglomerate(h, OFFSETS, N_PULL, "prob", strides=(1, 2, 2), by=PLACED))
 
 
 @query(recursive(with_v1(CROPPED, VOLUMES, O, NEAR, H, watershed_sql("true", None, 0, rounds_sql(16)))))
 def mutex_watershed_bucketed(spark, d):
     """The Mutex Watershed of many small crops in sixteen buckets of edges."""
     h = crops_of(head(spark, d))
-    return _whole(G.agglomerate(h, OFFSETS, N_PULL, "prob", strides=(1, 2, 2), by=["sample_id"], method="bucketed").join(h.select("sample_id", "place").distinct(), "sample_id"))
+    return _whole(G.agglomerate(h, OFFSETS, N_PULL, "prob", strides=(1, 2, 2), by=PLACED, method="bucketed"))
 
 
 @query(f"""WITH xa AS ({ORACLES["mutex_watershed_crops"]}), xb AS ({ORACLES["mutex_watershed_bucketed"]}),
@@ -169,16 +173,16 @@ SELECT s AS sample_id, round(CASE WHEN sqa = sq AND sqb = sq THEN 1 ELSE {ARI} E
 def mutex_bucketed_ari(spark, d):
     """How far the bucketed method agrees with the exact one, crop by crop."""
     h = crops_of(head(spark, d))
-    exact, rounds = (G.agglomerate(h, OFFSETS, N_PULL, "prob", strides=(1, 2, 2), by=["sample_id"], method=m).withColumnRenamed("label", c) for m, c in (("exact", "true"), ("bucketed", "pred")))
-    return r6(M.ari(exact.join(rounds, ["sample_id", "z", "y", "x"]), ["sample_id"]), "ari")
+    exact = G.agglomerate(h, OFFSETS, N_PULL, "prob", strides=(1, 2, 2), by=["sample_id"], carry=["prob"]).withColumnRenamed("label", "true")
+    both = G.agglomerate(exact, OFFSETS, N_PULL, "prob", strides=(1, 2, 2), by=["sample_id"], method="bucketed", carry=["true"]).withColumnRenamed("label", "pred")
+    return r6(M.ari(both, ["sample_id"]), "ari")
 
 
 @query(recursive(with_v1(CROPPED, VOLUMES, O, NEAR, H, watershed_sql("{0}.val > 0", 12, 4))))
 def agglomerate_crops(spark, d):
     """Crops within a mask, with the 12 heaviest push edges each, without small objects."""
     h = crops_of(head(spark, d)).withColumn("fg", F.col("sem") > 0)
-    out = G.agglomerate(h, OFFSETS, N_PULL, "prob", "fg", (1, 2, 2), 4, 12, ["sample_id"])
-    return _whole(out.join(h.select("sample_id", "place").distinct(), "sample_id"))
+    return _whole(G.agglomerate(h, OFFSETS, N_PULL, "prob", "fg", (1, 2, 2), 4, 12, PLACED))
 
 
 REPORT = sums_sql("SELECT s AS sample_id, gt AS true_, label AS pred FROM sg WHERE gt > 0", "sample_id")
