@@ -355,3 +355,15 @@ def test_push_edges_by_selection(spark, by):
             assert sorted(map(str, got)) == sorted(map(str, want))
         else:  # equal edges of several crops are ties
             assert sorted((r[3], r[4], r[1]) for r in got) == sorted((r[3], r[4], r[1]) for r in want)
+
+
+def test_voxels_move_once(spark):
+    """Voxels go straight to all blocks that see them: no task holds batches of whole blocks, and one exchange serves a rim wider than a block."""
+    from voxspark.operators.neighbors import shift
+
+    a = np.arange(1, 6 * 9 * 10 + 1).reshape(6, 9, 10)
+    out = shift(volume(spark, a), (1, -5, 7), "label", block=(2, 4, 3))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == plan.count("MapInPandas") == 1
+    moved = {(r.z, r.y, r.x): r.label for r in out.collect()}
+    assert moved == {(z, y, x): a[min(z + 1, 5), max(y - 5, 0), min(x + 7, 9)] for z, y, x in np.ndindex(a.shape)}
