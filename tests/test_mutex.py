@@ -102,3 +102,19 @@ def test_whole_volume_of_the_query(spark, sf_dir):
     got = Q.mutex_watershed_volume(spark, sf_dir).toPandas().sort_values(["z", "y", "x"])
     want = sequential(len(got), list(e[["u", "v", "w", "off", "is_mutex"]].itertuples(index=False, name=None)))
     assert got["label"].tolist() == want.tolist() and want.max() > 20
+
+
+@pytest.mark.parametrize("rounds", [1, 4, 6, 7, 11])
+def test_renamed_clusters_are_followed(spark, rounds):
+    """Chains through all rounds, without rounds of components."""
+    from voxspark.operators.mutex import _follow
+
+    rng, alive, root, links = random.Random(rounds), list(range(40)), {}, []
+    for _ in range(rounds):
+        gone = rng.sample(alive[1:], 3)
+        alive = [i for i in alive if i not in gone]
+        links.append([(i, rng.choice(alive)) for i in gone])
+    for i, to in (h for hooks in reversed(links) for h in hooks):
+        root[i] = root.get(to, to)
+    got = _follow([spark.createDataFrame(h, "a long, b long") for h in links], Scratch(spark, "follow"))
+    assert {(r.node, r.root) for r in got.collect()} == set(root.items())

@@ -5,7 +5,7 @@ joining, a pull edge joins them if they are not banned.  An edge that comes befo
 open edges of both its clusters can be settled at once, whatever is open
 elsewhere, with the same outcome.  A round uses this twice over:
 
-* clusters are dealt to cells of space; a cell's task takes its edges in order and settles
+* clusters are dealt to cells of space (the first time as voxels, whose edges the cell's task makes); a cell's task takes its edges in order and settles
   those whose clusters both lie in the cell, until an edge that leaves the cell, or one to a
   cluster held up in this way, holds up its clusters too;
 * what is left is contracted: of all edges between two clusters only the first one counts, and
@@ -26,8 +26,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..scratch import Scratch
-from .components import connected
-from .neighbors import build_edges
 from .prefix import consecutive
 
 #: Pairs of clusters a < b: banned, or with the first open edge between them.
@@ -143,6 +141,56 @@ def _contract(pairs: DataFrame, hooks: DataFrame) -> DataFrame:
     return one.select("a", "b", "banned", keep(F.col("e.w")).alias("w"), keep(-F.col("e.off")).alias("off"), keep(-F.col("e.u0")).alias("u0"), keep(F.col("e.push")).alias("push"))
 
 
+def _volume_round(voxels: DataFrame, shape: Sequence[int], offsets: Sequence[Sequence[int]], n_pull: int, strides: Sequence[int], masked: bool, block: Sequence[int], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(pairs, hooks) after the first round, straight from voxels(z, y, x, _w0, _w1 ...): cells get their voxels and those that share an edge with one, and make the edges (as build_edges does)."""
+    sides = [1, -1] if masked else [1]  # with a mask an edge's far end must be known to be there
+
+    def cell(at: Sequence[Column]) -> Column:
+        out = F.lit(0).cast("long")
+        for c, size, b in zip(at, shape, block):
+            out = out * (size // b + 1) + F.floor(c / b)
+        return F.when(sum((((c < 0) | (c >= n)).cast("int") for c, n in zip(at, shape)), F.lit(0)) == 0, out)
+
+    places = [cell([F.col(a) + s * d for a, d in zip("zyx", o)]) for o in ((0, 0, 0), *offsets) for s in sides]
+    dealt = voxels.withColumn("cell", F.explode(F.array_compact(F.array_distinct(F.array(*places)))))
+
+    def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at = np.stack([pdf[a].to_numpy(dtype=np.int64) for a in "zyx"])
+        size, steps = np.array(shape)[:, None], np.array(block)[:, None]
+        here = lambda p: np.ravel_multi_index(p // steps, [n // b + 1 for n, b in zip(shape, block)]) == key[0]
+        node, own = np.ravel_multi_index(at, shape), here(at)
+        known, parts = np.sort(node), []
+        for k, o in enumerate(np.array(offsets)[:, :, None]):
+            to = at + o
+            ok = ((to >= 0) & (to < size)).all(axis=0)
+            if k >= n_pull:
+                ok &= ((at - np.maximum(0, -o)) % np.array(strides)[:, None] == 0).all(axis=0)
+            ok = np.flatnonzero(ok)
+            to = to[:, ok]
+            v, there = np.ravel_multi_index(to, shape), here(to)
+            take = own[ok] | there
+            if masked:
+                take &= known[np.minimum(np.searchsorted(known, v), len(known) - 1)] == v
+            ok, v, there = ok[take], v[take], there[take]
+            u, w = node[ok], pdf[f"_w{k}"].to_numpy(dtype=np.float32)[ok]
+            w = (np.float32(1) - w if k >= n_pull else w).astype(np.float64)
+            low = u < v
+            parts.append(pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v), "banned": False, "w": w, "off": k, "u0": u, "push": k >= n_pull, "in_a": np.where(low, own[ok], there), "in_b": np.where(low, there, own[ok])}))
+        edges = pd.concat(parts, ignore_index=True)
+        edges = edges[edges["a"] != edges["b"]].reset_index(drop=True)
+        out = _cell_task(edges).assign(across=False)
+        far = edges[(edges["u0"] == edges["a"]) & edges["in_a"] & ~edges["in_b"] | (edges["u0"] == edges["b"]) & edges["in_b"] & ~edges["in_a"]]  # each from the cell of its first end
+        far = far.drop(columns=["in_a", "in_b"]).assign(hook=False, across=True)
+        return pd.concat([out, far.astype({"banned": "boolean", "off": "Int32", "u0": "Int64", "push": "boolean"})], ignore_index=True)[[*out.columns]]
+
+    done = scratch.keep(dealt.groupBy("cell").applyInPandas(first, f"{SETTLED}, across boolean"), "settled")
+    hooks = scratch.keep(done.where("hook").select("a", "b"), "hooks")
+    across = _contract(done.where("across").drop("hook", "across"), hooks)
+    pairs = scratch.keep(done.where("NOT hook AND NOT across").drop("hook", "across").unionByName(across), "pairs")
+    scratch.drop(done)
+    return pairs, hooks
+
+
 def _cell_round(pairs: DataFrame, cells: Cells, level: int, moved: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(pairs, hooks) after all cells have settled what they can."""
     placed = pairs.withColumns({"ca": cells(F.col("a"), level, moved), "cb": cells(F.col("b"), level, moved)})
@@ -173,6 +221,29 @@ def _join_round(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     return out, hooks
 
 
+def _follow(links: list[DataFrame], scratch: Scratch, large: int = 6) -> DataFrame | None:
+    """(node, root) of all clusters that were renamed, from each round's hooks(a: old, b: new); a cluster is renamed once and never to one that is gone.
+
+    The first rounds rename most: they are taken from the last to the first, so that each one's hooks meet only
+    what comes after them.  All rounds after those are followed at once, by jumps that double.
+    """
+    found = None
+    for hooks in links[large:]:
+        pairs = hooks.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        found = pairs if found is None else found.unionByName(pairs)
+    jumps = max(0, len(links) - large - 1).bit_length()
+    for hooks in [None] * jumps + links[:large][::-1]:
+        if found is None:
+            found = hooks.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            continue
+        rows = found if hooks is None else hooks.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        later = found.select(F.col("node").alias("root"), F.col("root").alias("_r"))
+        named = rows.join(later.hint("merge"), "root", "left").select("node", F.coalesce("_r", "root").alias("root"))
+        before, found = found, scratch.keep(named if hooks is None else named.unionByName(found), "found")
+        scratch.drop(before)
+    return found
+
+
 def mutex_exact(edges: DataFrame, nodes: DataFrame, cells: Cells, max_pairs: int = 4_000_000, join_rounds: int = 3, scratch: Scratch | None = None) -> DataFrame:
     """(node, label): the Mutex Watershed of edges(u, v, w, off, is_mutex) and nodes(node), exact; labels from 1 by smallest node.
 
@@ -184,8 +255,12 @@ def mutex_exact(edges: DataFrame, nodes: DataFrame, cells: Cells, max_pairs: int
         F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.lit(False).alias("banned"), F.col("w").cast("double").alias("w"), F.col("off").cast("int").alias("off"),
         F.col("u").cast("long").alias("u0"), F.col("is_mutex").alias("push"),
     )
-    pairs, links = scratch.keep(pairs, "pairs"), []
-    level, moved, left = 0, False, pairs.count()
+    return _rounds(scratch.keep(pairs, "pairs"), [], nodes, cells, False, max_pairs, join_rounds, scratch)
+
+
+def _rounds(pairs: DataFrame, links: list[DataFrame], nodes: DataFrame, cells: Cells, moved: bool, max_pairs: int, join_rounds: int, scratch: Scratch) -> DataFrame:
+    """(node, label) from pairs and the hooks so far: rounds until no pair is open; moved: whether cells begin in their second place."""
+    level, left = 0, pairs.where("NOT banned").count()
     while left:
         before, old = left, pairs
         pairs, hooks = _cell_round(pairs, cells, level, moved, scratch)
@@ -208,12 +283,10 @@ def mutex_exact(edges: DataFrame, nodes: DataFrame, cells: Cells, max_pairs: int
                         break
                     left = now
         moved = not moved
-    all_links = None
-    for hooks in links:
-        all_links = hooks if all_links is None else all_links.unionByName(hooks)
+    found = _follow(links, scratch)
     named = nodes.select("node")
-    if all_links is not None:
-        named = named.join(connected(all_links, scratch), "node", "left").select("node", F.coalesce("component", "node").alias("root"))
+    if found is not None:
+        named = named.join(found.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     else:
         named = named.select("node", F.col("node").alias("root"))
     named = scratch.keep(named, "roots")
@@ -228,8 +301,10 @@ def agglomerate_volume(df: DataFrame, offsets: Sequence[Sequence[int]], n_pull:
     shape = df.agg(*(F.max(a) + 1 for a in "zyx")).first()
     if shape[0] is None:
         return df.select("z", "y", "x", F.lit(0).cast("long").alias("label"))
-    sizes = F.broadcast(df.sparkSession.createDataFrame([("", *shape)], "volume string, d long, h long, w long"))
-    edges = build_edges(df.withColumn("volume", F.lit("")), offsets, n_pull, aff, strides, mask, shapes=sizes)
-    at = df.withColumn("node", (F.col("z").cast("long") * shape[1] + F.col("y")) * shape[2] + F.col("x"))
-    labels = mutex_exact(edges, (at.where(F.col(mask)) if mask else at).select("node"), block_cells(shape, block), max_pairs, scratch=scratch)
-    return at.join(labels, "node", "left").select("z", "y", "x", F.coalesce("label", F.lit(0).cast("long")).alias("label"))
+    shape = [int(n) for n in shape]
+    inside = df.where(F.col(mask)) if mask else df
+    voxels = inside.select("z", "y", "x", *(F.element_at(aff, k + 1).cast("float").alias(f"_w{k}") for k in range(len(offsets))))
+    pairs, hooks = _volume_round(voxels, shape, offsets, n_pull, strides, mask is not None, block, scratch)
+    node = (F.col("z").cast("long") * shape[1] + F.col("y")) * shape[2] + F.col("x")
+    labels = _rounds(pairs, [hooks], inside.select(node.alias("node")), block_cells(shape, block), True, max_pairs, 3, scratch)
+    return df.withColumn("node", node).join(labels, "node", "left").select("z", "y", "x", F.coalesce("label", F.lit(0).cast("long")).alias("label"))
