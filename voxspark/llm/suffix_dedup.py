@@ -1,26 +1,27 @@
 """Removal of every byte that lies in a repeated string of ``window`` bytes.
 
 The corpus is parsed prefix-free: a position whose next ``trigger_bytes`` bytes have a
-rolling hash divisible by ``trigger_modulus`` begins a phrase, so that equal strings
-are cut at equal places.  What is repeated is then found from the phrases' beginnings:
-
-1. the suffixes of the parse, cut at the first phrase end after ``window`` bytes
-   ("blocks"), and the first ``stem`` bytes of each phrase are brought into one order
-   over the corpus; equal neighbours there are repeated;
-2. a whole region of repeated blocks is removed at once.  Only at its rims do the
-   proper suffixes of phrases matter: where a phrase's beginning is repeated but the
-   blocks on both sides are not, for any of its occurrences, the windows that begin in
-   the phrase before it are ordered too, one by one;
-3. windows without a near phrase beginning (a word said again and again can have no
-   trigger at all) are ordered one by one as well.
-
-Removal needs to know only which suffixes agree in their first ``window`` bytes, so the
-orders are kept by 64-bit keys of the cut suffixes in place of lexicographic ranks;
-ranges of keys are sorted in as many tasks as there are chunks.  Keys that agree don't
-decide what is removed: with each block and window goes a BLAKE2b digest of its bytes, and only
-those that agree in the digest too (127 bits together) are taken as equal.  No task or group
-holds a fixed share of the corpus, and a string that is hot reaches its range once from
-each chunk.
+rolling hash divisible by ``trigger_modulus`` begins a phrase, which ends with the trigger of the
+next one, so that equal strings are cut at equal places and no phrase is a prefix of another.
+What is repeated is then found from lexicographic ranks (``ranks.py``):
+
+1. the dictionary: the distinct phrases are ranked;
+2. the parse: its suffixes, as ranks of phrases, cut at the first phrase end after ``window``
+   bytes ("blocks") or before a phrase that stands at one place only, are ranked; neighbours
+   in that order tell how many leading phrases of each are repeated;
+3. a whole region of repeated blocks is removed at once.  Only at its rims do the proper
+   suffixes of phrases matter: windows that begin before a phrase are looked at if as many of its
+   suffix's leading phrases are repeated as the window holds, and if for any occurrence of those phrases
+   the blocks on both sides are not repeated; so are windows without a near phrase beginning (a
+   word said again and again can have no trigger at all);
+4. the suffixes of dictionary phrases that such windows begin with, cut at ``head`` bytes, are
+   ranked; windows whose suffix is repeated are then ordered by its rank, the ranks of
+   the phrases that follow and the bytes of the last, unfinished one.
+
+What is removed agrees in ranks and bytes; hashes only cut phrases and choose which windows are looked at.
+Ranges of the orders are sorted in as many tasks as there are chunks, their limits come from a
+sample of phrases (no more than 640,000).  No task or group holds a fixed share of the corpus, and a string that is
+hot reaches its range once from each chunk.
 
 Results for odd inputs: a null text is empty; texts under ``window`` bytes lose
 nothing; a text of any length is looked at whole, in a chunk that ends with it; equal rows
@@ -31,18 +32,21 @@ null ids too, but columns named like the results give way.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .bytehash import U, Rolling, combine
-from .chunks import SENT, corpus_bytes, gather, n_chunks, pack_sent, reduce_keys, unpack_reply, with_replies
+from .bytehash import U, Rolling, combine, mix, powers
+from .chunks import SENT, corpus_bytes, expand, gather, n_chunks, pack_sent, reduce_keys, squeeze, unpack_reply, with_replies
+from .ranks import RANK, again, in_order, pack_strings, rank_bytes, rank_strings, raw, shared_ranks, spread, strings, unpack_ranks
 from ..scratch import Scratch
 
 STORE = "chunk long, lens binary, data binary, extra binary"
+PARSE = "chunk long, doc_lens binary, at binary, ranks binary, marks binary"
+SPLIT = 24  # bytes of a range's limit; strings that agree in so many are in one range
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -52,98 +56,144 @@ class RepeatParams:
     trigger_bytes: int = 16
     trigger_modulus: int = 32
     stem: int = 50
+    head: int = 32
     chunk_bytes: int = 2 << 20
-    key_bits: int = 64  # fewer make keys agree by chance
+    key_bits: int = 64  # of the keys that choose windows; fewer make keys agree by chance
+
+
+def _triggers(data: np.ndarray, p: RepeatParams) -> np.ndarray:
+    return np.flatnonzero(Rolling(data).windows(p.trigger_bytes) % U(p.trigger_modulus) == 0)
 
 
 class _Parse:
-    """Phrase beginnings of a chunk and the keys that begin there."""
-
-    def __init__(self, row, p: RepeatParams):
-        self.p, self.id = p, int(row["chunk"])
-        self.data = np.frombuffer(row["data"], dtype=np.uint8)
-        lens = np.frombuffer(row["lens"], dtype=np.int64)
-        self.bounds = np.concatenate([[0], np.cumsum(lens)])
-        self.end = np.repeat(self.bounds[1:], lens)  # of each byte's document
-        self.hash = Rolling(self.data)
-        fires = np.flatnonzero(self.hash.windows(p.trigger_bytes) % U(p.trigger_modulus) == 0)
-        self.at = fires[fires + p.trigger_bytes <= self.end[fires]]
-        self.at_end = self.end[self.at]
-
-    def stems(self) -> np.ndarray:
-        """Which phrase beginnings have a stem in their document."""
-        return np.flatnonzero(self.at + self.p.stem <= self.at_end)
-
-    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each block: which phrase begins it, its first and end byte."""
+    """Phrases of a chunk, their ranks and what is known of the places around them."""
+
+    def __init__(self, lens: bytes, p: RepeatParams, data: bytes | None = None, at: np.ndarray | None = None):
+        self.p = p
+        self.bounds = np.concatenate([[0], np.cumsum(np.frombuffer(lens, dtype=np.int64))])
+        self.data = None if data is None else np.frombuffer(data, dtype=np.uint8)
+        if at is None:
+            fires = _triggers(self.data, p)
+            at = fires[fires + p.trigger_bytes <= self._doc_end(fires)]
+        self.at, self.at_end = at, self._doc_end(at)
+        #: a phrase that ends with its document has no next one
+        self.closed = np.append(self.at_end[1:] == self.at_end[:-1], False)[: len(at)]
+        self.follows = np.concatenate([[False], self.closed[:-1]])[: len(at)]
+
+    def _doc_end(self, at: np.ndarray) -> np.ndarray:
+        return self.bounds[np.searchsorted(self.bounds, at, "right")] if len(at) else at
+
+    def phrases(self) -> pa.Array:
+        end = np.where(self.closed, np.append(self.at[1:], 0)[: len(self.at)] + self.p.trigger_bytes, self.at_end)
+        return strings(self.data, (self.at, end - self.at))
+
+    def ranked(self, ranks: np.ndarray, marks: np.ndarray) -> None:
+        self.ranks = ranks
+        self.phrase_again = (marks & 1).astype(bool) & self.closed
+        self.stem_again = (marks & 2).astype(bool) & (self.at + self.p.stem <= self.at_end)
+        self.stem_rank = ranks - (marks >> 2).astype(U)
+
+    def blocks(self) -> pa.Array:
+        """The suffixes of the parse that begin with a repeated phrase, cut."""
+        n, place = len(self.at), np.arange(len(self.at))
         to = np.searchsorted(self.at, self.at + self.p.window)
-        inside = np.flatnonzero(to < len(self.at))
-        inside = inside[self.at_end[to[inside]] == self.at_end[inside]]
-        return inside, self.at[inside], self.at[to[inside]]
-
-    def keys(self, tag: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        out = combine(np.full(len(start), U(tag)), self.hash.slices(start, end))
-        cut = U(64 - self.p.key_bits)
-        return out >> cut << cut
-
-    def marks(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Digests of the bytes themselves, with a last bit of 0."""
-        view = memoryview(self.data)
-        digests = b"".join(blake2b(view[i:j], digest_size=8).digest() for i, j in zip(start.tolist(), end.tolist()))
-        return np.frombuffer(digests, dtype="<u8").astype(U) & ~U(1)
-
-    def first_order(self, replied: int | None = None):
-        """Stems and blocks in the order of their keys and marks, see :func:`_ordered`."""
-        self.stem_of = self.stems()
-        self.block_of, self.block_from, self.block_to = self.blocks()
-        at = self.at[self.stem_of]
-        keys = np.concatenate([self.keys(21, at, at + self.p.stem), self.keys(22, self.block_from, self.block_to)])
-        return _ordered(keys, lambda: np.concatenate([np.zeros(len(at), dtype=U), self.marks(self.block_from, self.block_to)]), replied)
-
-    def repeated_parts(self, reply: np.ndarray, inverse: np.ndarray) -> None:
-        again = reply.astype(bool)[inverse]
-        self.stem_again = np.zeros(len(self.at), dtype=bool)
-        self.stem_again[self.stem_of] = again[: len(self.stem_of)]
-        self.block_again = np.zeros(len(self.at), dtype=bool)
-        self.block_again[self.block_of] = again[len(self.stem_of) :]
+        last = np.minimum.accumulate(np.where(self.closed, n, place)[::-1])[::-1]  # where the document's last phrase begins
+        bad = np.minimum.accumulate(np.where(self.phrase_again, n, place)[::-1])[::-1]
+        self.block_to, self.whole = to, to <= last
+        self.block_of = np.flatnonzero(self.phrase_again)
+        cut = np.minimum(to, bad)[self.block_of]
+        return strings(rank_bytes(self.ranks), (self.block_of * RANK, (cut - self.block_of) * RANK))
+
+    def repeated_parts(self, shared: np.ndarray) -> None:
+        """shared: how many leading phrases of each of blocks() are repeated."""
+        self.shared = np.zeros(len(self.at), dtype=np.int64)
+        self.shared[self.block_of] = shared
+        self.block_again = self.whole & (self.shared >= self.block_to - np.arange(len(self.at)))
 
     def rims(self) -> np.ndarray:
-        """Repeated beginnings that are not between two repeated blocks of their document."""
-        before = np.zeros(len(self.at), dtype=bool)
-        before[1:] = self.block_again[:-1] & (self.at_end[1:] == self.at_end[:-1])
-        return self.stem_again & ~(self.block_again & before)
+        """Phrase beginnings that are not between two repeated blocks of their document."""
+        before = np.concatenate([[False], self.block_again[:-1]])[: len(self.at)] & self.follows
+        return ~(self.block_again & before)
 
-    def stem_classes(self):
-        """The repeated stems as sorted distinct keys, and where each repeated beginning's key stands."""
+    def near_windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows whose phrases are repeated: first byte, the phrase that begins first in it, and how many end in it."""
+        p, n = self.p, len(self.at)
         of = np.flatnonzero(self.stem_again)
-        at = self.at[of]
-        keys, inverse = np.unique(self.keys(23, at, at + self.p.stem), return_inverse=True)
-        return of, keys, inverse
-
-    def open_windows(self, rim: np.ndarray) -> np.ndarray:
-        """Windows that are ordered one by one; rim: phrase beginnings of whose class one is at a rim."""
-        p, n = self.p, len(self.data)
-        reach = p.window - p.stem
-        edge = np.zeros(n + 1, dtype=np.int32)  # 1 where a beginning is within reach
-        np.add.at(edge, np.maximum(self.at - reach, np.concatenate([[-1], self.at[:-1]]) + 1) if len(self.at) else self.at, 1)
-        np.add.at(edge, self.at + 1, -1)
-        open_ = np.cumsum(edge[:n]) == 0
-        first = np.maximum(self.at - reach, np.concatenate([[-1], self.at[:-1]]) + 1) if len(self.at) else self.at
-        add = np.zeros(n + 1, dtype=np.int32)
-        np.add.at(add, first[rim], 1)
-        np.add.at(add, self.at[rim] + 1, -1)
-        open_ |= np.cumsum(add[:n]) > 0
-        at = np.flatnonzero(open_)
-        return at[at + p.window <= self.end[at]]
-
-    def window_order(self, at: np.ndarray, replied: int | None = None):
-        return _ordered(self.keys(24, at, at + self.p.window), lambda: self.marks(at, at + self.p.window), replied)
+        at, end = self.at[of], self.at_end[of]
+        start = self.bounds[np.searchsorted(self.bounds, at, "right") - 1] if len(of) else at
+        low = np.maximum(at - (p.window - p.stem), np.where(self.follows[of], self.at[of - 1] + 1, start))
+        stop = of + self.shared[of] + 1  # the phrase that may not begin with its whole trigger in the window
+        inside = (stop < n) & (self.at_end[np.minimum(stop, n - 1)] == end)
+        high = np.minimum(at, np.where(inside, self.at[np.minimum(stop, n - 1)] + p.trigger_bytes - p.window - 1, at))
+        high = np.minimum(high, end - p.window)
+        lens = np.maximum(high - low + 1, 0)
+        i, k = spread(low, lens), np.repeat(of, lens)
+        return i, k, np.searchsorted(self.at, i + (p.window - p.trigger_bytes), "right") - 1 - k
+
+    def classes(self, k: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Keys of q phrases from the k-th on; of its stem for none."""
+        sums = np.zeros(len(self.at) + 1, dtype=U)
+        np.cumsum(mix(self.ranks) * powers(len(self.at), "up"), out=sums[1:])
+        run = np.where(q > 0, (sums[k + q] - sums[k]) * powers(len(self.at) + 1, "down")[k], self.stem_rank[k])
+        cut = U(64 - self.p.key_bits)
+        return combine(q.astype(U), run) >> cut << cut
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the near windows: distinct keys of their classes, where each one's key stands, first bytes and phrases."""
+        i, k, q = self.near_windows()
+        new = np.ones(len(i), dtype=bool)
+        new[1:] = (k[1:] != k[:-1]) | (q[1:] != q[:-1])
+        keys, inverse = np.unique(self.classes(k[new], q[new]), return_inverse=True)
+        return keys, inverse[np.cumsum(new) - 1] if len(i) else np.empty(0, dtype=np.int64), i, np.stack([k, q])
+
+    def far_windows(self) -> np.ndarray:
+        """Windows in which no phrase begins near."""
+        reach, window = self.p.window - self.p.stem, self.p.window
+        docs = self.bounds[:-1][np.diff(self.bounds) > 0]
+        start = np.concatenate([docs, self.at + 1])
+        ahead = np.searchsorted(self.at, start)
+        end = self._doc_end(np.concatenate([docs, self.at]))
+        has = ahead < len(self.at)
+        following = self.at[np.minimum(ahead, len(self.at) - 1)] if len(self.at) else start
+        stop = np.minimum(end - window + 1, np.where(has & (following < end), following - reach, end))
+        return spread(start, np.maximum(stop - start, 0))
+
+    def opened(self, rim: np.ndarray) -> None:
+        """Chooses the windows that are ordered; rim: of which of the distinct keys of runs() one is at a rim."""
+        _, inverse, i, kq = self.runs()
+        open_ = rim[inverse]
+        far = self.far_windows()
+        self.near = int(open_.sum())
+        self.window_at = np.concatenate([i[open_], far])
+        self.window_of, self.window_run = kq[:, open_]
+        window, trigger = self.p.window, self.p.trigger_bytes
+        self.suffix_len = np.concatenate([self.at[self.window_of] + trigger - i[open_], np.full(len(far), window)])
+
+    def suffixes(self) -> pa.Array:
+        """The suffixes of phrases that the windows begin with, cut."""
+        return strings(self.data, (self.window_at, np.minimum(self.suffix_len, self.p.head)))
+
+    def windows(self, ranks: np.ndarray, chosen: np.ndarray) -> pa.Array:
+        """The chosen windows: their suffix's rank and what was cut of it, ranks of phrases, the rest, and the number of ranks."""
+        n, m, none = len(self.data), len(self.ranks), np.zeros(len(self.window_at) - self.near, dtype=np.int64)
+        k, q = np.concatenate([self.window_of, none]), np.concatenate([self.window_run, none])
+        rest = np.concatenate([self.at[self.window_of + self.window_run], none])
+        end = np.concatenate([self.window_at[: self.near] + self.p.window, none])
+        at, k, q, rest, end, lens = (x[chosen] for x in (self.window_at, k, q, rest, end, self.suffix_len))
+        head, heads = np.minimum(lens, self.p.head), RANK * np.arange(len(at))
+        counts = np.where(chosen < self.near, q, 0xFFFF).astype(">u4").view(np.uint8)
+        buffer = np.concatenate([self.data, rank_bytes(self.ranks), rank_bytes(ranks[chosen]), counts])
+        size = np.ones(len(at), dtype=np.int64)
+        return strings(
+            buffer, (n + RANK * m + heads, size * RANK), (at + head, lens - head), (n + RANK * k, RANK * q),
+            (rest, end - rest), (n + RANK * (m + len(at)) + 4 * np.arange(len(at)), size * 4),
+        )
 
     def removed(self, windows: np.ndarray) -> np.ndarray:
         change = np.zeros(len(self.data) + 1, dtype=np.int32)
-        whole = self.block_again[self.block_of]
-        np.add.at(change, self.block_from[whole], 1)
-        np.add.at(change, self.block_to[whole], -1)
+        again = np.flatnonzero(self.block_again)
+        np.add.at(change, self.at[again], 1)
+        np.add.at(change, self.at[self.block_to[again]] + self.p.trigger_bytes, -1)
         np.add.at(change, windows, 1)
         np.add.at(change, windows + self.p.window, -1)
         return np.cumsum(change[:-1]) > 0
@@ -168,36 +218,19 @@ class _Parse:
             yield [{"start": int(s - i), "end": int(e - i)} for s, e in zip(starts[a:b], ends[a:b])], self.data[i:j][stay[i:j]].tobytes()
 
 
-def _ordered(keys: np.ndarray, marks, replied: int | None = None):
-    """The different pairs of key and mark in order: keys, values (the mark, and 1 if it stands here twice), and where each occurrence's pair stands.
+def _phrase_marks(stem: int):
+    """Bit 0: the phrase stands at two places or more; bit 1: its first bytes do; from bit 2 on: how many places before it the first phrase with these stands."""
 
-    replied: how many pairs there are, as a later pass knows; if that is how many different keys
-    there are, marks need not be computed again.
-    """
-    if replied is not None:
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        if replied == len(distinct):
-            return distinct, None, inverse
-    mark = marks()
-    order = np.lexsort((mark, keys))
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = (keys[order][1:] != keys[order][:-1]) | (mark[order][1:] != mark[order][:-1])
-    inverse = np.empty(len(keys), dtype=np.int64)
-    inverse[order] = np.cumsum(new) - 1
-    first = order[new]
-    twice = np.bincount(inverse, minlength=len(first)) > 1
-    return keys[first], mark[first] | twice.astype(U), inverse
-
-
-def _again(inverse, values, n, keys):
-    """Which pairs of key and mark stand at two places or more."""
-    mark, twice = values >> U(1), (values & U(1)).astype(np.int64)
-    order = np.lexsort((mark, inverse))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (inverse[order][1:] != inverse[order][:-1]) | (mark[order][1:] != mark[order][:-1])
-    pair = np.empty(len(order), dtype=np.int64)
-    pair[order] = np.cumsum(new) - 1
-    return (np.bincount(pair, 1 + twice)[pair] >= 2).astype(np.uint8), None
+    def marks(distinct: pa.Array, count: np.ndarray) -> np.ndarray:
+        lens = np.diff(raw(distinct)[0])
+        first = pc.binary_slice(distinct, 0, stem)
+        same = np.zeros(len(lens), dtype=bool)
+        same[1:] = pc.equal(first[1:], first[:-1]).to_numpy(zero_copy_only=False) & (lens[1:] >= stem) & (lens[:-1] >= stem)
+        group = np.cumsum(~same) - 1
+        begin = np.flatnonzero(~same)[group]
+        return (count > 1) | (np.bincount(group, count)[group] > 1) << 1 | (np.arange(len(lens)) - begin) << 2
+
+    return marks
 
 
 def _any(inverse, values, n, keys):
@@ -211,7 +244,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", params: RepeatParams = R
     """
     spark, p = docs.sparkSession, params
     scratch = scratch or Scratch(spark, "repeats")
-    buckets = n_chunks(corpus_bytes(docs, text), 4 * p.chunk_bytes)
+    size = corpus_bytes(docs, text)
+    buckets = n_chunks(size, 4 * p.chunk_bytes)
     rest = [c for c in docs.columns if c not in (text, "n_bytes", "spans", "kept")]
     out = T.StructType([docs.schema[c] for c in rest] + [T.StructField("n_bytes", T.LongType()), T.StructField("spans", SPANS), T.StructField("kept", T.StringType() if readable else T.BinaryType())])
 
@@ -231,59 +265,103 @@ def remove_repeats(docs: DataFrame, text: str = "text", params: RepeatParams = R
             for k in range(len(pdf)):
                 yield pdf.iloc[k]
 
-    def exchange(df: DataFrame, emit, kind: str, answer, values: str) -> DataFrame:
+    def packed(df: DataFrame, emit) -> DataFrame:
         def send(it):
             for row in rows(it):
-                chunk, keys, values = emit(row)
-                yield pack_sent(kind, chunk, keys, values, buckets)
+                yield emit(row)
+
+        return df.mapInPandas(send, SENT)
+
+    # where ranges begin
+    spared = max(1, size // p.chunk_bytes // 20_000)
+    cut = min(SPLIT, p.stem)
 
-        return scratch.keep(reduce_keys(df.mapInPandas(send, SENT), {kind: answer}, {kind: values}), kind)
+    def sample(it):
+        for row in rows(it):
+            data = np.frombuffer(row["data"][: 1 << 15], dtype=np.uint8)
+            at = _triggers(data, p)
+            at = at[at + cut <= len(data)]
+            at = at[:: len(at) // 32 + 1]
+            yield pd.DataFrame({"found": [data[spread(at, np.full(len(at), cut))].tobytes()]})
+
+    some = store.where(F.abs(F.hash("chunk")) % spared == 0).select("chunk", "data").mapInPandas(sample, "found binary")
+    found = sorted({r.found[i : i + cut] for r in some.collect() for i in range(0, len(r.found), cut)})
+    splits = [found[len(found) * b // buckets] for b in range(1, buckets)] if found else [b"\xff"] * (buckets - 1)
 
-    def send_parts(row):
-        c = _Parse(row, p)
-        keys, values, _ = c.first_order()
-        return c.id, keys, values
+    def send_phrases(row):
+        c = _Parse(row["lens"], p, row["data"])
+        return pack_strings("phrases", int(row["chunk"]), c.phrases(), splits)[0]
 
-    parts = exchange(store, send_parts, "parts", _again, "<u8")
+    phrases = scratch.keep(rank_strings(packed(store, send_phrases), _phrase_marks(p.stem)), "phrases")
 
-    def parsed(row) -> _Parse:
-        c = _Parse(row, p)
-        reply = unpack_reply(row["parts"], "u1")
-        c.repeated_parts(reply, c.first_order(len(reply))[2])
+    def parse(it):
+        for row in rows(it):
+            c = _Parse(row["lens"], p, row["data"])
+            ranks, marks = unpack_ranks(row["phrases"])
+            place = in_order(c.phrases())[1]
+            yield pd.DataFrame([{"chunk": row["chunk"], "doc_lens": row["lens"], "at": squeeze(np.diff(c.at, prepend=0)), "ranks": squeeze(ranks[place]), "marks": squeeze(marks[place])}])
+
+    parsed = scratch.keep_bucketed(with_replies(store.select("chunk", "lens", "data"), buckets, phrases=phrases).mapInPandas(parse, PARSE), "chunk", buckets, "parse")
+    scratch.drop(phrases)
+
+    def known(row) -> _Parse:
+        c = _Parse(row["doc_lens"], p, row["data"] if "data" in row else None, np.cumsum(expand(row["at"], np.int64)))
+        c.ranked(expand(row["ranks"], U), expand(row["marks"], np.int64))
+        return c
+
+    def send_blocks(row):
+        return pack_strings("blocks", int(row["chunk"]), known(row).blocks(), buckets)[0]
+
+    blocks = scratch.keep(rank_strings(packed(parsed, send_blocks), shared_ranks), "blocks")
+
+    def joined(row) -> _Parse:
+        c = known(row)
+        place = in_order(c.blocks())[1]
+        c.repeated_parts(unpack_ranks(row["blocks"])[1][place])
         return c
 
     def send_rims(row):
-        c = parsed(row)
-        of, keys, inverse = c.stem_classes()
-        return c.id, keys, (np.bincount(inverse, c.rims()[of], len(keys)) > 0).astype(np.uint8)
+        c = joined(row)
+        keys, inverse, _, (k, _) = c.runs()
+        return pack_sent("rims", int(row["chunk"]), keys, (np.bincount(inverse, c.rims()[k], len(keys)) > 0).astype(np.uint8), buckets)
+
+    rims = scratch.keep(reduce_keys(packed(with_replies(parsed, buckets, blocks=blocks), send_rims), {"rims": _any}, {"rims": "u1"}), "rims")
+
+    def opened(row) -> _Parse:
+        c = joined(row)
+        c.opened(unpack_reply(row["rims"], "u1").astype(bool))
+        return c
+
+    both = store.join(parsed.hint("merge"), "chunk")
+
+    def send_suffixes(row):
+        return pack_strings("suffixes", int(row["chunk"]), opened(row).suffixes(), splits)[0]
 
-    rims = exchange(with_replies(store, buckets, parts=parts), send_rims, "rims", _any, "u1")
+    suffixes = scratch.keep(rank_strings(packed(with_replies(both, buckets, blocks=blocks, rims=rims), send_suffixes), again), "suffixes")
 
-    def opened(row) -> tuple[_Parse, np.ndarray]:
-        c = parsed(row)
-        of, _, inverse = c.stem_classes()
-        rim = np.zeros(len(c.at), dtype=bool)
-        rim[of] = unpack_reply(row["rims"], "u1").astype(bool)[inverse]
-        return c, c.open_windows(rim)
+    def chosen(row) -> tuple[_Parse, np.ndarray, pa.Array]:
+        """The windows whose suffix is repeated."""
+        c = opened(row)
+        ranks, marks = unpack_ranks(row["suffixes"])
+        place = in_order(c.suffixes())[1]
+        which = np.flatnonzero(marks[place] > 0)
+        return c, c.window_at[which], c.windows(ranks[place], which)
 
     def send_windows(row):
-        c, at = opened(row)
-        keys, values, _ = c.window_order(at)
-        return c.id, keys, values
+        return pack_strings("windows", int(row["chunk"]), chosen(row)[2], buckets)[0]
 
-    windows = exchange(with_replies(store, buckets, parts=parts, rims=rims), send_windows, "windows", _again, "<u8")
+    windows = scratch.keep(rank_strings(packed(with_replies(both, buckets, blocks=blocks, rims=rims, suffixes=suffixes), send_windows), again), "windows")
 
     def finish(it):
         for row in rows(it):
-            c, at = opened(row)
-            reply = unpack_reply(row["windows"], "u1")
-            gone = c.removed(at[reply.astype(bool)[c.window_order(at, len(reply))[2]]])
+            c, at, held = chosen(row)
+            gone = c.removed(at[unpack_ranks(row["windows"])[1][in_order(held)[1]] > 0])
             pdf = pa.ipc.open_stream(row["extra"]).read_pandas()
             spans, kept = zip(*c.results(gone))
             kept = [k.decode("utf-8", "ignore") for k in kept] if readable else list(kept)
             yield pdf.assign(n_bytes=np.diff(c.bounds), spans=list(spans), kept=kept)[out.names]
 
-    return with_replies(store, buckets, parts=parts, rims=rims, windows=windows).mapInPandas(finish, out)
+    return with_replies(both, buckets, blocks=blocks, rims=rims, suffixes=suffixes, windows=windows).mapInPandas(finish, out)
 
 
 def digest(result: DataFrame) -> DataFrame:
