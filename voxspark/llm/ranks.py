@@ -35,8 +35,10 @@ def strings(buffer: np.ndarray, *parts: tuple[np.ndarray, np.ndarray]) -> pa.Arr
     start, lens = (np.stack([np.asarray(p[i], dtype=np.int64) for p in parts], axis=1) for i in (0, 1))
     offsets = np.zeros(len(start) + 1, dtype=np.int64)
     np.cumsum(lens.sum(axis=1), out=offsets[1:])
-    data = buffer[spread(start.ravel(), lens.ravel())]
-    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    held, start, lens = buffer.tobytes(), start.ravel(), lens.ravel()
+    start, stop = start[lens > 0], (start + lens)[lens > 0]
+    data = b"".join([held[i:j] for i, j in zip(start.tolist(), stop.tolist())])
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def in_order(held: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -66,8 +68,8 @@ def pack_strings(kind: str, chunk: int, held: pa.Array, splits: list[bytes] | in
         lead = data[offsets[:-1]].astype(np.int64) << 8 | data[offsets[:-1] + 1]
         cut = np.searchsorted(lead, np.arange(splits + 1)).tolist()
     else:
-        listed = distinct.to_pylist()
-        cut = [0, *(bisect_left(listed, s) for s in splits), len(listed)]
+        held, every = data.tobytes(), range(len(distinct))
+        cut = [0, *(bisect_left(every, s, key=lambda k: held[offsets[k] : offsets[k + 1]]) for s in splits), len(every)]
     twice = np.bincount(inverse, minlength=len(distinct)) > 1
     lens = np.diff(offsets).astype("<u4")
     rows = []

@@ -11,9 +11,10 @@ What is repeated is then found from lexicographic ranks (``ranks.py``):
    in that order tell how many leading phrases of each are repeated;
 3. a whole region of repeated blocks is removed at once.  Only at its rims do the proper
    suffixes of phrases matter: windows that begin before a phrase are looked at if as many of its
-   suffix's leading phrases are repeated as the window holds, and if for any occurrence of those phrases
-   the blocks on both sides are not repeated; so are windows without a near phrase beginning (a
-   word said again and again can have no trigger at all);
+   suffix's leading phrases are repeated as the window holds, if these and the bytes before them (in steps of
+   eight) stand at two places by their hash, and if at one of the places a window is not in such a
+   region; so are windows without a near phrase beginning (a word said again and again can have no
+   trigger at all), each by its own hash;
 4. the suffixes of dictionary phrases that such windows begin with, cut at ``head`` bytes, are
    ranked; windows whose suffix is repeated are then ordered by its rank, the ranks of
    the phrases that follow and the bytes of the last, unfinished one.
@@ -46,6 +47,7 @@ from ..scratch import Scratch
 
 STORE = "chunk long, lens binary, data binary, extra binary"
 PARSE = "chunk long, doc_lens binary, at binary, ranks binary, marks binary"
+STEP = 8  # bytes before a phrase by which windows are classed
 SPLIT = 24  # bytes of a range's limit; strings that agree in so many are in one range
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -110,10 +112,16 @@ class _Parse:
         self.shared[self.block_of] = shared
         self.block_again = self.whole & (self.shared >= self.block_to - np.arange(len(self.at)))
 
-    def rims(self) -> np.ndarray:
-        """Phrase beginnings that are not between two repeated blocks of their document."""
-        before = np.concatenate([[False], self.block_again[:-1]])[: len(self.at)] & self.follows
-        return ~(self.block_again & before)
+    def covered(self, i: np.ndarray) -> np.ndarray:
+        """Which windows lie in regions of repeated blocks."""
+        of = np.flatnonzero(self.block_again)
+        if not len(of):
+            return np.zeros(len(i), dtype=bool)
+        start, reach = self.at[of], np.maximum.accumulate(self.at[self.block_to[of]] + self.p.trigger_bytes)
+        last = np.append(start[1:] > reach[:-1], True)
+        region = np.cumsum(np.concatenate([[0], last[:-1]]))
+        at = np.searchsorted(start, i, "right") - 1
+        return (at >= 0) & (reach[last][region[at]] >= i + self.p.window)
 
     def near_windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows whose phrases are repeated: first byte, the phrase that begins first in it, and how many end in it."""
@@ -130,21 +138,30 @@ class _Parse:
         i, k = spread(low, lens), np.repeat(of, lens)
         return i, k, np.searchsorted(self.at, i + (p.window - p.trigger_bytes), "right") - 1 - k
 
-    def classes(self, k: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Keys of q phrases from the k-th on; of its stem for none."""
+    def classes(self, k: np.ndarray, q: np.ndarray, c: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """Keys of q phrases from the k-th on, of its stem for none, and of the STEP * c bytes before them; then of far windows."""
         sums = np.zeros(len(self.at) + 1, dtype=U)
         np.cumsum(mix(self.ranks) * powers(len(self.at), "up"), out=sums[1:])
         run = np.where(q > 0, (sums[k + q] - sums[k]) * powers(len(self.at) + 1, "down")[k], self.stem_rank[k])
-        cut = U(64 - self.p.key_bits)
-        return combine(q.astype(U), run) >> cut << cut
-
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the near windows: distinct keys of their classes, where each one's key stands, first bytes and phrases."""
-        i, k, q = self.near_windows()
+        hashed, cut = Rolling(self.data), U(64 - self.p.key_bits)
+        near = combine(q.astype(U), run, hashed.slices(self.at[k] - STEP * c, self.at[k]))
+        return np.concatenate([near, combine(hashed.slices(far, far + self.p.window))]) >> cut << cut
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all windows that may be ordered: distinct keys of their classes, where each run's key stands, each one's run, first bytes;
+        phrases of the near ones, which come first."""
+        (i, k, q), far = self.near_windows(), self.far_windows()
+        c = (self.at[k] - i) // STEP
         new = np.ones(len(i), dtype=bool)
-        new[1:] = (k[1:] != k[:-1]) | (q[1:] != q[:-1])
-        keys, inverse = np.unique(self.classes(k[new], q[new]), return_inverse=True)
-        return keys, inverse[np.cumsum(new) - 1] if len(i) else np.empty(0, dtype=np.int64), i, np.stack([k, q])
+        new[1:] = (k[1:] != k[:-1]) | (q[1:] != q[:-1]) | (c[1:] != c[:-1])
+        keys, inverse = np.unique(self.classes(k[new], q[new], c[new], far), return_inverse=True)
+        return keys, inverse, np.cumsum(np.concatenate([new, np.ones(len(far), dtype=bool)])) - 1, np.concatenate([i, far]), np.stack([k, q])
+
+    def run_marks(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of classes; bit 0: a window of the class is not covered, bit 1: the class stands at two places."""
+        keys, inverse, run, i, _ = self.runs()
+        bare = np.bincount(inverse[run[~self.covered(i)]], minlength=len(keys)) > 0
+        return keys, (bare | (np.bincount(inverse, minlength=len(keys)) > 1) << 1).astype(np.uint8)
 
     def far_windows(self) -> np.ndarray:
         """Windows in which no phrase begins near."""
@@ -159,15 +176,14 @@ class _Parse:
         return spread(start, np.maximum(stop - start, 0))
 
     def opened(self, rim: np.ndarray) -> None:
-        """Chooses the windows that are ordered; rim: of which of the distinct keys of runs() one is at a rim."""
-        _, inverse, i, kq = self.runs()
-        open_ = rim[inverse]
-        far = self.far_windows()
-        self.near = int(open_.sum())
-        self.window_at = np.concatenate([i[open_], far])
-        self.window_of, self.window_run = kq[:, open_]
-        window, trigger = self.p.window, self.p.trigger_bytes
-        self.suffix_len = np.concatenate([self.at[self.window_of] + trigger - i[open_], np.full(len(far), window)])
+        """Chooses the windows that are ordered; rim: which of the distinct keys of runs() stand at several places, one of them at a rim."""
+        _, inverse, run, i, kq = self.runs()
+        open_ = rim[inverse][run]
+        near = open_[: kq.shape[1]]
+        self.near, self.window_at = int(near.sum()), i[open_]
+        self.window_of, self.window_run = kq[:, near]
+        self.suffix_len = np.full(len(self.window_at), self.p.window)
+        self.suffix_len[: self.near] = self.at[self.window_of] + self.p.trigger_bytes - self.window_at[: self.near]
 
     def suffixes(self) -> pa.Array:
         """The suffixes of phrases that the windows begin with, cut."""
@@ -233,8 +249,10 @@ def _phrase_marks(stem: int):
     return marks
 
 
-def _any(inverse, values, n, keys):
-    return (np.bincount(inverse, values, n) > 0)[inverse].astype(np.uint8), None
+def _rims(inverse, values, n, keys):
+    """Which classes stand at two places or more and have a window that is not covered."""
+    bare, places = np.bincount(inverse, values & 1, n) > 0, np.bincount(inverse, 1 + (values >> 1), n)
+    return (bare & (places > 1))[inverse].astype(np.uint8), None
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", params: RepeatParams = RepeatParams(), scratch: Scratch | None = None, readable: bool = False) -> DataFrame:
@@ -322,18 +340,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", params: RepeatParams = R
 
     def send_rims(row):
         c = joined(row)
-        keys, inverse, _, (k, _) = c.runs()
-        return pack_sent("rims", int(row["chunk"]), keys, (np.bincount(inverse, c.rims()[k], len(keys)) > 0).astype(np.uint8), buckets)
+        return pack_sent("rims", int(row["chunk"]), *c.run_marks(), buckets)
 
-    rims = scratch.keep(reduce_keys(packed(with_replies(parsed, buckets, blocks=blocks), send_rims), {"rims": _any}, {"rims": "u1"}), "rims")
+    both = store.join(parsed.hint("merge"), "chunk")
+    rims = scratch.keep(reduce_keys(packed(with_replies(both, buckets, blocks=blocks), send_rims), {"rims": _rims}, {"rims": "u1"}), "rims")
 
     def opened(row) -> _Parse:
         c = joined(row)
         c.opened(unpack_reply(row["rims"], "u1").astype(bool))
         return c
 
-    both = store.join(parsed.hint("merge"), "chunk")
-
     def send_suffixes(row):
         return pack_strings("suffixes", int(row["chunk"]), opened(row).suffixes(), splits)[0]
 
