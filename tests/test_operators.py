@@ -330,3 +330,14 @@ def test_expected_information_of_large_clusters(spark):
     entropy = lambda c: -sum(v / n * math.log(v / n) for v in c)
     mi = sum(v / n * math.log(n * v / (a[t - 1] * b[p - 1])) for (t, p), v in cells.items())
     assert one(M.ami(df))["ami"] == pytest.approx((mi - emi) / ((entropy(a) + entropy(b)) / 2 - emi), abs=1e-7)
+
+
+def test_lines_of_boxes_are_not_broadcast(spark):
+    from voxspark.operators.catalog import crop_boxes
+
+    voxels = spark.range(200).select(F.lit("v").alias("volume"), F.lit(0).alias("z"), F.lit(0).alias("y"), F.col("id").cast("int").alias("x"))
+    one = spark.createDataFrame([("v", 150)], "volume string, n int").groupBy("volume").agg(F.max("n").alias("n"))  # few bytes, and many boxes
+    boxes = one.select("volume", F.lit(0).alias("z"), F.lit(0).alias("y"), F.explode(F.sequence(F.lit(0), F.col("n"))).alias("x"), *(F.lit(1).alias(s) for s in ("sz", "sy")), F.lit(20).alias("sx"), F.lit("b").alias("name"))
+    out = crop_boxes(voxels, boxes)
+    assert len(out.collect()) == 151 * 20
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()

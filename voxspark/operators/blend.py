@@ -39,7 +39,7 @@ def reflect_pad(voxels: DataFrame, volumes: DataFrame, patch: Sequence[int], str
     Each voxel gives its own images; only those near enough to a face have any.
     """
     sizes = padded_sizes(volumes.select("volume", *SIZES), patch, stride)
-    out = voxels.join(sizes, "volume")
+    out = voxels.join(F.broadcast(sizes), "volume")  # one row a volume
     for a, n in zip(AXES, SIZES):
         images = F.filter(F.sequence(F.least(F.col(n), F.col(f"p{n}") - 1), F.col(f"p{n}") - 1), lambda i: (i >= F.col(n)) & (mirrored(i, F.col(n)) == F.col(a)))  # noqa: B023
         out = out.withColumn(a, F.explode(F.concat(F.array(F.col(a).cast("int")), F.transform(images, lambda i: i.cast("int")))))
@@ -110,7 +110,7 @@ def slide(voxels: DataFrame, volumes: DataFrame, value: str, fn: Callable[[pd.Da
         return out
 
     scored = rows.groupBy("volume", *(f"w{a}" for a in AXES)).applyInPandas(run, ", ".join(kinds))
-    inside = scored.withColumns({a: F.col(f"w{a}") + F.col(f"l{a}") for a in AXES}).join(volumes.select("volume", *SIZES), "volume")
+    inside = scored.withColumns({a: F.col(f"w{a}") + F.col(f"l{a}") for a in AXES}).join(F.broadcast(volumes.select("volume", *SIZES)), "volume")  # one row a volume
     for a, n in zip(AXES, SIZES):
         inside = inside.where(F.col(a) < F.col(n))
     return blend_patches(inside, value, patch, aggregation)

@@ -45,13 +45,14 @@ def crop_boxes(voxels: DataFrame, boxes: DataFrame, cell: int = 16) -> DataFrame
     """Voxels of many boxes(name, volume, z, y, x, sz, sy, sx), re-based: an equi-join on the lines that a box touches.
 
     A line is `cell` voxels along x, so that at most a cell at both ends of each line is met in vain, however many boxes there are.
+    Both sides are shuffled: a small table of boxes has many lines, which a broadcast would gather in the driver.
     """
     cells = boxes.where("sz > 0 AND sy > 0 AND sx > 0").withColumnsRenamed({a: f"o{a}" for a in AXES})
     for a in ("z", "y"):
         cells = cells.withColumn(f"c{a}", F.explode(F.sequence(F.col(f"o{a}"), F.col(f"o{a}") + F.col(f"s{a}") - 1)))
     cells = cells.withColumn("cx", F.explode(F.sequence(F.floor(F.col("ox") / cell), F.floor((F.col("ox") + F.col("sx") - 1) / cell))))
     at = voxels.withColumns({"cz": F.col("z"), "cy": F.col("y"), "cx": F.floor(F.col("x") / cell)})
-    hit = cells.join(at, ["volume", "cz", "cy", "cx"]).where((F.col("x") >= F.col("ox")) & (F.col("x") < F.col("ox") + F.col("sx")))
+    hit = cells.hint("merge").join(at, ["volume", "cz", "cy", "cx"]).where((F.col("x") >= F.col("ox")) & (F.col("x") < F.col("ox") + F.col("sx")))
     rest = [c for c in boxes.columns if c not in ("volume", *AXES, "sz", "sy", "sx")]
     based = {a: F.col(a) - F.col(f"o{a}") for a in AXES}
     return hit.select(*(based[c].alias(c) if c in based else c for c in [*voxels.columns, *rest]))
