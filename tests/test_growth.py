@@ -130,3 +130,22 @@ def test_crops_move_once(spark):
     assert "Join" not in plan and plan.count("Exchange") == 1
     got = sorted((r.sample_id, r.x, r.was, r.label) for r in out.collect())
     assert got == [(s, x, s * 10 + x, label) for s in (1, 2) for x, label in ((0, 1), (2, 2), (3, 2))]
+
+
+def _records_sent(plan) -> int:
+    """Rows that the exchanges of an executed plan have written."""
+    kind, sent = plan.nodeName(), 0
+    if kind == "Exchange" and plan.metrics().contains("shuffleRecordsWritten"):
+        sent += plan.metrics().apply("shuffleRecordsWritten").value()
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in kind else []
+    children = plan.children()
+    return sent + sum(map(_records_sent, [*inner, *(children.apply(i) for i in range(children.length()))]))
+
+
+def test_boxes_of_a_crowded_cell_move_once(spark):
+    n = 4_500
+    i = F.col("id").cast("int")
+    boxes = spark.range(n).select(F.format_string("b%d", i).alias("name"), (i % 10 * 2).alias("z"), F.floor(i / 10 % 10 * 2).cast("int").alias("y"), F.floor(i / 100).cast("int").alias("x"), *(F.lit(1).alias(s) for s in ("sz", "sy", "sx")))
+    out = C.split_overlaps(boxes, cell=100)
+    assert len(out.collect()) == out.distinct().count()
+    assert _records_sent(out._jdf.queryExecution().executedPlan()) < 2.2 * n
